@@ -136,3 +136,21 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if (now := mark(e)) == was:
             return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
         was = now
+
+
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_bounds(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all runs of bytes without ASCII white space; no run goes beyond a text."""
+    blank = SPACE[raw]
+    start = ~blank
+    start[1:] &= blank[:-1]
+    first = off[:-1][off[:-1] < len(raw)]
+    start[first] = ~blank[first]
+    end = ~blank
+    end[:-1] &= blank[1:]
+    last = off[1:][off[1:] > off[:-1]] - 1
+    end[last] = ~blank[last]
+    return np.flatnonzero(start), np.flatnonzero(end) + 1

@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WORDS = C.Rolling(11)
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Weight of a chance agreement against one signature row in the cost of a segment with t elements.
@@ -98,15 +96,7 @@ def shingle_sets(data: np.ndarray, begins: np.ndarray, words: int) -> Iterator[n
     for a, b in C.chunks(begins):
         off = begins[a : b + 1] - begins[a]
         raw = LOWER[data[begins[a] : begins[b]]]
-        blank = SPACE[raw]
-        start = ~blank
-        start[1:] &= blank[:-1]
-        start[off[:-1][off[:-1] < len(raw)]] = ~blank[off[:-1][off[:-1] < len(raw)]]
-        end = ~blank
-        end[:-1] &= blank[1:]
-        last = off[1:][off[1:] > off[:-1]] - 1
-        end[last] = ~blank[last]
-        s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
+        s, e = C.word_bounds(raw, off)
         w = WORDS.of(WORDS.sums(raw), s, e)
         mult = [np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 2**64)) for j in range(words)]
         n = max(len(w) - words + 1, 0)

@@ -6,11 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_tree import op1
+from .decontaminate import op3
 from .jaccard_join import op5
+from .language import op7
+from .mih import op10
+from .packing import op4
+from .pii import op9
+from .quality import op6
+from .repeats import op8
+from .secrets import op2
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_jaccard_join": op5}
+    return {
+        "op1_chat_prefix_tree": op1,
+        "op2_credential_linking": op2,
+        "op3_template_decontamination": op3,
+        "op4_best_two_fit": op4,
+        "op5_jaccard_join": op5,
+        "op6_additive_quality": op6,
+        "op7_string_kernel_language": op7,
+        "op8_bucket_pointer_dedup": op8,
+        "op9_anchor_pii": op9,
+        "op10_multi_index_hashing": op10,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
