@@ -117,21 +117,86 @@ def node_of(h: np.ndarray) -> int:
     return int(C.mix(np.array([C.mix(h ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(h))], np.uint64)).view(np.int64)[0])
 
 
-def _scan(words: int, percent: int):
+def stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries (signature, node): each signature with its least node, and the distinct edges (node, least node) of the
+    other nodes under a signature. Least nodes of parts can be joined by the same step again."""
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    first = np.ones(len(sig), bool)
+    first[1:] = sig[1:] != sig[:-1]
+    low = node[first][np.cumsum(first) - 1]
+    other = node != low
+    edges = np.unique(np.column_stack([node[other], low[other]]), axis=0) if other.any() else np.zeros((0, 2), np.int64)
+    return sig[first], node[first], edges[:, 0], edges[:, 1]
+
+
+SHIPPED = ("kind", "p", "id", "n", "a", "b", "entries")
+
+
+def _rows(id_type: pa.DataType, kind: str, p=None, ids=None, n=None, a=None, b=None, entries=None) -> pa.RecordBatch:
+    size = len(next(x for x in (p, n, a) if x is not None))
+    cols = ((pa.array([kind] * size), p, pa.int32()), (None, ids, id_type), (None, n, pa.int64()), (None, a, pa.int64()), (None, b, pa.int64()), (None, entries, pa.binary()))
+    out = [cols[0][0], pa.array(p, pa.int32())]
+    out += [pa.nulls(size, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for _, c, t in cols[1:]]
+    return pa.RecordBatch.from_arrays(out, list(SHIPPED))
+
+
+def _scan(words: int, percent: int, parts: int):
+    """Documents (kind d), edges found within a batch (kind e), and its signatures, packed by part (kind s)."""
+
     def f(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, begins = C.utf8(b.column(1))
-        n, node, sigs = [], [], []
+        n, node, sigs, own = [], [], [], set()
         for h in shingle_sets(data, begins, words):
             n.append(len(h))
             node.append(node_of(h) if len(h) else None)
-            sigs.append(signatures(h, percent) if len(h) else np.zeros(0, np.int64))
-        ends = np.cumsum([0] + [len(x) for x in sigs]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists], ["id", "n_shingles", "node", "sigs"])
+            sigs.append(signatures(h, percent) if len(h) and node[-1] not in own else np.zeros(0, np.int64))
+            own.add(node[-1])
+        kind, size = b.schema.field(0).type, len(n)
+        yield _rows(kind, "d", np.arange(size) % parts, b.column(0), n, node)
+        which = np.repeat(np.arange(size), [len(x) for x in sigs])
+        if not len(which):
+            return
+        sig, low, ea, eb = stars(np.concatenate(sigs), np.array([x or 0 for x in node], np.int64)[which])
+        if len(ea):
+            yield _rows(kind, "e", ea % parts, a=ea, b=eb)
+        p = (sig.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(p, kind="stable")
+        p, both = p[order], np.column_stack([sig, low])[order]
+        cut = np.flatnonzero(np.diff(p, prepend=-1))
+        yield _rows(kind, "s", p[cut], entries=[x.tobytes() for x in np.split(both, cut[1:])])
 
     return C.per_batch(f)
 
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joins the batches' signatures part by part (rows come sorted by part) and passes on what else there is."""
+    held: list[bytes] = []
+    part, kind = None, pa.int64()
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if held:
+            both = np.frombuffer(b"".join(held), np.int64).reshape(-1, 2)
+            _, _, ea, eb = stars(both[:, 0], both[:, 1])
+            if len(ea):
+                yield _rows(kind, "e", np.zeros(len(ea)), a=ea, b=eb)
+        held.clear()
+
+    for b in batches:
+        kind = b.schema.field(2).type
+        kinds = np.array(b.column(0).to_pylist())
+        rest = np.flatnonzero(kinds != "s")
+        if len(rest):
+            yield b.take(pa.array(rest))
+        for i in np.flatnonzero(kinds == "s").tolist():
+            p = b.column(1)[i].as_py()
+            if p != part:
+                yield from flush()
+                part = p
+            held.append(b.column(6)[i].as_py())
+    yield from flush()
+
+
 def _sets(words: int):
     def f(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, begins = C.utf8(b.column(0))
@@ -203,10 +268,14 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     over many tasks, each of which returns a spanning forest instead of all pairs.
     """
     src = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    base = C.stage_table(src.mapInArrow(_scan(words, percent), "id long, n_shingles long, node long, sigs array<long>"), "sets")
-    sig = base.select(F.explode("sigs").alias("sig"), "node")
-    met = sig.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sig", "low")
-    near = C.components(sig.join(met, "sig").where("node <> low").select("node", "low").distinct(), "node", "low")
+    # One shuffle of signatures, packed: each batch sends one entry per signature at most, so no signature is hot.
+    spark = docs.sparkSession
+    parts = 64 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shipped = f"kind string, p int, id {src.schema['id'].dataType.simpleString()}, n long, a long, b long, entries binary"
+    met = src.mapInArrow(_scan(words, percent, parts), shipped).repartition("p").sortWithinPartitions("p").mapInArrow(_meet, shipped)
+    met = C.stage_table(met.drop("p", "entries"), "sets")
+    base = met.where("kind = 'd'").select("id", F.col("n").alias("n_shingles"), F.col("a").alias("node"))
+    near = C.components(met.where("kind = 'e'").select("a", "b"), "a", "b")
     near = C.stage_table(near.select("node", F.col("label").alias("cluster")), "clusters")
 
     nodes = base.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
@@ -214,7 +283,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     texts = C.join_small(src, wanted.where("id is not null").select("id").distinct(), ["id"], "left_semi").select("text")
     texts = texts.union(src.where("id is null").select("text")) if wanted.where("id is null").limit(1).count() else texts
     sets = texts.mapInArrow(_sets(words), "node long, grams binary")
-    sizes = near.groupBy("cluster").agg(F.count("*").alias("size"))
+    sizes = C.stage_table(near.groupBy("cluster").agg(F.count("*").alias("size")), "sizes")
     # Every member of a cluster of more than BLOCK sets goes to one block and so to as many block pairs as there are blocks.
     placed = near.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     placed = sets.join(placed, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -227,7 +296,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     named = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("id").alias("class_id"))
     named = named.join(least, "label").select("node", "class_id")
-    out = base.drop("sigs").join(named, "node", "left")
+    out = base.join(named, "node", "left")
     return out.select(F.col("id").alias(key), "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
