@@ -22,20 +22,20 @@ def interpolated(v: str, key: Sequence[str] = KEY, idx: str = IDX) -> Column:
     return F.when(F.col(v).isNotNull(), F.col(v)).when(pv.isNull(), nv).when(nv.isNull(), pv).otherwise(between)
 
 
-def repair(df: DataFrame, state: str = "state", key: Sequence[str] = KEY, idx: str = IDX, stable_smoothing: bool = False) -> DataFrame:
-    """Overwrite x and y by what the state asks for: short losses are interpolated from the raw neighbours, long losses are
+def mended(v: str, state: str = "state", key: Sequence[str] = KEY, idx: str = IDX, stable_smoothing: bool = False) -> Column:
+    """One coordinate after what the state asks for: short losses are interpolated from the raw neighbours, long losses are
     blanked, unstable samples take the centred median of 7, stable ones stay (or take the mean of 5), movement stays."""
-    w = ordered(key, idx)
-    s = public_state(F.col(state))
+    w, s = ordered(key, idx), public_state(F.col(state))
+    out = F.when(s == "LossShort", interpolated(v, key, idx)).when(s == "LossLong", None)
+    out = out.when(s == "Unstable", F.percentile(v, F.lit(0.5)).over(w.rowsBetween(-3, 3)))
+    if stable_smoothing:
+        out = out.when(s == "Stable", F.avg(v).over(w.rowsBetween(-2, 2)))
+    return out.otherwise(F.col(v))
 
-    def mended(v: str) -> Column:
-        out = F.when(s == "LossShort", interpolated(v, key, idx)).when(s == "LossLong", None)
-        out = out.when(s == "Unstable", F.percentile(v, F.lit(0.5)).over(w.rowsBetween(-3, 3)))
-        if stable_smoothing:
-            out = out.when(s == "Stable", F.avg(v).over(w.rowsBetween(-2, 2)))
-        return out.otherwise(F.col(v))
 
-    return df.withColumns({"x": mended("x"), "y": mended("y")})
+def repair(df: DataFrame, state: str = "state", key: Sequence[str] = KEY, idx: str = IDX, stable_smoothing: bool = False) -> DataFrame:
+    """Overwrite x and y by mended()."""
+    return df.withColumns({v: mended(v, state, key, idx, stable_smoothing) for v in ("x", "y")})
 
 
 def oracle_policy(df: DataFrame, key: Sequence[str] = KEY, idx: str = IDX) -> DataFrame:

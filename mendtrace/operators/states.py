@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.core import EXPANDED, IDX, KEY, SHORT_GAP_SECONDS, STATES, argmax_first, gap_limit, ordered, whole
 
@@ -82,7 +83,7 @@ def decode_blocks(df: DataFrame, scores: str, change: np.ndarray, start: np.ndar
     `scores` is an array column. Blocks decode on their own, so a task holds the rows of one series at a time.
     """
     df = finite_blocks(df, key, idx)
-    schema = df.withColumn(out, F.lit(0)).schema
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.IntegerType())])
 
     def decode(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx, kind="stable")

@@ -99,20 +99,14 @@ def cases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def outputs(spark: SparkSession, d: str) -> DataFrame:
-    """METHODS on the corrupted series, under one another. One diagnosed table serves all."""
+    """METHODS on the corrupted series, under one another: all outputs are columns of one pass, then rows."""
     df = ST.pointwise(ST.potentials(DG.diagnose(cases(spark, d), LW, LH), F.lit(250.0)))
-    every = {
-        "raw_degraded": lambda x: x.withColumn("pred_regime", F.lit("Stable")),
-        "global_interpolate": lambda x: R.global_interpolate(x).withColumn("pred_regime", F.lit("Stable")),
-        "pointwise_d": lambda x: R.repair(x).withColumn("pred_regime", F.col("state")),
-        "oracle_policy": lambda x: R.oracle_policy(x),
-    }
-    keep = ("series", "sample_idx", "x", "y", "x_clean", "y_clean", "x_degraded", "y_degraded", "true_regime", "pred_regime", "corruption", "severity", "seed", "method")
-    out = None
-    for name, f in every.items():
-        part = f(df).withColumn("method", F.lit(name)).select(*keep)
-        out = part if out is None else out.unionByName(part)
-    return out
+    made = {f"{v}_{m}": c for v in ("x", "y") for m, c in (("global_interpolate", R.interpolated(v)), ("pointwise_d", R.mended(v)), ("oracle_policy", R.mended(v, "true_regime")))}
+    df = df.withColumns(made).withColumns({"x_raw_degraded": F.col("x"), "y_raw_degraded": F.col("y")})
+    told = {"raw_degraded": F.lit("Stable"), "global_interpolate": F.lit("Stable"), "pointwise_d": F.col("state"), "oracle_policy": F.col("true_regime")}
+    each = F.array(*(F.struct(F.lit(m).alias("method"), F.col(f"x_{m}").alias("x"), F.col(f"y_{m}").alias("y"), told[m].alias("pred_regime")) for m in METHODS))
+    keep = ("series", "sample_idx", "x_clean", "y_clean", "x_degraded", "y_degraded", "true_regime", "corruption", "severity", "seed")
+    return df.select(*keep, F.explode(each).alias("o")).select(*keep, "o.*")
 
 
 def named(df: DataFrame) -> DataFrame:
