@@ -21,80 +21,90 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "~1", ""), "~0", "~")
 
 
-def build_tree(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: str = "assistant") -> tuple[DataFrame, DataFrame]:
-    """(nodes, leaves) of the prefix forest of all conversations.
-
-    nodes: one row per distinct run of first turns: tree, node, parent, depth, formatted (its turn under the template),
-    start and end (place in its tree's sequence, code points), position (position id of its first code point: the length
-    of what stands before it in its conversation), ancestors (intervals it attends to, from the first turn), loss (interval
-    under the loss mask within formatted, or null). leaves: (conv, node of the last turn, n_turns).
-
-    A node's id is the chained digest of its turns, so equal prefixes meet however many conversations share them; sorting
-    by the chain of digests is a depth-first order, and places are prefix sums over range partitions, so that a tree that
-    holds most of the input spans many tasks. Turns are ordered by turn, role, text; null texts and roles are empty; rows
-    with a null conversation form one; repeated rows are turns of their own; other columns are ignored.
+def build_tree(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: str = "assistant") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, segments, leaves) of the prefix forest of all conversations.
+
+    nodes: one row per distinct run of first turns: tree, segment, depth, formatted (its turn under the template), start and
+    end (place in its tree's sequence, code points), position (position id of its first code point: the length of what
+    stands before it in its conversation), loss (interval under the loss mask within formatted, or null). segments: one
+    row per distinct conversation, which emits the turns that none before it has: segment, tree, start, end and ancestors
+    (intervals of the turns before its own that each of its tokens attends to, besides its own earlier ones). leaves:
+    (conv, segment of that name's conversation, n_turns).
+
+    Prefixes are named by chained digests, so equal ones meet however many conversations share them. Conversations sorted
+    by their chains come in depth-first order, and each emits what lies beyond the prefix it shares with the one before.
+    Places are sums over range partitions, so that a tree that holds most of the input spans many tasks. Turns are ordered
+    by turn, role, text; null texts and roles are empty; rows with a null conversation form one; repeated rows are turns of
+    their own; other columns are ignored.
     """
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     convs = turns.select(F.col(conv).alias("conv"), one.alias("t")).groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     digest = lambda was, t: F.sha2(F.concat_ws("\n", was, F.length(t["role"]).cast("string"), t["role"], t["text"]), 256)
     chain = F.aggregate("ts", F.array(F.lit("")), lambda acc, t: F.array_append(acc, digest(F.element_at(acc, -1), t)))
-    convs = C.stage_table(convs.withColumn("chain", F.slice(chain, 2, 1 << 30)), "convs")
-    leaves = convs.select("conv", F.element_at("chain", -1).alias("node"), F.size("ts").alias("n_turns"))
-
-    rows = convs.select("chain", F.posexplode("ts").alias("depth", "t"))
-    path = F.array_join(F.transform(F.slice("chain", F.lit(1), F.col("depth") + 1), lambda x: F.substring(x, 1, 24)), "")
-    rows = rows.select(F.element_at("chain", F.col("depth") + 1).alias("node"), F.when(F.col("depth") > 0, F.element_at("chain", F.col("depth"))).alias("parent"), F.element_at("chain", 1).alias("tree"), "depth", path.alias("path"), F.slice("chain", F.lit(1), F.col("depth")).alias("up"), F.col("t.role").alias("role"), F.col("t.text").alias("text"))
-    nodes = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("parent", "tree", "depth", "path", "up", "role", "text")))
-    head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MID))
-    body = escape(F.col("text"))
-    nodes = nodes.select("node", "parent", "tree", "depth", "path", "up", F.concat(head, body, F.lit(CLOSE)).alias("formatted"), F.when(F.col("role") == learn, F.struct(F.length(head).alias("from"), (F.length(head) + F.length(body)).alias("to"))).alias("loss"))
-    size = F.length("formatted").cast("long")
-
-    # Depth-first places: range partitions in path order; each adds what earlier partitions hold of its first tree.
-    spread = nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    sorted_ = nodes.repartitionByRange(int(spread), "path").withColumn("slice", F.spark_partition_id())
-    sorted_ = C.stage_table(sorted_, "nodes")
-    held = sorted_.groupBy("slice", "tree").agg(F.sum(size).alias("held"))
+    convs = C.stage_table(convs.withColumn("chain", F.slice(chain, 2, 1 << 30)).withColumn("segment", F.element_at("chain", -1)), "convs")
+    leaves = convs.select("conv", "segment", F.size("ts").alias("n_turns"))
+    head = lambda t: F.concat(F.lit(OPEN), escape(t["role"]), F.lit(MID))
+    shown = lambda t, i: F.struct(F.element_at("chain", F.col("shared") + i + 1).alias("node"), F.concat(head(t), escape(t["text"]), F.lit(CLOSE)).alias("formatted"), F.when(t["role"] == learn, F.struct(F.length(head(t)).alias("from"), (F.length(head(t)) + F.length(escape(t["text"]))).alias("to"))).alias("loss"))
+
+    # Depth-first order of distinct conversations in range partitions; a partition's first row looks at the last row before it.
+    spread = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = convs.groupBy("segment").agg(F.first("ts").alias("ts"), F.first("chain").alias("chain"))
+    rows = C.stage_table(rows.repartitionByRange(spread, "chain").withColumn("slice", F.spark_partition_id()), "sorted")
+    tails = rows.groupBy("slice").agg(F.max("chain").alias("tail")).select("slice", F.lag("tail").over(Window.orderBy("slice")).alias("before"))
+    in_slice = Window.partitionBy("slice").orderBy("chain")
+    rows = rows.withColumn("i", F.row_number().over(in_slice)).withColumn("was", F.lag("chain").over(in_slice)).join(tails, "slice")
+    shared = F.size(F.array_intersect("chain", F.coalesce("was", "before", F.array().cast("array<string>"))))
+    rows = rows.withColumn("shared", shared).withColumn("tree", F.element_at("chain", 1)).withColumn("fresh", F.transform(F.slice("ts", F.col("shared") + 1, F.greatest(F.size("ts") - F.col("shared"), F.lit(0))), shown))
+    size = F.aggregate("fresh", F.lit(0).cast("long"), lambda n, x: n + F.length(x["formatted"]))
+    rows = C.stage_table(rows.withColumn("size", size).select("segment", "slice", "i", "tree", "chain", "shared", "fresh", "size"), "rows")
+    held = rows.groupBy("slice", "tree").agg(F.sum("size").alias("held"))
     earlier = Window.partitionBy("tree").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    held = held.withColumn("base", F.coalesce(F.sum("held").over(earlier), F.lit(0).cast("long"))).drop("held")
-    within = Window.partitionBy("slice", "tree").orderBy("path", "node").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sorted_.withColumn("ahead", F.coalesce(F.sum(size).over(within), F.lit(0).cast("long"))).join(held, ["slice", "tree"])
-    placed = placed.withColumn("start", F.col("base") + F.col("ahead")).withColumn("end", F.col("start") + size).drop("slice", "base", "ahead")
-    placed = C.stage_table(placed, "placed")
-
-    step = F.struct(F.col("d").alias("depth"), F.col("a.start").alias("start"), F.col("a.end").alias("end"))
-    ups = placed.select("node", F.posexplode("up").alias("d", "over")).join(placed.select(F.col("node").alias("over"), F.struct("start", "end").alias("a")), "over")
-    ups = ups.groupBy("node").agg(F.array_sort(F.collect_list(step)).alias("above"))
-    nodes = placed.join(ups, "node", "left")
-    above = F.coalesce(F.transform("above", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), F.from_json(F.lit("[]"), "array<struct<start:bigint,end:bigint>>"))
-    nodes = nodes.withColumn("ancestors", above).withColumn("position", F.aggregate("ancestors", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]))
-    return nodes.select("tree", "node", "parent", "depth", "formatted", "start", "end", "position", "ancestors", "loss"), leaves
-
-
-def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    held = held.select("slice", "tree", F.coalesce(F.sum("held").over(earlier), F.lit(0).cast("long")).alias("base"))
+    within = Window.partitionBy("slice", "tree").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0).cast("long"))).join(held, ["slice", "tree"])
+    rows = rows.withColumn("start", F.col("base") + F.col("ahead")).drop("slice", "i", "base", "ahead")
+
+    turns_ = rows.select("segment", "tree", "shared", "start", F.posexplode("fresh").alias("k", "f")).select("segment", "tree", (F.col("shared") + F.col("k")).alias("depth"), F.col("start").alias("from"), "f.node", "f.formatted", "f.loss")
+    length = F.length("formatted").cast("long")
+    so_far = F.sum(length).over(Window.partitionBy("segment").orderBy("depth"))
+    placed = C.stage_table(turns_.withColumn("end", F.col("from") + so_far).withColumn("start", F.col("end") - length).drop("from"), "placed")
+
+    # Ancestors: one row per conversation and shared turn, never more than there are turns.
+    ups = rows.where("shared > 0").select("segment", F.explode(F.slice("chain", F.lit(1), F.col("shared"))).alias("node"))
+    ups = ups.join(placed.select("node", "depth", "start", "end"), "node")
+    ups = ups.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("depth", "start", "end"))).alias("above"))
+    none = F.from_json(F.lit("[]"), "array<struct<start:bigint,end:bigint>>")
+    above = F.coalesce(F.transform("above", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), none)
+    segments = rows.select("segment", "tree", "start", (F.col("start") + F.col("size")).alias("end")).join(ups, "segment", "left").withColumn("ancestors", above).drop("above")
+    segments = C.stage_table(segments, "segments")
+    first = segments.select("segment", F.col("start").alias("s0"), F.aggregate("ancestors", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("p0"))
+    nodes = placed.join(first, "segment").select("tree", "segment", "depth", "formatted", "start", "end", (F.col("p0") + F.col("start") - F.col("s0")).alias("position"), "loss")
+    return nodes, segments, leaves
+
+
+def read_back(nodes: DataFrame, segments: DataFrame, leaves: DataFrame) -> DataFrame:
     """(conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), parsed from the tree's output alone.
 
-    Each distinct leaf is read once: its ancestor intervals name the nodes that it attends to, and their formatted turns
-    are put together in order of position.
+    Each distinct conversation is read once: its ancestor intervals name the turns that it attends to, and these and its
+    own are put together in order of position.
     """
-    ends = leaves.select("node").distinct()
-    own = nodes.join(ends, "node", "left_semi").select(F.col("node").alias("leaf"), "tree", F.concat("ancestors", F.array(F.struct("start", "end"))).alias("path"))
-    seen = own.select("leaf", "tree", F.explode("path").alias("p")).select("leaf", "tree", "p.start", "p.end")
-    seen = seen.join(nodes.select("tree", "start", "end", "position", "formatted", "loss"), ["tree", "start", "end"])
-    parts = seen.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("position", "formatted", "loss"))).alias("ps"))
+    seen = segments.select(F.col("segment").alias("leaf"), "tree", F.explode("ancestors").alias("p")).select("leaf", "tree", "p.start", "p.end")
+    seen = seen.join(nodes.select("tree", "start", "end", "position", "formatted", "loss"), ["tree", "start", "end"]).select("leaf", "position", "formatted", "loss")
+    own = nodes.select(F.col("segment").alias("leaf"), "position", "formatted", "loss")
+    parts = seen.union(own).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("position", "formatted", "loss"))).alias("ps"))
     role = lambda p: unescape(F.substring_index(F.substr(p["formatted"], F.lit(len(OPEN) + 1)), MID, 1))
     body = lambda p: unescape(F.regexp_extract(p["formatted"], rf"(?s){MID.replace('|', '[|]')}(.*){CLOSE.replace('|', '[|]')}\z", 1))
     masked = lambda p: unescape(F.substr(p["formatted"], p["loss"]["from"] + 1, p["loss"]["to"] - p["loss"]["from"]))
     said = F.array_join(F.transform("ps", lambda p: F.concat(role(p), F.lit("\n"), body(p), F.lit("\n"))), "")
     learnt = F.array_join(F.transform(F.filter("ps", lambda p: p["loss"].isNotNull()), masked), "")
     total = F.aggregate("ps", F.lit(0).cast("long"), lambda n, p: n + F.length(p["formatted"]))
-    parts = parts.select(F.col("leaf").alias("node"), F.sha2(said, 256).alias("turns_sha256"), F.length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"), total.alias("formatted_chars"))
-    return leaves.join(parts, "node").select("conv", F.col("n_turns").cast("long").alias("n_turns"), "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    parts = parts.select(F.col("leaf").alias("segment"), F.sha2(said, 256).alias("turns_sha256"), F.length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"), total.alias("formatted_chars"))
+    return leaves.join(parts, "segment").select("conv", F.col("n_turns").cast("long").alias("n_turns"), "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(said).alias("text")) for i, r in enumerate(("user", "assistant"))))).alias("x")).select("x.*")
-    nodes, leaves = build_tree(turns.union(more))
-    return read_back(C.stage_table(nodes, "tree"), leaves).withColumnRenamed("conv", "conv_id")
+    nodes, segments, leaves = build_tree(turns.union(more))
+    return read_back(C.stage_table(nodes, "tree"), segments, leaves).withColumnRenamed("conv", "conv_id")
