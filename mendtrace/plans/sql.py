@@ -64,13 +64,13 @@ def repair(src: str, state: str, out: str) -> str:
 def viterbi(src: str, scores: list[str], change: list[list[float]], start: list[float], out: str) -> str:
     """Expressions that end in {out}: (series, sample_idx, p), the best path within finite blocks. Needs WITH RECURSIVE."""
     k = range(len(scores))
-    thru = [[f"f.s{i} + ({change[i][j]!r})" for i in k] for j in k]
+    thru = [[f"f.s{i} + ({change[i][j]!r}::DOUBLE)" for i in k] for j in k]
     best = ", ".join(f"n.e{j} + greatest({', '.join(thru[j])})" for j in k)
     first = lambda xs: "CASE " + " ".join("WHEN " + " AND ".join(f"{xs[i]} >= {xs[m]}" for m in k if m != i) + f" THEN {i}" for i in k[:-1]) + f" ELSE {k[-1]} END"
     back = ", ".join(first(thru[j]) for j in k)
-    return f"""{out}b AS (SELECT series, sample_idx, {', '.join(f'{c} AS e{j}' for j, c in enumerate(scores))}, sample_idx - row_number() OVER {OVER} AS block FROM {src} WHERE m_t = 0),
+    return f"""{out}b AS (SELECT series, sample_idx, {', '.join(f'CAST({c} AS DOUBLE) AS e{j}' for j, c in enumerate(scores))}, sample_idx - row_number() OVER {OVER} AS block FROM {src} WHERE m_t = 0),
 {out}n AS (SELECT *, row_number() OVER (PARTITION BY series, block ORDER BY sample_idx) AS pos, count(*) OVER (PARTITION BY series, block) AS size FROM {out}b),
-{out}f AS (SELECT series, block, pos, size, sample_idx, {', '.join(f'e{j} + ({start[j]!r}) AS s{j}' for j in k)}, {', '.join(f'-1 AS b{j}' for j in k)} FROM {out}n WHERE pos = 1
+{out}f AS (SELECT series, block, pos, size, sample_idx, {', '.join(f'e{j} + ({start[j]!r}::DOUBLE) AS s{j}' for j in k)}, {', '.join(f'-1 AS b{j}' for j in k)} FROM {out}n WHERE pos = 1
   UNION ALL SELECT n.series, n.block, n.pos, n.size, n.sample_idx, {best}, {back} FROM {out}f f JOIN {out}n n ON n.series = f.series AND n.block = f.block AND n.pos = f.pos + 1),
 {out}g AS (SELECT series, block, pos, sample_idx, {first([f's{j}' for j in k])} AS p FROM {out}f WHERE pos = size
   UNION ALL SELECT h.series, h.block, h.pos, h.sample_idx, CASE g.p {' '.join(f'WHEN {j} THEN f.b{j}' for j in k)} END FROM {out}g g JOIN {out}f f ON f.series = g.series AND f.block = g.block AND f.pos = g.pos JOIN {out}n h ON h.series = g.series AND h.block = g.block AND h.pos = g.pos - 1),
