@@ -12,6 +12,8 @@ NUMBER = r"([0-9]+(?:[.,:/][0-9]+)*)"
 NAME = r"([a-z,;]\x20)([A-Z][A-Za-z'-]+)"
 UNIT = r"(\x{01}[0-9.,:/]+\x20?)(km|cm|mm|kg|mg|ml|mph|hours?|minutes?|seconds?|days?|weeks?|years?|miles?|metres?|meters?|dollars?|euros?|percent)\b"
 CUT = r"[\x20\x09-\x0D!-/:-@\[-`{-~]+"
+#: Cuts at slots' signs and digits too, so every word between slots is a piece.
+PLAIN_CUT = r"[\x01-\x03\x20\x09-\x0D!-@\[-`{-~]+"
 #: Tokens in a window, and the share of an item's windows that a document must hold.
 WINDOW, COVER = 8, 0.5
 #: Tokens of a window that must not be slots.
@@ -58,43 +60,50 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     are compared with whole documents. Items or documents without tokens never match; null items and null keys can be
     reported as such; repeated rows are reported once per key and item; other columns are ignored.
 
-    The benchmark's windows are broadcast only if their counted rows are within a bound, else both sides are shuffled.
-    A second pass reads only documents that passed the first.
+    The benchmark's anchors and windows are broadcast only if their counted rows are within a bound, else both sides are
+    shuffled. A first pass over all texts looks for the anchors; windows are made only where enough of them stand.
     """
     items = benchmark.select(F.col(item).alias("item"), tokens(F.col(text)).alias("toks")).where(F.size("toks") > 0)
     items = C.stage_table(items.dropDuplicates(), "items")
     grid = items.select("item", "toks", F.posexplode(windows(F.col("toks"), width)).alias("at", "h"))
-    literal = F.size(F.filter(F.slice("toks", F.col("at") + 1, F.lit(width)), lambda x: ~is_slot(x)))
-    grid = C.stage_table(grid.where(literal >= F.least(F.lit(LITERAL), F.size("toks"))).select("item", "at", "h"), "windows")
+    words = F.filter(F.slice("toks", F.col("at") + 1, F.lit(width)), lambda x: ~is_slot(x))
+    grid = grid.where(F.size(words) >= F.least(F.lit(LITERAL), F.size("toks")))
+    anchor = F.array_max(F.transform(words, lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"]
+    grid = C.stage_table(grid.select("item", "at", "h", anchor.alias("anchor")), "windows")
     total = grid.groupBy(F.col("item").alias("t_item")).agg(F.count_distinct("h").alias("n_windows"))
+    total = C.stage_table(total.withColumn("need", F.ceil(F.col("n_windows") * cover)), "total")
     hashes = grid.select("h", "item").distinct()
 
-    src = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    said = src.select("id", F.xxhash64("text").alias("version"), F.explode(windows(tokens(F.col("text")), width)).alias("h"))
-    found = C.join_small(said, hashes, ["h"], "inner").groupBy("id", "version", "item").agg(F.count_distinct("h").alias("n_found"))
-    found = C.stage_table(found.join(total, F.col("item").eqNullSafe(F.col("t_item"))).drop("t_item").where(F.col("n_found") >= F.ceil(F.col("n_windows") * cover)), "found")
-
-    # Second pass: alignments and slots of the few documents that are left.
-    some = found.select("id", "version").distinct().withColumnRenamed("id", "i").withColumnRenamed("version", "v")
-    some = F.broadcast(some) if some.count() <= C.BROADCAST_ROWS else some
-    again = src.withColumn("version", F.xxhash64("text"))
-    again = again.join(some, again["id"].eqNullSafe(some["i"]) & (again["version"] == some["v"]), "left_semi").select("id", "version", tokens(F.col("text")).alias("toks")).dropDuplicates(["id", "version"])
-    again = C.stage_table(again, "again")
-    places = again.select("id", "version", F.posexplode(windows(F.col("toks"), width)).alias("place", "h")).join(grid, "h")
-    shifts = places.groupBy("id", "version", "item", (F.col("place") - F.col("at")).alias("shift")).agg(F.count("*").alias("held"))
-    best = shifts.groupBy("id", "version", "item").agg(F.max_by("shift", F.struct("held", -F.col("shift"))).alias("shift"))
+    # A window needs its anchor, its longest word: only documents whose words are anchors of enough windows are looked at.
+    marks = grid.groupBy("item", F.xxhash64("anchor").alias("a")).agg(F.count_distinct("h").alias("w")).join(total, F.col("item").eqNullSafe(F.col("t_item"))).select("a", "item", "w", "need")
+    src = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("version"))
+    said = src.select("id", "version", F.explode(F.split(F.lower("text"), PLAIN_CUT)).alias("word")).select("id", "version", F.xxhash64("word").alias("a"))
+    likely = C.join_small(said, marks, ["a"], "inner").groupBy("id", "version", "item", "need", "a").agg(F.min("w").alias("w"))
+    likely = C.stage_table(likely.groupBy("id", "version", "item", "need").agg(F.sum("w").alias("w")).where("w >= need").select("id", "version").distinct(), "likely")
+    # From here on equal texts, which share a version, are looked at once.
+    few = C.join_small(src.select("version", "text"), likely.select("version").distinct(), ["version"], "left_semi").groupBy("version").agg(F.first("text").alias("text"))
+    again = C.stage_table(few.select("version", tokens(F.col("text")).alias("toks")), "again")
+
+    said = again.select("version", F.explode(windows(F.col("toks"), width)).alias("h"))
+    found = C.join_small(said, hashes, ["h"], "inner").groupBy("version", "item").agg(F.count_distinct("h").alias("n_found"))
+    found = C.stage_table(found.join(total, F.col("item").eqNullSafe(F.col("t_item"))).where("n_found >= need").drop("t_item", "need"), "found")
+
+    # Alignments and slots of the texts that are left.
+    places = again.select("version", F.posexplode(windows(F.col("toks"), width)).alias("place", "h")).join(grid, "h")
+    shifts = places.groupBy("version", "item", (F.col("place") - F.col("at")).alias("shift")).agg(F.count("*").alias("held"))
+    best = shifts.groupBy("version", "item").agg(F.max_by("shift", F.struct("held", -F.col("shift"))).alias("shift"))
     mine = items.select(F.col("item").alias("m_item"), F.posexplode("toks").alias("at", "own")).where(is_slot(F.col("own")))
-    pairs = best.join(mine, F.col("item").eqNullSafe(F.col("m_item"))).select("id", "version", "item", (F.col("at") + F.col("shift")).alias("place"), "own")
-    theirs = again.select(F.col("id").alias("i"), F.col("version").alias("v"), F.posexplode("toks").alias("p", "other")).where(is_slot(F.col("other")))
-    pairs = pairs.join(theirs, F.col("id").eqNullSafe(F.col("i")) & (F.col("version") == F.col("v")) & (F.col("place") == F.col("p"))).select("id", "version", "item", "own", "other")
-    one_way = pairs.groupBy("id", "version", "item", "own").agg(F.count_distinct("other").alias("n"), F.max(F.col("own") != F.col("other")).alias("changed"))
-    back = pairs.groupBy("id", "version", "item", "other").agg(F.count_distinct("own").alias("n"), F.lit(False).alias("changed"))
-    slots = one_way.drop("own").union(back.drop("other")).groupBy("id", "version", "item").agg(F.max("n").alias("most"), F.max("changed").alias("changed"))
-    slots = slots.select(*(F.col(c).alias(f"s_{c}") for c in ("id", "version", "item")), "most", "changed")
-    same = F.col("id").eqNullSafe(F.col("s_id")) & (F.col("version") == F.col("s_version")) & F.col("item").eqNullSafe(F.col("s_item"))
+    pairs = best.join(mine, F.col("item").eqNullSafe(F.col("m_item"))).select("version", "item", (F.col("at") + F.col("shift")).alias("place"), "own")
+    theirs = again.select(F.col("version").alias("v"), F.posexplode("toks").alias("p", "other")).where(is_slot(F.col("other")))
+    pairs = pairs.join(theirs, (F.col("version") == F.col("v")) & (F.col("place") == F.col("p"))).select("version", "item", "own", "other")
+    one_way = pairs.groupBy("version", "item", "own").agg(F.count_distinct("other").alias("n"), F.max(F.col("own") != F.col("other")).alias("changed"))
+    back = pairs.groupBy("version", "item", "other").agg(F.count_distinct("own").alias("n"), F.lit(False).alias("changed"))
+    slots = one_way.drop("own").union(back.drop("other")).groupBy("version", "item").agg(F.max("n").alias("most"), F.max("changed").alias("changed"))
+    slots = slots.select(*(F.col(c).alias(f"s_{c}") for c in ("version", "item")), "most", "changed")
+    same = (F.col("version") == F.col("s_version")) & F.col("item").eqNullSafe(F.col("s_item"))
     out = found.join(slots, same, "left").where(F.coalesce("most", F.lit(1)) == 1)
     kind = F.when(F.coalesce("changed", F.lit(False)), "reparameterised").otherwise("exact")
-    out = out.groupBy("id", "item").agg(F.max("n_windows").alias("n_windows"), F.max("n_found").alias("n_found"), F.min(kind).alias("kind"))
+    out = out.join(likely, "version").groupBy("id", "item").agg(F.max("n_windows").alias("n_windows"), F.max("n_found").alias("n_found"), F.min(kind).alias("kind"))
     return out.withColumnsRenamed({"id": key, "item": item})
 
 
