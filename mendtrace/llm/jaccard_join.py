@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import exp, floor
+from math import exp, floor, sqrt
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Weight of a chance agreement against one signature row in the cost of a segment with t elements.
 CHANCE = 2000.0
+#: Segments in a group, of which all subsets but one segment are indexed; more of them cost more rows than they save.
+PIECES = (3, 4)
 #: Sets that one verifying step holds of one cluster on each side.
 BLOCK = 256
 
@@ -39,15 +41,21 @@ def band(size: int, percent: int) -> int:
 
 
 @lru_cache(maxsize=10_000)
-def scheme(k: int, percent: int) -> tuple[int, int, int]:
-    """(equal segments, one-deletion segments, spare equal segments) of scheme k at the least modelled cost."""
+def scheme(k: int, percent: int) -> tuple[int, int, int, int, int]:
+    """(equal segments, one-deletion segments, groups, segments in a group, spare) of scheme k at the least modelled cost.
+
+    Equal segments serve where hardly more of them are weak (fewer than two elements) than are spare. Else segments are
+    indexed in subsets: a group of p segments with one difference at most agrees in p - 1 of them, so it counts twice, and
+    what a subset holds is larger than what a segment alone would hold. Small sets, where more than a quarter of the groups
+    would have to be spare, use one-deletion neighbourhoods only.
+    """
     starts = [1]
     while len(starts) < k + 3:
         starts.append(starts[-1] * 100 // percent + 1)
     low, most = starts[k], (starts[k + 1] - 1) + (starts[k + 2] - 1)
     units = floor(most * (100 - percent) / (100 + percent)) + 1
     if units == 1:
-        return 0, 0, 0  # only equal sets can be similar
+        return 0, 0, 0, 0, 0  # only equal sets can be similar
     best = None
     for q in range(0, min(units // 2, 4) + 1):
         m = max(units - 2 * q, 0)
@@ -57,7 +65,22 @@ def scheme(k: int, percent: int) -> tuple[int, int, int]:
             best = cost, m, q
     _, m, q = best
     spare = 1 + m // 24 if m >= 8 else 0
-    return m + spare, q, spare
+    t = low / (m + spare + q)
+    if (m + q) * exp(-t) * (1 + t) <= max(spare, 0.5):
+        return m + spare, q, 0, 0, spare
+    least, best = (units - 1) // 2 + 1, None
+    for pieces in (*PIECES, 0):  # 0: one-deletion neighbourhoods of whole groups, for sets too small for subsets
+        for spare in range(least + 1):  # as few as leave two deviations of room for groups with an empty subset
+            t = low / (least + spare)
+            content = t * (pieces - 1) / pieces if pieces else t - 1
+            empty = (least + spare) * (pieces * exp(-content) if pieces else exp(-t) * (1 + t))
+            if empty + 2 * sqrt(empty) <= spare + 0.5:
+                break
+        cost = (least + spare) * (pieces or 1 + t) * (1 + CHANCE * exp(-content))
+        if 4 * spare <= least and pieces and (best is None or cost < best[0]) or not pieces and best is None:
+            best = cost, pieces, spare
+    _, pieces, spare = best
+    return (0, 0, least + spare, pieces, spare) if pieces else (0, least + spare, 0, 0, spare)
 
 
 def tag(k: int, i: np.ndarray) -> np.ndarray:
@@ -73,14 +96,29 @@ def signatures(h: np.ndarray, percent: int) -> np.ndarray:
     for k in (own - 1, own):
         if k < 0:
             continue
-        m, q, spare = scheme(k, percent)
-        n = m + q
+        m, q, r, pieces, spare = scheme(k, percent)
+        n = r * pieces if r else m + q
         if not n:
             continue
         cuts = (np.arange(1, n, dtype=np.float64) * (2.0**64 / n)).astype(np.uint64)
         at = np.concatenate([[0], np.searchsorted(h, cuts), [len(h)]])
         lo, hi = at[:-1], at[1:]
         t, s = tag(k, np.arange(n)), sums[hi] - sums[lo]
+        if r:  # each subset is a group without one of its segments
+            held = (hi - lo).reshape(r, pieces)
+            held = held.sum(1, keepdims=True) - held
+            subset = s.reshape(r, pieces).sum(1, keepdims=True, dtype=np.uint64) - s.reshape(r, pieces) + t.reshape(r, pieces)
+            # Of the spare + 1 groups or more in which a similar set agrees, one is not among the spare poorest. The poorest
+            # subset of the next is the least to index: of two sets, the one with the higher such least finds the other.
+            out.append(C.mix(subset[held >= np.partition(held.min(1), spare)[spare]]))
+            continue
+        if not m:  # as above; the poorest that a segment can share is itself without one element
+            held = hi - lo
+            least = np.partition(np.maximum(held - 1, 0), spare)[spare]
+            out.append(C.mix(s[held >= least] + t[held >= least]))
+            for i in np.flatnonzero((held > 0) & (held - 1 >= least)):
+                out.append(C.mix(s[i] - g[lo[i] : hi[i]] + t[i]))
+            continue
         weak = hi[:m] - lo[:m] < 2
         keep = np.ones(n, bool)
         if weak.sum() <= spare:  # a similar set agrees in spare + 1 segments, so in one that is not weak
@@ -130,6 +168,23 @@ def stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return sig[first], node[first], edges[:, 0], edges[:, 1]
 
 
+#: Signatures and nodes travel without their last 16 bits; what falls together so is only compared once more.
+SHORT = ~0xFFFF
+
+
+def pack(*cols: np.ndarray) -> np.ndarray:
+    """Rows of 12 bytes: the first 48 bits of each of two 64-bit columns."""
+    return np.column_stack([c.astype("<i8").view("<u2").reshape(-1, 4)[:, 1:] for c in cols])
+
+
+def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    words = np.frombuffer(raw, "<u2").reshape(-1, 2, 3)
+    out = np.zeros((len(words), 2, 4), "<u2")
+    out[:, :, 1:] = words
+    both = out.reshape(-1, 8).view("<i8")
+    return both[:, 0], both[:, 1]
+
+
 SHIPPED = ("kind", "p", "id", "n", "a", "b", "entries")
 
 
@@ -152,17 +207,18 @@ def _scan(words: int, percent: int, parts: int):
             node.append(node_of(h) if len(h) else None)
             sigs.append(signatures(h, percent) if len(h) and node[-1] not in own else np.zeros(0, np.int64))
             own.add(node[-1])
+        short = np.array([x or 0 for x in node], np.int64) & SHORT
         kind, size = b.schema.field(0).type, len(n)
         yield _rows(kind, "d", np.arange(size) % parts, b.column(0), n, node)
         which = np.repeat(np.arange(size), [len(x) for x in sigs])
         if not len(which):
             return
-        sig, low, ea, eb = stars(np.concatenate(sigs), np.array([x or 0 for x in node], np.int64)[which])
+        sig, low, ea, eb = stars(np.concatenate(sigs), short[which])
         if len(ea):
             yield _rows(kind, "e", ea % parts, a=ea, b=eb)
         p = (sig.view(np.uint64) % np.uint64(parts)).astype(np.int32)
         order = np.argsort(p, kind="stable")
-        p, both = p[order], np.column_stack([sig, low])[order]
+        p, both = p[order], pack(sig[order], low[order])
         cut = np.flatnonzero(np.diff(p, prepend=-1))
         yield _rows(kind, "s", p[cut], entries=[x.tobytes() for x in np.split(both, cut[1:])])
 
@@ -176,8 +232,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> Iterator[pa.RecordBatch]:
         if held:
-            both = np.frombuffer(b"".join(held), np.int64).reshape(-1, 2)
-            _, _, ea, eb = stars(both[:, 0], both[:, 1])
+            _, _, ea, eb = stars(*unpack(b"".join(held)))
             if len(ea):
                 yield _rows(kind, "e", np.zeros(len(ea)), a=ea, b=eb)
         held.clear()
@@ -275,11 +330,11 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     met = src.mapInArrow(_scan(words, percent, parts), shipped).repartition("p").sortWithinPartitions("p").mapInArrow(_meet, shipped)
     met = C.stage_table(met.drop("p", "entries"), "sets")
     base = met.where("kind = 'd'").select("id", F.col("n").alias("n_shingles"), F.col("a").alias("node"))
-    near = C.components(met.where("kind = 'e'").select("a", "b"), "a", "b")
-    near = C.stage_table(near.select("node", F.col("label").alias("cluster")), "clusters")
-
+    near = C.components(met.where("kind = 'e'").select("a", "b"), "a", "b").select(F.col("node").alias("short"), F.col("label").alias("cluster"))
     nodes = base.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
-    wanted = C.stage_table(near.join(nodes, "node"), "wanted")
+    near = near.join(nodes.withColumn("short", F.col("node").bitwiseAND(F.lit(SHORT))), "short").select("node", "cluster", "id")
+    wanted = C.stage_table(near, "wanted")
+    near = wanted.select("node", "cluster")
     texts = C.join_small(src, wanted.where("id is not null").select("id").distinct(), ["id"], "left_semi").select("text")
     texts = texts.union(src.where("id is null").select("text")) if wanted.where("id is null").limit(1).count() else texts
     sets = texts.mapInArrow(_sets(words), "node long, grams binary")

@@ -195,3 +195,23 @@ def test_index_finds_every_code_within_the_radius():
     for radius in (0, 3, 7, 11):
         want = np.flatnonzero(mih.POP[codes ^ codes[9]].sum(1) <= radius)
         assert np.array_equal(index.within(codes[9], radius), want)
+
+
+def test_jaccard_signatures_meet():
+    """Every two sets that are similar enough share a signature, in the first 48 bits also."""
+    from mendtrace.llm import jaccard_join as J
+
+    r = np.random.default_rng(4)
+    for percent in (80, 90):
+        for size in list(range(2, 60)) + [80, 120, 250, 600, 2000]:
+            for _ in range(4):
+                h = np.unique(r.integers(0, 2**64 - 1, size, np.uint64))
+                gone = int(r.integers(0, size * (100 - percent) // 100 + 1))
+                new = (100 * (size - gone) // percent - size) if 100 * (size - gone) // percent > size else 0
+                other = np.unique(np.concatenate([h[r.permutation(size)[gone:]], r.integers(0, 2**64 - 1, new, np.uint64)]))
+                both = len(np.intersect1d(h, other))
+                if gone + new and 100 * both >= percent * (len(h) + len(other) - both):
+                    a, b = J.signatures(h, percent), J.signatures(other, percent)
+                    assert len(np.intersect1d(a, b)), (percent, size, gone, new)
+                    (sig, node), low = J.unpack(J.pack(a, a).tobytes()), a & J.SHORT
+                    assert (sig == low).all() and (node == low).all()
