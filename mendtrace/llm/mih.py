@@ -83,7 +83,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id"
 
     Nearness is the inner product in double precision. Rotation and radius are fitted on bounded samples; every row is
     indexed, in blocks of BLOCK rows; each pair of a query block and a row block is one task's work, of which at most k
-    rows per query leave. The radius is the one within which REACHED of the sampled queries' true neighbours lie.
+    rows per query leave. The radius is the one within which REACHED of the sampled queries' true neighbours lie; for
+    queries with fewer than k rows within it (or than all others, if those are fewer than k), it is doubled until none is short.
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, and rows
     with a null key take none either; repeated rows are candidates of their own; other columns are ignored.
     """
@@ -95,7 +96,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id"
     if size is None:
         return src.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double").withColumnRenamed("id", key)
     src = C.stage_table(src.where(F.size("v") == size["d"]).withColumn("deal", F.xxhash64("id", "v")), "vectors")
-    queries = src.where(F.col("id") % every == 0).groupBy("id").agg(F.min_by("v", "deal").alias("v"), F.min("deal").alias("deal"))
+    queries = src.where(F.col("id") % every == 0).groupBy("id").agg(F.min_by("v", "deal").alias("v"), F.min("deal").alias("deal"), F.count("*").alias("own"))
     blocks, q_blocks = -(-size["n"] // BLOCK), max(1, -(-queries.count() // QUERY_BLOCK))
     mean, projection = fit_rotation(matrix(src.orderBy("deal", "id").limit(FIT_ROWS).toPandas()["v"]))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -119,21 +120,36 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id"
         true = true.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         radius = int(true.agg(F.percentile("bits", F.lit(REACHED))).first()[0] or 0)
 
-    def pair(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": [], "id": [], "score": []})]
-        if len(rows) and len(asked):
-            ids, x, q = rows["id"].to_numpy(np.int64), matrix(rows["v"]), matrix(asked["v"])
-            index, codes = Index(encode(x, mean, projection)), encode(q, mean, projection)
-            for i, query_id in enumerate(asked["id"]):
-                found = index.within(codes[i], radius)
-                at, score = exact_top(ids[found], x[found], query_id, q[i], k)
-                out.append(pd.DataFrame({"query_id": query_id, "id": ids[found][at], "score": score}))
-        return pd.concat(out).astype({"query_id": np.int64, "id": np.int64, "score": np.float64})
-
-    left = src.select("id", "v", F.pmod("deal", F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("ask"))
-    right = queries.select("id", "v", F.pmod("deal", F.lit(q_blocks)).cast("int").alias("ask"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    found = left.groupBy("block", "ask").cogroup(right.groupBy("block", "ask")).applyInPandas(pair, "query_id long, id long, score double")
-    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    def look(queries: DataFrame, q_blocks: int, radius: int) -> DataFrame:
+        """(query_id, id, score, rank): the k best rows within the radius of each query, staged."""
+
+        def pair(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"query_id": [], "id": [], "score": []})]
+            if len(rows) and len(asked):
+                ids, x, q = rows["id"].to_numpy(np.int64), matrix(rows["v"]), matrix(asked["v"])
+                index, codes = Index(encode(x, mean, projection)), encode(q, mean, projection)
+                for i, query_id in enumerate(asked["id"]):
+                    found = index.within(codes[i], radius)
+                    at, score = exact_top(ids[found], x[found], query_id, q[i], k)
+                    out.append(pd.DataFrame({"query_id": query_id, "id": ids[found][at], "score": score}))
+            return pd.concat(out).astype({"query_id": np.int64, "id": np.int64, "score": np.float64})
+
+        left = src.select("id", "v", F.pmod("deal", F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("ask"))
+        right = queries.select("id", "v", F.pmod("deal", F.lit(q_blocks)).cast("int").alias("ask"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+        found = left.groupBy("block", "ask").cogroup(right.groupBy("block", "ask")).applyInPandas(pair, "query_id long, id long, score double")
+        return C.stage_table(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "found")
+
+    # Queries with fewer rows than there are to find are searched again with a doubled radius, at last over all bits.
+    found, bits = look(queries, q_blocks, radius), -(-projection.shape[1] // SUB) * SUB
+    while radius < bits:
+        held = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("held"))
+        few = queries.join(held, "id", "left").where(F.coalesce("held", F.lit(0)) < F.least(F.lit(k), F.lit(size["n"]) - F.col("own")))
+        few = C.stage_table(few.select(*queries.columns), "few")
+        if not (n := few.count()):
+            break
+        radius = min(max(1, 2 * radius), bits)
+        kept = found.join(few.select(F.col("id").alias("query_id")), "query_id", "left_anti")
+        found = C.stage_table(kept.select(*found.columns).union(look(few, -(-n // QUERY_BLOCK), radius).select(*found.columns)), "found")
     return found.select("query_id", "rank", F.col("id").alias(key), "score")
 
 

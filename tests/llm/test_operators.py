@@ -189,6 +189,22 @@ def test_neighbours(spark):
     assert mih.search(df.limit(0)).count() == 0
 
 
+def test_isolated_queries_and_small_tables_get_all_ranks(spark):
+    r = np.random.default_rng(9)
+    x = np.repeat(r.normal(size=(20, 32)), 40, axis=0) + r.normal(size=(800, 32)) * 0.01
+    x[[0, 400, 780]] = -3 * r.normal(size=(3, 32))
+    x = np.concatenate([x, x[799:]])
+    rows = [(min(i, 799), [float(v) for v in a]) for i, a in enumerate(x)]
+    schema = "vec_id long, embedding array<double>"
+    got = mih.search(spark.createDataFrame(rows, schema)).toPandas()
+    assert set(got.query_id) == set(range(0, 800, 20))
+    assert all(sorted(g["rank"]) == list(range(1, 21)) and q not in set(g.vec_id) for q, g in got.groupby("query_id"))
+    for n in (1, 2, 12, 21):
+        small = [(i, [float(v) for v in a]) for i, a in enumerate(r.normal(size=(n, 32)) if n % 2 else x[38 : 38 + n])]
+        got = mih.search(spark.createDataFrame(small, schema)).toPandas()
+        assert sorted(zip(got.query_id, got.vec_id)) == [(q, i) for q in range(0, n, 20) for i in range(n) if i != q]
+
+
 def test_index_finds_every_code_within_the_radius():
     codes = np.random.default_rng(4).integers(0, 256, (500, 4), np.uint8)
     index = mih.Index(codes)
