@@ -211,7 +211,9 @@ def repeat_spans(src: DataFrame, length: int = 400, q: int = 144) -> DataFrame:
     by_range = ranges.join(shared, ["qh", "k", "core", "pos"]).select("qh", "ctx", span(-RANGE * F.col("k") - RANGE + 1, length - RANGE * F.col("k")).alias("s"))
     by_ctx = ctxs.where("n > 1").select("qh", "ctx", span(F.col("lo") - F.col("a"), F.col("hi") - F.col("a") + length).alias("s"))
     told = by_ctx.union(by_range).union(by_single).groupBy("qh", "ctx").agg(F.collect_set("s").alias("ss"))
-    refined = mixed.join(told, ["qh", "ctx"]).select("version", "more", "a", F.explode("ss").alias("s")).select("version", "more", (F.col("a") + F.col("s.f")).alias("f"), (F.col("a") + F.col("s.t")).alias("t"))
+    # A range reaches beyond its context, where this occurrence may differ or end; windows there are another anchor's.
+    refined = mixed.join(told, ["qh", "ctx"]).select("version", "more", "a", "lo", "hi", F.explode("ss").alias("s"))
+    refined = refined.select("version", "more", F.greatest("lo", F.col("a") + F.col("s.f")).alias("f"), F.least(F.col("hi") + length, F.col("a") + F.col("s.t")).alias("t"))
     return plain.union(refined).groupBy("version", "more").agg(F.collect_set(span(F.col("f"), F.col("t"))).alias("spans"))
 
 

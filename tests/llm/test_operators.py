@@ -91,6 +91,27 @@ def test_repeats_against_brute_force(docs, empty):
     assert sorted(got) == sorted(want)
 
 
+def test_repeats_in_edited_and_cut_copies(spark):
+    r = np.random.default_rng(12)
+    bases, rows = [prose(k, 70) for k in (31, 32)], []
+    for i in range(500):
+        b = bytearray(bases[i % 2].encode())
+        for p in r.integers(0, len(b), r.integers(1, 5)):
+            b[p] = r.integers(97, 123)
+        lo, hi = (r.integers(0, 120, 2) * r.integers(0, 2, 2)).tolist()
+        rows.append((i, bytes(b[lo : len(b) - hi])))
+    seen = collections.Counter(b[p : p + 100] for _, b in rows for p in range(len(b) - 99))
+    want = []
+    for i, b in rows:
+        hit = bytearray(len(b))
+        for p in range(len(b) - 99):
+            if seen[b[p : p + 100]] > 1:
+                hit[p : p + 100] = b"\1" * 100
+        want.append((i, len(b), sum(hit), len(re.findall(rb"\x01+", bytes(hit))), hashlib.sha256(bytes(x for x, h in zip(b, hit, strict=True) if not h)).hexdigest()))
+    got = repeats.remove_repeats(spark.createDataFrame([(i, b.decode()) for i, b in rows], "doc_id long, text string"), length=100).collect()
+    assert sorted(tuple(x) for x in got) == want
+
+
 def test_secrets(docs, empty):
     assert secrets.find_secrets(empty).count() == 0
     got = by_id(secrets.find_secrets(docs))
