@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-# What becomes a typed slot. Signs 1-3 mark numbers, names and units; the value stays behind the sign.
-NUMBER = r"([0-9]+(?:[.,:/][0-9]+)*)"
-NAME = r"([a-z,;]\x20)([A-Z][A-Za-z'-]+)"
-UNIT = r"(\x{01}[0-9.,:/]+\x20?)(km|cm|mm|kg|mg|ml|mph|hours?|minutes?|seconds?|days?|weeks?|years?|miles?|metres?|meters?|dollars?|euros?|percent)\b"
+# What becomes a typed slot. Signs 1-3 mark numbers, names and units; the value stays behind the sign, its
+# parts (a number's digit groups, the words of a run of names) held together by sign 4.
+POINT = r"(?<=[0-9])[.,:/](?=[0-9])"
+NUMBER = r"([0-9]+(?:\x{04}[0-9]+)*)"
+NAME = r"(?<=[a-z,;]\x20)([A-Z][A-Za-z'-]+(?:\x20[A-Z][A-Za-z'-]+)*)"
+NAME_GAP = r"(\x{02}[A-Za-z\x{04}]+|(?!^)\G[A-Za-z\x{04}]+)(?:\x20(?=[A-Z][A-Za-z'-])|['-](?!s\b)(?=[A-Za-z]))"
+UNIT = r"(\x{01}[0-9\x{04}]+\s*-?)(km|cm|mm|kg|mg|ml|mph|hours?|minutes?|seconds?|days?|weeks?|years?|miles?|metres?|meters?|dollars?|euros?|percent)\b"
 CUT = r"[\x20\x09-\x0D!-/:-@\[-`{-~]+"
 #: Cuts at slots' signs and digits too, so every word between slots is a piece.
-PLAIN_CUT = r"[\x01-\x03\x20\x09-\x0D!-@\[-`{-~]+"
+PLAIN_CUT = r"[\x01-\x04\x20\x09-\x0D!-@\[-`{-~]+"
 #: Tokens in a window, and the share of an item's windows that a document must hold.
 WINDOW, COVER = 8, 0.5
 #: Tokens of a window that must not be slots.
@@ -22,8 +25,9 @@ LITERAL = 5
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens of the canonical text; a slot keeps its value behind its sign."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x03]", " ")
-    t = F.regexp_replace(t, NAME, "$1 \x02$2")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x04]", " ")
+    t = F.regexp_replace(F.regexp_replace(t, NAME, " \x02$1"), NAME_GAP, "$1\x04")
+    t = F.regexp_replace(t, POINT, "\x04")
     t = F.regexp_replace(t, NUMBER, " \x01$1 ")
     t = F.regexp_replace(t, UNIT, "$1 \x03$2")
     return F.filter(F.split(F.lower(t), CUT), lambda x: x != "")

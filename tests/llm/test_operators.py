@@ -134,6 +134,16 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_with_other_units_and_full_names(spark):
+    toks = lambda t: spark.createDataFrame([(t,)], "t string").select(decontaminate.tokens(decontaminate.F.col("t"))).first()[0]
+    assert toks("we met John Paul O'Neil in 5 km, 5km or 3.5 hours") == ["we", "met", "\x02john\x04paul\x04o\x04neil", "in", "\x015", "\x03km", "\x015", "\x03km", "or", "\x013\x045", "\x03hours"]
+    text = "when the driver {0} leaves the old town she covers {1} on the first day and later meets {0} near a house that is {2} away from where they began"
+    bench = spark.createDataFrame([(1, text.format("Anna Smith", "120 km", "3.5 hours"))], "item_id long, text string")
+    rows = [(1, text.format("Mary Jane O'Neil", "75 miles", "2 days")), (2, text.format("Lee", "75km", "1,200.5 minutes")), (3, text.format("Anna Smith", "120 km", "3.5 hours"))]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["kind"]) for r in got) == [(1, 1, "reparameterised"), (2, 1, "reparameterised"), (3, 1, "exact")]
+
+
 def test_packing(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
