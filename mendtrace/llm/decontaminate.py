@@ -59,7 +59,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     Numbers, names and units become typed placeholders; windows of `width` placeholders and words are joined by hash. A
     pair counts if at least `cover` of the item's windows stand in the document, and if slots are consistent: within the
-    alignment that holds most windows, equal values in the item stand for equal values in the document and the other way
+    windows found in the alignment that holds most of them, equal values in the item stand for equal values in the document and the other way
     round. kind is `exact` if the values are the item's own, else `reparameterised`. Items of fewer than `width` tokens
     are compared with whole documents. Items or documents without tokens never match; null items and null keys can be
     reported as such; repeated rows are reported once per key and item; other columns are ignored.
@@ -96,8 +96,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     places = again.select("version", F.posexplode(windows(F.col("toks"), width)).alias("place", "h")).join(grid, "h")
     shifts = places.groupBy("version", "item", (F.col("place") - F.col("at")).alias("shift")).agg(F.count("*").alias("held"))
     best = shifts.groupBy("version", "item").agg(F.max_by("shift", F.struct("held", -F.col("shift"))).alias("shift"))
+    kept = found.select(F.col("version").alias("k_version"), F.col("item").alias("k_item"))
+    best = best.join(kept, (F.col("version") == F.col("k_version")) & F.col("item").eqNullSafe(F.col("k_item"))).select("version", "item", "shift")
+    # Only slots within windows that match there, few plain words or not: beyond an edit the alignment is out of step.
+    aims = items.select(F.col("item").alias("h_item"), windows(F.col("toks"), width).alias("item_h"))
+    best = best.join(aims, F.col("item").eqNullSafe(F.col("h_item"))).join(again.select("version", windows(F.col("toks"), width).alias("text_h")), "version")
+    ats = F.filter(F.sequence(F.lit(0), F.size("item_h") - 1), lambda a: F.get("item_h", a) == F.get("text_h", a + F.col("shift")))
+    best = best.select("version", "item", "shift", ats.alias("ats"))
+    covered = F.exists("ats", lambda a: (F.col("at") >= a) & (F.col("at") < a + width))
     mine = items.select(F.col("item").alias("m_item"), F.posexplode("toks").alias("at", "own")).where(is_slot(F.col("own")))
-    pairs = best.join(mine, F.col("item").eqNullSafe(F.col("m_item"))).select("version", "item", (F.col("at") + F.col("shift")).alias("place"), "own")
+    pairs = best.join(mine, F.col("item").eqNullSafe(F.col("m_item"))).where(covered).select("version", "item", (F.col("at") + F.col("shift")).alias("place"), "own")
     theirs = again.select(F.col("version").alias("v"), F.posexplode("toks").alias("p", "other")).where(is_slot(F.col("other")))
     pairs = pairs.join(theirs, (F.col("version") == F.col("v")) & (F.col("place") == F.col("p"))).select("version", "item", "own", "other")
     one_way = pairs.groupBy("version", "item", "own").agg(F.count_distinct("other").alias("n"), F.max(F.col("own") != F.col("other")).alias("changed"))

@@ -144,6 +144,15 @@ def test_decontamination_with_other_units_and_full_names(spark):
     assert sorted((r["doc_id"], r["item_id"], r["kind"]) for r in got) == [(1, 1, "reparameterised"), (2, 1, "reparameterised"), (3, 1, "exact")]
 
 
+def test_decontamination_of_a_list_with_one_word_deleted(spark):
+    text = "add up the marks of each pupil in the class where the first row has 3 pupils with the same mark and nobody in it has more{} points while the marks of the last row are 3, 4, 3, 5 in turn"
+    bench = spark.createDataFrame([(1, text.format(" good"))], "item_id long, text string")
+    changed = text.replace("3, 4, 3, 5", "3, 4, 7, 5")
+    rows = [(1, text.format("")), (2, text.format(" good")), (3, changed.format(" good"))]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["kind"]) for r in got) == [(1, 1, "exact"), (2, 1, "exact")]
+
+
 def test_packing(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
