@@ -17,9 +17,10 @@ UNIT = r"(\x{01}[0-9\x{04}]+\s*-?)(km|cm|mm|kg|mg|ml|mph|hours?|minutes?|seconds
 CUT = r"[\x20\x09-\x0D!-/:-@\[-`{-~]+"
 #: Cuts at slots' signs and digits too, so every word between slots is a piece.
 PLAIN_CUT = r"[\x01-\x04\x20\x09-\x0D!-@\[-`{-~]+"
+DIGITS_CUT = r"[^0-9]+"
 #: Tokens in a window, and the share of an item's windows that a document must hold.
 WINDOW, COVER = 8, 0.5
-#: Tokens of a window that must not be slots.
+#: Tokens of a window that must not be slots; an item without such a window is found only with its own values.
 LITERAL = 5
 
 
@@ -42,15 +43,18 @@ def typed(x: Column) -> Column:
     return F.when(is_slot(x), F.substring(x, 1, 1)).otherwise(x)
 
 
-def windows(toks: Column, width: int) -> Column:
-    """Hashes of all windows of `width` typed tokens (a power of two); all tokens make one if there are fewer."""
+def windows(toks: Column, width: int, values: bool = False) -> Column:
+    """Hashes of all windows of `width` typed tokens (a power of two); all tokens make one if there are fewer.
+
+    With `values`, slots are hashed with what they hold; these hashes never equal the others."""
     n = F.size(toks)
-    h = F.transform(toks, lambda x: F.xxhash64(typed(x)))
+    one = (lambda x: F.concat(F.lit("="), x)) if values else typed
+    h = F.transform(toks, lambda x: F.xxhash64(one(x)))
     step = 1
     while step < width:
         h = F.zip_with(h, F.slice(h, F.lit(step + 1), F.greatest(n - step, F.lit(0))), lambda a, b: F.xxhash64(a, b))
         step *= 2
-    short = F.when(n > 0, F.array(F.xxhash64(F.transform(toks, typed)))).otherwise(F.array().cast("array<bigint>"))
+    short = F.when(n > 0, F.array(F.xxhash64(F.transform(toks, one)))).otherwise(F.array().cast("array<bigint>"))
     return F.when(n >= width, F.slice(h, F.lit(1), F.greatest(n - (width - 1), F.lit(0)))).otherwise(short)
 
 
@@ -69,11 +73,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """
     items = benchmark.select(F.col(item).alias("item"), tokens(F.col(text)).alias("toks")).where(F.size("toks") > 0)
     items = C.stage_table(items.dropDuplicates(), "items")
-    grid = items.select("item", "toks", F.posexplode(windows(F.col("toks"), width)).alias("at", "h"))
-    words = F.filter(F.slice("toks", F.col("at") + 1, F.lit(width)), lambda x: ~is_slot(x))
-    grid = grid.where(F.size(words) >= F.least(F.lit(LITERAL), F.size("toks")))
-    anchor = F.array_max(F.transform(words, lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"]
-    grid = C.stage_table(grid.select("item", "at", "h", anchor.alias("anchor")), "windows")
+    part = F.slice("toks", F.col("at") + 1, F.lit(width))
+    words = F.filter(part, lambda x: ~is_slot(x))
+    enough = F.size(words) >= F.least(F.lit(LITERAL), F.size("toks"))
+    longest = lambda x: F.array_max(F.transform(x, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    loose = items.select("item", "toks", F.posexplode(windows(F.col("toks"), width)).alias("at", "h")).where(enough).select("item", "at", "h", longest(words).alias("anchor"))
+    # Items of which no window has enough plain words are looked up with the values of their slots.
+    rest = items.join(loose.select(F.col("item").alias("l_item")).distinct(), F.col("item").eqNullSafe(F.col("l_item")), "left_anti")
+    rest = rest.select("item", "toks", F.posexplode(windows(F.col("toks"), width, True)).alias("at", "h"))
+    pieces = lambda t, cuts: F.flatten(F.array(*(F.split(t, c) for c in cuts)))
+    dense = C.stage_table(rest.select("item", "at", "h", longest(pieces(F.array_join(part, " "), (PLAIN_CUT, DIGITS_CUT))).alias("anchor")), "dense")
+    any_dense = dense.limit(1).count() > 0
+    grid = C.stage_table(loose.union(dense), "windows")
+    hashed = lambda toks: F.concat(windows(toks, width), windows(toks, width, True)) if any_dense else windows(toks, width)
     total = grid.groupBy(F.col("item").alias("t_item")).agg(F.count_distinct("h").alias("n_windows"))
     total = C.stage_table(total.withColumn("need", F.ceil(F.col("n_windows") * cover)), "total")
     hashes = grid.select("h", "item").distinct()
@@ -81,19 +93,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     # A window needs its anchor, its longest word: only documents whose words are anchors of enough windows are looked at.
     marks = grid.groupBy("item", F.xxhash64("anchor").alias("a")).agg(F.count_distinct("h").alias("w")).join(total, F.col("item").eqNullSafe(F.col("t_item"))).select("a", "item", "w", "need")
     src = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("version"))
-    said = src.select("id", "version", F.explode(F.split(F.lower("text"), PLAIN_CUT)).alias("word")).select("id", "version", F.xxhash64("word").alias("a"))
+    said = src.select("id", "version", F.explode(pieces(F.lower("text"), (PLAIN_CUT, DIGITS_CUT)[: 1 + any_dense])).alias("word")).select("id", "version", F.xxhash64("word").alias("a"))
     likely = C.join_small(said, marks, ["a"], "inner").groupBy("id", "version", "item", "need", "a").agg(F.min("w").alias("w"))
     likely = C.stage_table(likely.groupBy("id", "version", "item", "need").agg(F.sum("w").alias("w")).where("w >= need").select("id", "version").distinct(), "likely")
     # From here on equal texts, which share a version, are looked at once.
     few = C.join_small(src.select("version", "text"), likely.select("version").distinct(), ["version"], "left_semi").groupBy("version").agg(F.first("text").alias("text"))
     again = C.stage_table(few.select("version", tokens(F.col("text")).alias("toks")), "again")
 
-    said = again.select("version", F.explode(windows(F.col("toks"), width)).alias("h"))
+    said = again.select("version", F.explode(hashed(F.col("toks"))).alias("h"))
     found = C.join_small(said, hashes, ["h"], "inner").groupBy("version", "item").agg(F.count_distinct("h").alias("n_found"))
     found = C.stage_table(found.join(total, F.col("item").eqNullSafe(F.col("t_item"))).where("n_found >= need").drop("t_item", "need"), "found")
 
     # Alignments and slots of the texts that are left.
-    places = again.select("version", F.posexplode(windows(F.col("toks"), width)).alias("place", "h")).join(grid, "h")
+    places = again.select("version", F.posexplode(windows(F.col("toks"), width)).alias("place", "h"))
+    if any_dense:
+        places = places.union(again.select("version", F.posexplode(windows(F.col("toks"), width, True)).alias("place", "h")))
+    places = places.join(grid, "h")
     shifts = places.groupBy("version", "item", (F.col("place") - F.col("at")).alias("shift")).agg(F.count("*").alias("held"))
     best = shifts.groupBy("version", "item").agg(F.max_by("shift", F.struct("held", -F.col("shift"))).alias("shift"))
     kept = found.select(F.col("version").alias("k_version"), F.col("item").alias("k_item"))

@@ -153,6 +153,14 @@ def test_decontamination_of_a_list_with_one_word_deleted(spark):
     assert sorted((r["doc_id"], r["item_id"], r["kind"]) for r in got) == [(1, 1, "exact"), (2, 1, "exact")]
 
 
+def test_decontamination_of_items_dense_in_slots(spark):
+    texts = ["12 + 7 = 19, 19 + 8 = 27, 27 - 3 = 24, 24 / 2 = 12, 12 + 1.5 = 13.5", "7 km and 9 km or 4 kg and 3 kg or 8 cm and 5 cm", "3 + 4 = 7"]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(0, f"before it {texts[0]} after it"), (1, f"so {texts[1]} then"), (2, texts[2]), (3, texts[0].replace("27", "28").replace("19", "18").replace("12", "11")), (4, "3 + 5 = 8")]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["kind"]) for r in got) == [(0, 0, "exact"), (1, 1, "exact"), (2, 2, "exact")]
+
+
 def test_packing(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
