@@ -15,6 +15,7 @@ from math import exp, floor, sqrt
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ LOWER[65:91] += 32
 CHANCE = 2000.0
 #: Segments in a group, of which all subsets but one segment are indexed; more of them cost more rows than they save.
 PIECES = (3, 4)
+#: Bytes of text that are cut into shingles at once.
+SHINGLED = 1 << 19
 #: Sets that one verifying step holds of one cluster on each side.
 BLOCK = 256
 
@@ -131,7 +134,7 @@ def signatures(h: np.ndarray, percent: int) -> np.ndarray:
 
 def shingle_sets(data: np.ndarray, begins: np.ndarray, words: int) -> Iterator[np.ndarray]:
     """For each text its sorted distinct shingle hashes; fewer words than a shingle make one, none make an empty set."""
-    for a, b in C.chunks(begins):
+    for a, b in C.chunks(begins, SHINGLED):
         off = begins[a : b + 1] - begins[a]
         raw = LOWER[data[begins[a] : begins[b]]]
         s, e = C.word_bounds(raw, off)
@@ -155,101 +158,128 @@ def node_of(h: np.ndarray) -> int:
     return int(C.mix(np.array([C.mix(h ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(h))], np.uint64)).view(np.int64)[0])
 
 
-def stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of entries (signature, node): each signature with its least node, and the distinct edges (node, least node) of the
-    other nodes under a signature. Least nodes of parts can be joined by the same step again."""
+def stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of entries (signature, node): each signature with its least node, and (signature, node, least node) of the others."""
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+    sig, node = sig[new], node[new]
     first = np.ones(len(sig), bool)
     first[1:] = sig[1:] != sig[:-1]
     low = node[first][np.cumsum(first) - 1]
-    other = node != low
-    edges = np.unique(np.column_stack([node[other], low[other]]), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return sig[first], node[first], edges[:, 0], edges[:, 1]
+    return sig[first], node[first], sig[~first], node[~first], low[~first]
 
 
 #: Signatures and nodes travel without their last 16 bits; what falls together so is only compared once more.
 SHORT = ~0xFFFF
+#: Signatures that a scanning step holds before it sends them.
+FLUSH = 300_000
+#: Rows of a bucket in one packed value.
+PACKED = 20_000
 
 
 def pack(*cols: np.ndarray) -> np.ndarray:
-    """Rows of 12 bytes: the first 48 bits of each of two 64-bit columns."""
+    """Rows of six bytes a column: the first 48 bits of each 64-bit column."""
     return np.column_stack([c.astype("<i8").view("<u2").reshape(-1, 4)[:, 1:] for c in cols])
 
 
-def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    words = np.frombuffer(raw, "<u2").reshape(-1, 2, 3)
-    out = np.zeros((len(words), 2, 4), "<u2")
+def unpack(raw: bytes, cols: int = 2) -> tuple[np.ndarray, ...]:
+    words = np.frombuffer(raw, "<u2").reshape(-1, cols, 3)
+    out = np.zeros((len(words), cols, 4), "<u2")
     out[:, :, 1:] = words
-    both = out.reshape(-1, 8).view("<i8")
-    return both[:, 0], both[:, 1]
+    both = out.reshape(-1, 4 * cols).view("<i8")
+    return tuple(both[:, k] for k in range(cols))
 
 
-SHIPPED = ("kind", "p", "id", "n", "a", "b", "entries")
+SHIPPED = ("kind", "p", "id", "n", "a", "entries")
 
 
-def _rows(id_type: pa.DataType, kind: str, p=None, ids=None, n=None, a=None, b=None, entries=None) -> pa.RecordBatch:
-    size = len(next(x for x in (p, n, a) if x is not None))
-    cols = ((pa.array([kind] * size), p, pa.int32()), (None, ids, id_type), (None, n, pa.int64()), (None, a, pa.int64()), (None, b, pa.int64()), (None, entries, pa.binary()))
-    out = [cols[0][0], pa.array(p, pa.int32())]
-    out += [pa.nulls(size, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for _, c, t in cols[1:]]
+def _rows(id_type: pa.DataType, kind: str, p, ids=None, n=None, a=None, entries=None) -> pa.RecordBatch:
+    size = len(p)
+    cols = ((ids, id_type), (n, pa.int64()), (a, pa.int64()), (entries, pa.binary()))
+    out = [pa.array([kind] * size), pa.array(p, pa.int32())]
+    out += [pa.nulls(size, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in cols]
     return pa.RecordBatch.from_arrays(out, list(SHIPPED))
 
 
+def _bucket_rows(id_type: pa.DataType, parts: int, *cols: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (signature, node, least node) of one step, packed (kind b)."""
+    for i in range(0, len(cols[0]), PACKED):
+        some = pack(*(c[i : i + PACKED] for c in cols))
+        yield _rows(id_type, "b", [int(cols[0][i] >> 16) % parts], entries=[some.tobytes()])
+
+
 def _scan(words: int, percent: int, parts: int):
-    """Documents (kind d), edges found within a batch (kind e), and its signatures, packed by part (kind s)."""
+    """Documents (kind d), nodes that meet within a step (kind b), and the step's signatures, packed by part (kind s)."""
 
     def f(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, begins = C.utf8(b.column(1))
-        n, node, sigs, own = [], [], [], set()
+        kind, own = b.schema.field(0).type, set()
+        done, n, node, sigs, held = 0, [], [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            size = len(n)
+            yield _rows(kind, "d", (done + np.arange(size)) % parts, b.column(0).slice(done, size), n, node)
+            which = np.repeat(np.arange(size), [len(x) for x in sigs])
+            if not len(which):
+                return
+            short = np.array([x or 0 for x in node], np.int64) & SHORT
+            sig, low, *met = stars(np.concatenate(sigs) & SHORT, short[which])
+            yield from _bucket_rows(kind, parts, *met)
+            p = (sig.view(np.uint64) >> np.uint64(16)).astype(np.uint64) % np.uint64(parts)
+            order = np.argsort(p, kind="stable")
+            p, both = p[order].astype(np.int32), pack(sig[order], low[order])
+            cut = np.append(np.flatnonzero(np.diff(p, prepend=-1)), len(p))
+            yield _rows(kind, "s", p[cut[:-1]], entries=[both[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)])
+
         for h in shingle_sets(data, begins, words):
             n.append(len(h))
             node.append(node_of(h) if len(h) else None)
             sigs.append(signatures(h, percent) if len(h) and node[-1] not in own else np.zeros(0, np.int64))
             own.add(node[-1])
-        short = np.array([x or 0 for x in node], np.int64) & SHORT
-        kind, size = b.schema.field(0).type, len(n)
-        yield _rows(kind, "d", np.arange(size) % parts, b.column(0), n, node)
-        which = np.repeat(np.arange(size), [len(x) for x in sigs])
-        if not len(which):
-            return
-        sig, low, ea, eb = stars(np.concatenate(sigs), short[which])
-        if len(ea):
-            yield _rows(kind, "e", ea % parts, a=ea, b=eb)
-        p = (sig.view(np.uint64) % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(p, kind="stable")
-        p, both = p[order], pack(sig[order], low[order])
-        cut = np.flatnonzero(np.diff(p, prepend=-1))
-        yield _rows(kind, "s", p[cut], entries=[x.tobytes() for x in np.split(both, cut[1:])])
+            held += len(sigs[-1])
+            if held >= FLUSH:
+                yield from flush()
+                done, n, node, sigs, held = done + len(n), [], [], [], 0
+        if n:
+            yield from flush()
 
     return C.per_batch(f)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joins the batches' signatures part by part (rows come sorted by part) and passes on what else there is."""
-    held: list[bytes] = []
-    part, kind = None, pa.int64()
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if held:
-            _, _, ea, eb = stars(*unpack(b"".join(held)))
-            if len(ea):
-                yield _rows(kind, "e", np.zeros(len(ea)), a=ea, b=eb)
-        held.clear()
-
-    for b in batches:
-        kind = b.schema.field(2).type
-        kinds = np.array(b.column(0).to_pylist())
-        rest = np.flatnonzero(kinds != "s")
-        if len(rest):
-            yield b.take(pa.array(rest))
-        for i in np.flatnonzero(kinds == "s").tolist():
-            p = b.column(1)[i].as_py()
-            if p != part:
-                yield from flush()
-                part = p
-            held.append(b.column(6)[i].as_py())
-    yield from flush()
+def _meet(parts: int):
+    """Joins the steps' signatures part by part (rows come sorted by part) and passes on what else there is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        part, kind = None, pa.int64()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                _, _, *met = stars(*unpack(b"".join(held)))
+                held.clear()
+                yield from _bucket_rows(kind, parts, *met)
+
+        for b in batches:
+            kind = b.schema.field(2).type
+            mine = pc.equal(b.column(0), "s")
+            rest = b.filter(pc.invert(mine))
+            if rest.num_rows:
+                yield rest
+            for p, raw in zip(b.column(1).filter(mine).to_pylist(), b.column(5).filter(mine), strict=True):
+                if p != part:
+                    yield from flush()
+                    part = p
+                held.append(raw.as_py())
+        yield from flush()
+
+    return run
+
+
+def _unpacked(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for raw in b.column(0):
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in unpack(raw.as_py(), 3)], ["sig", "u", "v"])
 
 
 def _sets(words: int):
@@ -264,8 +294,8 @@ def _sets(words: int):
     return C.per_batch(f)
 
 
-def links(rows: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets: those with side 0 against those with side 1, or any where all are 0."""
+def links(rows: list[np.ndarray], label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets of different labels."""
     n = len(rows)
     size = np.array([len(r) for r in rows], np.int64)
     _, token, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
@@ -275,15 +305,14 @@ def links(rows: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
     both = np.zeros((n, n), np.int64)
-    width = max(1, 4_000_000 // max(n, 1))
+    width = max(1, 1_000_000 // max(n, 1))
     for c in range(0, int(token[-1]) + 1 if len(token) else 0, width):
         x, y = np.searchsorted(token, [c, c + width])
         m = np.zeros((n, width), np.float32)
         m[owner[x:y], token[x:y] - c] = 1
         both += (m @ m.T).astype(np.int64)
     near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-    if side.any():
-        near &= side[:, None] != side[None, :]
+    near &= label[:, None] != label[None, :]
     root = list(range(n))
 
     def find(i: int) -> int:
@@ -299,15 +328,40 @@ def links(rows: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[
     return out
 
 
-def _verify(percent: int):
+def _with_hubs(percent: int):
+    """Links of the sets of each group with its hub."""
+
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for _, g in pdf.groupby(["hub", "salt"], sort=False):
+            is_hub = g["is_hub"].to_numpy(bool)
+            node, rows = g["node"].to_numpy(), [np.frombuffer(x, np.uint64) for x in g["grams"]]
+            others = np.flatnonzero(~is_hub)
+            if not len(others):
+                continue
+            size = np.array([len(rows[i]) for i in others])
+            every = np.concatenate([rows[i] for i in others])
+            for h in np.flatnonzero(is_hub):
+                at = np.minimum(np.searchsorted(rows[h], every), len(rows[h]) - 1)
+                both = np.add.reduceat((rows[h][at] == every).astype(np.int64), np.cumsum(size) - size)
+                near = (100 * both >= percent * (size + len(rows[h]) - both)) & (node[others] != node[h])
+                a += node[others[near]].tolist()
+                b += [node[h]] * int(near.sum())
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return f
+
+
+def _across(percent: int):
+    """Links of sets with different labels within each pair of blocks."""
+
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, g in pdf.groupby(["cluster", "i", "j"], sort=False):
+        for _, g in pdf.groupby(["sig", "i", "j"], sort=False):
             g = g.drop_duplicates("node")
-            if len(g) > 1:
-                node, side = g["node"].to_numpy(), (g["block"] != g["i"]).to_numpy().astype(np.int8)
-                rows = [np.frombuffer(x, np.uint64) for x in g["grams"]]
-                out += [(node[a], node[b]) for a, b in links(rows, side, percent)]
+            if g["label"].nunique() > 1:
+                node, rows = g["node"].to_numpy(), [np.frombuffer(x, np.uint64) for x in g["grams"]]
+                out += [(node[a], node[b]) for a, b in links(rows, g["label"].to_numpy(), percent)]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return f
@@ -319,34 +373,69 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     Words are runs of bytes without ASCII white space, A-Z lower-cased; a set holds the distinct shingles of `words` words.
     Returns (key, n_shingles, class_id): the smallest key of the class. Null and blank texts have an empty set and stay
     alone; repeated rows stay repeated; null keys never name a class unless a class has no other; other columns are ignored.
-    Hot groups: equal sets collapse before any pair is looked at; a large cluster of near copies is verified in block pairs
-    over many tasks, each of which returns a spanning forest instead of all pairs.
+
+    Sets that share a signature are one bucket. Each step of a scan, then each part of the signatures, compares a bucket's
+    sets with its least one only, which settles hot groups in as many comparisons as there are sets. Buckets whose sets
+    are not all linked by then are compared in pairs of blocks, each set outside the largest class with all others, over many
+    tasks; a task returns a spanning forest. Buckets are never merged, so chance agreements don't add up. Equal sets
+    collapse before anything is compared.
     """
     src = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    # One shuffle of signatures, packed: each batch sends one entry per signature at most, so no signature is hot.
+    # One shuffle of signatures, packed: each step of a scan sends one entry per signature at most, so no signature is hot.
     spark = docs.sparkSession
-    parts = 64 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shipped = f"kind string, p int, id {src.schema['id'].dataType.simpleString()}, n long, a long, b long, entries binary"
-    met = src.mapInArrow(_scan(words, percent, parts), shipped).repartition("p").sortWithinPartitions("p").mapInArrow(_meet, shipped)
-    met = C.stage_table(met.drop("p", "entries"), "sets")
+    parts = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shipped = f"kind string, p int, id {src.schema['id'].dataType.simpleString()}, n long, a long, entries binary"
+    met = src.mapInArrow(_scan(words, percent, parts), shipped).repartition("p").sortWithinPartitions("p").mapInArrow(_meet(parts), shipped)
+    met = C.stage_table(met.drop("p"), "sets")
     base = met.where("kind = 'd'").select("id", F.col("n").alias("n_shingles"), F.col("a").alias("node"))
-    near = C.components(met.where("kind = 'e'").select("a", "b"), "a", "b").select(F.col("node").alias("short"), F.col("label").alias("cluster"))
-    nodes = base.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
-    near = near.join(nodes.withColumn("short", F.col("node").bitwiseAND(F.lit(SHORT))), "short").select("node", "cluster", "id")
-    wanted = C.stage_table(near, "wanted")
-    near = wanted.select("node", "cluster")
-    texts = C.join_small(src, wanted.where("id is not null").select("id").distinct(), ["id"], "left_semi").select("text")
-    texts = texts.union(src.where("id is null").select("text")) if wanted.where("id is null").limit(1).count() else texts
-    sets = texts.mapInArrow(_sets(words), "node long, grams binary")
-    sizes = C.stage_table(near.groupBy("cluster").agg(F.count("*").alias("size")), "sizes")
-    # Every member of a cluster of more than BLOCK sets goes to one block and so to as many block pairs as there are blocks.
-    placed = near.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    placed = sets.join(placed, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
-    tasks = max(64, near.count() // 64)
-    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(tasks))).otherwise(F.xxhash64("cluster", "i", "j"))
-    found = placed.select(group.alias("part"), "cluster", "i", "j", "block", "node", "grams").groupBy("part").applyInPandas(_verify(percent), "a long, b long")
-    label = C.components(found, "a", "b")
+    nodes = C.stage_table(base.where("node is not null").groupBy("node").agg(F.min("id").alias("id")), "nodes")
+    buckets = met.where("kind = 'b'").select("entries").mapInArrow(C.per_batch(_unpacked), "sig long, u long, v long")
+    edges = C.stage_table(buckets.select("u", "v").distinct(), "edges")
+    wanted = edges.select("u").union(edges.select("v")).distinct().withColumnRenamed("u", "short")
+    wanted = C.stage_table(nodes.withColumn("short", F.col("node").bitwiseAND(F.lit(SHORT))).join(wanted, "short"), "wanted")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        """(node, grams), read again from the texts of some nodes (node, id)."""
+        texts = C.join_small(src, some.where("id is not null").select("id").distinct(), ["id"], "left_semi").select("text")
+        texts = texts.union(src.where("id is null").select("text")) if some.where("id is null").limit(1).count() else texts
+        return texts.mapInArrow(_sets(words), "node long, grams binary")
+
+    # Each set with its buckets' least sets; a hub of many is compared in several tasks.
+    hubs = edges.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    salt = F.when(F.col("n").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("u"), F.ceil(F.col("n") / BLOCK)))
+    placed = C.join_small(edges, hubs, ["v"], "left").select(F.col("v").alias("hub"), salt.alias("salt"), F.col("u").alias("short"), F.lit(False).alias("is_hub"))
+    placed = placed.union(placed.select("hub", "salt").distinct().select("hub", "salt", F.col("hub").alias("short"), F.lit(True).alias("is_hub")))
+    placed = C.stage_table(placed.join(wanted.select("short", "node"), "short").drop("short"), "placed")
+    tasks = max(64, placed.count() // 64)
+    compared = sets_of(wanted).join(placed, "node").withColumn("part", F.pmod(F.xxhash64("hub", "salt"), F.lit(tasks)))
+    linked = C.stage_table(compared.groupBy("part").applyInPandas(_with_hubs(percent), "a long, b long"), "links")
+    label = C.components(linked, "a", "b")
+
+    # Buckets of three or more sets that are not all linked: sets outside the largest class against all.
+    known = C.stage_table(wanted.join(label, "node", "left").select("short", "node", "id", F.coalesce("label", "node").alias("label")), "labels")
+    lab = known.select("short", "label").distinct()
+    apart = C.join_small(C.join_small(edges, lab.toDF("u", "lu"), ["u"], "inner"), lab.toDF("v", "lv"), ["v"], "inner").where("lu <> lv").select("u", "v", F.lit(1).alias("apart")).distinct()
+    sigs = C.join_small(buckets, apart, ["u", "v"], "left").groupBy("sig").agg(F.count("*").alias("n"), F.max("apart").alias("apart")).where("n > 1 and apart = 1").select("sig")
+    mine = C.stage_table(C.join_small(buckets, sigs, ["sig"], "left_semi"), "open")
+    mine = mine.select("sig", F.explode(F.array("u", "v")).alias("short")).distinct()
+    mine = C.stage_table(C.join_small(mine, known, ["short"], "inner").select("sig", "node", "label", "id"), "members")
+    size = mine.groupBy("sig", "label").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"))
+    size = size.groupBy("sig").agg(F.sum("n").alias("n"), F.max("n").alias("top_n"), F.max_by("label", F.struct("n", "label")).alias("top"), F.bit_xor("x").alias("x"))
+    size = size.where("n > top_n").groupBy("n", "x").agg(F.min(F.struct("sig", "top", "top_n")).alias("s"))  # equal buckets count once
+    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
+    size = C.stage_table(size.select("s.sig", "s.top", blocks(F.col("n") - F.col("s.top_n")).alias("few"), blocks(F.col("n")).alias("all")), "sizes")
+    if size.limit(1).count():
+        mine = C.join_small(mine, size, ["sig"], "inner")
+        one = lambda n: F.pmod(F.xxhash64("node"), n)
+        every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+        as_all = mine.select("sig", "node", "label", "id", F.explode(every(F.col("few"))).alias("i"), one(F.col("all")).alias("j"))
+        as_few = mine.where((F.col("label") != F.col("top")) & (F.col("all") > 1)).select("sig", "node", "label", "id", one(F.col("few")).alias("i"), F.explode(every(F.col("all"))).alias("j"))
+        grid = C.stage_table(as_all.union(as_few), "grid")
+        tasks = max(64, grid.count() // 64)
+        rows = sets_of(grid.select("node", "id").distinct()).join(grid.drop("id"), "node").withColumn("part", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(tasks)))
+        more = C.stage_table(rows.groupBy("part").applyInPandas(_across(percent), "a long, b long"), "links")
+        if more.limit(1).count():
+            label = C.components(linked.union(more), "a", "b")
 
     named = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("id").alias("class_id"))

@@ -62,6 +62,39 @@ def test_jaccard_join_against_brute_force(spark, docs, empty):
     assert [r["class_id"] for r in edge if r["doc_id"] in (0, 1, 2)] == [r["doc_id"] for r in edge if r["doc_id"] in (0, 1, 2)]
 
 
+def classes_by_hand(rows, words, percent):
+    sets = {i: {tuple(t.split()[k : k + words]) for k in range(len(t.split()) - words + 1)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sets, 2):
+        n = len(sets[a] & sets[b])
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_jaccard_join_in_many_steps_and_blocks(spark, monkeypatch):
+    """Chains of edited copies whose ends are not similar, and texts that only share a passage, with tiny steps and blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "FLUSH", 300)
+    passage, chain, rows = prose(70, 40), prose(71, 150).split(), []
+    for i in range(40):
+        chain[(i * 37) % 150] = f"new{i}"
+        rows.append((i, " ".join(chain)))
+    rows += [(100 + i, passage + " " + prose(200 + i, 12 + i % 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = by_id(jaccard_join.jaccard_classes(df, words=3, percent=90))
+    want = classes_by_hand(rows, 3, 90)
+    assert {i: (r["n_shingles"], r["class_id"]) for i, r in got.items()} == want and 2 < len({c for _, c in want.values()}) < 80
+    got = by_id(jaccard_join.jaccard_classes(df, words=5, percent=80))
+    assert {i: (r["n_shingles"], r["class_id"]) for i, r in got.items()} == classes_by_hand(rows, 5, 80)
+
+
 @pytest.mark.parametrize("percent", [60, 80, 90, 95])
 def test_signatures_meet(percent):
     """Any two sets that are similar and differ share a signature."""
