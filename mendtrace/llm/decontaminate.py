@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ DIGITS_CUT = r"[^0-9]+"
 WINDOW, COVER = 8, 0.5
 #: Tokens of a window that must not be slots; an item without such a window is found only with its own values.
 LITERAL = 5
+#: Tokens of the shortest item that is looked for within longer texts.
+SHORTEST = 4
 
 
 def tokens(text: Column) -> Column:
@@ -58,15 +62,24 @@ def windows(toks: Column, width: int, values: bool = False) -> Column:
     return F.when(n >= width, F.slice(h, F.lit(1), F.greatest(n - (width - 1), F.lit(0)))).otherwise(short)
 
 
+def slid(toks: Column, width: int) -> Column:
+    """Hashes of all runs of `width` tokens with their values, for items shorter than a window."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(toks) - (width - 1)), lambda i: F.xxhash64(F.lit(width), F.slice(toks, i, F.lit(width))))
+    return F.when(F.size(toks) >= width, runs).otherwise(F.array().cast("array<bigint>"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", width: int = WINDOW, cover: float = COVER) -> DataFrame:
     """(key, item, n_windows, n_found, kind) for documents that hold a benchmark item, also one with other slot values.
 
     Numbers, names and units become typed placeholders; windows of `width` placeholders and words are joined by hash. A
-    pair counts if at least `cover` of the item's windows stand in the document, and if slots are consistent: within the
-    windows found in the alignment that holds most of them, equal values in the item stand for equal values in the document and the other way
-    round. kind is `exact` if the values are the item's own, else `reparameterised`. Items of fewer than `width` tokens
-    are compared with whole documents. Items or documents without tokens never match; null items and null keys can be
-    reported as such; repeated rows are reported once per key and item; other columns are ignored.
+    pair counts if at least `cover` of the item's windows stand in the document, and if slots are consistent in one of the
+    alignments that hold so many windows (or, if none does, most of them): within these windows equal values in the item
+    stand for equal values in the document and the other way round. kind is `exact` if the values are the item's own, else
+    `reparameterised`. Windows with fewer than LITERAL plain words say too little without their values: an item that has
+    only such windows is looked up by windows with values. Items of fewer than `width` tokens are compared with whole
+    documents, and if they have SHORTEST tokens, also with their values anywhere in a document. Items or documents without
+    tokens never match; null items and null keys can be reported as such; repeated rows are reported once per key and item;
+    other columns are ignored.
 
     The benchmark's anchors and windows are broadcast only if their counted rows are within a bound, else both sides are
     shuffled. A first pass over all texts looks for the anchors; windows are made only where enough of them stand.
@@ -82,10 +95,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     rest = items.join(loose.select(F.col("item").alias("l_item")).distinct(), F.col("item").eqNullSafe(F.col("l_item")), "left_anti")
     rest = rest.select("item", "toks", F.posexplode(windows(F.col("toks"), width, True)).alias("at", "h"))
     pieces = lambda t, cuts: F.flatten(F.array(*(F.split(t, c) for c in cuts)))
+    short = items.where(F.size("toks").between(SHORTEST, width - 1)).select("item", "toks", F.posexplode(F.array(F.xxhash64(F.size("toks"), "toks"))).alias("at", "h"))
+    short_widths = sorted(r[0] for r in short.select(F.size("toks")).distinct().collect())  # a few numbers below `width`
+    rest = rest.union(short)
     dense = C.stage_table(rest.select("item", "at", "h", longest(pieces(F.array_join(part, " "), (PLAIN_CUT, DIGITS_CUT))).alias("anchor")), "dense")
     any_dense = dense.limit(1).count() > 0
     grid = C.stage_table(loose.union(dense), "windows")
-    hashed = lambda toks: F.concat(windows(toks, width), windows(toks, width, True)) if any_dense else windows(toks, width)
+    kinds = lambda toks: [windows(toks, width), *([windows(toks, width, True)] if any_dense else []), *(slid(toks, w) for w in short_widths)]
     total = grid.groupBy(F.col("item").alias("t_item")).agg(F.count_distinct("h").alias("n_windows"))
     total = C.stage_table(total.withColumn("need", F.ceil(F.col("n_windows") * cover)), "total")
     hashes = grid.select("h", "item").distinct()
@@ -93,44 +109,46 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     # A window needs its anchor, its longest word: only documents whose words are anchors of enough windows are looked at.
     marks = grid.groupBy("item", F.xxhash64("anchor").alias("a")).agg(F.count_distinct("h").alias("w")).join(total, F.col("item").eqNullSafe(F.col("t_item"))).select("a", "item", "w", "need")
     src = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("version"))
-    said = src.select("id", "version", F.explode(pieces(F.lower("text"), (PLAIN_CUT, DIGITS_CUT)[: 1 + any_dense])).alias("word")).select("id", "version", F.xxhash64("word").alias("a"))
+    said = src.select("id", "version", F.explode(F.array_distinct(pieces(F.lower("text"), (PLAIN_CUT, DIGITS_CUT)[: 1 + any_dense]))).alias("word")).select("id", "version", F.xxhash64("word").alias("a"))
     likely = C.join_small(said, marks, ["a"], "inner").groupBy("id", "version", "item", "need", "a").agg(F.min("w").alias("w"))
     likely = C.stage_table(likely.groupBy("id", "version", "item", "need").agg(F.sum("w").alias("w")).where("w >= need").select("id", "version").distinct(), "likely")
     # From here on equal texts, which share a version, are looked at once.
     few = C.join_small(src.select("version", "text"), likely.select("version").distinct(), ["version"], "left_semi").groupBy("version").agg(F.first("text").alias("text"))
     again = C.stage_table(few.select("version", tokens(F.col("text")).alias("toks")), "again")
 
-    said = again.select("version", F.explode(hashed(F.col("toks"))).alias("h"))
+    said = again.select("version", F.explode(F.concat(*kinds(F.col("toks")))).alias("h"))
     found = C.join_small(said, hashes, ["h"], "inner").groupBy("version", "item").agg(F.count_distinct("h").alias("n_found"))
-    found = C.stage_table(found.join(total, F.col("item").eqNullSafe(F.col("t_item"))).where("n_found >= need").drop("t_item", "need"), "found")
+    found = C.stage_table(found.join(total, F.col("item").eqNullSafe(F.col("t_item"))).where("n_found >= need").drop("t_item"), "found")
 
     # Alignments and slots of the texts that are left.
-    places = again.select("version", F.posexplode(windows(F.col("toks"), width)).alias("place", "h"))
-    if any_dense:
-        places = places.union(again.select("version", F.posexplode(windows(F.col("toks"), width, True)).alias("place", "h")))
-    places = places.join(grid, "h")
+    places = [again.select("version", F.posexplode(c).alias("place", "h")) for c in kinds(F.col("toks"))]
+    places = reduce(DataFrame.union, places).join(grid, "h")
     shifts = places.groupBy("version", "item", (F.col("place") - F.col("at")).alias("shift")).agg(F.count("*").alias("held"))
-    best = shifts.groupBy("version", "item").agg(F.max_by("shift", F.struct("held", -F.col("shift"))).alias("shift"))
-    kept = found.select(F.col("version").alias("k_version"), F.col("item").alias("k_item"))
-    best = best.join(kept, (F.col("version") == F.col("k_version")) & F.col("item").eqNullSafe(F.col("k_item"))).select("version", "item", "shift")
+    kept = found.select(F.col("version").alias("k_version"), F.col("item").alias("k_item"), "need")
+    shifts = shifts.join(kept, (F.col("version") == F.col("k_version")) & F.col("item").eqNullSafe(F.col("k_item"))).select("version", "item", "shift", "held", "need")
+    shifts = C.stage_table(shifts, "shifts")
+    top = shifts.groupBy(F.col("version").alias("k_version"), F.col("item").alias("k_item")).agg(F.max("held").alias("most_held"))
+    best = shifts.join(top, (F.col("version") == F.col("k_version")) & F.col("item").eqNullSafe(F.col("k_item"))).where(F.col("held") >= F.least("need", "most_held")).select("version", "item", "shift")
     # Only slots within windows that match there, few plain words or not: beyond an edit the alignment is out of step.
     aims = items.select(F.col("item").alias("h_item"), windows(F.col("toks"), width).alias("item_h"))
     best = best.join(aims, F.col("item").eqNullSafe(F.col("h_item"))).join(again.select("version", windows(F.col("toks"), width).alias("text_h")), "version")
     ats = F.filter(F.sequence(F.lit(0), F.size("item_h") - 1), lambda a: F.get("item_h", a) == F.get("text_h", a + F.col("shift")))
-    best = best.select("version", "item", "shift", ats.alias("ats"))
+    best = C.stage_table(best.select("version", "item", "shift", ats.alias("ats")), "best")
     covered = F.exists("ats", lambda a: (F.col("at") >= a) & (F.col("at") < a + width))
     mine = items.select(F.col("item").alias("m_item"), F.posexplode("toks").alias("at", "own")).where(is_slot(F.col("own")))
-    pairs = best.join(mine, F.col("item").eqNullSafe(F.col("m_item"))).where(covered).select("version", "item", (F.col("at") + F.col("shift")).alias("place"), "own")
+    pairs = best.join(mine, F.col("item").eqNullSafe(F.col("m_item"))).where(covered).select("version", "item", "shift", (F.col("at") + F.col("shift")).alias("place"), "own")
     theirs = again.select(F.col("version").alias("v"), F.posexplode("toks").alias("p", "other")).where(is_slot(F.col("other")))
-    pairs = pairs.join(theirs, (F.col("version") == F.col("v")) & (F.col("place") == F.col("p"))).select("version", "item", "own", "other")
-    one_way = pairs.groupBy("version", "item", "own").agg(F.count_distinct("other").alias("n"), F.max(F.col("own") != F.col("other")).alias("changed"))
-    back = pairs.groupBy("version", "item", "other").agg(F.count_distinct("own").alias("n"), F.lit(False).alias("changed"))
-    slots = one_way.drop("own").union(back.drop("other")).groupBy("version", "item").agg(F.max("n").alias("most"), F.max("changed").alias("changed"))
-    slots = slots.select(*(F.col(c).alias(f"s_{c}") for c in ("version", "item")), "most", "changed")
-    same = (F.col("version") == F.col("s_version")) & F.col("item").eqNullSafe(F.col("s_item"))
-    out = found.join(slots, same, "left").where(F.coalesce("most", F.lit(1)) == 1)
+    pairs = pairs.join(theirs, (F.col("version") == F.col("v")) & (F.col("place") == F.col("p"))).select("version", "item", "shift", "own", "other")
+    one_way = pairs.groupBy("version", "item", "shift", "own").agg(F.count_distinct("other").alias("n"), F.max(F.col("own") != F.col("other")).alias("changed"))
+    back = pairs.groupBy("version", "item", "shift", "other").agg(F.count_distinct("own").alias("n"), F.lit(False).alias("changed"))
+    slots = one_way.drop("own").union(back.drop("other")).groupBy("version", "item", "shift").agg(F.max("n").alias("most"), F.max("changed").alias("changed"))
+    slots = slots.select(*(F.col(c).alias(f"s_{c}") for c in ("version", "item", "shift")), "most", "changed")
+    same = (F.col("version") == F.col("s_version")) & F.col("item").eqNullSafe(F.col("s_item")) & (F.col("shift") == F.col("s_shift"))
     kind = F.when(F.coalesce("changed", F.lit(False)), "reparameterised").otherwise("exact")
-    out = out.join(likely, "version").groupBy("id", "item").agg(F.max("n_windows").alias("n_windows"), F.max("n_found").alias("n_found"), F.min(kind).alias("kind"))
+    good = best.join(slots, same, "left").where(F.coalesce("most", F.lit(1)) == 1).groupBy("version", "item").agg(F.min(kind).alias("kind"))
+    counts = found.select(F.col("version").alias("k_version"), F.col("item").alias("k_item"), "n_windows", "n_found")
+    good = good.join(counts, (F.col("version") == F.col("k_version")) & F.col("item").eqNullSafe(F.col("k_item")))
+    out = good.join(likely, "version").groupBy("id", "item").agg(F.max("n_windows").alias("n_windows"), F.max("n_found").alias("n_found"), F.min("kind").alias("kind"))
     return out.withColumnsRenamed({"id": key, "item": item})
 
 

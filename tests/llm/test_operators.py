@@ -194,6 +194,68 @@ def test_decontamination_of_items_dense_in_slots(spark):
     assert sorted((r["doc_id"], r["item_id"], r["kind"]) for r in got) == [(0, 0, "exact"), (1, 1, "exact"), (2, 2, "exact")]
 
 
+def test_decontamination_of_short_items_and_second_alignments(spark):
+    text = "if a farmer sells {0} sheep on the first day and {1} sheep on the second how many sheep has the farmer sold by then"
+    bench = spark.createDataFrame([(1, "Compute 12 + 45 + 67"), (2, "What is 3 4 5 6 7 8 9 10 plus 11 12 13 14"), (3, text.format(5, 5)), (4, "name the largest northern river")], "item_id long, text string")
+    rows = [(1, "Compute 12 + 45 + 67"), (2, "Now compute 12 + 45 + 67 please, and tell me how you came to it"), (3, "What is 3 4 5 6 7 8 9 10 plus 11 12 13 14"), (4, text.format(5, 6) + ". And again: " + text.format(5, 5))]
+    rows += [(5, text.format(8, 9)), (6, "compute 12 + 45 + 68"), (7, "so name the largest northern river."), (8, "name the largest northern lake"), (9, text.format(5, 6) + ". Then: " + text.format(7, 7))]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["kind"]) for r in got) == [(1, 1, "exact"), (2, 1, "exact"), (3, 2, "exact"), (4, 3, "exact"), (7, 4, "exact"), (9, 3, "reparameterised")]
+
+
+def leaks_by_hand(docs, items, width=8):
+    """(doc, item, n_windows, n_found, kind) by plain loops over tokens (name, tokens)."""
+    slot = lambda x: x < "\x04"
+    typed = lambda ts: ("typed", *(x[0] if slot(x) else x for x in ts))
+    values = lambda ts: ("values", *ts)
+    cuts = lambda ts: [(i, ts[i : i + width]) for i in range(max(1, len(ts) - width + 1))]
+    out = set()
+    for item, own in items:
+        if not own:
+            continue
+        grid = [(i, typed(w)) for i, w in cuts(own) if sum(not slot(x) for x in w) >= min(5, len(own))]
+        grid = grid or [(i, values(w)) for i, w in cuts(own)]
+        grid += [(0, ("short", *own))] if 4 <= len(own) < width else []
+        n, need = len({h for _, h in grid}), -(-len({h for _, h in grid}) // 2)
+        for doc, toks in docs:
+            if not toks:
+                continue
+            there = [(i, f(w)) for i, w in cuts(toks) for f in (typed, values)] + [(i, ("short", *toks[i : i + len(own)])) for i in range(len(toks) - len(own) + 1)]
+            found = len({h for _, h in grid} & {h for _, h in there})
+            if found < need:
+                continue
+            shifts = collections.Counter(p - at for p, h in there for at, g in grid if h == g)
+            kinds = set()
+            for shift in [x for x, k in shifts.items() if k >= min(need, max(shifts.values()))]:
+                at = {a + k for a, w in cuts(own) for p, v in cuts(toks) if p - a == shift and typed(w) == typed(v) for k in range(len(w))}
+                pairs = {(own[a], toks[a + shift]) for a in at if slot(own[a])}
+                if len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}):
+                    kinds.add("reparameterised" if any(a != b for a, b in pairs) else "exact")
+            if kinds:
+                out.add((doc, item, n, found, min(kinds)))
+    return out
+
+
+def test_decontamination_against_plain_loops(spark):
+    r = np.random.default_rng(21)
+    word = lambda: str(r.choice(WORDS[:60])) if r.random() < 0.75 else str(r.integers(1, 6))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([3, 4, 5, 7, 8, 9, 12, 20, 30, 40])] + [(10, "1 2 3 a 4 5 6 b 7 8 9 1 2"), (11, "")]
+    rows = []
+    for k in range(120):
+        own = items[k % len(items)][1].split()
+        for _ in range(r.integers(0, 3)):
+            if own:
+                p = int(r.integers(0, len(own)))
+                own[p : p + 1] = [[], [str(r.integers(1, 6))], [own[p], word()]][r.integers(0, 3)]
+        more = " ".join(own) if k % 3 else items[(k + 1) % len(items)][1]
+        rows.append((k, f"{' '.join(word() for _ in range(r.integers(0, 9)))} {' '.join(own)} {more if k % 2 else ''} {word()}"))
+    schema = "item_id long, text string"
+    toks = lambda rs: [tuple(x) for x in spark.createDataFrame(rs, schema).select("item_id", decontaminate.tokens(decontaminate.F.col("text"))).collect()]
+    want = leaks_by_hand(toks(rows), toks(items))
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, schema)).collect()
+    assert {(x["doc_id"], x["item_id"], x["n_windows"], x["n_found"], x["kind"]) for x in got} == want and len(want) > 40
+
+
 def test_packing(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
