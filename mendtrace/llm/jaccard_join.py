@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -357,7 +357,7 @@ def _across(percent: int):
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, g in pdf.groupby(["sig", "i", "j"], sort=False):
+        for _, g in pdf.groupby(["group", "i", "j"], sort=False):
             g = g.drop_duplicates("node")
             if g["label"].nunique() > 1:
                 node, rows = g["node"].to_numpy(), [np.frombuffer(x, np.uint64) for x in g["grams"]]
@@ -377,8 +377,8 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     Sets that share a signature are one bucket. Each step of a scan, then each part of the signatures, compares a bucket's
     sets with its least one only, which settles hot groups in as many comparisons as there are sets. Buckets whose sets
     are not all linked by then are compared in pairs of blocks, each set outside the largest class with all others, over many
-    tasks; a task returns a spanning forest. Buckets are never merged, so chance agreements don't add up. Equal sets
-    collapse before anything is compared.
+    tasks; a task returns a spanning forest. Buckets that hang together are compared as one group if that sends fewer rows,
+    else one by one, so chance agreements don't add up. Equal sets collapse before anything is compared.
     """
     src = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     # One shuffle of signatures, packed: each step of a scan sends one entry per signature at most, so no signature is hot.
@@ -417,22 +417,38 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     apart = C.join_small(C.join_small(edges, lab.toDF("u", "lu"), ["u"], "inner"), lab.toDF("v", "lv"), ["v"], "inner").where("lu <> lv").select("u", "v", F.lit(1).alias("apart")).distinct()
     sigs = C.join_small(buckets, apart, ["u", "v"], "left").groupBy("sig").agg(F.count("*").alias("n"), F.max("apart").alias("apart")).where("n > 1 and apart = 1").select("sig")
     mine = C.stage_table(C.join_small(buckets, sigs, ["sig"], "left_semi"), "open")
+    known = C.join_small(known, C.components(mine.select("u", "v"), "u", "v").toDF("short", "cluster"), ["short"], "inner")
     mine = mine.select("sig", F.explode(F.array("u", "v")).alias("short")).distinct()
-    mine = C.stage_table(C.join_small(mine, known, ["short"], "inner").select("sig", "node", "label", "id"), "members")
-    size = mine.groupBy("sig", "label").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"))
-    size = size.groupBy("sig").agg(F.sum("n").alias("n"), F.max("n").alias("top_n"), F.max_by("label", F.struct("n", "label")).alias("top"), F.bit_xor("x").alias("x"))
-    size = size.where("n > top_n").groupBy("n", "x").agg(F.min(F.struct("sig", "top", "top_n")).alias("s"))  # equal buckets count once
+    mine = C.stage_table(C.join_small(mine, known, ["short"], "inner").select("sig", "node", "label", "id", "cluster"), "members")
     blocks = lambda n: F.ceil(n / BLOCK).cast("long")
-    size = C.stage_table(size.select("s.sig", "s.top", blocks(F.col("n") - F.col("s.top_n")).alias("few"), blocks(F.col("n")).alias("all")), "sizes")
+    of_group = F.sum("n").alias("n"), F.max("n").alias("top_n"), F.max_by("label", F.struct("n", "label")).alias("top")
+
+    def plan() -> list[Column]:
+        """Blocks of the sets outside the largest class and of all sets, and how many rows their pairs send."""
+        few, every = blocks(F.col("n") - F.col("top_n")), blocks(F.col("n"))
+        cost = F.when(every > 1, F.col("n") * few + (F.col("n") - F.col("top_n")) * every).otherwise(F.col("n"))
+        return [few.alias("few"), every.alias("all"), cost.alias("cost")]
+
+    size = mine.groupBy("sig", "label").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("cluster").alias("cluster"))
+    size = size.groupBy("sig").agg(F.min("cluster").alias("cluster"), F.bit_xor("x").alias("x"), *of_group).where("n > top_n")
+    size = C.stage_table(size.groupBy("cluster", "n", "x").agg(F.min(F.struct("sig", "top", *plan())).alias("s")).select("cluster", "s.*"), "sizes")  # equal buckets count once
+    # Buckets that hang together mostly have the same sets: all of them are one group where that sends fewer rows.
+    whole = mine.select("cluster", "node", "label").distinct().groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(*of_group)
+    whole = whole.select("cluster", "top", *plan()).join(size.groupBy("cluster").agg(F.sum("cost").alias("apart")), "cluster")
+    whole = C.stage_table(whole.withColumn("at_once", F.col("cost") <= F.col("apart")), "clusters")
     if size.limit(1).count():
-        mine = C.join_small(mine, size, ["sig"], "inner")
+        once = C.join_small(mine.select("cluster", "node", "label", "id").distinct(), whole.where("at_once").drop("cost", "apart", "at_once"), ["cluster"], "inner").withColumn("group", F.xxhash64(F.lit(1), "cluster"))
+        size = C.join_small(size, whole.where("not at_once").select("cluster"), ["cluster"], "left_semi")
+        by_bucket = C.join_small(mine.select("sig", "node", "label", "id"), size.drop("cluster", "cost"), ["sig"], "inner").withColumn("group", F.xxhash64(F.lit(2), "sig"))
+        cols = ("group", "node", "label", "id", "top", "few", "all")
+        mine = once.select(*cols).union(by_bucket.select(*cols))
         one = lambda n: F.pmod(F.xxhash64("node"), n)
         every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-        as_all = mine.select("sig", "node", "label", "id", F.explode(every(F.col("few"))).alias("i"), one(F.col("all")).alias("j"))
-        as_few = mine.where((F.col("label") != F.col("top")) & (F.col("all") > 1)).select("sig", "node", "label", "id", one(F.col("few")).alias("i"), F.explode(every(F.col("all"))).alias("j"))
+        as_all = mine.select("group", "node", "label", "id", F.explode(every(F.col("few"))).alias("i"), one(F.col("all")).alias("j"))
+        as_few = mine.where((F.col("label") != F.col("top")) & (F.col("all") > 1)).select("group", "node", "label", "id", one(F.col("few")).alias("i"), F.explode(every(F.col("all"))).alias("j"))
         grid = C.stage_table(as_all.union(as_few), "grid")
         tasks = max(64, grid.count() // 64)
-        rows = sets_of(grid.select("node", "id").distinct()).join(grid.drop("id"), "node").withColumn("part", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(tasks)))
+        rows = sets_of(grid.select("node", "id").distinct()).join(grid.drop("id"), "node").withColumn("part", F.pmod(F.xxhash64("group", "i", "j"), F.lit(tasks)))
         more = C.stage_table(rows.groupBy("part").applyInPandas(_across(percent), "a long, b long"), "links")
         if more.limit(1).count():
             label = C.components(linked.union(more), "a", "b")
