@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.core import draw
 from .metrics import METRICS
 
+#: Of these less is better.
+LOWER_IS_BETTER = ("mae", "rmse", "long_hallucination")
+
 # Fixed values: (long and short, movement, stable, unstable) weights of each weighting.
 WEIGHTINGS = {
     "equal": (0.4, 0.2, 0.2, 0.2),
@@ -101,7 +104,7 @@ def paired_bootstrap(participants: DataFrame, a: str, b: str, replicates: int =
     seen = long(over_datasets(wide, ()), "difference")
     drawn = long(over_datasets(bootstrap_slots(wide, replicates, seed), ("replicate",)), "value")
     limits = drawn.groupBy("metric").agg(F.percentile("value", F.lit(0.025)).alias("ci_low"), F.percentile("value", F.lit(0.975)).alias("ci_high"))
-    return seen.join(limits, "metric").withColumn("favorable_direction", F.when(F.col("metric") == "Q_local", "positive").otherwise("negative"))
+    return seen.join(limits, "metric").withColumn("favorable_direction", F.when(F.col("metric").isin(*LOWER_IS_BETTER), "negative").otherwise("positive"))
 
 
 def hierarchical_bootstrap(participants: DataFrame, metrics: Sequence[str], replicates: int = 2000, seed: int = 20260728) -> DataFrame:

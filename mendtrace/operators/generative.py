@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import IDX, KEY, STATES
-from .states import viterbi_path
+from ..functions.core import IDX, KEY, STATES, ordered
+from .states import decode_runs
 
 INPUTS = ("m_t", "r_t", "c_t", "alpha_t", "u_t", "p_t")
 LOGGED = ("r_t", "c_t", "alpha_t", "u_t")
@@ -43,6 +43,11 @@ def gaussian_log_emission(z: Column, mean: Sequence[float], var: Sequence[float]
     return sum(terms[1:], terms[0])
 
 
+def fit_by(df: DataFrame, by: str = "dataset", rounds: int = 50, **how) -> dict[str, GaussianHMM]:
+    """One model for each dataset; `by` has few values."""
+    return {r[0]: fit(df.where(F.col(by) == r[0]), rounds, **how) for r in df.select(by).where(F.col(by).isNotNull()).distinct().orderBy(by).collect()}
+
+
 def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     top = np.where(np.isfinite(top), top, 0)
@@ -80,15 +85,14 @@ class GaussianHMM:
     log_likelihood: list[float]
 
     def predict(self, df: DataFrame, out: str = "state", key: Sequence[str] = KEY, idx: str = IDX) -> DataFrame:
-        df = scaled(df, self.center, self.scale, "_z")
-        schema = df.drop("_z").withColumn(out, F.lit("")).schema
+        df = decode_series(scaled(df, self.center, self.scale, "_z"), "_z", self.mean, self.var, self.change_log, self.start_log, "_c", key, idx)
+        return df.withColumn(out, F.element_at(F.array(*(F.lit(n) for n in self.names)), F.col("_c") + 1)).drop("_z", "_c")
 
-        def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(idx, kind="stable")
-            path = viterbi_path(emission_matrix(np.stack(pdf["_z"]), self.mean, self.var), self.change_log, self.start_log)
-            return pdf.drop(columns="_z").assign(**{out: [self.names[k] for k in path]})
 
-        return df.groupBy(*key).applyInPandas(decode, schema)
+def decode_series(df: DataFrame, z: str, mean: np.ndarray, var: np.ndarray, change: np.ndarray, start: np.ndarray, out: str, key: Sequence[str], idx: str) -> DataFrame:
+    """Add `out`: the component of each row on the best path through its whole series."""
+    first = F.row_number().over(ordered(key, idx)) == 1
+    return decode_runs(df, z, first, F.lit(True), change, start, out, key, idx, lambda x: emission_matrix(x, mean, var))
 
 
 def overlap_counts(df: DataFrame, component: str = "component", state: str = "true_regime") -> DataFrame:
@@ -101,7 +105,7 @@ def align(counts: dict[tuple[int, str], int]) -> list[str]:
     return [STATES[s] for s in best]
 
 
-def fit(df: DataFrame, rounds: int = 20, seed: int = 42, key: Sequence[str] = KEY, idx: str = IDX, inits: int = 5, tol: float = 1e-3, state: str = "true_regime") -> GaussianHMM:
+def fit(df: DataFrame, rounds: int = 20, seed: int = 42, key: Sequence[str] = KEY, idx: str = IDX, inits: int = 30, tol: float = 1e-3, state: str = "true_regime") -> GaussianHMM:
     """Fit on diagnosed, labelled series. Only sums of statistics (of fixed size) come to the driver in each round; series
     of one row take no part. The start is the best of `inits` k-means runs."""
     from pyspark.ml.clustering import KMeans
@@ -149,14 +153,7 @@ def fit(df: DataFrame, rounds: int = 20, seed: int = 42, key: Sequence[str] = KE
             if len(history) > 1 and abs(history[-1] - history[-2]) < tol:
                 break
         model = GaussianHMM(center, scale, start, change, mean, var, [str(k) for k in range(K)], history)
-        schema_df = data.withColumnRenamed("z", "_z")
-
-        def components(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(idx, kind="stable")
-            path = viterbi_path(emission_matrix(np.stack(pdf["_z"]), mean, var), change, start)
-            return pd.DataFrame({"component": path, "true_regime": pdf[state]})
-
-        named = schema_df.groupBy(*key).applyInPandas(components, "component long, true_regime string")
+        named = decode_series(data, "z", mean, var, change, start, "component", key, idx).withColumnRenamed(state, "true_regime")
         model.names = align({(r["component"], r["true_regime"]): r["n"] for r in overlap_counts(named).collect()})
         return model
     finally:

@@ -80,8 +80,14 @@ def balanced_sample(df: DataFrame, cap: int = 75_000, number: Column | None = No
     from ..functions.core import draw
 
     number = F.col(KEY[0]) if number is None else number
-    place = F.row_number().over(Window.partitionBy("label").orderBy(draw(number, F.col(idx), seed, 31), number, idx))
-    return df.withColumn("_r", place).where(F.col("_r") <= cap).drop("_r")
+    df = df.withColumn("_u", draw(number, F.col(idx), seed, 31))
+    # A histogram of draws tells how far the least `cap` reach, so that few more rows than these are sorted.
+    bins = df.groupBy("label", F.floor(F.col("_u") * 4096).alias("_b")).agg(F.count("*").alias("_n"))
+    so_far = F.sum("_n").over(Window.partitionBy("label").orderBy("_b"))
+    last = bins.withColumn("_s", so_far - F.col("_n")).where(F.col("_s") < cap).groupBy(F.col("label").alias("_label")).agg(F.max("_b").alias("_last"))
+    near = df.join(F.broadcast(last), F.col("label") == F.col("_label")).where(F.floor(F.col("_u") * 4096) <= F.col("_last"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("_u", number, idx))
+    return near.withColumn("_r", place).where(F.col("_r") <= cap).drop("_r", "_u", "_label", "_last")
 
 
 @dataclass

@@ -11,13 +11,15 @@ from ..functions.core import IDX, KEY, clip, has_pair, ordered
 from .diagnostics import with_run_length
 from .states import public_state
 
+
 def interpolated(v: str, key: Sequence[str] = KEY, idx: str = IDX) -> Column:
-    """Linear by position between the nearest values on either side; the ends take the nearest value."""
-    w = ordered(key, idx)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    """Linear by position between the nearest values on either side; the ends take the nearest value. Both sides are
+    running frames, the later one in descending order, so a series costs one pass each way."""
+    back = ordered(key, idx).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*key).orderBy(F.col(idx).desc()).rowsBetween(Window.unboundedPreceding, 0)
     place = F.when(F.col(v).isNotNull(), F.col(idx))
     pv, pi = F.last(v, True).over(back), F.last(place, True).over(back)
-    nv, ni = F.first(v, True).over(ahead), F.first(place, True).over(ahead)
+    nv, ni = F.last(v, True).over(ahead), F.last(place, True).over(ahead)
     between = pv + (nv - pv) * (F.col(idx) - pi) / (ni - pi)
     return F.when(F.col(v).isNotNull(), F.col(v)).when(pv.isNull(), nv).when(nv.isNull(), pv).otherwise(between)
 
@@ -46,9 +48,9 @@ def global_interpolate(df: DataFrame, key: Sequence[str] = KEY, idx: str = IDX)
     return df.withColumns({v: interpolated(v, key, idx) for v in ("x", "y")})
 
 
-def short_gap_only(df: DataFrame, max_gap: int = 25, key: Sequence[str] = KEY, idx: str = IDX) -> DataFrame:
+def short_gap_only(df: DataFrame, max_gap: int | Column = 25, key: Sequence[str] = KEY, idx: str = IDX) -> DataFrame:
     """Fill gaps of at most max_gap samples and leave longer ones wholly open."""
-    if max_gap < 1:
+    if not isinstance(max_gap, Column) and max_gap < 1:
         raise ValueError("max_gap must be at least 1")
     df = with_run_length(df.withColumn("_gap", ~has_pair()), "_gap", "_run", key, idx)
     short = F.col("_gap") & (F.col("_run") <= max_gap)
@@ -68,7 +70,7 @@ def robust_clip(df: DataFrame, width: float, height: float) -> DataFrame:
     return df.withColumns({"x": clip(F.col("x"), 0, width), "y": clip(F.col("y"), 0, height)})
 
 
-def cleaners(width: float, height: float, key: Sequence[str] = KEY, idx: str = IDX, max_gap: int = 25) -> dict[str, Callable[[DataFrame], DataFrame]]:
+def cleaners(width: float, height: float, key: Sequence[str] = KEY, idx: str = IDX, max_gap: int | Column = 25) -> dict[str, Callable[[DataFrame], DataFrame]]:
     """Baseline cleaners by name; each maps a degraded table to a cleaned one."""
     return {
         "raw_degraded": lambda df: df,

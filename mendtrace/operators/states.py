@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,41 +62,75 @@ def finite_blocks(df: DataFrame, key: Sequence[str] = KEY, idx: str = IDX) -> Da
     return df.withColumn("block", F.when(F.col("m_t") == 0, F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)).drop("_b")
 
 
-def viterbi_path(scores: np.ndarray, change: np.ndarray, start: np.ndarray | float = 0.0) -> np.ndarray:
-    """The best path through scores (rows x states); ties go to the first state."""
-    n, k = scores.shape
-    best, back = scores[0] + start, np.zeros((n, k), np.int8)
-    for i in range(1, n):
-        through = best[:, None] + change
-        back[i] = through.argmax(0)
-        best = scores[i] + through[back[i], np.arange(k)]
-    path = np.empty(n, np.int64)
-    path[-1] = best.argmax()
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
+def viterbi_paths(scores: np.ndarray, begins: np.ndarray, sizes: np.ndarray, change: np.ndarray, start: np.ndarray | float = 0.0) -> np.ndarray:
+    """The best path of each block of scores (rows x states), all blocks in step; ties go to the first state."""
+    order = np.argsort(-sizes, kind="stable")
+    begins, sizes = begins[order], sizes[order]
+    back, path = np.zeros(scores.shape, np.int8), np.zeros(len(scores), np.int64)
+    best = scores[begins] + start
+    longest = int(sizes[0]) if len(sizes) else 0
+    for i in range(1, longest):
+        m = int(np.searchsorted(-sizes, -i, "left"))  # blocks with more than i rows
+        rows = begins[:m] + i
+        through = best[:m, :, None] + change
+        back[rows] = from_ = through.argmax(1)
+        best[:m] = scores[rows] + np.take_along_axis(through, from_[:, None, :], 1)[:, 0]
+    at = best.argmax(1)
+    path[begins + sizes - 1] = at
+    for i in range(longest - 1, 0, -1):
+        m = int(np.searchsorted(-sizes, -i, "left"))
+        rows = begins[:m] + i
+        at[:m] = back[rows, at[:m]]
+        path[rows - 1] = at[:m]
     return path
 
 
-def decode_blocks(df: DataFrame, scores: str, change: np.ndarray, start: np.ndarray | float, out: str, key: Sequence[str] = KEY, idx: str = IDX) -> DataFrame:
-    """Add `out`: the place of each finite row's state on its block's Viterbi path; NULL on missing rows.
+def decode_runs(df: DataFrame, scores: str, begins: Column, inside: Column, change: np.ndarray, start: np.ndarray | float, out: str, key: Sequence[str] = KEY, idx: str = IDX, to_scores: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Add `out`: the place of each row's state on the Viterbi path of its run; NULL on rows outside runs.
 
-    `scores` is an array column. Blocks decode on their own, so a task holds the rows of one series at a time.
+    `scores` is an array column (to_scores maps its rows to scores if they are no scores themselves). A run begins where
+    `begins` holds and goes on over rows `inside`; both are window expressions over the series. Rows stream through in the
+    order of their series, other columns untouched; a task holds one batch and one run.
     """
-    df = finite_blocks(df, key, idx)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.IntegerType())])
+    df = df.withColumns({"_begin": begins, "_in": inside})
+    schema = T.StructType([*(f for f in df.schema.fields if f.name not in ("_begin", "_in")), T.StructField(out, T.IntegerType())])
+
+    def decoded(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = t.combine_chunks()
+        there, first = (t[c].to_numpy() for c in ("_in", "_begin"))
+        path = np.zeros(t.num_rows, np.int32)
+        if there.any():
+            flat = t[scores].filter(t["_in"]).combine_chunks().flatten()
+            s = flat.to_numpy(zero_copy_only=False).reshape(int(there.sum()), -1)
+            at = np.flatnonzero(first[there])
+            path[there] = viterbi_paths(to_scores(s) if to_scores else s, at, np.diff(np.append(at, len(s))), change, start)
+        yield from t.drop_columns(["_begin", "_in"]).append_column(out, pa.array(path, mask=~there)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            there, first = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_in", "_begin"))
+            ends = np.flatnonzero(first | ~there)  # a row here ends the run before it
+            if not len(ends):
+                held.append(b)
+                continue
+            cut = int(ends[-1]) if there[ends[-1]] else b.num_rows
+            if held or cut:
+                yield from decoded(pa.Table.from_batches([*held, b.slice(0, cut)]))
+            held = [b.slice(cut)] if cut < b.num_rows else []
+        if held:
+            yield from decoded(pa.Table.from_batches(held))
+
+    return df.sortWithinPartitions(*key, idx).mapInArrow(run, schema)
 
-    def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx, kind="stable")
-        path = np.full(len(pdf), -1, np.int64)
-        block = pdf["block"].to_numpy(float)
-        rows = np.flatnonzero(~np.isnan(block))
-        if len(rows):
-            s = np.stack(pdf[scores].to_numpy()[rows])
-            for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(block[rows])) + 1):
-                path[rows[part]] = viterbi_path(s[part], change, start)
-        return pdf.assign(**{out: pd.array(path, "Int32")}).assign(**{out: lambda d: d[out].where(path >= 0)})
 
-    return df.groupBy(*key).applyInPandas(decode, schema)
+def decode_blocks(df: DataFrame, scores: str, change: np.ndarray, start: np.ndarray | float, out: str, key: Sequence[str] = KEY, idx: str = IDX) -> DataFrame:
+    """Add `block` and `out`: the place of each finite row's state on its block's Viterbi path; NULL on missing rows."""
+    before = F.coalesce(F.lag("m_t").over(ordered(key, idx)), F.lit(1))
+    here = F.col("m_t") == 0
+    return decode_runs(finite_blocks(df, key, idx), scores, here & (before == 1), here, change, start, out, key, idx)
 
 
 def viterbi_d(df: DataFrame, key: Sequence[str] = KEY, idx: str = IDX, out: str = "state") -> DataFrame:
@@ -141,6 +175,11 @@ def predict_regimes(df: DataFrame, fs: Column, seconds: float = SHORT_GAP_SECOND
     return viterbi_d(potentials(df, fs, seconds, key), key, idx, out)
 
 
+def predict_regimes_simple(df: DataFrame, fs: Column, seconds: float = SHORT_GAP_SECONDS, jitter_quantile: float = 0.995, key: Sequence[str] = KEY, idx: str = IDX, out: str = "state") -> DataFrame:
+    """Another name of predict_regimes(); jitter_quantile is accepted and has no effect."""
+    return predict_regimes(df, fs, seconds, key, idx, out)
+
+
 def oracle_path(df: DataFrame, out: str = "state") -> DataFrame:
     if "true_regime" not in df.columns:
         raise ValueError("the oracle path needs the column true_regime")

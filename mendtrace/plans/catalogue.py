@@ -91,10 +91,10 @@ def stated(spark: SparkSession, d: str) -> DataFrame:
     return ST.pointwise(scored(spark, d))
 
 
-def cases(spark: SparkSession, d: str) -> DataFrame:
-    """Supplier series, each corrupted in the way that its number names."""
+def cases(spark: SparkSession, d: str, kind: str | None = None) -> DataFrame:
+    """Supplier series, each corrupted in the way `kind`, or in the one that its number names."""
     pick = lambda names, n: F.element_at(F.array(*(F.lit(x) for x in names)), (F.col("series") % n + 1).cast("int"))
-    df = lines(spark, d).withColumns({"corruption": pick(W.CORRUPTIONS, 5), "severity": pick(("low", "medium", "high"), 3), "seed": F.col("series") % 10})
+    df = lines(spark, d).withColumns({"corruption": F.lit(kind) if kind else pick(W.CORRUPTIONS, 5), "severity": pick(("low", "medium", "high"), 3), "seed": F.col("series") % 10})
     return CO.inject(df)
 
 
@@ -223,21 +223,26 @@ add("pivot_methods", "dataset:s participant_id:s " + " ".join(f"{m}:d" for m in
 add("unpivot_metrics", "method:s metric:s value:d", lambda s, d: A.means(measured(s, d), ("method",)).unpivot(["method"], list(ME.METRICS), "metric", "value"), MEQ, " UNION ALL ".join(f"SELECT method, '{m}' AS metric, avg({m}) AS value FROM me GROUP BY method" for m in ME.METRICS))
 
 # Bootstrap with portable draws
-REPS = 200
+REPS = 2000
 _bs = f"""un AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY participant_id) - 1 AS i, count(*) OVER (PARTITION BY dataset) AS n FROM (SELECT DISTINCT dataset, participant_id FROM pa) AS z),
 sl AS (SELECT dataset, replicate, floor({draw_sql('replicate', 'i', '20260728', 7)} * n) AS pick FROM un, (SELECT unnest(range({REPS})) AS replicate) AS r),
 sa AS (SELECT sl.dataset, sl.replicate, un.participant_id FROM sl JOIN un ON un.dataset = sl.dataset AND un.i = sl.pick)"""
-_three = ("Q_local", "mae", "rmse")
-_union = lambda t, by, v: " UNION ALL ".join(f"SELECT {by}'{m}' AS metric, {m} AS {v} FROM {t}" for m in _three)
-PBQ = f"""{PAQ},\n{_bs},
-df AS (SELECT dataset, participant_id, {', '.join(f"max(CASE WHEN method = 'pointwise_d' THEN {m} END) - max(CASE WHEN method = 'global_interpolate' THEN {m} END) AS {m}" for m in _three)} FROM pa GROUP BY ALL),
-ob AS (SELECT {', '.join(f'avg({m}) AS {m}' for m in _three)} FROM (SELECT dataset, {', '.join(f'avg({m}) AS {m}' for m in _three)} FROM df GROUP BY dataset) AS z),
-dr AS (SELECT replicate, {', '.join(f'avg({m}) AS {m}' for m in _three)} FROM (SELECT replicate, dataset, {', '.join(f'avg({m}) AS {m}' for m in _three)} FROM sa JOIN df USING (dataset, participant_id) GROUP BY ALL) AS z GROUP BY replicate)"""
-add("paired_bootstrap_portable", "metric:s difference:d5 ci_low:d5 ci_high:d5 favorable_direction:s", lambda s, d: A.paired_bootstrap(participants(s, d), "pointwise_d", "global_interpolate", REPS), PBQ, f"SELECT o.metric, o.difference, l.ci_low, l.ci_high, CASE WHEN o.metric = 'Q_local' THEN 'positive' ELSE 'negative' END AS favorable_direction FROM ({_union('ob', '', 'difference')}) AS o JOIN (SELECT metric, quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0.975) AS ci_high FROM ({_union('dr', '', 'v')}) AS z GROUP BY metric) AS l USING (metric)")
+_all = ("Q_local", "long_safety", *ME.METRICS)
+_safe = lambda df: df.withColumn("long_safety", 1 - F.col("long_hallucination"))
+_good = f"CASE WHEN o.metric IN {A.LOWER_IS_BETTER!r} THEN 'negative' ELSE 'positive' END AS favorable_direction"
+_union = lambda t, by, v: " UNION ALL ".join(f"SELECT {by}'{m}' AS metric, {m} AS {v} FROM {t}" for m in _all)
+_paired = lambda a, b: f"""{_bs},
+pb AS (SELECT *, 1 - long_hallucination AS long_safety FROM pa),
+df AS (SELECT dataset, participant_id, {', '.join(f"max(CASE WHEN method = '{a}' THEN {m} END) - max(CASE WHEN method = '{b}' THEN {m} END) AS {m}" for m in _all)} FROM pb GROUP BY ALL),
+ob AS (SELECT {', '.join(f'avg({m}) AS {m}' for m in _all)} FROM (SELECT dataset, {', '.join(f'avg({m}) AS {m}' for m in _all)} FROM df GROUP BY dataset) AS z),
+dr AS (SELECT replicate, {', '.join(f'avg({m}) AS {m}' for m in _all)} FROM (SELECT replicate, dataset, {', '.join(f'avg({m}) AS {m}' for m in _all)} FROM sa JOIN df USING (dataset, participant_id) GROUP BY ALL) AS z GROUP BY replicate)"""
+_interval = f"SELECT o.metric, o.difference, l.ci_low, l.ci_high, {_good} FROM ({_union('ob', '', 'difference')}) AS o JOIN (SELECT metric, quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0.975) AS ci_high FROM ({_union('dr', '', 'v')}) AS z GROUP BY metric) AS l USING (metric)"
+add("paired_bootstrap_portable", "metric:s difference:d5 ci_low:d5 ci_high:d5 favorable_direction:s", lambda s, d: A.paired_bootstrap(_safe(participants(s, d)), "pointwise_d", "global_interpolate", REPS, metrics=_all), f"{PAQ},\n{_paired('pointwise_d', 'global_interpolate')}", _interval)
 HBQ = f"""{PAQ},\n{_bs},
-dr AS (SELECT method, replicate, {', '.join(f'avg({m}) AS {m}' for m in _three)} FROM (SELECT method, replicate, dataset, {', '.join(f'avg({m}) AS {m}' for m in _three)} FROM sa JOIN pa USING (dataset, participant_id) GROUP BY ALL) AS z GROUP BY ALL),
-ob AS (SELECT method, {', '.join(f'avg({m}) AS {m}' for m in _three)} FROM (SELECT method, dataset, {', '.join(f'avg({m}) AS {m}' for m in _three)} FROM pa GROUP BY ALL) AS z GROUP BY method)"""
-add("hierarchical_bootstrap_portable", "method:s metric:s mean:d5 ci_low:d5 ci_high:d5", lambda s, d: A.hierarchical_bootstrap(participants(s, d), _three, REPS), HBQ, f"SELECT o.method, o.metric, o.mean, l.ci_low, l.ci_high FROM ({_union('ob', 'method, ', 'mean')}) AS o JOIN (SELECT method, metric, quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0.975) AS ci_high FROM ({_union('dr', 'method, ', 'v')}) AS z GROUP BY ALL) AS l USING (method, metric)")
+pb AS (SELECT *, 1 - long_hallucination AS long_safety FROM pa),
+dr AS (SELECT method, replicate, {', '.join(f'avg({m}) AS {m}' for m in _all)} FROM (SELECT method, replicate, dataset, {', '.join(f'avg({m}) AS {m}' for m in _all)} FROM sa JOIN pb USING (dataset, participant_id) GROUP BY ALL) AS z GROUP BY ALL),
+ob AS (SELECT method, {', '.join(f'avg({m}) AS {m}' for m in _all)} FROM (SELECT method, dataset, {', '.join(f'avg({m}) AS {m}' for m in _all)} FROM pb GROUP BY ALL) AS z GROUP BY method)"""
+add("hierarchical_bootstrap_portable", "method:s metric:s mean:d5 ci_low:d5 ci_high:d5", lambda s, d: A.hierarchical_bootstrap(_safe(participants(s, d)), _all, REPS), HBQ, f"SELECT o.method, o.metric, o.mean, l.ci_low, l.ci_high FROM ({_union('ob', 'method, ', 'mean')}) AS o JOIN (SELECT method, metric, quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0.975) AS ci_high FROM ({_union('dr', 'method, ', 'v')}) AS z GROUP BY ALL) AS l USING (method, metric)")
 
 # Timing tables: shipping delays of order lines stand for milliseconds, two lines of an order for two methods
 _timing = "SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'A' ELSE 'B' END AS dataset, l_linenumber AS duration_setting_s, CASE WHEN l_partkey % 2 = 0 THEN 'P' ELSE 'H' END AS method, l_orderkey % 50 AS pair, l_extendedprice AS milliseconds FROM lineitem"
@@ -267,7 +272,7 @@ re AS (SELECT series, sample_idx, (sample_idx - CASE WHEN sample_idx % 97 = 5 TH
 dt AS (SELECT *, time_s - lag(time_s) OVER (PARTITION BY source_file, participant_id, segment_id ORDER BY time_s) AS dt FROM re)"""
 add("segment_rate", "source_file:s participant_id:s segment_id:s hz:d", lambda s, d: W.sampling_rate(recordings(s, d)), REQ, "SELECT source_file, participant_id, segment_id, 1 / median(dt) AS hz FROM dt WHERE dt > 0 GROUP BY ALL")
 add("dataset_rate", "dataset:s hz:d", lambda s, d: W.sampling_rate(recordings(s, d), by=("dataset",)), REQ, "SELECT dataset, 1 / median(dt) AS hz FROM dt WHERE dt > 0 GROUP BY ALL")
-add("rate_fallback", "source_file:s participant_id:s segment_id:s hz:d", lambda s, d: W.rate_or(recordings(s, d).where("series % 2 = 0 or sample_idx = 0"), F.lit(59.88)), REQ, "SELECT source_file, participant_id, segment_id, CASE WHEN series % 2 = 0 THEN coalesce(1 / median(CASE WHEN dt > 0 THEN dt END), 59.88) ELSE 59.88 END AS hz FROM dt GROUP BY source_file, participant_id, segment_id, series")
+add("rate_fallback", "source_file:s participant_id:s segment_id:s hz:d", lambda s, d: W.rate_or(recordings(s, d).withColumn("time_s", F.when(F.col("series") % 2 == 0, F.col("time_s")).otherwise(0.0)), F.lit(59.88)), REQ, "SELECT source_file, participant_id, segment_id, coalesce(1 / median(CASE WHEN series % 2 = 0 AND dt > 0 THEN dt END), 59.88) AS hz FROM dt GROUP BY source_file, participant_id, segment_id")
 add("rate_report", "source_file:s median_hz:d min_recording_hz:d max_recording_hz:d n_recordings:l n_participants:l", lambda s, d: W.rate_report(recordings(s, d)), REQ, "SELECT source_file, median(hz) AS median_hz, min(hz) AS min_recording_hz, max(hz) AS max_recording_hz, count(*) AS n_recordings, count(DISTINCT participant_id) AS n_participants FROM (SELECT source_file, participant_id, segment_id, 1 / median(dt) AS hz FROM dt WHERE dt > 0 GROUP BY ALL) AS z GROUP BY source_file")
 _k3 = "source_file, participant_id, segment_id"
 FWQ = f"""{REQ},
@@ -312,8 +317,8 @@ add("case_specs", "dataset:s case_segment:s seed:l severity:s corruption:s", _sp
 # Corruptions
 add("movement_label", _row + "true_regime:s", lambda s, d: CO.mark_movement(lines(s, d)), COQ, "SELECT series, sample_idx, reg0 AS true_regime FROM co2")
 _co = _row + "x:d4 y:d4 true_regime:s unstable_subtype:s"
-for _name, _k in {"corrupt_short_gap": 0, "corrupt_long_gap": 1, "corrupt_jitter_portable": 2, "corrupt_spike_portable": 3, "corrupt_mixed": 4}.items():
-    add(_name, _co, lambda s, d, k=_k: cases(s, d).where(F.col("series") % 5 == k), COQ, f"FROM co WHERE series % 5 = {_k}")
+for _name, _k in {"corrupt_short_gap": "short_gap", "corrupt_long_gap": "long_gap", "corrupt_jitter_portable": "jitter", "corrupt_spike_portable": "spike", "corrupt_mixed": "mixed"}.items():
+    add(_name, _co, lambda s, d, k=_k: cases(s, d, k), f"{LI},\n{Q.corrupted(kind=_k)}", "FROM co")
 add("prepared_cases", _row + "m_t:l r_t:l p_t:l c_t:d2 true_regime:s", lambda s, d: DG.diagnose(cases(s, d), LW, LH), CDQ, "FROM cdg")
 
 
@@ -362,6 +367,34 @@ add("hybrid_p_stub", _row + "state:s", lambda s, d: hybrid_stub(s, d, 0.0), POQ,
 add("hybrid_h_stub", _row + "state:s", lambda s, d: hybrid_stub(s, d, 0.5), HSQ, f"SELECT em.series, em.sample_idx, CASE {_lost} ELSE {_expand}[p + 1] END AS state FROM em LEFT JOIN hv USING (series, sample_idx)")
 add("prediction_disagreement", "series:l state_disagreement_fraction:d", lambda s, d: ST.viterbi_d(stated(s, d), out="h").groupBy("series").agg(F.avg((F.col("state") != F.col("h")).cast("double")).alias("state_disagreement_fraction")), VIQ, f"SELECT pw.series, avg(CASE WHEN pw.state <> h.state THEN 1.0 ELSE 0.0 END) AS state_disagreement_fraction FROM pw JOIN ({_vit}) AS h USING (series, sample_idx) GROUP BY pw.series")
 
+_fixed = HY.HybridModel(*(np.array(v, float) for v in ([i / 10 for i in range(13)], [1 + i / 20 for i in range(13)], [[((13 * k + i) % 7 - 3) / 10 for i in range(13)] for k in range(4)], [k / 10 for k in range(4)])), _T, np.full(4, np.log(0.25)), 1.0)
+_logits = ", ".join(" + ".join([f"{b!r}::DOUBLE", *(f"({f} - {m!r}::DOUBLE) / {s!r}::DOUBLE * {w!r}::DOUBLE" for f, m, s, w in zip(HY.FEATURES, _fixed.mean.tolist(), _fixed.scale.tolist(), ws, strict=True))]) + f" AS l{k}" for k, (ws, b) in enumerate(zip(_fixed.coefficients.tolist(), _fixed.intercepts.tolist(), strict=True)))
+EMQ = f"{FTQ},\nlo AS (SELECT series, sample_idx, {_logits} FROM ft),\nnm AS (SELECT *, greatest(l0, l1, l2, l3) AS top FROM lo)"
+_soft = ", ".join(f"ln(greatest(exp(l{k} - top) / ({' + '.join(f'exp(l{j} - top)' for j in range(4))}), 1e-12)) AS e{k}" for k in range(4))
+add("hybrid_emissions", _row + "e0:d e1:d e2:d e3:d", lambda s, d: _fixed.emissions(featured(s, d)).withColumns({f"e{k}": F.col("emissions")[k] for k in range(4)}), EMQ, f"SELECT series, sample_idx, {_soft} FROM nm")
+
+
+def pointwise_and_viterbi(spark: SparkSession, d: str) -> DataFrame:
+    """Participants' means of repairs after pointwise and after Viterbi states."""
+    df = ST.viterbi_d(ST.pointwise(ST.potentials(DG.diagnose(cases(spark, d), LW, LH), F.lit(250.0))), out="h")
+    df = df.withColumns({f"{v}_{m}": R.mended(v, c) for v in ("x", "y") for m, c in (("p", "state"), ("h", "h"))})
+    each = F.array(*(F.struct(F.lit(m).alias("method"), F.col(f"x_{c}").alias("x"), F.col(f"y_{c}").alias("y"), F.col(s).alias("pred_regime")) for m, c, s in (("pointwise_d", "p", "state"), ("viterbi_d", "h", "h"))))
+    keep = ("series", "sample_idx", "x_clean", "y_clean", "x_degraded", "y_degraded", "true_regime")
+    return A.participant_means(named(ME.evaluate(df.select(*keep, F.explode(each).alias("o")).select(*keep, "o.*"), LW, LH, ("series", "method"))))
+
+
+_carried = "series, sample_idx, xr AS x, yr AS y, x_clean, y_clean, x AS x_degraded, y AS y_degraded, true_regime"
+PVQ = f"""{CDQ},
+{Q.viterbi('cpo', ['s1', 's2', 's5'], _change, [0.0] * 3, 'cv')},
+cvh AS (SELECT cpw.*, CASE WHEN m_t = 1 THEN state ELSE ['Stable', 'Movement', 'Unstable'][p + 1] END AS h FROM cpw LEFT JOIN cv USING (series, sample_idx)),
+{Q.repair('cvh', 'state', 'rp')},
+{Q.repair('cvh', 'h', 'rh')},
+ou AS (SELECT {_carried}, state AS pred_regime, 'pointwise_d' AS method FROM rp UNION ALL SELECT {_carried}, h, 'viterbi_d' FROM rh),
+{Q.metrics('ou', LW, LH, 'mq')},\nme AS (SELECT *, {_names} FROM mq),
+pa AS (SELECT *, {Q.AVAILABLE} AS Q_local FROM (SELECT dataset, participant_id, method, {_means} FROM me GROUP BY ALL)),
+{_paired('pointwise_d', 'viterbi_d')}"""
+add("pointwise_minus_viterbi", "metric:s difference:d5 ci_low:d5 ci_high:d5 favorable_direction:s", lambda s, d: A.paired_bootstrap(_safe(pointwise_and_viterbi(s, d)), "pointwise_d", "viterbi_d", REPS, metrics=_all), PVQ, _interval)
+
 # The generative model
 _logged = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN ln(1 + greatest({c}, 0)) END::DOUBLE AS l_{c}" if c in GE.LOGGED else f"{c}::DOUBLE AS l_{c}" for c in GE.INPUTS)
 add("robust_scale", "name:s center:d9 scale:d9", lambda s, d: GE.robust_scale(diagnosed(s, d)), f"{DGQ},\nlg AS (SELECT {_logged} FROM dg)", " UNION ALL ".join(f"SELECT '{c}' AS name, median(l_{c}) AS center, CASE WHEN coalesce(quantile_cont(l_{c}, 0.75) - quantile_cont(l_{c}, 0.25), 0) < 1e-6 THEN 1.0 ELSE quantile_cont(l_{c}, 0.75) - quantile_cont(l_{c}, 0.25) END AS scale FROM lg" for c in GE.INPUTS))
@@ -433,7 +466,7 @@ def hybrid_fit_predict(spark: SparkSession, d: str) -> DataFrame:
 
 def gaussian_fit_predict(spark: SparkSession, d: str) -> DataFrame:
     df = DG.diagnose(cases(spark, d), LW, LH)
-    return GE.fit(df, rounds=3, inits=2).predict(df).groupBy("true_regime", "state").agg(F.count("*").alias("n"))
+    return GE.fit(df).predict(df).groupBy("true_regime", "state").agg(F.count("*").alias("n"))
 
 
 def shifted(spark: SparkSession, d: str) -> DataFrame:
@@ -444,7 +477,7 @@ def shifted(spark: SparkSession, d: str) -> DataFrame:
 
 add("hybrid_fit_predict", "true_regime:s state:s n:l", hybrid_fit_predict)
 add("gaussian_hmm_fit_predict", "true_regime:s state:s n:l", gaussian_fit_predict)
-add("shifted_generator", _row + "x:d4 y:d4 true_regime:s unstable_subtype:s", shifted)
+add("shifted_generator", _row + "x:d4 y:d4 true_regime:s unstable_subtype:s", shifted, f"{LI},\n{Q.shifted()}", "FROM sh")
 add("synthetic_traces", "dataset:s participant_id:s time_s:d x:d y:d", lambda s, d: IO.synthetic_traces(s)[0])
 
 

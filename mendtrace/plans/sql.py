@@ -77,12 +77,13 @@ def viterbi(src: str, scores: list[str], change: list[list[float]], start: list[
 {out} AS (SELECT series, sample_idx, p FROM {out}g)"""
 
 
-def corrupted(src: str = "li", out: str = "co") -> str:
-    """Expressions that end in {out}: each series corrupted in one way that its number names."""
+def corrupted(src: str = "li", out: str = "co", kind: str | None = None) -> str:
+    """Expressions that end in {out}: each series corrupted in the way `kind`, or in the one that its number names."""
+    way = f"'{kind}'" if kind else "['short_gap', 'long_gap', 'jitter', 'spike', 'mixed'][CAST(series % 5 + 1 AS INTEGER)]"
     n = lambda s: normal_sql("series", "sample_idx", "seed", s)
     inside = lambda a, b: f"(sample_idx >= floor(n * {a}::DOUBLE) AND sample_idx < floor(n * {a}::DOUBLE) + greatest(2, floor(n * {b})))"
     med = lambda c: f"median({c}) OVER (PARTITION BY series)"
-    return f"""{out}1 AS (SELECT *, count(*) OVER (PARTITION BY series) AS n, ['short_gap', 'long_gap', 'jitter', 'spike', 'mixed'][CAST(series % 5 + 1 AS INTEGER)] AS corruption,
+    return f"""{out}1 AS (SELECT *, count(*) OVER (PARTITION BY series) AS n, {way} AS corruption,
   ['low', 'medium', 'high'][CAST(series % 3 + 1 AS INTEGER)] AS severity, [1.0, 1.7, 2.5][CAST(series % 3 + 1 AS INTEGER)]::DOUBLE AS f, series % 10 AS seed,
   sqrt((x - lag(x) OVER {OVER}) * (x - lag(x) OVER {OVER}) + (y - lag(y) OVER {OVER}) * (y - lag(y) OVER {OVER})) AS step FROM {src}),
 {out}2 AS (SELECT *, x AS x_clean, y AS y_clean, CASE WHEN coalesce(step >= quantile_cont(step, 0.9) OVER (PARTITION BY series), FALSE) THEN 'Movement' ELSE 'Stable' END AS reg0,
@@ -96,6 +97,35 @@ def corrupted(src: str = "li", out: str = "co") -> str:
   CASE WHEN s THEN 'impulse' WHEN j THEN 'burst' ELSE '' END AS unstable_subtype FROM {out}5)"""
 
 
+def shifted(src: str = "li", out: str = "sh", fallback: str = "250.0") -> str:
+    """Expressions that end in {out}: the shifted generator on each series in the way that its number names."""
+    d = lambda i, s: draw_sql("series", str(i), "seed", s)
+    row = lambda s: draw_sql("series", "sample_idx", "seed", s)
+    n = lambda s: normal_sql("series", "sample_idx", "seed", s)
+    spans = (("short_gap", "0.10::DOUBLE * f", "least(0.49::DOUBLE, 0.22::DOUBLE * f)"), ("long_gap", "greatest(0.51::DOUBLE, 0.58::DOUBLE * f)", "least(1.8::DOUBLE, 0.85::DOUBLE * f)"), ("jitter", "0.12::DOUBLE", "least(0.65::DOUBLE, 0.25::DOUBLE * f)"))
+    sizes = ", ".join(f"CASE WHEN corruption IN ('{k}', 'mixed') THEN greatest(2, CAST(round_even(({a} + {d(i, 41)} * ({b} - ({a}))) * hz, 0) AS INTEGER)) ELSE 0 END AS l{i}" for i, (k, a, b) in enumerate(spans))
+    ranks = ", ".join(f"{' + '.join(f'CASE WHEN {d(j, 43)} < {d(i, 43)} THEN 1 ELSE 0 END' for j in range(3) if j != i)} AS k{i}" for i in range(3))
+    begins = ", ".join(f"first + floor(free * list_sort([{', '.join(d(j, 47) for j in range(3))}])[k{i} + 1]) + {' + '.join(f'CASE WHEN k{j} < k{i} THEN l{j} ELSE 0 END' for j in range(3) if j != i)} AS s{i}" for i in range(3))
+    inside = lambda i: f"(sample_idx >= s{i} AND sample_idx < s{i} + l{i})"
+    laplace = lambda s: f"(-sign({row(s)} - 0.5) * ln(1 - 2 * abs({row(s)} - 0.5)))"
+    phase = f"((sample_idx - s2) / greatest(l2 - 1, 1)::DOUBLE * (1 + 1.5::DOUBLE * {d(0, 53)}) * 3.141592653589793::DOUBLE)"
+    student = lambda s: f"({n(s)} / sqrt(({' + '.join(f'{n(s + 2 * k)} * {n(s + 2 * k)}' for k in (1, 2, 3))}) / 3))"
+    return f"""{out}0 AS (SELECT *, count(*) OVER (PARTITION BY series) AS n, time_s - lag(time_s) OVER {OVER} AS dt, ['short_gap', 'long_gap', 'jitter', 'spike', 'mixed'][CAST(series % 5 + 1 AS INTEGER)] AS corruption,
+  [1.0, 1.7, 2.5][CAST(series % 3 + 1 AS INTEGER)]::DOUBLE AS f, series % 10 AS seed, sqrt((x - lag(x) OVER {OVER}) * (x - lag(x) OVER {OVER}) + (y - lag(y) OVER {OVER}) * (y - lag(y) OVER {OVER})) AS step FROM {src}),
+{out}1 AS (SELECT *, coalesce(1 / median(CASE WHEN dt > 0 THEN dt END) OVER (PARTITION BY series), {fallback}) AS hz, CASE WHEN coalesce(step >= quantile_cont(step, 0.85) OVER (PARTITION BY series), FALSE) THEN 'Movement' ELSE 'Stable' END AS reg0 FROM {out}0),
+{out}2 AS (SELECT *, {sizes}, {ranks}, floor(0.08::DOUBLE * n) AS first, floor(0.92::DOUBLE * n) AS last FROM {out}1),
+{out}3 AS (SELECT *, greatest(0, last - first - l0 - l1 - l2) AS free FROM {out}2),
+{out}4 AS (SELECT *, {begins} FROM {out}3),
+{out}5 AS (SELECT *, CASE WHEN {inside(1)} THEN 'LossLong' WHEN {inside(0)} THEN 'LossShort' END AS g FROM {out}4),
+{out}6 AS (SELECT *, (g IS NULL AND x IS NOT NULL AND y IS NOT NULL) AS ok, CASE WHEN g IS NULL THEN x END AS x1, CASE WHEN g IS NULL THEN y END AS y1 FROM {out}5),
+{out}7 AS (SELECT *, ({inside(2)} AND ok) AS j, (ok AND (sample_idx < n - 2 OR n <= 2) AND corruption IN ('spike', 'mixed')) AS may FROM {out}6),
+{out}8 AS (SELECT *, CASE WHEN j THEN x1 + f * (4.5::DOUBLE * {laplace(59)} + 5.0::DOUBLE * sin({phase})) ELSE x1 END AS x2, CASE WHEN j THEN y1 + f * (4.5::DOUBLE * {laplace(61)} + 5.0::DOUBLE * cos({phase})) ELSE y1 END AS y2,
+  CASE WHEN may AND row_number() OVER (PARTITION BY series, may ORDER BY {row(67)}, sample_idx) <= greatest(1, CAST(round_even(0.006::DOUBLE * n * f, 0) AS INTEGER)) THEN CASE WHEN {row(71)} < 0.5 THEN 1 WHEN {row(71)} < 0.85 THEN 2 ELSE 3 END ELSE 0 END AS w FROM {out}7),
+{out}9 AS (SELECT *, (ok AND (w >= 1 OR coalesce(lag(w) OVER {OVER}, 0) >= 2 OR coalesce(lag(w, 2) OVER {OVER}, 0) >= 3)) AS p FROM {out}8),
+{out} AS (SELECT series, sample_idx, time_s, corruption, CASE WHEN p THEN x2 + {student(73)} * 220.0::DOUBLE * f ELSE x2 END AS x, CASE WHEN p THEN y2 + {student(83)} * 160.0::DOUBLE * f ELSE y2 END AS y,
+  CASE WHEN p OR j THEN 'Unstable' ELSE coalesce(g, reg0) END AS true_regime, CASE WHEN p THEN 'impulse' WHEN j THEN 'burst' ELSE '' END AS unstable_subtype FROM {out}9)"""
+
+
 def metrics(src: str, width: float, height: float, out: str) -> str:
     """Expressions that end in {out}: one row per series and method. src: x, y, x_clean, y_clean, x_degraded, y_degraded, true_regime, method."""
     w = "(PARTITION BY series, method ORDER BY sample_idx)"

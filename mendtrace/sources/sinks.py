@@ -1,10 +1,8 @@
-"""Sinks and checks: CSV tables, JSON summaries, LaTeX tables, the data of charts, digests of files."""
+"""Sinks and checks: CSV tables, JSON summaries, LaTeX tables, digests of files."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,16 +30,6 @@ def latex(df: DataFrame, digits: int = 3, most: int = 1000) -> str:
     return "\n".join([rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", r"\toprule", line(df.columns), r"\midrule", *(line(r) for r in rows), r"\bottomrule", r"\end{tabular}"])
 
 
-def grouped_bar_data(df: DataFrame, index: str, columns: str, values: str, order: Sequence[str]) -> DataFrame:
-    """What a grouped bar chart shows: one row per index, one column per value of `columns`."""
-    return df.groupBy(index).pivot(columns, list(order)).agg(F.first(values))
-
-
-def disagreement(df: DataFrame, key: Sequence[str], a: str, b: str) -> DataFrame:
-    """Share of rows on which two predictions differ."""
-    return df.groupBy(*key).agg(F.avg((F.col(a) != F.col(b)).cast("double")).alias("state_disagreement_fraction"))
-
-
 def file_digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, sha256) of whole files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mendtrace.functions.core import normalize_id
-from mendtrace.operators import corrupt, diagnostics, generative, hybrid, metrics, repair, states, windows
+from mendtrace.operators import corrupt, diagnostics, generative, hybrid, methods, metrics, repair, states, windows
 from mendtrace.sources import recordings, sinks
 
 SCHEMA = "series long, sample_idx long, time_s double, x double, y double"
@@ -168,3 +168,96 @@ def test_shifted_generator_does_not_depend_on_partitions(spark):
     a, b = (corrupt.inject_shifted(d, 60.0).orderBy("sample_idx").toPandas() for d in (df, df.repartition(7)))
     pd.testing.assert_frame_equal(a, b)
     assert (a.true_regime == "LossLong").any()
+
+
+def test_shifted_intervals_never_overlap(spark):
+    df = spark.range(40).select(F.col("id").alias("series"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(399).cast("long"))).alias("sample_idx"))
+    df = df.withColumns({"time_s": F.col("sample_idx") / 60.0, "x": F.col("sample_idx") * 1.0, "y": F.col("sample_idx") * 0.5, "corruption": F.lit("mixed"), "severity": F.lit("medium"), "seed": F.col("series")})
+    got = corrupt.inject_shifted(df, 60.0).orderBy("series", "sample_idx").toPandas()
+    for _, g in got.groupby("series"):
+        lost = g.x.isna().to_numpy()
+        runs = np.flatnonzero(np.diff(np.concatenate([[0], lost.astype(int)])) == 1)
+        counts = g.true_regime.value_counts()
+        assert 1 <= len(runs) <= 2 and counts["LossShort"] + counts["LossLong"] == lost.sum()
+        assert 0.17 * 60 - 1 <= counts["LossShort"] <= 0.374 * 60 + 1 and 0.986 * 60 - 1 <= counts["LossLong"] <= 1.445 * 60 + 1
+        assert (g.unstable_subtype == "impulse").sum() >= 1 and g.sample_idx[lost].between(32, 368).all()
+        calm = ~lost & (g.unstable_subtype == "").to_numpy()
+        assert (g.x[calm] == g.x_clean[calm]).all()
+
+
+def slow_path(scores, change, start):
+    best, back = scores[0] + start, []
+    for s in scores[1:]:
+        through = best[:, None] + change
+        back.append(through.argmax(0))
+        best = s + through[back[-1], np.arange(len(s))]
+    path = [int(best.argmax())]
+    for b in back[::-1]:
+        path.append(int(b[path[-1]]))
+    return path[::-1]
+
+
+def test_viterbi_paths_in_step():
+    r = np.random.default_rng(6)
+    sizes = np.array([1, 7, 3, 1, 20, 7])
+    scores, change = np.round(r.normal(size=(sizes.sum(), 4)), 1), np.round(r.normal(size=(4, 4)), 1)
+    begins = np.cumsum(sizes) - sizes
+    got = states.viterbi_paths(scores, begins, sizes, change, np.arange(4) * 0.1)
+    assert got.tolist() == [p for b, n in zip(begins, sizes, strict=True) for p in slow_path(scores[b : b + n], change, np.arange(4) * 0.1)]
+    assert states.viterbi_paths(np.zeros((0, 3)), np.zeros(0, int), np.zeros(0, int), np.zeros((3, 3))).tolist() == []
+
+
+def test_decoding_does_not_depend_on_batches(spark):
+    parts = [series(spark, *gappy(s, 90, 0.05 * s), key=s) for s in range(5)]
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.union(p)
+    df = states.potentials(diagnostics.diagnose(df, 300, 100), F.lit(4.0))
+    want = rows(states.viterbi_fold(df), "state")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("1", "7", "1000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            assert rows(states.viterbi_d(df), "state") == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_methods_by_name(spark):
+    x, y = gappy(4, 60)
+    df = series(spark, x, y).withColumn("true_regime", F.when(F.col("x").isNull() | F.col("y").isNull(), "LossShort").otherwise("Stable"))
+    names = methods.methods(F.lit(4.0), 400, 200)
+    assert len(names) == 9
+    for name in set(names) - {"gaussian_hmm"}:
+        assert methods.run_method(name, df, F.lit(4.0), 400, 200).count() == 60
+    for name in ("gaussian_hmm", "none"):
+        with pytest.raises(ValueError):
+            methods.run_method(name, df, F.lit(4.0), 400, 200)
+    d = diagnostics.diagnose(df, 400, 200)
+    assert rows(states.predict_regimes_simple(d, F.lit(4.0), jitter_quantile=0.1), "state") == rows(states.predict_regimes(d, F.lit(4.0)), "state")
+
+
+def test_tuning_takes_the_best_of_each_grid(spark, monkeypatch):
+    monkeypatch.setattr(hybrid, "fit", lambda df, c, **how: f"model {c}")
+    quality = {("model 0.1", 0.0): (0.5, 3.0), ("model 1", 0.0): (0.7, 2.0), ("model 10", 0.0): (0.7, 1.0)}
+    model, strength, trials = hybrid.tune(None, lambda m, s: quality.get((m, s), (0.7 + (s == 0.25) * 0.1, 1.0)))
+    assert (model, strength) == ("model 10", 0.25) and len(trials) == 9
+
+
+def test_sinks_and_reference_files(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.5), ("b", None)], "m string, v double")
+    sinks.write_tables({"one": df}, str(tmp_path / "out"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "out/one")).count() == 2
+    for name in ("p", "q"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "p/1.csv").write_text("a\n1\n")
+    (tmp_path / "p/2.csv").write_text("a\n1\n")
+    (tmp_path / "q/1.csv").write_text("a\n1\n")
+    assert {r["dataset"]: r["files"] for r in sinks.csv_counts(spark, {"A": str(tmp_path / "p"), "B": str(tmp_path / "q")}).collect()} == {"A": 2, "B": 1}
+    head, row = "dataset,source_file,participant_id,segment_id,time_s,x,y,case_segment,case_index", "ETDD70,f,1.0,s,0.0,1.0,2.0,c,0"
+    for k, text in enumerate((head.replace(",x,", ",z,") + "\n" + row, head, f"{head}\n{row.replace('ETDD70', 'other')}", f"{head}\n{row.replace(',2.0,', ',NaN,')}")):
+        (tmp_path / f"r{k}.csv").write_text(text + "\n")
+        with pytest.raises(ValueError):
+            recordings.read_reference(spark, str(tmp_path / f"r{k}.csv"))
+    (tmp_path / "good.csv").write_text(f"{head}\n{row}\n")
+    assert recordings.read_reference(spark, str(tmp_path / "good.csv")).first()["participant_id"] == "1"

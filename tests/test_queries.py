@@ -9,7 +9,6 @@ import __spark_entry__ as entry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"hybrid_fit_predict", "gaussian_hmm_fit_predict"}
 NAMES = sorted(n for n in entry.oracle_sql() if not n.startswith("op") and n != "pipeline")
 
 
