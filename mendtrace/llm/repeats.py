@@ -150,7 +150,7 @@ def _raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    n_bytes, removed, runs, kept = [], [], [], []
+    n_bytes, removed, runs, kept, said = [], [], [], [], []
     for text, spans in zip(b.column(1).to_pylist(), b.column(2), strict=True):
         raw = (text or "").encode()
         merged: list[list[int]] = []
@@ -172,7 +172,8 @@ def _cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         removed.append(sum(y - x for x, y in merged))
         runs.append(len(merged))
         kept.append(digest.hexdigest())
-    yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (n_bytes, removed, runs)), pa.array(kept, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        said.append(",".join(f"{x}:{y}" for x, y in merged))
+    yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (n_bytes, removed, runs)), pa.array(kept, pa.string()), pa.array(said, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
 def repeat_spans(src: DataFrame, length: int = 400, q: int = 144) -> DataFrame:
@@ -181,8 +182,10 @@ def repeat_spans(src: DataFrame, length: int = 400, q: int = 144) -> DataFrame:
     Rows of one name are the same text; each row counts as an occurrence.
     """
     seen = C.stage_table(src.select("version", "more", "text").mapInArrow(_scan(length, q), "version long, more int, a int, lo int, hi int, qh long, ctx long"), "anchors")
+    # Sums by bucket are staged, so that joins with them have an exchange of their own, of which Spark splits hot buckets.
     bucket = seen.groupBy("qh").agg(F.count("*").alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("n > 1")
-    met = C.stage_table(seen.join(bucket.select("qh", (F.col("c0") == F.col("c1")).alias("same")), "qh"), "met")
+    bucket = C.stage_table(bucket.select("qh", (F.col("c0") == F.col("c1")).alias("same")), "buckets")
+    met = C.stage_table(C.join_small(seen, bucket, ["qh"], "inner"), "met")
     plain = met.where("same").select("version", "more", F.col("lo").alias("f"), (F.col("hi") + length).alias("t"))
 
     mixed = met.where("not same")
@@ -210,17 +213,18 @@ def repeat_spans(src: DataFrame, length: int = 400, q: int = 144) -> DataFrame:
     shared = fine.where("met and not cut").select("qh", "k", "core", F.col("p").alias("pos"))
     by_range = ranges.join(shared, ["qh", "k", "core", "pos"]).select("qh", "ctx", span(-RANGE * F.col("k") - RANGE + 1, length - RANGE * F.col("k")).alias("s"))
     by_ctx = ctxs.where("n > 1").select("qh", "ctx", span(F.col("lo") - F.col("a"), F.col("hi") - F.col("a") + length).alias("s"))
-    told = by_ctx.union(by_range).union(by_single).groupBy("qh", "ctx").agg(F.collect_set("s").alias("ss"))
+    told = C.stage_table(by_ctx.union(by_range).union(by_single).groupBy("qh", "ctx").agg(F.collect_set("s").alias("ss")), "told")
     # A range reaches beyond its context, where this occurrence may differ or end; windows there are another anchor's.
     refined = mixed.join(told, ["qh", "ctx"]).select("version", "more", "a", "lo", "hi", F.explode("ss").alias("s"))
     refined = refined.select("version", "more", F.greatest("lo", F.col("a") + F.col("s.f")).alias("f"), F.least(F.col("hi") + length, F.col("a") + F.col("s.t")).alias("t"))
     return plain.union(refined).groupBy("version", "more").agg(F.collect_set(span(F.col("f"), F.col("t"))).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, with_spans: bool = False) -> DataFrame:
     """Remove every byte covered by a string of `length` bytes that starts anywhere else too; one row per input row.
 
-    Returns (key, n_bytes, n_removed, n_spans, kept_sha256). Strings never cross texts and are judged on the input;
+    Returns (key, n_bytes, n_removed, n_spans, kept_sha256) and, if asked for, spans: the removed runs as start:end in
+    bytes, joined by commas. Strings never cross texts and are judged on the input;
     overlapping occurrences count. Null texts are empty; null keys stay; repeated rows repeat each other and so lose all
     that is long enough; other columns are ignored. Hot buckets: counts are pre-aggregated, equal contexts are refined
     once, and no step lists pairs.
@@ -229,8 +233,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     spans = repeat_spans(name, length, q=max(1, length * 36 // 100))
     kind = docs.schema[key].dataType.simpleString()
     out = name.join(spans.hint("shuffle_hash"), ["version", "more"], "left").select("id", "text", "spans")
-    return out.mapInArrow(C.per_batch(_cut), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", key)
+    out = out.mapInArrow(C.per_batch(_cut), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string").withColumnRenamed("id", key)
+    return out if with_spans else out.drop("spans")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_spans=True)
