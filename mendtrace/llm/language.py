@@ -8,13 +8,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Sampled training rows of a language and languages at most; landmarks; cells that n-grams of 1 to GRAMS bytes fall in.
-FIT_PER_LANG, LANGS, LANDMARKS, CELL_BITS, GRAMS = 600, 100, 96, 13, 3
+#: Sampled training rows of a language at most, and of all (20 a language at least); landmarks, at least and for each language; cells that n-grams of 1 to
+#: GRAMS bytes fall in.
+FIT_PER_LANG, FIT_ROWS, LANDMARKS, LANDMARKS_PER_LANG, CELL_BITS, GRAMS = 600, 40_000, 96, 4, 13, 3
+#: Texts that one step holds cells of.
+STEP = 512
 RIDGE = 1e-2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -22,6 +25,12 @@ LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
 
 
+def steps(begins: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with a bounded number of bytes and of rows."""
+    for i, j in C.chunks(begins):
+        yield from ((a, min(a + STEP, j)) for a in range(i, j, STEP))
+
+
 def presence(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     """For each text, which cells its n-grams fall in."""
     n = len(off) - 1
@@ -51,54 +60,68 @@ class Languages:
         return ((p.astype(np.float32) @ self.marks) / size[:, None]) @ self.weights
 
 
-def fit(p: np.ndarray, lang: list[str]) -> Languages:
-    """Landmarks are taken from the languages in turn; ridge regression on Nystroem features, targets +1 and -1."""
+def fit(bits: np.ndarray, lang: list[str]) -> Languages:
+    """Landmarks are taken from the languages in turn; ridge regression on Nystroem features, targets +1 and -1. Rows of
+    `bits` are packed and unpacked a step at a time."""
     names = sorted(set(lang))
-    y = np.array([names.index(x) for x in lang])
+    place = {x: k for k, x in enumerate(names)}
+    y = np.array([place[x] for x in lang])
     turn = np.zeros(len(y), np.int64)
     for k in range(len(names)):
         turn[y == k] = np.arange((y == k).sum())
-    chosen = np.lexsort((y, turn))[:LANDMARKS]
-    unit = p / np.sqrt(np.maximum(p.sum(1, keepdims=True), 1))
-    marks = unit[chosen].T.astype(np.float32)
+    chosen = np.lexsort((y, turn))[: max(LANDMARKS, LANDMARKS_PER_LANG * len(names))]
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        p = np.unpackbits(rows, axis=1).astype(float)
+        return p / np.sqrt(np.maximum(p.sum(1, keepdims=True), 1))
+
+    marks = np.concatenate([unit(bits[chosen[i : i + STEP]]).astype(np.float32) for i in range(0, len(chosen), STEP)]).T
     value, vector = np.linalg.eigh(marks.T.astype(float) @ marks)
     root = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
-    z = unit @ marks @ root
-    target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
     share = 1 / np.bincount(y)[y]
-    w = np.linalg.solve(z.T * share @ z + RIDGE * np.eye(z.shape[1]), z.T * share @ target)
-    return Languages(names, marks, (root @ w).astype(np.float32))
+    left, right = RIDGE * np.eye(len(chosen)), np.zeros((len(chosen), len(names)))
+    for i in range(0, len(y), STEP):
+        z, part = unit(bits[i : i + STEP]) @ marks @ root, slice(i, i + STEP)
+        left += z.T * share[part] @ z
+        right += z.T * share[part] @ np.where(y[part, None] == np.arange(len(names)), 1.0, -1.0)
+    return Languages(names, marks, (root @ np.linalg.solve(left, right)).astype(np.float32))
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, held_out, lang_pred, score) for each row, with the columns `keep` carried along.
 
-    Learns from at most FIT_PER_LANG rows of each of the LANGS most frequent languages (documented bounds; rows by a hash
-    of their key) among rows with a language whose crc32(key) modulo `folds` is not 0. Only the text enters a prediction.
+    Learns from at most FIT_PER_LANG rows of each language, or as many as make FIT_ROWS if there are many languages, 20 at
+    least (documented bounds of the sample; those with the least hash of their key)
+    among rows with a language whose crc32(key) modulo `folds` is not 0; no language is left out, and each has landmarks.
+    Training rows come to the driver as bits of n-grams, one kilobyte each. Only the text enters a prediction.
     A null text or one without a letter is `und` with score 0; without any training row every text is. Null keys are
     predicted and not learnt from; repeated rows stay; other columns are ignored. Texts are not shuffled.
     """
     held = F.coalesce(F.crc32(F.col(key).cast("string")) % folds == 0, F.lit(False))
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held)
-    counts = known.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(lang) == r["lang"], min(1.0, FIT_PER_LANG / r["n"])).otherwise(share)
-    draw = F.pmod(F.xxhash64(key), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    # The draw below which a language's FIT_PER_LANG rows lie: from a histogram of draws, so few more rows are sorted.
+    draw = F.pmod(F.xxhash64(key), F.lit(1 << 20))
+    bins = known.groupBy(F.col(lang).alias("of"), F.shiftright(draw, 4).alias("bin")).agg(F.count("*").alias("n"))
+    bins = C.stage_table(bins, "bins")
+    most = max(20, min(FIT_PER_LANG, FIT_ROWS // max(1, bins.select("of").distinct().count())))
+    ahead = F.sum("n").over(Window.partitionBy("of").orderBy("bin")) - F.col("n")
+    last = C.stage_table(bins.withColumn("ahead", ahead).where(F.col("ahead") < most).groupBy("of").agg(F.max("bin").alias("last")), "draws")
 
     def pack(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, begins = C.utf8(b.column(2))
-        bits = [x.tobytes() for i, j in C.chunks(begins) for x in np.packbits(presence(data[begins[i] : begins[j]], begins[i : j + 1] - begins[i]), axis=1)]
+        bits = [x.tobytes() for i, j in steps(begins) for x in np.packbits(presence(data[begins[i] : begins[j]], begins[i : j + 1] - begins[i]), axis=1)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.binary())], ["draw", "lang", "bits"])
 
-    rows = known.where(draw < share).select(F.xxhash64(key).alias("draw"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rows = rows.mapInArrow(C.per_batch(pack), "draw long, lang string, bits binary").orderBy("draw").limit(2 * FIT_PER_LANG * len(counts) or 1).toPandas()
-    model = fit(np.unpackbits(np.stack([np.frombuffer(x, np.uint8) for x in rows["bits"]]), axis=1).astype(float), list(rows["lang"])) if len(rows) else None
+    rows = C.join_small(known.withColumn("of", F.col(lang)).select("of", key, text, F.shiftright(draw, 4).alias("bin")), last, ["of"], "inner").where("bin <= last")
+    place = F.row_number().over(Window.partitionBy("of").orderBy(F.xxhash64(key), key, F.xxhash64(text)))
+    rows = rows.withColumn("place", place).where(F.col("place") <= most).select(F.xxhash64(key).alias("draw"), F.col("of").alias("lang"), F.col(text).alias("text"))
+    rows = rows.mapInArrow(C.per_batch(pack), "draw long, lang string, bits binary").orderBy("draw", "lang", "bits").toPandas()
+    model = fit(np.stack([np.frombuffer(x, np.uint8) for x in rows["bits"]]), list(rows["lang"])) if len(rows) else None
 
     def predict(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, begins = C.utf8(b.column(2))
         pred, score = [], []
-        for i, j in C.chunks(begins):
+        for i, j in steps(begins):
             raw, off = data[begins[i] : begins[j]], begins[i : j + 1] - begins[i]
             z = model(presence(raw, off)) if model else np.zeros((j - i, 1))
             plain = np.concatenate([[0], np.cumsum(LETTER[raw])])[off]
