@@ -170,7 +170,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     held = F.coalesce(F.crc32(F.col("id").cast("string")) % folds == 0, F.lit(False))
     rows = C.stage_table(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(C.per_batch(measure), f"id {kind}, x array<float>"), "features")
     known = labels.select(F.col(key).alias("id"), F.col(label).alias("y")).where("y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    known = rows.where(~held).join(known, "id").orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("x", "y").toPandas()
+    # Labels are drawn first: those of the least hash that have a row, by ids alone; then only their rows' features are read.
+    ids = docs.select(F.col(key).alias("id")).where(F.col("id").isNotNull() & ~held)
+    drawn = ids.join(known.where("id is not null"), "id").orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+    drawn = C.stage_table(drawn.distinct(), "drawn")
+    known = rows.join(F.broadcast(drawn), "id").orderBy(F.xxhash64("id"), "id", "x").limit(fit_rows).select("x", "y").toPandas()
     model = fit(np.stack(known["x"]).astype(float) if len(known) else np.zeros((0, len(FEATURES))), known["y"].to_numpy(float))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
