@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common as C
+
 # Kind, pattern, least length of the value, group of the value. Base kinds first, in the order of ties.
 BASE = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
@@ -41,21 +43,24 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", reach
     Base kinds (assign, access, hex) are reported wherever their match is long enough. User names, endpoints and weak
     values are reported only where complementary parts lie within `reach` code points: a weak value needs an access
     identifier, user name or endpoint; a user name or endpoint needs a secret. This interval join looks from each part at
-    the nearest complementary part on either side (running maxima of ends, minima of starts), so no pairs are made.
+    the nearest complementary part on either side (running maxima of ends, and of starts from the end backwards), so no
+    pairs are made and a text costs as much as it has matches.
 
     Returns (key, n_assign, n_access, n_hex, base_sha256, spans). Null texts count as empty; null keys and repeated rows
     stay; other columns are ignored. Only places of matches are shuffled, never texts.
     """
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = F.concat(*(_matches(F.col("text"), k, p, n, g) for k, (_, p, n, g) in enumerate(BASE + WEAK)))
-    parts = src.select("row", "id", F.explode_outer(found).alias("m")).select("row", "id", "m.*")
+    # Places are staged before they are grouped, so a row's number never changes under a task that runs again.
+    parts = C.stage_table(src.select("row", "id", F.explode_outer(found).alias("m")).select("row", "id", "m.*"), "matches")
     by_kind = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     parts = parts.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(by_kind)).withColumn("start", F.col("end") - F.col("size"))
 
     kept = F.coalesce(F.col("kept"), F.lit(False))
     kind = F.col("kind")
-    at = Window.partitionBy("row").orderBy("start", "kind", "end")
-    before, after = at.rowsBetween(Window.unboundedPreceding, -1), at.rowsBetween(1, Window.unboundedFollowing)
+    order = ("start", "kind", "end")
+    before = Window.partitionBy("row").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("row").orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, -1)
 
     def near(*kinds: str) -> Column:
         is_one = kept & kind.isin([KINDS.index(k) for k in kinds])
