@@ -39,7 +39,7 @@ def build_tree(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     """
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     convs = turns.select(F.col(conv).alias("conv"), one.alias("t")).groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    digest = lambda was, t: F.sha2(F.concat_ws("\n", was, F.length(t["role"]).cast("string"), t["role"], t["text"]), 256)
+    digest = lambda was, t: F.substring(F.sha2(F.concat_ws("\n", was, F.length(t["role"]).cast("string"), t["role"], t["text"]), 256), 1, 32)
     chain = F.aggregate("ts", F.array(F.lit("")), lambda acc, t: F.array_append(acc, digest(F.element_at(acc, -1), t)))
     convs = C.stage_table(convs.withColumn("chain", F.slice(chain, 2, 1 << 30)).withColumn("segment", F.element_at("chain", -1)), "convs")
     leaves = convs.select("conv", "segment", F.size("ts").alias("n_turns"))
