@@ -18,9 +18,12 @@ CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is set (local runs)."""
+    """The folder that the cluster shares; a temporary one only where none is set and Spark runs in this process alone."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not there:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         there = tempfile.mkdtemp(prefix="mendtrace-")
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
