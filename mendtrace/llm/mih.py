@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from math import ceil, comb, log2
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,8 +16,8 @@ from . import common as C
 FIT_ROWS, RADIUS_QUERIES = 8_192, 256
 #: Share of true neighbours that the fitted radius must reach on the sampled queries.
 REACHED = 0.97
-#: Rows of one block of vectors and of one block of queries.
-BLOCK, QUERY_BLOCK = 8_192, 1_024
+#: Rows of one block of vectors and of one block of queries, about; bits of a bucket's prefix at most.
+BLOCK, QUERY_BLOCK, PREFIX = 8_192, 32_768, 16
 #: Bits of a substring.
 SUB = 8
 POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -40,6 +43,55 @@ def encode(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarra
     return np.packbits((x - mean) @ projection >= 0, axis=1)
 
 
+@dataclass
+class Tables:
+    """How codes are dealt out: `m` substrings of `width` bits, of each of which the first `prefix` bits name a bucket.
+
+    Two codes within the radius differ in at most reach[j] bits of some substring j, so in no more bits of its prefix.
+    """
+
+    m: int
+    width: int
+    prefix: int
+    reach: list[int]
+
+    @classmethod
+    def of(cls, bits: int, rows: int, radius: int) -> Tables:
+        """Buckets of about BLOCK rows, and as many substrings as let a query meet the fewest rows of evenly dealt codes."""
+        want = min(PREFIX, max(0, ceil(log2(max(1, rows) / BLOCK))))
+        best = None
+        for m in (x for x in range(1, bits // SUB + 1) if (bits // SUB) % x == 0):
+            near, extra = divmod(radius, m)
+            reach = [near if j <= extra else near - 1 for j in range(m)]
+            prefix = min(want, bits // m)
+            met = sum(comb(prefix, i) for r in reach for i in range(min(r, prefix) + 1)) / 2**prefix
+            if best is None or met < best[0]:
+                best = met, cls(m, bits // m, prefix, reach)
+        return best[1]
+
+    def buckets(self, codes: np.ndarray) -> np.ndarray:
+        """codes x substrings: numbers of the buckets."""
+        b = np.unpackbits(codes, axis=1)
+        weights = 1 << np.arange(self.prefix)[::-1]
+        return np.column_stack([b[:, j * self.width : j * self.width + self.prefix] @ weights for j in range(self.m)]).astype(np.int64)
+
+    def masks(self, j: int) -> np.ndarray:
+        """What a bucket's number differs by from those of the buckets that a query visits."""
+        every = np.arange(1 << self.prefix)
+        return every[ones(every) <= self.reach[j]]
+
+    def seen_before(self, j: int, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Which rows (of buckets) a query meets in a substring before j already."""
+        out = np.zeros(len(rows), bool)
+        for i in range(j):
+            out |= ones(rows[:, i] ^ query[i]) <= self.reach[i]
+        return out
+
+
+def ones(x: np.ndarray) -> np.ndarray:
+    return POP[x & 255] + POP[x >> 8]
+
+
 class Index:
     """For each substring, rows grouped by its value; the rest of a code is compared only for rows that a probe finds."""
 
@@ -82,8 +134,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id"
     """(query_id, rank, key, score): for each row whose key is divisible by `every`, its k nearest other rows found.
 
     Nearness is the inner product in double precision. Rotation and radius are fitted on bounded samples; every row is
-    indexed, in blocks of BLOCK rows; each pair of a query block and a row block is one task's work, of which at most k
-    rows per query leave. The radius is the one within which REACHED of the sampled queries' true neighbours lie; for
+    indexed: rows are shuffled by (substring number, first bits of the substring), queries go to the buckets that the
+    radius allows, and each bucket, or block of BLOCK rows of a larger one, is indexed by all its substrings; a row that
+    an earlier substring finds is left out, and at most k rows per query and block leave. Tables.of() says how many
+    substrings and bits a number of rows asks for: where the radius spans so many bits that buckets save nothing, as for
+    uniform vectors, there is one table and every query visits every bucket. The radius is the one within which REACHED of the sampled queries' true neighbours lie; for
     queries with fewer than k rows within it (or than all others, if those are fewer than k), it is doubled until none is short.
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, and rows
     with a null key take none either; repeated rows are candidates of their own; other columns are ignored.
@@ -97,7 +152,6 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id"
         return src.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double").withColumnRenamed("id", key)
     src = C.stage_table(src.where(F.size("v") == size["d"]).withColumn("deal", F.xxhash64("id", "v")), "vectors")
     queries = src.where(F.col("id") % every == 0).groupBy("id").agg(F.min_by("v", "deal").alias("v"), F.min("deal").alias("deal"), F.count("*").alias("own"))
-    blocks, q_blocks = -(-size["n"] // BLOCK), max(1, -(-queries.count() // QUERY_BLOCK))
     mean, projection = fit_rotation(matrix(src.orderBy("deal", "id").limit(FIT_ROWS).toPandas()["v"]))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
 
@@ -120,36 +174,67 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id"
         true = true.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         radius = int(true.agg(F.percentile("bits", F.lit(REACHED))).first()[0] or 0)
 
-    def look(queries: DataFrame, q_blocks: int, radius: int) -> DataFrame:
+    bits = -(-projection.shape[1] // SUB) * SUB
+
+    def look(queries: DataFrame, radius: int) -> DataFrame:
         """(query_id, id, score, rank): the k best rows within the radius of each query, staged."""
+        tables = Tables.of(bits, size["n"], radius)
+
+        def deal(masks: list[np.ndarray]):
+            """Each row once for every substring and mask, under the numbers of its buckets."""
+
+            def f(batches):
+                for b in batches:
+                    if len(b):
+                        own = tables.buckets(encode(matrix(b["v"]), mean, projection))
+                        for j, mask in enumerate(masks):
+                            out = b.loc[b.index.repeat(len(mask))]
+                            yield out.assign(j=np.int32(j), bucket=(own[:, j, None] ^ mask).ravel())
+
+            return f
 
         def pair(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             out = [pd.DataFrame({"query_id": [], "id": [], "score": []})]
             if len(rows) and len(asked):
+                j = int(rows["j"].iloc[0])
                 ids, x, q = rows["id"].to_numpy(np.int64), matrix(rows["v"]), matrix(asked["v"])
                 index, codes = Index(encode(x, mean, projection)), encode(q, mean, projection)
+                buckets, theirs = tables.buckets(index.codes), tables.buckets(codes)
                 for i, query_id in enumerate(asked["id"]):
                     found = index.within(codes[i], radius)
+                    if j:
+                        found = found[~tables.seen_before(j, buckets[found], theirs[i])]
                     at, score = exact_top(ids[found], x[found], query_id, q[i], k)
                     out.append(pd.DataFrame({"query_id": query_id, "id": ids[found][at], "score": score}))
             return pd.concat(out).astype({"query_id": np.int64, "id": np.int64, "score": np.float64})
 
-        left = src.select("id", "v", F.pmod("deal", F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("ask"))
-        right = queries.select("id", "v", F.pmod("deal", F.lit(q_blocks)).cast("int").alias("ask"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-        found = left.groupBy("block", "ask").cogroup(right.groupBy("block", "ask")).applyInPandas(pair, "query_id long, id long, score double")
+        schema = "id long, v array<double>, deal long, j int, bucket long"
+        whole = [np.zeros(1, np.int64)] * tables.m
+        left = src.select("id", "v", "deal").mapInPandas(deal(whole), schema)
+        right = queries.select("id", "v", "deal").mapInPandas(deal([tables.masks(j) for j in range(tables.m)]), schema)
+        # Buckets of more rows or queries than a block are split; there are few of these counts, and they are staged.
+        n_rows = C.stage_table(left.groupBy("j", "bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "buckets")
+        n_asked = C.stage_table(right.groupBy("j", "bucket").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("asks")), "asks")
+        split = C.stage_table(n_rows.join(n_asked, ["j", "bucket"]), "splits")
+        own = lambda n: F.pmod("deal", F.col(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = C.join_small(left, split, ["j", "bucket"], "inner").select("id", "v", "j", "bucket", own("blocks").alias("block"), every("asks").alias("ask"))
+        right = C.join_small(right, split, ["j", "bucket"], "inner").select("id", "v", "j", "bucket", own("asks").alias("ask"), every("blocks").alias("block"))
+        at = ("j", "bucket", "block", "ask")
+        found = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(pair, "query_id long, id long, score double")
         return C.stage_table(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "found")
 
     # Queries with fewer rows than there are to find are searched again with a doubled radius, at last over all bits.
-    found, bits = look(queries, q_blocks, radius), -(-projection.shape[1] // SUB) * SUB
+    found = look(queries, radius)
     while radius < bits:
         held = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("held"))
         few = queries.join(held, "id", "left").where(F.coalesce("held", F.lit(0)) < F.least(F.lit(k), F.lit(size["n"]) - F.col("own")))
         few = C.stage_table(few.select(*queries.columns), "few")
-        if not (n := few.count()):
+        if not few.limit(1).count():
             break
         radius = min(max(1, 2 * radius), bits)
         kept = found.join(few.select(F.col("id").alias("query_id")), "query_id", "left_anti")
-        found = C.stage_table(kept.select(*found.columns).union(look(few, -(-n // QUERY_BLOCK), radius).select(*found.columns)), "found")
+        found = C.stage_table(kept.select(*found.columns).union(look(few, radius).select(*found.columns)), "found")
     return found.select("query_id", "rank", F.col("id").alias(key), "score")
 
 

@@ -430,6 +430,43 @@ def test_isolated_queries_and_small_tables_get_all_ranks(spark):
         assert sorted(zip(got.query_id, got.vec_id)) == [(q, i) for q in range(0, n, 20) for i in range(n) if i != q]
 
 
+@pytest.mark.parametrize("rows", [1, 100_000, 3_000_000, 10**9])
+def test_tables_meet_every_code_within_the_radius_once(rows):
+    r = np.random.default_rng(14)
+    query = r.integers(0, 256, (1, 8), np.uint8)
+    for radius in (0, 1, 5, 9, 14, 30, 64):
+        t = mih.Tables.of(64, rows, radius)
+        codes = np.unpackbits(np.repeat(query, 300, 0), axis=1)
+        for i in range(300):
+            codes[i, r.permutation(64)[: r.integers(0, radius + 1)]] ^= 1
+        codes = np.packbits(codes, axis=1)
+        own, asked = t.buckets(codes), t.buckets(query)[0]
+        met = np.column_stack([np.isin(own[:, j], asked[j] ^ t.masks(j)) & ~t.seen_before(j, own, asked) for j in range(t.m)])
+        assert (met.sum(1) == 1).all(), (rows, radius, t)
+    assert rows < 10**9 or mih.Tables.of(64, rows, 9).m > 1
+
+
+def test_neighbours_in_many_buckets(spark, monkeypatch):
+    """Clusters, a hot vector and tiny blocks: several tables, split buckets and split queries, ties to smaller ids."""
+    monkeypatch.setattr(mih, "BLOCK", 16)
+    monkeypatch.setattr(mih, "QUERY_BLOCK", 5)
+    r = np.random.default_rng(15)
+    x = np.repeat(r.normal(size=(60, 32)), 15, axis=0) + r.normal(size=(900, 32)) * 0.02
+    x[300:600] = x[300]
+    got = mih.search(spark.createDataFrame([(i, [float(v) for v in a]) for i, a in enumerate(x)], "vec_id long, embedding array<double>"), k=6).toPandas()
+    assert set(got.query_id) == set(range(0, 900, 20)) and not got.duplicated(["query_id", "vec_id"]).any()
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(900), -s))[:6]
+        assert g["rank"].tolist() == list(range(1, 7))
+        hit += len(set(want) & set(g.vec_id))
+        if 300 <= q < 600:
+            assert g.sort_values("rank").vec_id.tolist() == want.tolist()
+    assert hit / len(got) >= 0.9
+
+
 def test_index_finds_every_code_within_the_radius():
     codes = np.random.default_rng(4).integers(0, 256, (500, 4), np.uint8)
     index = mih.Index(codes)
