@@ -11,12 +11,15 @@ from .decontaminate import op3
 from .jaccard_join import op5
 from .language import op7
 from .mih import op10
+from .oracles import oracle_sql
 from .packing import op4
 from .pii import op9
 from .quality import op6
 from .repeats import op8
 from .secrets import op2
 
+__all__ = ["oracle_sql", "queries"]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -31,7 +34,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_anchor_pii": op9,
         "op10_multi_index_hashing": op10,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
