@@ -1,18 +1,19 @@
-"""A Gaussian hidden Markov model fitted by expectation maximisation, one small row of statistics per series and round."""
+"""A Gaussian hidden Markov model fitted by expectation maximisation, one small row of statistics per batch and round."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import permutations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import IDX, KEY, STATES, ordered
-from .states import decode_runs
+from ..functions.core import IDX, KEY, STATES, ordered, whole
+from .quantiles import exact_quantiles
+from .states import decode_runs, whole_runs
 
 INPUTS = ("m_t", "r_t", "c_t", "alpha_t", "u_t", "p_t")
 LOGGED = ("r_t", "c_t", "alpha_t", "u_t")
@@ -26,10 +27,10 @@ def logged(df: DataFrame) -> DataFrame:
 
 def robust_scale(df: DataFrame) -> DataFrame:
     """One row per input: name, center (exact pooled median) and scale (interquartile range, 1 if below 1e-6)."""
-    df = logged(df)
-    got = df.agg(*(F.percentile(f"l_{c}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in INPUTS))
-    rows = F.explode(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(c).alias("name"), F.col(c)[1].alias("center"), (F.col(c)[2] - F.col(c)[0]).alias("iqr")) for i, c in enumerate(INPUTS))))
-    return got.select(rows.alias("x")).select("x.place", "x.name", "x.center", F.when(F.coalesce(F.col("x.iqr"), F.lit(0.0)) < 1e-6, 1.0).otherwise(F.col("x.iqr")).alias("scale"))
+    got = exact_quantiles(logged(df), [f"l_{c}" for c in INPUTS], (0.25, 0.5, 0.75)).select(F.substring("name", 3, 99).alias("name"), "quantiles")
+    q = F.col("quantiles")
+    every = df.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, INPUTS))).alias("place", "name"))  # a column of NULLs has a row too
+    return every.join(got, "name", "left").select("place", "name", q[1].alias("center"), F.when(F.coalesce(q[2] - q[0], F.lit(0.0)) < 1e-6, 1.0).otherwise(q[2] - q[0]).alias("scale"))
 
 
 def scaled(df: DataFrame, center: Sequence[float], scale: Sequence[float], out: str = "z") -> DataFrame:
@@ -58,19 +59,33 @@ def emission_matrix(z: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndar
     return -0.5 * (np.log(2 * np.pi * var).sum(1) + (((z[:, None] - mean) ** 2) / var).sum(2))
 
 
-def expectations(z: np.ndarray, start: np.ndarray, change: np.ndarray, mean: np.ndarray, var: np.ndarray) -> tuple:
-    """(log likelihood, occupancy, summed pair posteriors) in log space."""
+#: Rows whose pair posteriors are summed at a time.
+PAIR_ROWS = 65_536
+
+
+def expectations(z: np.ndarray, begins: np.ndarray, sizes: np.ndarray, start: np.ndarray, change: np.ndarray, mean: np.ndarray, var: np.ndarray) -> tuple:
+    """(log likelihood, occupancy of each row, summed pair posteriors) of series of one row or more that begin at `begins`
+    and follow one another; all series in step, in log space."""
     e = emission_matrix(z, mean, var)
-    n = len(z)
+    row_begin = np.zeros(len(z), bool)
+    row_begin[begins] = True
+    order = np.argsort(-sizes, kind="stable")
+    by_size, by_begin = sizes[order], begins[order]
     a, b = np.empty_like(e), np.zeros_like(e)
-    a[0] = start + e[0]
-    for i in range(1, n):
-        a[i] = e[i] + log_sum(a[i - 1][:, None] + change, 0)
-    for i in range(n - 2, -1, -1):
-        b[i] = log_sum(change + e[i + 1] + b[i + 1], 1)
-    total = log_sum(a[-1], 0)
-    pairs = np.exp(a[:-1, :, None] + change + (e[1:] + b[1:])[:, None] - total).sum(0)
-    return float(total), np.exp(a + b - total), pairs
+    a[begins] = start + e[begins]
+    steps = [by_begin[: int(np.searchsorted(-by_size, -i, "left"))] + i for i in range(1, int(by_size[0]))]  # rows i of series that have one
+    for rows in steps:
+        a[rows] = e[rows] + log_sum(a[rows - 1][:, :, None] + change, 1)
+    for rows in reversed(steps):
+        b[rows - 1] = log_sum(change + (e[rows] + b[rows])[:, None, :], 2)
+    total = log_sum(a[begins + sizes - 1], 1)
+    of_row = np.repeat(total, sizes)
+    pairs = np.zeros((K, K))
+    later = np.flatnonzero(~row_begin)
+    for k in range(0, len(later), PAIR_ROWS):
+        at = later[k : k + PAIR_ROWS]
+        pairs += np.exp(a[at - 1][:, :, None] + change + (e[at] + b[at] - of_row[at, None])[:, None, :]).sum(0)
+    return float(total.sum()), np.exp(a + b - of_row[:, None]), pairs
 
 
 @dataclass
@@ -113,12 +128,18 @@ def fit(df: DataFrame, rounds: int = 20, seed: int = 42, key: Sequence[str] = KE
 
     scale_rows = sorted(robust_scale(df).collect(), key=lambda r: r["place"])
     center, scale = np.array([r["center"] or 0.0 for r in scale_rows]), np.array([r["scale"] for r in scale_rows])
-    data = scaled(df, center, scale).select(*key, idx, state, "z").cache()
+    # Dealt and sorted by series once; each round is then one pass over what each task holds.
+    w = ordered(key, idx)
+    data = scaled(df, center, scale).select(*key, idx, state, "z", (F.row_number().over(w) == 1).alias("_begin"), (F.count("*").over(whole(key)) > 1).alias("_many"), F.lit(True).alias("_in"))
+    data = data.sortWithinPartitions(*key, idx).cache()
+    rows = data.where("_many").select("z", "_begin", "_in")
     try:
-        vectors = data.select(*key, idx, array_to_vector("z").alias("v"))
+        if rows.isEmpty():
+            raise ValueError("no series of two rows or more")
+        vectors = data.select("z", array_to_vector("z").alias("v"))
         models = [KMeans(featuresCol="v", predictionCol="component", k=K, seed=seed + i).fit(vectors) for i in range(inits)]
         km = min(models, key=lambda m: m.summary.trainingCost)
-        near = km.transform(vectors).join(data.select(*key, idx, "z"), [*key, idx])
+        near = km.transform(vectors)
         stats = {r["component"]: r for r in near.groupBy("component").agg(F.count("*").alias("n"), *(F.var_pop(F.col("z")[i]).alias(f"v{i}") for i in range(len(INPUTS)))).collect()}
         overall = data.agg(*(F.var_pop(F.col("z")[i]).alias(f"v{i}") for i in range(len(INPUTS)))).first()
         mean = np.zeros((K, len(INPUTS)))
@@ -131,17 +152,15 @@ def fit(df: DataFrame, rounds: int = 20, seed: int = 42, key: Sequence[str] = KE
         width = 1 + K + K * K + K + 2 * K * len(INPUTS)
         for _ in range(rounds):
 
-            def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-                if len(pdf) < 2:
-                    return pd.DataFrame({"s": []})
-                z = np.stack(pdf.sort_values(idx, kind="stable")["z"])
-                total, g, pairs = expectations(z, start, change, mean, var)  # noqa: B023
-                flat = np.concatenate([[total], g[0], pairs.ravel(), g.sum(0), (g.T @ z).ravel(), (g.T @ z**2).ravel()])
-                return pd.DataFrame({"s": [flat]})
-
-            sums = data.groupBy(*key).applyInPandas(gather, "s array<double>").agg(*(F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(width))).first()
-            if sums["s0"] is None:
-                raise ValueError("no series of two rows or more")
+            def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for t in whole_runs(batches):
+                    z = t["z"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+                    at = np.flatnonzero(t["_begin"].to_numpy())
+                    total, g, pairs = expectations(z, at, np.diff(np.append(at, len(z))), start, change, mean, var)  # noqa: B023
+                    flat = np.concatenate([[total], g[at].sum(0), pairs.ravel(), g.sum(0), (g.T @ z).ravel(), (g.T @ z**2).ravel()])
+                    yield pa.record_batch({"s": [flat]})
+
+            sums = rows.mapInArrow(gather, "s array<double>").agg(*(F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(width))).first()
             v = np.array(list(sums))
             history.append(v[0])
             cut = np.cumsum([1, K, K * K, K, K * len(INPUTS)])
@@ -153,7 +172,7 @@ def fit(df: DataFrame, rounds: int = 20, seed: int = 42, key: Sequence[str] = KE
             if len(history) > 1 and abs(history[-1] - history[-2]) < tol:
                 break
         model = GaussianHMM(center, scale, start, change, mean, var, [str(k) for k in range(K)], history)
-        named = decode_series(data, "z", mean, var, change, start, "component", key, idx).withColumnRenamed(state, "true_regime")
+        named = decode_series(data.drop("_begin", "_many", "_in"), "z", mean, var, change, start, "component", key, idx).withColumnRenamed(state, "true_regime")
         model.names = align({(r["component"], r["true_regime"]): r["n"] for r in overlap_counts(named).collect()})
         return model
     finally:

@@ -71,8 +71,8 @@ def start_counts(df: DataFrame, key: Sequence[str] = KEY, idx: str = IDX, pseudo
     got = first.groupBy("state").agg(F.count("*").alias("n"))
     grid = df.sparkSession.range(1).select(F.explode(F.array(*(F.lit(s) for s in FINITE_STATES))).alias("state"))
     got = grid.join(got, "state", "left").withColumn("n", F.coalesce(F.col("n"), F.lit(0)) + pseudo)
-    total = got.agg(F.sum("n").alias("t"))
-    return got.join(F.broadcast(total)).withColumn("log_p", F.log(F.greatest(F.col("n") / F.col("t"), F.lit(FLOOR)))).drop("t")
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # over four rows
+    return got.withColumn("log_p", F.log(F.greatest(F.col("n") / total, F.lit(FLOOR))))
 
 
 def balanced_sample(df: DataFrame, cap: int = 75_000, number: Column | None = None, seed: int = 20260728, idx: str = IDX) -> DataFrame:

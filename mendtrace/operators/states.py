@@ -85,6 +85,26 @@ def viterbi_paths(scores: np.ndarray, begins: np.ndarray, sizes: np.ndarray, cha
     return path
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The same rows in tables that end where runs end: a run begins at `_begin` and goes on over rows `_in`. No more than
+    one batch and one run is held."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        there, first = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_in", "_begin"))
+        ends = np.flatnonzero(first | ~there)  # a row here ends the run before it
+        if not len(ends):
+            held.append(b)
+            continue
+        cut = int(ends[-1]) if there[ends[-1]] else b.num_rows
+        if held or cut:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+        held = [b.slice(cut)] if cut < b.num_rows else []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def decode_runs(df: DataFrame, scores: str, begins: Column, inside: Column, change: np.ndarray, start: np.ndarray | float, out: str, key: Sequence[str] = KEY, idx: str = IDX, to_scores: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Add `out`: the place of each row's state on the Viterbi path of its run; NULL on rows outside runs.
 
@@ -107,21 +127,8 @@ def decode_runs(df: DataFrame, scores: str, begins: Column, inside: Column, chan
         yield from t.drop_columns(["_begin", "_in"]).append_column(out, pa.array(path, mask=~there)).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            there, first = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_in", "_begin"))
-            ends = np.flatnonzero(first | ~there)  # a row here ends the run before it
-            if not len(ends):
-                held.append(b)
-                continue
-            cut = int(ends[-1]) if there[ends[-1]] else b.num_rows
-            if held or cut:
-                yield from decoded(pa.Table.from_batches([*held, b.slice(0, cut)]))
-            held = [b.slice(cut)] if cut < b.num_rows else []
-        if held:
-            yield from decoded(pa.Table.from_batches(held))
+        for t in whole_runs(batches):
+            yield from decoded(t)
 
     return df.sortWithinPartitions(*key, idx).mapInArrow(run, schema)
 

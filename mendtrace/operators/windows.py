@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import SEVERITY, has_pair
+from .quantiles import exact_quantiles
 
 RECORDING = ("source_file", "participant_id", "segment_id")
 CORRUPTIONS = ("short_gap", "long_gap", "jitter", "spike", "mixed")
@@ -21,6 +22,8 @@ def time_steps(df: DataFrame, key: Sequence[str], time: str = "time_s") -> DataF
 
 def sampling_rate(df: DataFrame, key: Sequence[str] = RECORDING, by: Sequence[str] | None = None, time: str = "time_s") -> DataFrame:
     """1 / median step, by `by` (default: per recording; (): over all), with the column hz."""
+    if by is not None and not set(key) <= set(by):
+        return exact_quantiles(time_steps(df, key, time), ("dt",), (0.5,), by).select(*by, (1 / F.col("quantiles")[0]).alias("hz"))
     by = key if by is None else by
     return time_steps(df, key, time).groupBy(*by).agg((1 / F.median("dt")).alias("hz"))
 
@@ -62,21 +65,35 @@ def hashed(*cols: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 15), 16, 10).cast("long")
 
 
+def numbered(df: DataFrame, order: Sequence[str], out: str, among: DataFrame, slices: int = 128) -> DataFrame:
+    """Number rows from 0 in the order of text columns, NULL first. Slices of the first column, between a few values of
+    `among` drawn by hash, are numbered alone, after the number of rows in all slices before."""
+    first = F.coalesce(F.col(order[0]), F.lit(""))
+    drawn = among.select(first.alias("b")).distinct().orderBy(hashed(F.col("b")), "b").limit(slices - 1)
+    bounds = F.array(*(F.lit(r["b"]) for r in drawn.collect())).cast("array<string>")
+    df = df.withColumn("_slice", F.size(F.filter(bounds, lambda b: b <= first)))
+    sizes = df.groupBy("_slice").agg(F.count("*").alias("_n"))  # one row for each slice
+    before = sizes.select(F.col("_slice"), (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_slice")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_slice").orderBy(*order))
+    return df.join(F.broadcast(before), "_slice").withColumn(out, (F.col("_before") + inside - 1).cast("int")).drop("_slice", "_before")
+
+
 def extract_segments(df: DataFrame, seconds: float = 8.0, per_participant: int = 1, seed: int = 42, max_dt_factor: float = 3.0) -> DataFrame:
     """First exact windows, at most so many per participant (drawn by a hash), with case_segment and case_index."""
     got = first_exact_window(df, seconds, max_dt_factor)
     name = F.concat_ws("__", F.coalesce(F.col("participant_id"), F.lit("None")), F.coalesce(F.col("source_file"), F.lit("None")), F.coalesce(F.col("segment_id"), F.lit("None")))
     got = got.withColumn("_key", name)
     keys = got.select("participant_id", "_key").distinct().withColumn("_r", F.row_number().over(Window.partitionBy("participant_id").orderBy(hashed(F.lit(str(seed)), F.col("_key")), "_key"))).where(F.col("_r") <= per_participant)
-    keys = keys.withColumn("case_index", F.row_number().over(Window.orderBy("participant_id", "_key")) - 1).select("_key", "case_index")
+    keys = numbered(keys, ("participant_id", "_key"), "case_index", df).select("_key", "case_index")
     got = got.join(keys, "_key")
     return got.withColumn("case_segment", F.concat_ws("__", "dataset", F.coalesce(F.col("participant_id"), F.lit("None")), F.concat(F.lit("seg"), F.col("case_index")))).drop("_key")
 
 
 def coordinate_bounds(df: DataFrame, q: float = 0.999, step: float = 100.0, by: Sequence[str] = ()) -> DataFrame:
     """Width and height: the quantile rounded up to a multiple of step, one step at least; exact, never approximate."""
-    up = lambda c: F.greatest(F.lit(step), F.ceil(F.percentile(c, F.lit(q)) / step) * step).cast("double")
-    return df.groupBy(*by).agg(up("x").alias("width"), up("y").alias("height"))
+    got = exact_quantiles(df, ("x", "y"), (q,), by).withColumn("v", F.col("quantiles")[0])
+    up = lambda v: F.greatest(F.lit(step), F.ceil(F.max(F.when(F.col("name") == v, F.col("v"))) / step) * step).cast("double")
+    return got.groupBy(*by).agg(up("x").alias("width"), up("y").alias("height"))
 
 
 def prefix(df: DataFrame, seconds: float, key: Sequence[str], time: str = "time_s") -> DataFrame:

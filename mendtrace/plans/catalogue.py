@@ -374,25 +374,46 @@ _soft = ", ".join(f"ln(greatest(exp(l{k} - top) / ({' + '.join(f'exp(l{j} - top)
 add("hybrid_emissions", _row + "e0:d e1:d e2:d e3:d", lambda s, d: _fixed.emissions(featured(s, d)).withColumns({f"e{k}": F.col("emissions")[k] for k in range(4)}), EMQ, f"SELECT series, sample_idx, {_soft} FROM nm")
 
 
-def pointwise_and_viterbi(spark: SparkSession, d: str) -> DataFrame:
-    """Participants' means of repairs after pointwise and after Viterbi states."""
-    df = ST.viterbi_d(ST.pointwise(ST.potentials(DG.diagnose(cases(spark, d), LW, LH), F.lit(250.0))), out="h")
+def both_states(spark: SparkSession, d: str) -> DataFrame:
+    """Corrupted series with pointwise states and, as h, Viterbi states."""
+    return ST.viterbi_d(ST.pointwise(ST.potentials(DG.diagnose(cases(spark, d), LW, LH), F.lit(250.0))), out="h")
+
+
+def both_measured(df: DataFrame) -> DataFrame:
+    """Metrics of repairs after pointwise and after Viterbi states, by series and method."""
     df = df.withColumns({f"{v}_{m}": R.mended(v, c) for v in ("x", "y") for m, c in (("p", "state"), ("h", "h"))})
     each = F.array(*(F.struct(F.lit(m).alias("method"), F.col(f"x_{c}").alias("x"), F.col(f"y_{c}").alias("y"), F.col(s).alias("pred_regime")) for m, c, s in (("pointwise_d", "p", "state"), ("viterbi_d", "h", "h"))))
     keep = ("series", "sample_idx", "x_clean", "y_clean", "x_degraded", "y_degraded", "true_regime")
-    return A.participant_means(named(ME.evaluate(df.select(*keep, F.explode(each).alias("o")).select(*keep, "o.*"), LW, LH, ("series", "method"))))
+    return ME.evaluate(df.select(*keep, F.explode(each).alias("o")).select(*keep, "o.*"), LW, LH, ("series", "method"))
+
+
+def pointwise_and_viterbi(spark: SparkSession, d: str) -> DataFrame:
+    """Participants' means of both."""
+    return A.participant_means(named(both_measured(both_states(spark, d))))
+
+
+def examples(spark: SparkSession, d: str) -> DataFrame:
+    """Each series as an example: the share of rows on which both disagree, and Q_local and MAE of each."""
+    df = both_states(spark, d)
+    differ = df.groupBy("series").agg(F.avg((F.col("state") != F.col("h")).cast("double")).alias("state_disagreement_fraction"))
+    of = lambda c, m: F.max(F.when(F.col("method") == m, F.col(c))).alias(f"{c}_{m}")
+    scores = A.score_available(both_measured(df)).groupBy("series").agg(*(of(c, m) for c in ("Q_local", "mae") for m in ("pointwise_d", "viterbi_d")))
+    return differ.join(scores, "series")
 
 
 _carried = "series, sample_idx, xr AS x, yr AS y, x_clean, y_clean, x AS x_degraded, y AS y_degraded, true_regime"
-PVQ = f"""{CDQ},
+BOQ = f"""{CDQ},
 {Q.viterbi('cpo', ['s1', 's2', 's5'], _change, [0.0] * 3, 'cv')},
 cvh AS (SELECT cpw.*, CASE WHEN m_t = 1 THEN state ELSE ['Stable', 'Movement', 'Unstable'][p + 1] END AS h FROM cpw LEFT JOIN cv USING (series, sample_idx)),
 {Q.repair('cvh', 'state', 'rp')},
 {Q.repair('cvh', 'h', 'rh')},
 ou AS (SELECT {_carried}, state AS pred_regime, 'pointwise_d' AS method FROM rp UNION ALL SELECT {_carried}, h, 'viterbi_d' FROM rh),
-{Q.metrics('ou', LW, LH, 'mq')},\nme AS (SELECT *, {_names} FROM mq),
+{Q.metrics('ou', LW, LH, 'mq')}"""
+PVQ = f"""{BOQ},\nme AS (SELECT *, {_names} FROM mq),
 pa AS (SELECT *, {Q.AVAILABLE} AS Q_local FROM (SELECT dataset, participant_id, method, {_means} FROM me GROUP BY ALL)),
 {_paired('pointwise_d', 'viterbi_d')}"""
+_of = ", ".join(f"max(CASE WHEN method = '{m}' THEN {c} END) AS {c}_{m}" for c in ("Q_local", "mae") for m in ("pointwise_d", "viterbi_d"))
+add("qualitative_examples", "series:l state_disagreement_fraction:d Q_local_pointwise_d:d Q_local_viterbi_d:d mae_pointwise_d:d mae_viterbi_d:d", examples, BOQ, f"SELECT * FROM (SELECT series, avg(CASE WHEN state <> h THEN 1.0 ELSE 0.0 END) AS state_disagreement_fraction FROM cvh GROUP BY series) AS a JOIN (SELECT series, {_of} FROM (SELECT *, {Q.AVAILABLE} AS Q_local FROM mq) AS y GROUP BY series) AS b USING (series)")
 add("pointwise_minus_viterbi", "metric:s difference:d5 ci_low:d5 ci_high:d5 favorable_direction:s", lambda s, d: A.paired_bootstrap(_safe(pointwise_and_viterbi(s, d)), "pointwise_d", "viterbi_d", REPS, metrics=_all), PVQ, _interval)
 
 # The generative model

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mendtrace.functions.core import normalize_id
-from mendtrace.operators import corrupt, diagnostics, generative, hybrid, methods, metrics, repair, states, windows
+from mendtrace.operators import corrupt, diagnostics, generative, hybrid, methods, metrics, quantiles, repair, states, windows
 from mendtrace.sources import recordings, sinks
 
 SCHEMA = "series long, sample_idx long, time_s double, x double, y double"
@@ -261,3 +261,73 @@ def test_sinks_and_reference_files(spark, tmp_path):
             recordings.read_reference(spark, str(tmp_path / f"r{k}.csv"))
     (tmp_path / "good.csv").write_text(f"{head}\n{row}\n")
     assert recordings.read_reference(spark, str(tmp_path / "good.csv")).first()["participant_id"] == "1"
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 3000])
+def test_exact_quantiles_like_numpy(spark, n):
+    r = np.random.default_rng(n)
+    frame = pd.DataFrame({"g": r.choice(["a", "b"], n), "v": r.normal(size=n).round(2), "w": r.integers(0, 3, n).astype(float)})
+    df = spark.createDataFrame(frame).union(spark.createDataFrame([(None, 7.0, None), ("c", None, None)], "g string, v double, w double"))
+    qs = (0.0, 0.25, 0.5, 0.999, 1.0)
+    got = {(r["g"], r["name"]): r["quantiles"] for r in quantiles.exact_quantiles(df, ("v", "w"), qs, ("g",)).collect()}
+    assert set(got) == {(g, c) for g in set(frame["g"]) for c in "vw"} | {(None, "v")} and got[None, "v"] == [7.0] * 5
+    for g, part in frame.groupby("g"):
+        for c in "vw":
+            assert np.allclose(got[g, c], np.quantile(part[c], qs))
+    whole = {r["name"]: r["quantiles"] for r in quantiles.exact_quantiles(df, ("v", "w"), qs).collect()}
+    assert np.allclose(whole["v"], np.quantile([*frame["v"], 7.0], qs)) and np.allclose(whole["w"], np.quantile(frame["w"], qs))
+    assert quantiles.exact_quantiles(df.where("false"), ("v",), qs).count() == 0
+
+
+def test_exact_quantiles_in_narrow_brackets(spark, monkeypatch):
+    values = np.random.default_rng(3).lognormal(size=20_000).round(3)
+    df = spark.createDataFrame(pd.DataFrame({"v": values}))
+    monkeypatch.setattr(quantiles, "ACCURACY", 1000)  # a sketch that is not exact here
+    got = quantiles.exact_quantiles(df, ("v",), (0.1, 0.5, 0.999)).first()["quantiles"]
+    assert np.allclose(got, np.quantile(values, (0.1, 0.5, 0.999)))
+
+
+@pytest.mark.parametrize("slices", [1, 2, 7, 500])
+def test_numbering_by_slices(spark, slices):
+    pairs = sorted({(f"p{i % 7}" if i % 5 else None, f"k{i}") for i in range(60)}, key=lambda p: (p[0] is not None, p[0] or "", p[1]))
+    df = spark.createDataFrame(pairs[::-1], "p string, k string")
+    got = windows.numbered(df, ("p", "k"), "n", df, slices).collect()
+    assert sorted((r["n"], r["p"], r["k"]) for r in got if r["p"]) == [(i, *p) for i, p in enumerate(pairs) if p[0]]
+    assert [r["k"] for r in sorted(got, key=lambda r: r["n"])] == [k for _, k in pairs]
+
+
+def test_expectations_against_all_paths():
+    from itertools import product
+
+    r = np.random.default_rng(8)
+    k, sizes = generative.K, np.array([3, 2, 4])
+    begins = np.cumsum(sizes) - sizes
+    z, mean, var = r.normal(size=(sizes.sum(), 6)), r.normal(size=(k, 6)), r.uniform(0.5, 2, (k, 6))
+    start, change = np.log(r.dirichlet(np.ones(k))), np.log(r.dirichlet(np.ones(k), k))
+    total, occupancy, pairs = generative.expectations(z, begins, sizes, start, change, mean, var)
+    want_total, want_g, want_pairs = 0.0, np.zeros((len(z), k)), np.zeros((k, k))
+    e = generative.emission_matrix(z, mean, var)
+    for b, n in zip(begins, sizes, strict=True):
+        paths = np.array(list(product(range(k), repeat=int(n))))
+        logs = start[paths[:, 0]] + e[b + np.arange(n), paths].sum(1) + change[paths[:, :-1], paths[:, 1:]].sum(1)
+        p = np.exp(logs - logs.max())
+        want_total += logs.max() + np.log(p.sum())
+        p /= p.sum()
+        for i in range(n):
+            np.add.at(want_g[b + i], paths[:, i], p)
+            if i:
+                np.add.at(want_pairs, (paths[:, i - 1], paths[:, i]), p)
+    assert np.isclose(total, want_total) and np.allclose(occupancy, want_g) and np.allclose(pairs, want_pairs)
+
+
+def test_models_by_dataset(spark):
+    parts = [series(spark, *gappy(s, 60, 0.1), key=s).withColumn("dataset", F.lit("AB"[s % 2])) for s in range(4)]
+    df = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(series(spark, [1.0], key=9).withColumn("dataset", F.lit("A")))
+    df = diagnostics.diagnose(df, 400, 200).withColumn("true_regime", F.when(F.col("m_t") == 1, "LossShort").otherwise("Stable"))
+    models = generative.fit_by(df, rounds=3, inits=1)
+    assert set(models) == {"A", "B"}
+    for name, m in models.items():
+        assert sorted(m.names) == sorted(states.STATES) and np.all(np.diff(m.log_likelihood) >= -1e-6)
+        assert m.predict(df.where(F.col("dataset") == name)).where("state is null").count() == 0
+    with pytest.raises(ValueError):
+        generative.fit(df.where("series = 9"), rounds=1, inits=1)
