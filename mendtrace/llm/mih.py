@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from math import ceil, comb, log2
 
@@ -20,6 +21,9 @@ REACHED = 0.97
 BLOCK, QUERY_BLOCK, PREFIX = 8_192, 32_768, 16
 #: Bits of a substring.
 SUB = 8
+#: Queries of which one matrix product is made.
+QUERY_STEP = 256
+MASKS = np.arange(256)
 POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -97,33 +101,60 @@ class Index:
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
+        self.words = words(codes)
         self.order = [np.argsort(codes[:, j], kind="stable") for j in range(codes.shape[1])]
         self.start = [np.searchsorted(codes[o, j], np.arange(257)) for j, o in enumerate(self.order)]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Every row whose code lies within the radius: in one of m substrings at most radius // m bits differ, and in
-        all but the first radius % m + 1 of them one less will do."""
+        all but the first radius % m + 1 of them one less will do. Lists that name a row more than once on the average
+        (a radius of almost half the bits) are not read; each row is compared then, as it would be after them."""
         m = len(code)
         near, extra = divmod(radius, m)
-        hit = np.zeros(len(self.codes), bool)
+        lists = []
         for j in range(m):
             r = near if j <= extra else near - 1
             if r >= 0:
-                for v in np.flatnonzero(POP[np.arange(256) ^ int(code[j])] <= r):
-                    hit[self.order[j][self.start[j][v] : self.start[j][v + 1]]] = True
-        rows = np.flatnonzero(hit)
-        return rows[POP[self.codes[rows] ^ code].sum(1) <= radius]
-
-
-def exact_top(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and scores of the k rows with the largest inner product with q, ties to smaller ids, without the query's id."""
-    score = np.where(ids == query_id, -np.inf, (x * q).sum(1))
-    some = np.arange(len(score))
-    if len(score) > 4 * k:
-        some = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
-    best = some[np.lexsort((ids[some], -score[some]))[:k]]
-    best = best[score[best] > -np.inf]
-    return best, score[best]
+                v = MASKS[POP <= r] ^ int(code[j])
+                lists.append((j, self.start[j][v], self.start[j][v + 1]))
+        rows = np.arange(len(self.codes))
+        if sum(int((e - s).sum()) for _, s, e in lists) < len(rows):
+            hit = np.zeros(len(rows), bool)
+            for j, s, e in lists:
+                for a, b in zip(s.tolist(), e.tolist(), strict=True):
+                    hit[self.order[j][a:b]] = True
+            rows = np.flatnonzero(hit)
+        theirs = self.words if len(rows) == len(self.words) else self.words[rows]
+        return rows[np.bitwise_count(theirs ^ words(code[None])).sum(1, dtype=np.int64) <= radius]
+
+
+def words(codes: np.ndarray) -> np.ndarray:
+    """Codes as numbers of 64 bits, zeros behind them."""
+    out = np.zeros((len(codes), -(-codes.shape[1] // 8) * 8), np.uint8)
+    out[:, : codes.shape[1]] = codes
+    return out.view(np.uint64)
+
+
+def exact_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, rows_of: Callable[[int], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) as places: of rows_of(query), the k with the largest inner product with the query, ties to
+    smaller ids, without the query's id. Matrix products tell which rows can be among them, up to their rounding; the
+    scores are sums of these rows' own products."""
+    longest = np.sqrt((x * x).sum(1).max(initial=0.0))
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for a in range(0, len(q), QUERY_STEP):
+        rough = q[a : a + QUERY_STEP] @ x.T
+        slack = 4 * x.shape[1] * np.finfo(np.float64).eps * longest * np.sqrt((q[a : a + QUERY_STEP] ** 2).sum(1))
+        for i in range(a, min(a + QUERY_STEP, len(q))):
+            rows = rows_of(i)
+            rows = rows[ids[rows] != query_ids[i]]
+            if len(rows) > k and np.isfinite(slack[i - a]):
+                near = rough[i - a, rows]
+                rows = rows[near >= np.partition(near, len(near) - k)[len(near) - k] - slack[i - a]]
+            score = (x[rows] * q[i]).sum(1)
+            best = np.lexsort((ids[rows], -score))[:k]
+            best = best[score[best] > -np.inf]
+            out.append((np.full(len(best), i), rows[best], score[best]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def matrix(col: pd.Series) -> np.ndarray:
@@ -158,15 +189,17 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id"
     # Radius: where the sampled queries' true neighbours lie, found in one pass, of which k rows per query and batch leave.
     sample = queries.orderBy("deal", "id").limit(RADIUS_QUERIES).toPandas()
     q_ids, q = sample["id"].to_numpy(np.int64), matrix(sample["v"])
+    theirs = encode(q, mean, projection) if len(q) else None
 
     def nearest(batches):
         for b in batches:
+            if not len(b):
+                continue
             ids, x = b["id"].to_numpy(np.int64), matrix(b["v"])
             codes = encode(x, mean, projection)
-            for i in range(len(q)):
-                at, score = exact_top(ids, x, q_ids[i], q[i], k)
-                bits = POP[codes[at] ^ encode(q[i : i + 1], mean, projection)].sum(1)
-                yield pd.DataFrame({"query_id": q_ids[i], "id": ids[at], "score": score, "bits": bits.astype(np.int64)})
+            i, at, score = exact_top(ids, x, q_ids, q, k, lambda i: np.arange(len(ids)))
+            bits = POP[codes[at] ^ theirs[i]].sum(1, dtype=np.int64)
+            yield pd.DataFrame({"query_id": q_ids[i], "id": ids[at], "score": score, "bits": bits})
 
     radius = 0
     if len(q):
@@ -194,19 +227,20 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id"
             return f
 
         def pair(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            out = [pd.DataFrame({"query_id": [], "id": [], "score": []})]
-            if len(rows) and len(asked):
-                j = int(rows["j"].iloc[0])
-                ids, x, q = rows["id"].to_numpy(np.int64), matrix(rows["v"]), matrix(asked["v"])
-                index, codes = Index(encode(x, mean, projection)), encode(q, mean, projection)
-                buckets, theirs = tables.buckets(index.codes), tables.buckets(codes)
-                for i, query_id in enumerate(asked["id"]):
-                    found = index.within(codes[i], radius)
-                    if j:
-                        found = found[~tables.seen_before(j, buckets[found], theirs[i])]
-                    at, score = exact_top(ids[found], x[found], query_id, q[i], k)
-                    out.append(pd.DataFrame({"query_id": query_id, "id": ids[found][at], "score": score}))
-            return pd.concat(out).astype({"query_id": np.int64, "id": np.int64, "score": np.float64})
+            if not len(rows) or not len(asked):
+                return pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+            j = int(rows["j"].iloc[0])
+            ids, x = rows["id"].to_numpy(np.int64), matrix(rows["v"])
+            query_ids, q = asked["id"].to_numpy(np.int64), matrix(asked["v"])
+            index, codes = Index(encode(x, mean, projection)), encode(q, mean, projection)
+            buckets, theirs = tables.buckets(index.codes), tables.buckets(codes)
+
+            def found(i: int) -> np.ndarray:
+                at = index.within(codes[i], radius)
+                return at[~tables.seen_before(j, buckets[at], theirs[i])] if j else at
+
+            i, at, score = exact_top(ids, x, query_ids, q, k, found)
+            return pd.DataFrame({"query_id": query_ids[i], "id": ids[at], "score": score})
 
         schema = "id long, v array<double>, deal long, j int, bucket long"
         whole = [np.zeros(1, np.int64)] * tables.m
