@@ -33,7 +33,8 @@ def build_tree(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role
 
     Prefixes are named by chained digests, so equal ones meet however many conversations share them. Conversations sorted
     by their chains come in depth-first order, and each emits what lies beyond the prefix it shares with the one before.
-    Places are sums over range partitions, so that a tree that holds most of the input spans many tasks. Turns are ordered
+    Places are sums over range partitions, so that a tree that holds most of the input spans many tasks; they come from
+    digests and lengths alone, and texts meet their places once, at the end. Turns are ordered
     by turn, role, text; null texts and roles are empty; rows with a null conversation form one; repeated rows are turns of
     their own; other columns are ignored.
     """
@@ -41,33 +42,36 @@ def build_tree(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     convs = turns.select(F.col(conv).alias("conv"), one.alias("t")).groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     digest = lambda was, t: F.substring(F.sha2(F.concat_ws("\n", was, F.length(t["role"]).cast("string"), t["role"], t["text"]), 256), 1, 32)
     chain = F.aggregate("ts", F.array(F.lit("")), lambda acc, t: F.array_append(acc, digest(F.element_at(acc, -1), t)))
-    convs = C.stage_table(convs.withColumn("chain", F.slice(chain, 2, 1 << 30)).withColumn("segment", F.element_at("chain", -1)), "convs")
-    leaves = convs.select("conv", "segment", F.size("ts").alias("n_turns"))
     head = lambda t: F.concat(F.lit(OPEN), escape(t["role"]), F.lit(MID))
-    shown = lambda t, i: F.struct(F.element_at("chain", F.col("shared") + i + 1).alias("node"), F.concat(head(t), escape(t["text"]), F.lit(CLOSE)).alias("formatted"), F.when(t["role"] == learn, F.struct(F.length(head(t)).alias("from"), (F.length(head(t)) + F.length(escape(t["text"]))).alias("to"))).alias("loss"))
+    shown = lambda t: F.concat(head(t), escape(t["text"]), F.lit(CLOSE))
+    long_ = lambda c: c.cast("long")
+    convs = convs.withColumn("chain", F.slice(chain, 2, 1 << 30)).withColumn("sizes", F.transform("ts", lambda t: long_(F.length(shown(t)))))
+    convs = C.stage_table(convs.withColumn("segment", F.element_at("chain", -1)).withColumn("n", F.monotonically_increasing_id()), "convs")
+    leaves = convs.select("conv", "segment", F.size("ts").alias("n_turns"))
 
     # Depth-first order of distinct conversations in range partitions; a partition's first row looks at the last row before it.
     spread = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = convs.groupBy("segment").agg(F.first("ts").alias("ts"), F.first("chain").alias("chain"))
+    rows = convs.groupBy("segment").agg(F.min("n").alias("n"), F.first("chain").alias("chain"), F.first("sizes").alias("sizes"))
     rows = C.stage_table(rows.repartitionByRange(spread, "chain").withColumn("slice", F.spark_partition_id()), "sorted")
     tails = rows.groupBy("slice").agg(F.max("chain").alias("tail")).select("slice", F.lag("tail").over(Window.orderBy("slice")).alias("before"))
     in_slice = Window.partitionBy("slice").orderBy("chain")
     rows = rows.withColumn("i", F.row_number().over(in_slice)).withColumn("was", F.lag("chain").over(in_slice)).join(tails, "slice")
     shared = F.size(F.array_intersect("chain", F.coalesce("was", "before", F.array().cast("array<string>"))))
-    rows = rows.withColumn("shared", shared).withColumn("tree", F.element_at("chain", 1)).withColumn("fresh", F.transform(F.slice("ts", F.col("shared") + 1, F.greatest(F.size("ts") - F.col("shared"), F.lit(0))), shown))
-    size = F.aggregate("fresh", F.lit(0).cast("long"), lambda n, x: n + F.length(x["formatted"]))
-    rows = C.stage_table(rows.withColumn("size", size).select("segment", "slice", "i", "tree", "chain", "shared", "fresh", "size"), "rows")
+    rows = rows.withColumn("shared", shared).withColumn("tree", F.element_at("chain", 1)).withColumn("fresh", F.slice("sizes", F.col("shared") + 1, F.size("sizes") - F.col("shared")))
+    size = F.aggregate("fresh", long_(F.lit(0)), lambda n, x: n + x)
+    rows = C.stage_table(rows.withColumn("size", size).select("segment", "n", "slice", "i", "tree", "chain", "shared", "fresh", "size"), "rows")
     held = rows.groupBy("slice", "tree").agg(F.sum("size").alias("held"))
     earlier = Window.partitionBy("tree").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    held = held.select("slice", "tree", F.coalesce(F.sum("held").over(earlier), F.lit(0).cast("long")).alias("base"))
+    held = held.select("slice", "tree", F.coalesce(F.sum("held").over(earlier), long_(F.lit(0))).alias("base"))
     within = Window.partitionBy("slice", "tree").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0).cast("long"))).join(held, ["slice", "tree"])
+    rows = rows.withColumn("ahead", F.coalesce(F.sum("size").over(within), long_(F.lit(0)))).join(held, ["slice", "tree"])
     rows = rows.withColumn("start", F.col("base") + F.col("ahead")).drop("slice", "i", "base", "ahead")
 
-    turns_ = rows.select("segment", "tree", "shared", "start", F.posexplode("fresh").alias("k", "f")).select("segment", "tree", (F.col("shared") + F.col("k")).alias("depth"), F.col("start").alias("from"), "f.node", "f.formatted", "f.loss")
-    length = F.length("formatted").cast("long")
-    so_far = F.sum(length).over(Window.partitionBy("segment").orderBy("depth"))
-    placed = C.stage_table(turns_.withColumn("end", F.col("from") + so_far).withColumn("start", F.col("end") - length).drop("from"), "placed")
+    placed = rows.select("segment", "n", "tree", "shared", "chain", F.col("start").alias("from"), F.posexplode("fresh").alias("k", "length"))
+    so_far = F.sum("length").over(Window.partitionBy("segment").orderBy("k"))
+    depth = F.col("shared") + F.col("k")
+    placed = placed.select("segment", "n", "tree", depth.alias("depth"), F.element_at("chain", depth + 1).alias("node"), "length", (F.col("from") + so_far).alias("end"))
+    placed = C.stage_table(placed.withColumn("start", F.col("end") - F.col("length")).drop("length"), "placed")
 
     # Ancestors: one row per conversation and shared turn, never more than there are turns.
     ups = rows.where("shared > 0").select("segment", F.explode(F.slice("chain", F.lit(1), F.col("shared"))).alias("node"))
@@ -77,8 +81,17 @@ def build_tree(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     above = F.coalesce(F.transform("above", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), none)
     segments = rows.select("segment", "tree", "start", (F.col("start") + F.col("size")).alias("end")).join(ups, "segment", "left").withColumn("ancestors", above).drop("above")
     segments = C.stage_table(segments, "segments")
-    first = segments.select("segment", F.col("start").alias("s0"), F.aggregate("ancestors", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("p0"))
-    nodes = placed.join(first, "segment").select("tree", "segment", "depth", "formatted", "start", "end", (F.col("p0") + F.col("start") - F.col("s0")).alias("position"), "loss")
+    first = segments.select("segment", F.col("start").alias("s0"), F.aggregate("ancestors", long_(F.lit(0)), lambda n, x: n + x["end"] - x["start"]).alias("p0"))
+
+    # Places of a conversation's own turns meet its texts; as many places are held as turns are counted.
+    place = F.struct("depth", "start", "end", (F.col("p0") + F.col("start") - F.col("s0")).alias("position"))
+    places = placed.join(first, "segment").groupBy("n", "segment", "tree").agg(F.collect_list(place).alias("places"))
+    places = F.broadcast(places) if placed.count() <= C.BROADCAST_ROWS // 4 else places.hint("shuffle_hash")
+    both = convs.select("n", "ts").join(places, "n")
+    both = both.select("tree", "segment", F.explode(F.transform("places", lambda p: F.struct(p.alias("p"), F.element_at(F.col("ts"), p["depth"] + 1).alias("t")))).alias("x"))
+    t = F.col("x.t")
+    loss = F.when(t["role"] == learn, F.struct(F.length(head(t)).alias("from"), (F.length(head(t)) + F.length(escape(t["text"]))).alias("to")))
+    nodes = both.select("tree", "segment", "x.p.depth", shown(t).alias("formatted"), "x.p.start", "x.p.end", "x.p.position", loss.alias("loss"))
     return nodes, segments, leaves
 
 
