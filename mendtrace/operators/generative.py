@@ -120,6 +120,46 @@ def align(counts: dict[tuple[int, str], int]) -> list[str]:
     return [STATES[s] for s in best]
 
 
+def dealt(df: DataFrame, z: str, keep: Sequence[str] = (), key: Sequence[str] = KEY, idx: str = IDX) -> DataFrame:
+    """Rows as z, sorted by series once, with the marks that em_round() needs; each round is then one pass over what a task holds."""
+    w = ordered(key, idx)
+    marks = ((F.row_number().over(w) == 1).alias("_begin"), (F.count("*").over(whole(key)) > 1).alias("_many"), F.lit(True).alias("_in"))
+    return df.select(*key, idx, *keep, F.col(z).alias("z"), *marks).sortWithinPartitions(*key, idx)
+
+
+def em_round(rows: DataFrame, start: np.ndarray, change: np.ndarray, mean: np.ndarray, var: np.ndarray) -> DataFrame:
+    """One round on dealt rows of series of two rows or more. A row for each component: log_likelihood (under the given
+    model), occupancy, and the new model: start and change (logs), mean and var. Tasks send sums of fixed size."""
+    start, change, mean, var = (np.asarray(x, np.float64) for x in (start, change, mean, var))
+    n_in = mean.shape[1]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_runs(batches):
+            z = t["z"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+            at = np.flatnonzero(t["_begin"].to_numpy())
+            total, g, pairs = expectations(z, at, np.diff(np.append(at, len(z))), start, change, mean, var)
+            flat = np.concatenate([[total], g[at].sum(0), pairs.ravel(), g.sum(0), (g.T @ z).ravel(), (g.T @ z**2).ravel()])
+            yield pa.record_batch({"s": [flat]})
+
+    first, pairs, held, ones, squares = np.cumsum([1, K, K * K, K, K * n_in]).tolist()
+    sums = rows.select("z", "_begin", "_in").mapInArrow(gather, "s array<double>").agg(F.array(*(F.sum(F.col("s")[i]) for i in range(squares + K * n_in))).alias("s"))
+    k, v, tiny = F.col("component"), F.col("s"), F.lit(1e-12)
+    part = lambda begin, n: F.slice(v, k * n + begin + 1, F.lit(n))
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    out = sums.select("s", F.explode(F.sequence(F.lit(0), F.lit(K - 1))).alias("component"))
+    out = out.withColumns({"n": F.greatest(F.get(v, k + held), tiny), "left": F.greatest(add(part(pairs, K)), F.lit(1e-300))})
+    out = out.withColumn("mean", F.transform(part(ones, n_in), lambda x: x / F.col("n")))
+    return out.select(
+        "component",
+        v[0].alias("log_likelihood"),
+        F.col("n").alias("occupancy"),
+        F.log(F.greatest(F.get(v, k + first) / add(F.slice(v, first + 1, K)), tiny)).alias("start"),
+        F.transform(part(pairs, K), lambda x: F.log(F.greatest(x / F.col("left"), tiny))).alias("change"),
+        "mean",
+        F.zip_with(part(squares, n_in), "mean", lambda q, m: F.greatest(q / F.col("n") - m * m, F.lit(1e-3))).alias("var"),
+    )
+
+
 def fit(df: DataFrame, rounds: int = 20, seed: int = 42, key: Sequence[str] = KEY, idx: str = IDX, inits: int = 30, tol: float = 1e-3, state: str = "true_regime") -> GaussianHMM:
     """Fit on diagnosed, labelled series. Only sums of statistics (of fixed size) come to the driver in each round; series
     of one row take no part. The start is the best of `inits` k-means runs."""
@@ -128,10 +168,7 @@ def fit(df: DataFrame, rounds: int = 20, seed: int = 42, key: Sequence[str] = KE
 
     scale_rows = sorted(robust_scale(df).collect(), key=lambda r: r["place"])
     center, scale = np.array([r["center"] or 0.0 for r in scale_rows]), np.array([r["scale"] for r in scale_rows])
-    # Dealt and sorted by series once; each round is then one pass over what each task holds.
-    w = ordered(key, idx)
-    data = scaled(df, center, scale).select(*key, idx, state, "z", (F.row_number().over(w) == 1).alias("_begin"), (F.count("*").over(whole(key)) > 1).alias("_many"), F.lit(True).alias("_in"))
-    data = data.sortWithinPartitions(*key, idx).cache()
+    data = dealt(scaled(df, center, scale), "z", (state,), key, idx).cache()
     rows = data.where("_many").select("z", "_begin", "_in")
     try:
         if rows.isEmpty():
@@ -149,26 +186,10 @@ def fit(df: DataFrame, rounds: int = 20, seed: int = 42, key: Sequence[str] = KE
         var = np.array([spread(stats[k]) + 1e-3 if k in stats and stats[k]["n"] > 2 else spread(overall) + 1e-3 for k in range(K)])
         start, change = np.log(np.full(K, 1 / K)), np.log(np.full((K, K), 0.08 / (K - 1)) + np.eye(K) * (0.92 - 0.08 / (K - 1)))
         history: list[float] = []
-        width = 1 + K + K * K + K + 2 * K * len(INPUTS)
         for _ in range(rounds):
-
-            def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for t in whole_runs(batches):
-                    z = t["z"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-                    at = np.flatnonzero(t["_begin"].to_numpy())
-                    total, g, pairs = expectations(z, at, np.diff(np.append(at, len(z))), start, change, mean, var)  # noqa: B023
-                    flat = np.concatenate([[total], g[at].sum(0), pairs.ravel(), g.sum(0), (g.T @ z).ravel(), (g.T @ z**2).ravel()])
-                    yield pa.record_batch({"s": [flat]})
-
-            sums = rows.mapInArrow(gather, "s array<double>").agg(*(F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(width))).first()
-            v = np.array(list(sums))
-            history.append(v[0])
-            cut = np.cumsum([1, K, K * K, K, K * len(INPUTS)])
-            first, pairs, n = v[cut[0] : cut[1]], v[cut[1] : cut[2]].reshape(K, K), np.maximum(v[cut[2] : cut[3]], 1e-12)
-            mean = v[cut[3] : cut[4]].reshape(K, -1) / n[:, None]
-            var = np.maximum(v[cut[4] :].reshape(K, -1) / n[:, None] - mean**2, 1e-3)
-            start = np.log(np.maximum(first / first.sum(), 1e-12))
-            change = np.log(np.maximum(pairs / np.maximum(pairs.sum(1, keepdims=True), 1e-300), 1e-12))
+            got = sorted(em_round(rows, start, change, mean, var).collect(), key=lambda r: r["component"])
+            history.append(got[0]["log_likelihood"])
+            start, change, mean, var = (np.array([r[c] for r in got]) for c in ("start", "change", "mean", "var"))
             if len(history) > 1 and abs(history[-1] - history[-2]) < tol:
                 break
         model = GaussianHMM(center, scale, start, change, mean, var, [str(k) for k in range(K)], history)

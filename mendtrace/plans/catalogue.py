@@ -422,6 +422,49 @@ add("robust_scale", "name:s center:d9 scale:d9", lambda s, d: GE.robust_scale(di
 _ge_mean, _ge_var = [0.2, 0.4, 0.1, 0.3, 2.0, 0.0], [0.5, 1.5, 0.2, 0.7, 3.0, 0.1]
 _dens = " + ".join(f"-0.5::DOUBLE * (ln({2 * np.pi * v!r}::DOUBLE) + (coalesce(l_{c}, 0) - {m}::DOUBLE) * (coalesce(l_{c}, 0) - {m}::DOUBLE) / {v}::DOUBLE)" for c, m, v in zip(GE.INPUTS, _ge_mean, _ge_var, strict=True))
 add("gaussian_emission", _row + "log_density:d", lambda s, d: GE.scaled(diagnosed(s, d), [0.0] * 6, [1.0] * 6).withColumn("log_density", GE.gaussian_log_emission(F.col("z"), _ge_mean, _ge_var)), f"{DGQ},\nlg AS (SELECT series, sample_idx, {_logged} FROM dg)", f"SELECT series, sample_idx, {_dens} AS log_density FROM lg")
+# A fixed model of five components: one round of expectation maximisation, and the best paths.
+_k = range(GE.K)
+_gm = [[0.05 + 0.17 * k, 0.1 + 0.3 * k, 1.1 + 1.7 * k, 0.9 + 2.3 * k, 0.7 + 0.9 * k, 0.03 + 0.11 * k] for k in _k]
+_gv = [[0.31 + 0.07 * k, 0.8 + 0.2 * k, 4.1 + 1.3 * k, 5.3 + 1.1 * k, 3.7 + 0.6 * k, 0.21 + 0.05 * k] for k in _k]
+_gc = np.log(np.full((GE.K, GE.K), 0.04) + np.eye(GE.K) * 0.8).tolist()
+_gs = np.log([0.3, 0.25, 0.2, 0.15, 0.1]).tolist()
+
+
+def five(alias: str, of: Callable[[int], str]) -> str:
+    return ", ".join(f"{of(k)} AS {alias}{k}" for k in _k)
+
+
+def log_sum_sql(terms: list[str], weights: list[float]) -> str:
+    top = f"greatest({', '.join(terms)})"
+    return f"({top} + ln({' + '.join(f'{w!r}::DOUBLE * exp({t} - {top})' for t, w in zip(terms, weights, strict=True))}))"
+
+
+_gp = np.exp(_gc).tolist()
+_gdens = [" + ".join(f"-0.5::DOUBLE * (ln({2 * np.pi * v!r}::DOUBLE) + (z{i} - {m!r}::DOUBLE) * (z{i} - {m!r}::DOUBLE) / {v!r}::DOUBLE)" for i, (m, v) in enumerate(zip(_gm[k], _gv[k], strict=True))) for k in _k]
+_gz = ", ".join(f"coalesce(l_{c}, 0) AS z{i}" for i, c in enumerate(GE.INPUTS))
+GMQ = f"""{DGQ},
+gz AS (SELECT series, sample_idx, {_gz} FROM (SELECT series, sample_idx, {_logged} FROM dg) AS lg),
+ge AS (SELECT *, 0 AS m_t, row_number() OVER (PARTITION BY series ORDER BY sample_idx) AS pos, count(*) OVER (PARTITION BY series) AS size, {five('e', lambda k: _gdens[k])} FROM gz)"""
+EMR = f"""{GMQ},
+fw AS (SELECT series, pos, size, {five('a', lambda k: f'e{k} + ({_gs[k]!r}::DOUBLE)')} FROM ge WHERE pos = 1 AND size > 1
+  UNION ALL SELECT n.series, n.pos, n.size, {', '.join(f"n.e{j} + {log_sum_sql([f'f.a{i}' for i in _k], [_gp[i][j] for i in _k])}" for j in _k)} FROM fw f JOIN ge n ON n.series = f.series AND n.pos = f.pos + 1),
+bw AS (SELECT series, pos, {five('e', lambda k: f'e{k}')}, {five('b', lambda k: '0.0::DOUBLE')} FROM ge WHERE pos = size AND size > 1
+  UNION ALL SELECT n.series, n.pos, {', '.join(f'n.e{k}' for k in _k)}, {', '.join(log_sum_sql([f'(f.e{j} + f.b{j})' for j in _k], _gp[i]) for i in _k)} FROM bw f JOIN ge n ON n.series = f.series AND n.pos = f.pos - 1),
+lt AS (SELECT series, {log_sum_sql([f'a{k}' for k in _k], [1.0] * GE.K)} AS total FROM fw WHERE pos = size),
+gg AS (SELECT f.pos, total, z2, {five('g', lambda k: f'exp(a{k} + b{k} - total)')}, {five('x', lambda k: f'exp(lag(a{k}) OVER w + ({_gc[k][k]!r}::DOUBLE) + b.e{k} + b{k} - total)')},
+  {five('y', lambda k: ' + '.join(f'exp(lag(a{k}) OVER w + ({_gc[k][j]!r}::DOUBLE) + b.e{j} + b{j} - total)' for j in _k))}
+  FROM fw f JOIN bw b USING (series, pos) JOIN lt USING (series) JOIN (SELECT series, pos, z2 FROM ge) AS z USING (series, pos) WINDOW w AS (PARTITION BY series ORDER BY f.pos))"""
+_round = " UNION ALL ".join(f"SELECT {k} AS component, sum(CASE WHEN pos = 1 THEN total END) AS log_likelihood, sum(g{k}) AS occupancy, ln(sum(CASE WHEN pos = 1 THEN g{k} END) / count(CASE WHEN pos = 1 THEN 1 END)) AS start, ln(sum(x{k}) / sum(y{k})) AS stay, sum(g{k} * z2) / sum(g{k}) AS mean_c, sum(g{k} * z2 * z2) / sum(g{k}) - (sum(g{k} * z2) / sum(g{k})) ** 2 AS var_c FROM gg" for k in _k)
+
+
+def em_round(spark: SparkSession, d: str) -> DataFrame:
+    rows = GE.dealt(GE.scaled(diagnosed(spark, d), [0.0] * 6, [1.0] * 6), "z").where("_many")
+    got = GE.em_round(rows, _gs, _gc, _gm, _gv)
+    return got.withColumns({"stay": F.get("change", F.col("component")), "mean_c": F.col("mean")[2], "var_c": F.col("var")[2]})
+
+
+add("gaussian_em_round", "component:l log_likelihood:d3 occupancy:d4 start:d5 stay:d5 mean_c:d5 var_c:d5", em_round, EMR, _round)
+add("gaussian_decode", _row + "component:l", lambda s, d: GE.decode_series(GE.scaled(diagnosed(s, d), [0.0] * 6, [1.0] * 6), "z", np.array(_gm), np.array(_gv), np.array(_gc), np.array(_gs), "component", ("series",), "sample_idx"), f"{GMQ},\n{Q.viterbi('ge', [f'e{k}' for k in _k], _gc, _gs, 'gd')}", "SELECT series, sample_idx, p AS component FROM gd")
 add("component_overlap", "component:l state:s n:l", lambda s, d: GE.overlap_counts(stated(s, d).withColumn("component", F.col("sample_idx") % 5), state="state"), POQ, "SELECT sample_idx % 5 AS component, state, count(*) AS n FROM pw GROUP BY ALL")
 
 
