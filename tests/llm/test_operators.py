@@ -375,6 +375,20 @@ def test_chat_tree(spark):
     assert chat_tree.read_back(*chat_tree.build_tree(none)).count() == 0
 
 
+def test_chat_tree_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(chat_tree.C, "BROADCAST_ROWS", 0)
+    r = np.random.default_rng(6)
+    rows = [(c, t, ("user", "assistant")[t % 2], f"{'~</s>' * int(r.integers(3))}{int(r.integers(2))}") for c in range(120) for t in range(int(r.integers(1, 9)))]
+    nodes, segments, leaves = chat_tree.build_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5))
+    nodes = nodes.cache()
+    prefixes = {tuple(x[1:] for x in rows if x[0] == c)[:n] for c in range(120) for n in range(1, 9)}
+    assert nodes.count() == len({p for p in prefixes if p})
+    assert all(x["end"] - x["start"] == len(x["formatted"]) for x in nodes.collect())
+    for x in chat_tree.read_back(nodes, segments, leaves).collect():
+        mine = [(role, text) for c, _, role, text in rows if c == x["conv"]]
+        assert x["n_turns"] == len(mine) and x["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in mine).encode()).hexdigest()
+
+
 def test_quality_and_language(spark, docs, empty):
     rows = [(i, (prose(i, 60) if i % 2 else "".join(w + "$$$ " for w in prose(i, 60).split())), "en" if i % 3 else "de") for i in range(150)]
     rows = [(i, t if g == "en" else t.replace("a", "ü").replace("e", "ß"), g) for i, t, g in rows]
@@ -475,6 +489,31 @@ def test_index_finds_every_code_within_the_radius():
         assert np.array_equal(index.within(codes[9], radius), want)
 
 
+@pytest.mark.parametrize("width", [1, 4, 8, 12])
+def test_index_at_every_radius(width):
+    codes = np.random.default_rng(width).integers(0, 256, (300, width), np.uint8)
+    index = mih.Index(codes)
+    for radius in range(8 * width + 1):
+        want = np.flatnonzero(mih.POP[codes ^ codes[3]].sum(1, dtype=int) <= radius)
+        assert np.array_equal(index.within(codes[3], radius), want)
+
+
+@pytest.mark.parametrize("size", [1.0, 1e-170, 1e170])
+def test_exact_top_like_plain_sorting(size):
+    r = np.random.default_rng(12)
+    x = r.integers(-3, 4, (700, 5)) * size  # many ties; the large ones are beyond what squares can hold
+    q, ids = x[:300].copy(), r.permutation(700)
+    query_ids = ids[:300]
+    some = [np.flatnonzero(r.random(700) < share) for share in r.choice([0.0, 0.01, 0.5, 1.0], 300)]
+    with np.errstate(over="ignore", invalid="ignore"):
+        i, at, score = mih.exact_top(ids, x, query_ids, q, 7, some.__getitem__)
+        for k in range(300):
+            rows = some[k][ids[some[k]] != query_ids[k]]
+            s = (x[rows] * q[k]).sum(1)
+            want = [w for w in np.lexsort((ids[rows], -s))[:7] if s[w] > -np.inf]
+            assert at[i == k].tolist() == rows[want].tolist() and np.array_equal(score[i == k], s[want])
+
+
 def test_jaccard_signatures_meet():
     """Every two sets that are similar enough share a signature, in the first 48 bits also."""
     from mendtrace.llm import jaccard_join as J
