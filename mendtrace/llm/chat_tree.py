@@ -43,11 +43,13 @@ def build_tree(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     digest = lambda was, t: F.substring(F.sha2(F.concat_ws("\n", was, F.length(t["role"]).cast("string"), t["role"], t["text"]), 256), 1, 32)
     chain = F.aggregate("ts", F.array(F.lit("")), lambda acc, t: F.array_append(acc, digest(F.element_at(acc, -1), t)))
     head = lambda t: F.concat(F.lit(OPEN), escape(t["role"]), F.lit(MID))
-    shown = lambda t: F.concat(head(t), escape(t["text"]), F.lit(CLOSE))
     long_ = lambda c: c.cast("long")
-    convs = convs.withColumn("chain", F.slice(chain, 2, 1 << 30)).withColumn("sizes", F.transform("ts", lambda t: long_(F.length(shown(t)))))
-    convs = C.stage_table(convs.withColumn("segment", F.element_at("chain", -1)).withColumn("n", F.monotonically_increasing_id()), "convs")
-    leaves = convs.select("conv", "segment", F.size("ts").alias("n_turns"))
+    framed = F.transform("ts", lambda t: F.struct(t["role"].alias("role"), F.length(head(t)).alias("head"), F.concat(head(t), escape(t["text"]), F.lit(CLOSE)).alias("formatted")))
+    loss = lambda x: F.when(x["role"] == learn, F.struct(x["head"].alias("from"), (F.length(x["formatted"]) - len(CLOSE)).alias("to")))
+    shown = F.transform(framed, lambda x: F.struct(x["formatted"].alias("formatted"), loss(x).alias("loss")))
+    convs = convs.select("conv", F.slice(chain, 2, 1 << 30).alias("chain"), shown.alias("shown")).withColumn("n", F.monotonically_increasing_id())
+    convs = C.stage_table(convs.withColumn("segment", F.element_at("chain", -1)).withColumn("sizes", F.transform("shown", lambda x: long_(F.length(x["formatted"])))), "convs")
+    leaves = convs.select("conv", "segment", F.size("sizes").alias("n_turns"))
 
     # Depth-first order of distinct conversations in range partitions; a partition's first row looks at the last row before it.
     spread = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -87,11 +89,9 @@ def build_tree(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     place = F.struct("depth", "start", "end", (F.col("p0") + F.col("start") - F.col("s0")).alias("position"))
     places = placed.join(first, "segment").groupBy("n", "segment", "tree").agg(F.collect_list(place).alias("places"))
     places = F.broadcast(places) if placed.count() <= C.BROADCAST_ROWS // 4 else places.hint("shuffle_hash")
-    both = convs.select("n", "ts").join(places, "n")
-    both = both.select("tree", "segment", F.explode(F.transform("places", lambda p: F.struct(p.alias("p"), F.element_at(F.col("ts"), p["depth"] + 1).alias("t")))).alias("x"))
-    t = F.col("x.t")
-    loss = F.when(t["role"] == learn, F.struct(F.length(head(t)).alias("from"), (F.length(head(t)) + F.length(escape(t["text"]))).alias("to")))
-    nodes = both.select("tree", "segment", "x.p.depth", shown(t).alias("formatted"), "x.p.start", "x.p.end", "x.p.position", loss.alias("loss"))
+    both = convs.select("n", "shown").join(places, "n")
+    both = both.select("tree", "segment", F.explode(F.transform("places", lambda p: F.struct(p.alias("p"), F.element_at(F.col("shown"), p["depth"] + 1).alias("t")))).alias("x"))
+    nodes = both.select("tree", "segment", "x.p.depth", "x.t.formatted", "x.p.start", "x.p.end", "x.p.position", "x.t.loss")
     return nodes, segments, leaves
 
 
