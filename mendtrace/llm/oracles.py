@@ -21,6 +21,22 @@ reach AS (SELECT r AS a, r AS b FROM sh UNION SELECT reach.a, link.b FROM reach
 SELECT sh.doc_id, CAST(len(sh.s) AS BIGINT) AS n_shingles, m.component_id FROM sh JOIN (SELECT reach.a AS r, min(y.doc_id) AS component_id FROM reach JOIN sh AS y ON y.r = reach.b GROUP BY reach.a) AS m USING (r)"""
 
 
+#: All phrases counted one by one, then cut, compared with longer ones and ranked.
+COLLOCATIONS = rf"""WITH pc AS (SELECT lang, row_number() OVER () AS k, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents) AS x),
+pl AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pc),
+ph AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM pl, (SELECT unnest([1, 2, 3, 4]) AS m) AS ms WHERE i + m - 1 <= len(w)),
+ff AS (SELECT lang, m, phrase, CAST(count(*) AS HUGEINT) AS f FROM ph GROUP BY ALL),
+nn AS (SELECT lang, sum(f) AS n FROM ff WHERE m = 1 GROUP BY lang),
+ca AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM ff WHERE m >= 2 AND f >= 30),
+ins AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, w, a, m, s, unnest(range(1, m - s + 2)) AS i FROM ca, (SELECT unnest([2, 3]) AS s) AS ss WHERE s < m) AS x GROUP BY ALL),
+ke AS (SELECT ca.* FROM ca LEFT JOIN ins USING (lang, phrase) WHERE ins.longer IS NULL OR 100 * ins.longer < 80 * a),
+cu AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:m], ' ') AS rp FROM (SELECT *, unnest(range(1, m)) AS k FROM ke) AS x),
+sc AS (SELECT cu.lang, cu.phrase, a, k, x.f AS l, y.f AS r, (2000000 * a) // (x.f + y.f) AS score FROM cu JOIN ff AS x ON x.lang = cu.lang AND x.phrase = lp JOIN ff AS y ON y.lang = cu.lang AND y.phrase = rp),
+lo AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ra AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lo)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ra JOIN nn USING (lang) WHERE rank <= 2000"""
+
+
 def cases(pattern: str) -> str:
     """The pattern with letters of either case spelt out, so that only A-Z fold."""
     return re.sub(r"\(\?i:([^()]*)\)", lambda m: "(?:" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in m[1]) + ")", pattern)
@@ -63,4 +79,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || body |
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_prefix_tree": CHAT, "op2_credential_linking": secrets_sql(), "op5_jaccard_join": JACCARD}
+    return {"op1_chat_prefix_tree": CHAT, "op2_credential_linking": secrets_sql(), "op5_jaccard_join": JACCARD, "op11_phrase_collocations": COLLOCATIONS}

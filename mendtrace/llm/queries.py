@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat_tree import op1
+from .collocations import op11
 from .decontaminate import op3
 from .jaccard_join import op5
 from .language import op7
@@ -33,4 +34,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bucket_pointer_dedup": op8,
         "op9_anchor_pii": op9,
         "op10_multi_index_hashing": op10,
+        "op11_phrase_collocations": op11,
     }
