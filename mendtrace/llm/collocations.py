@@ -15,7 +15,7 @@ from . import common as C
 #: Words in the longest phrase; prefix doubling ranks suffixes by 1, 2 and 4 words.
 LONGEST = 4
 #: Bytes of text in a shard; a longer single text is a shard of its own.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Bits of the filter that tells which shorter phrases are frequent: it is broadcast, so its size is bounded; when it
 #: fills up, more phrases are counted in vain and the result is the same.
 FILTER_BITS = (12, 26)

@@ -37,6 +37,23 @@ ra AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DES
 SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ra JOIN nn USING (lang) WHERE rank <= 2000"""
 
 
+#: Words counted one by one; their checksums by the usual table of 256 values, made by its rule.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+RESAMPLE = rf"""WITH RECURSIVE tab AS (SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce([b] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b) AS x) AS y),
+src AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body FROM documents),
+wd AS (SELECT r, unnest(regexp_extract_all(translate(body, '{UPPER}', '{UPPER.lower()}'), '{WORD}')) AS w FROM src),
+wt AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{WORD}')) AS w FROM benchmark),
+hx AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM wd UNION SELECT w FROM wt) AS u),
+cr AS (SELECT w, xor(list_reduce([4294967295] || list_transform(range(0, length(x) // 2), lambda i: 16 * (strpos('0123456789ABCDEF', x[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', x[2 * i + 2]) - 1), lambda c, b: xor(c // 256, t[CAST(xor(c % 256, b) + 1 AS INTEGER)])), 4294967295) % 10000 AS bucket FROM hx, tab),
+sb AS (SELECT bucket, count(*) AS s FROM wd JOIN cr USING (w) GROUP BY bucket),
+tb AS (SELECT bucket, count(*) AS t FROM wt JOIN cr USING (w) GROUP BY bucket),
+ga AS (SELECT bucket, floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (CAST((SELECT count(*) FROM wd) AS DOUBLE) + 10000) / ((CAST(s AS DOUBLE) + 1) * (CAST((SELECT count(*) FROM wt) AS DOUBLE) + 10000)))) AS g FROM sb LEFT JOIN tb USING (bucket)),
+we AS (SELECT r, count(*) AS n, sum(g) AS v FROM wd JOIN cr USING (w) JOIN ga USING (bucket) GROUP BY r),
+sc AS (SELECT r, doc_id, coalesce(n, 0) AS n, CAST(coalesce(v, 0) AS BIGINT) AS v, CAST(coalesce(v, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM src LEFT JOIN we USING (r)),
+ra AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS k, count(*) OVER () AS many FROM sc WHERE n >= 20)
+SELECT doc_id, CAST(n AS BIGINT) AS n_features, v AS weight, score, CAST(CASE WHEN k <= 10 * many // 100 THEN k END AS BIGINT) AS rank FROM sc LEFT JOIN ra USING (r)"""
+
+
 def cases(pattern: str) -> str:
     """The pattern with letters of either case spelt out, so that only A-Z fold."""
     return re.sub(r"\(\?i:([^()]*)\)", lambda m: "(?:" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in m[1]) + ")", pattern)
@@ -79,4 +96,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || body |
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_prefix_tree": CHAT, "op2_credential_linking": secrets_sql(), "op5_jaccard_join": JACCARD, "op11_phrase_collocations": COLLOCATIONS}
+    return {"op1_chat_prefix_tree": CHAT, "op2_credential_linking": secrets_sql(), "op5_jaccard_join": JACCARD, "op11_phrase_collocations": COLLOCATIONS, "op12_importance_resampling": RESAMPLE}

@@ -14,9 +14,11 @@ from .language import op7
 from .mih import op10
 from .oracles import oracle_sql
 from .packing import op4
+from .perplexity import op13
 from .pii import op9
 from .quality import op6
 from .repeats import op8
+from .resample import op12
 from .secrets import op2
 
 __all__ = ["oracle_sql", "queries"]
@@ -35,4 +37,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_anchor_pii": op9,
         "op10_multi_index_hashing": op10,
         "op11_phrase_collocations": op11,
+        "op12_importance_resampling": op12,
+        "op13_perplexity_rules": op13,
     }

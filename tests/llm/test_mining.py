@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from mendtrace.llm import collocations
+from mendtrace.llm import collocations, perplexity, resample
 
 DOCS = "doc_id long, text string, lang string, f long, phrase string, n long, w string"
 
@@ -61,3 +61,121 @@ def test_collocation_sums_pass_64_bits(spark):
     finally:
         collocations.frequent_phrases = real
     assert (row["a"], row["l"], row["r"], row["n"], row["score"]) == (2**60, 2**61, 2**61, 2**62, 500_000)
+
+
+def test_resampling_of_edge_cases(spark):
+    import hashlib
+    import math
+    import zlib
+
+    words = [f"w{i}" for i in range(30)] + ["É", "ñandú", "日本"]
+    r = np.random.default_rng(3)
+    rows = [(i // 2 if i % 7 else None, " ".join(r.choice(words, r.integers(0, 60))).upper() if i % 5 else " --".join(r.choice(words, 30)), "en") for i in range(120)]
+    rows += [(500, None, None), (501, "", "en"), (502, "...", "en"), (503, "w1 " * 50_000, "en")]
+    target = [(1, "W1 w2 w3, w1!", "x"), (2, None, None), (3, "other ñandú", "x")]
+    feats = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    of = lambda w: zlib.crc32(w.encode()) % 10000
+    s, t = collections.Counter(of(w) for x in rows for w in feats(x[1])), collections.Counter(of(w) for x in target for w in feats(x[1]))
+    ns, nt = sum(s.values()), sum(t.values())
+    want = []
+    for i, text, _ in rows:
+        f = feats(text)
+        weight = sum(math.floor(1000 * math.log((t[of(w)] + 1) * (ns + 10000) / ((s[of(w)] + 1) * (nt + 10000)))) for w in f)
+        h = int(hashlib.sha256(f"2024:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        want.append([i, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None])
+    drawn = sorted((w for w in want if w[1] >= 20), key=lambda w: (-w[3], w[0] is None, w[0]))
+    for k, w in enumerate(drawn[: 10 * len(drawn) // 100]):
+        w[4] = k + 1
+    key = lambda x: tuple((v is None, v) for v in x)
+    got = sorted(map(tuple, resample.resample(frame(spark, rows), frame(spark, target)).collect()), key=key)
+    assert got == sorted(map(tuple, want), key=key) and sum(w[4] is not None for w in want) > 5
+    nothing = frame(spark, rows).limit(0)
+    assert resample.resample(nothing, frame(spark, target)).count() == 0
+    assert resample.resample(frame(spark, rows), nothing).where("weight <> 0").count() > 0
+
+
+def test_resampling_splits_buckets(spark, monkeypatch):
+    rows = [(i, f"the w{i % 9} " * 30, "en") for i in range(80)]
+    want = {tuple(r) for r in resample.resample(frame(spark, rows), frame(spark, rows[:3])).collect()}
+    monkeypatch.setattr(resample, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(resample, "SPLIT_BLOCKS", 7)
+    assert {tuple(r) for r in resample.resample(frame(spark, rows), frame(spark, rows[:3])).collect()} == want
+
+
+def plain_model(rows):
+    """Log perplexities by letter, from dictionaries of tuples."""
+    import math
+
+    out = {}
+    for lang in {x[2] or "und" for x in rows}:
+        mine = [x for x in rows if (x[2] or "und") == lang]
+        words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        letters = collections.Counter(c for x in mine for w in words(x[1]) for c in w)
+        top = {c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], ord(x[0])))[:62]}
+        grams = lambda w: [tuple(s[i - 3 : i + 1]) for s in [["end"] * 3 + [c if c in top else "other" for c in w] + ["end"]] for i in range(3, len(s))]
+        c = {4: collections.Counter(g for x in mine for w in words(x[1]) for g in grams(w))}
+        for k in (3, 2, 1):
+            c[k] = collections.Counter(g[1:] for g in c[k + 1])
+        disc, ctx = {}, {k: collections.defaultdict(lambda: [0, 0.0]) for k in c}
+        for k in c:
+            t = [sum(v == i for v in c[k].values()) for i in range(1, 5)]
+            d = [0.5, 1.0, 1.5]
+            if all(t):
+                y = t[0] / (t[0] + 2 * t[1])
+                e = [i - (i + 1) * y * t[i] / t[i - 1] for i in (1, 2, 3)]
+                d = e if all(0 < v <= i for i, v in enumerate(e, 1)) else d
+            disc[k] = d
+            for g, v in c[k].items():
+                ctx[k][g[:-1]][0] += v
+                ctx[k][g[:-1]][1] += d[min(v, 3) - 1]
+
+        def p(g):
+            if not g:
+                return 1 / 64
+            total, off = ctx[len(g)].get(g[:-1], (0, 0))
+            if not total:
+                return p(g[1:])
+            v = c[len(g)].get(g, 0)
+            return (max(v - disc[len(g)][min(v, 3) - 1], 0) if v else 0) / total + off / total * p(g[1:])
+
+        for i, text, _ in mine:
+            g = [x for w in words(text) for x in grams(w)]
+            out[i] = -sum(math.log(p(x)) for x in g) / len(g) if g else None
+    return out
+
+
+def plain_counts(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    wins = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    again = {k for i in range(len(w) - 4) if wins[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)}
+    return len(w), sum(map(len, w)), sum(ch in "#*$%&|<>" for ch in text), len(lines) - len(set(lines)), len(again)
+
+
+def test_perplexity_rules_against_brute_force(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    abc = list("etaoinshrdlucmfwypv") + [chr(0x4E00 + i) for i in range(60)]
+    word = lambda n=19: "".join(r.choice(abc[:n], r.integers(1, 9)))
+    vocab = [word() for _ in range(60)] + [word(79) for _ in range(20)]
+    rows = [(i, "".join(str(w) + str(s) for w, s in zip(r.choice(vocab, 80), r.choice([" ", " ", "\n", "\t", ". ", " #"], 80))), [None, "en", "zz"][i % 3]) for i in range(50)]
+    rows += [(100, None, None), (101, "", "en"), (102, " \n ", "only"), (103, "a b\na b\r\na b\n\na b", "en"), (104, "one two three four five " * 3 + "six", "en"), (105, "x" * 70_000, "en"), (106, "$%& <|>* " * 30, "en"), (107, "Q9 " + rows[1][1], "en"), (108, "zqj xkq wvz qqq zzz jjj kkk vvv xxx yyy www zqz qzq kjk", "en"), (109, "solo " * 3, "uno")]
+    rows += [(110, rows[2][1], "en"), (110, rows[2][1], "en")]
+    want = plain_model(rows)
+    for step in (2 << 20, 900):
+        monkeypatch.setattr(perplexity, "STEP_BYTES", step)
+        monkeypatch.setattr(perplexity, "MODEL_ROWS", 4_000_000 if step > 900 else 10)  # a part for each language
+        got = perplexity.rules(frame(spark, rows)).collect()
+        assert len(got) == len(rows)
+        text = {i: t for i, t, _ in rows}
+        for x in got:
+            i = x["doc_id"]
+            assert tuple(x[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == plain_counts(text[i]), i
+            assert (x["log_perplexity"] is None) == (want[i] is None) and (want[i] is None or abs(x["log_perplexity"] - want[i]) < 1e-5), i
+            assert x["base_failed"] == (x["n_words"] < 10 or 100 * x["n_repeat_words"] > 20 * x["n_words"])
+            inside = x["low"] is None or x["log_perplexity"] is None or x["low"] - 2 / (sum(len(w) + 1 for w in (text[i] or "").split())) ** 0.5 <= x["log_perplexity"] <= x["high"] + 2 / (sum(len(w) + 1 for w in (text[i] or "").split())) ** 0.5
+            assert x["kept"] == (not x["base_failed"] and inside), i
+        kept = {x["doc_id"] for x in got if x["kept"]}
+        assert 108 not in kept and set(range(45)) <= kept
+    assert perplexity.rules(frame(spark, rows).limit(0)).count() == 0
+    assert {(x["doc_id"], x["kept"]) for x in perplexity.rules(frame(spark, [(None, None, None), (1, "", "en")])).collect()} == {(None, False), (1, False)}

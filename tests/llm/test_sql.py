@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from mendtrace.llm import queries
@@ -13,13 +14,13 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "benchmark"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     got = queries.queries()[name](spark, SF).toPandas()
     want = con.execute(queries.oracle_sql()[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns) and len(got) == len(want)
-    text = lambda df: sorted(tuple(str(v) for v in r) for r in df[cols].astype(object).itertuples(index=False))
+    text = lambda df: sorted(tuple("" if pd.isna(v) else repr(float(v)) if isinstance(v, (int, float)) else str(v) for v in r) for r in df[cols].astype(object).itertuples(index=False))
     assert text(got) == text(want)
 
 
