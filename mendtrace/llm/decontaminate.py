@@ -13,8 +13,15 @@ from . import common as C
 # parts (a number's digit groups, the words of a run of names) held together by sign 4.
 POINT = r"(?<=[0-9])[.,:/](?=[0-9])"
 NUMBER = r"([0-9]+(?:\x{04}[0-9]+)*)"
-NAME = r"(?<=[a-z,;]\x20)([A-Z][A-Za-z'-]+(?:\x20[A-Z][A-Za-z'-]+)*)"
-NAME_GAP = r"(\x{02}[A-Za-z\x{04}]+|(?!^)\G[A-Za-z\x{04}]+)(?:\x20(?=[A-Z][A-Za-z'-])|['-](?!s\b)(?=[A-Za-z]))"
+# Capitalised words that are no names wherever they stand.
+PLAIN = (
+    "A An And Are As At Because But By Calculate Can Compute Could Did Do Does During Each Every Explain Find For From Given Has Have He Her His How I If In Is It Its "
+    "Let My No Not Now Of On One Or Our She Show So Solve Some State Suppose That The Their Then There These They This Those To Was We What When Where Which While Who Whose Why Will With Write Yes You Your"
+)
+#: Any other capitalised word is a name, whatever stands before it, so an item is typed alike wherever it is copied to.
+CAPITAL = rf"(?!(?:{PLAIN.replace(' ', '|')})\b)[A-Z][A-Za-z'-]"
+NAME = rf"(?<![\p{{L}}'-])({CAPITAL}++(?:\x20{CAPITAL}++)*+)"
+NAME_GAP = rf"(\x{{02}}[A-Za-z\x{{04}}]+|(?!^)\G[A-Za-z\x{{04}}]+)(?:\x20(?={CAPITAL})|['-](?!s\b)(?=[A-Za-z]))"
 UNIT = r"(\x{01}[0-9\x{04}]+\s*-?)(km|cm|mm|kg|mg|ml|mph|hours?|minutes?|seconds?|days?|weeks?|years?|miles?|metres?|meters?|dollars?|euros?|percent)\b"
 CUT = r"[\x20\x09-\x0D!-/:-@\[-`{-~]+"
 #: Cuts at slots' signs and digits too, so every word between slots is a piece.
@@ -38,6 +45,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(t), CUT), lambda x: x != "")
 
 
+def plain_tokens(text: Column) -> Column:
+    """Lower-case tokens without any slots: a copy has them whatever stands around it."""
+    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x01-\x04]", " "), CUT), lambda x: x != "")
+
+
 def is_slot(x: Column) -> Column:
     return x < "\x04"
 
@@ -62,7 +74,7 @@ def windows(toks: Column, width: int, values: bool = False) -> Column:
     return F.when(n >= width, F.slice(h, F.lit(1), F.greatest(n - (width - 1), F.lit(0)))).otherwise(short)
 
 
-def slid(toks: Column, width: int) -> Column:
+def slid(toks: Column, width: Column | int) -> Column:
     """Hashes of all runs of `width` tokens with their values, for items shorter than a window."""
     runs = F.transform(F.sequence(F.lit(1), F.size(toks) - (width - 1)), lambda i: F.xxhash64(F.lit(width), F.slice(toks, i, F.lit(width))))
     return F.when(F.size(toks) >= width, runs).otherwise(F.array().cast("array<bigint>"))
@@ -76,15 +88,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     alignments that hold so many windows (or, if none does, most of them): within these windows equal values in the item
     stand for equal values in the document and the other way round. kind is `exact` if the values are the item's own, else
     `reparameterised`. Windows with fewer than LITERAL plain words say too little without their values: an item that has
-    only such windows is looked up by windows with values. Items of fewer than `width` tokens are compared with whole
+    only such windows is looked up by windows with values. Items with names and short ones are also looked up by windows of
+    plain words, so a copy is found whatever stands before it; kind is `exact` where only these are found. Items of fewer than `width` tokens are compared with whole
     documents, and if they have SHORTEST tokens, also with their values anywhere in a document. Items or documents without
     tokens never match; null items and null keys can be reported as such; repeated rows are reported once per key and item;
-    other columns are ignored.
+    other columns are ignored; without documents or items there are no rows. Very long texts are looked through whole.
 
     The benchmark's anchors and windows are broadcast only if their counted rows are within a bound, else both sides are
     shuffled. A first pass over all texts looks for the anchors; windows are made only where enough of them stand.
     """
-    items = benchmark.select(F.col(item).alias("item"), tokens(F.col(text)).alias("toks")).where(F.size("toks") > 0)
+    items = benchmark.select(F.col(item).alias("item"), tokens(F.col(text)).alias("toks"), plain_tokens(F.col(text)).alias("plain")).where(F.size("toks") > 0)
     items = C.stage_table(items.dropDuplicates(), "items")
     part = F.slice("toks", F.col("at") + 1, F.lit(width))
     words = F.filter(part, lambda x: ~is_slot(x))
@@ -101,25 +114,47 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     dense = C.stage_table(rest.select("item", "at", "h", longest(pieces(F.array_join(part, " "), (PLAIN_CUT, DIGITS_CUT))).alias("anchor")), "dense")
     any_dense = dense.limit(1).count() > 0
     grid = C.stage_table(loose.union(dense), "windows")
+    # A name that other names stand before is one slot with them, and a copy may have other capitals, so items with names and
+    # short ones are looked up as plain words too.
+    n_plain = F.size("plain")
+    own = F.when(n_plain.between(SHORTEST, width - 1), slid(F.col("plain"), n_plain)).otherwise(windows(F.col("plain"), width, True))
+    copies = items.where((n_plain < width) | F.exists("toks", lambda x: x.startswith("\x02"))).select("item", "plain", F.posexplode(own).alias("at", "h"))
+    stretch = F.array_join(F.slice("plain", F.col("at") + 1, F.lit(width)), " ")
+    in_words, in_digits = (longest(F.split(stretch, c)) for c in (PLAIN_CUT, DIGITS_CUT))
+    copies = copies.select("item", n_plain.alias("n"), "h", F.when(in_words != "", in_words).otherwise(in_digits).alias("anchor"), (in_words == "").alias("digits"))
+    copies = C.stage_table(copies, "copies")
+    copy_widths = sorted(r[0] for r in copies.where(F.col("n").between(SHORTEST, width - 1)).select("n").distinct().collect())  # a few numbers below `width`
+    by_digits = any_dense or copies.where("digits").limit(1).count() > 0
+    copy_need = copies.groupBy(F.col("item").alias("t_item")).agg(F.count_distinct("h").alias("n_windows"))
+    copy_need = C.stage_table(copy_need.withColumn("need", F.ceil(F.col("n_windows") * cover)), "copy-total")
     kinds = lambda toks: [windows(toks, width), *([windows(toks, width, True)] if any_dense else []), *(slid(toks, w) for w in short_widths)]
     total = grid.groupBy(F.col("item").alias("t_item")).agg(F.count_distinct("h").alias("n_windows"))
     total = C.stage_table(total.withColumn("need", F.ceil(F.col("n_windows") * cover)), "total")
-    hashes = grid.select("h", "item").distinct()
+    hashes = C.stage_table(grid.select("h", "item").distinct(), "hashes")
 
     # A window needs its anchor, its longest word: only documents whose words are anchors of enough windows are looked at.
-    marks = grid.groupBy("item", F.xxhash64("anchor").alias("a")).agg(F.count_distinct("h").alias("w")).join(total, F.col("item").eqNullSafe(F.col("t_item"))).select("a", "item", "w", "need")
+    def anchors(windows: DataFrame, need: DataFrame, way: int) -> DataFrame:
+        per = windows.groupBy("item", F.xxhash64("anchor").alias("a")).agg(F.count_distinct("h").alias("w"))
+        return per.join(need, F.col("item").eqNullSafe(F.col("t_item"))).select("a", "item", F.lit(way).alias("way"), "w", "need")
+
+    marks = C.stage_table(anchors(grid, total, 0).union(anchors(copies, copy_need, 1)), "marks")
     src = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("version"))
-    said = src.select("id", "version", F.explode(F.array_distinct(pieces(F.lower("text"), (PLAIN_CUT, DIGITS_CUT)[: 1 + any_dense]))).alias("word")).select("id", "version", F.xxhash64("word").alias("a"))
-    likely = C.join_small(said, marks, ["a"], "inner").groupBy("id", "version", "item", "need", "a").agg(F.min("w").alias("w"))
-    likely = C.stage_table(likely.groupBy("id", "version", "item", "need").agg(F.sum("w").alias("w")).where("w >= need").select("id", "version").distinct(), "likely")
+    said = src.select("id", "version", F.explode(F.array_distinct(pieces(F.lower("text"), (PLAIN_CUT, DIGITS_CUT)[: 1 + by_digits]))).alias("word")).select("id", "version", F.xxhash64("word").alias("a"))
+    likely = C.join_small(said, marks, ["a"], "inner").groupBy("id", "version", "item", "way", "need", "a").agg(F.min("w").alias("w"))
+    likely = C.stage_table(likely.groupBy("id", "version", "item", "way", "need").agg(F.sum("w").alias("w")).where("w >= need").select("id", "version").distinct(), "likely")
     # From here on equal texts, which share a version, are looked at once.
     few = C.join_small(src.select("version", "text"), likely.select("version").distinct(), ["version"], "left_semi").groupBy("version").agg(F.first("text").alias("text"))
-    again = C.stage_table(few.select("version", tokens(F.col("text")).alias("toks")), "again")
+    again = C.stage_table(few.select("version", tokens(F.col("text")).alias("toks"), plain_tokens(F.col("text")).alias("plain")), "again")
 
     said = again.select("version", F.explode(F.concat(*kinds(F.col("toks")))).alias("h"))
     found = C.join_small(said, hashes, ["h"], "inner").groupBy("version", "item").agg(F.count_distinct("h").alias("n_found"))
     found = C.stage_table(found.join(total, F.col("item").eqNullSafe(F.col("t_item"))).where("n_found >= need").drop("t_item"), "found")
 
+    plain = F.concat(windows(F.col("plain"), width, True), *(slid(F.col("plain"), w) for w in copy_widths))
+    held = again.select("version", F.explode(plain).alias("h"))
+    held = C.join_small(held, C.stage_table(copies.select("h", "item").distinct(), "copy-hashes"), ["h"], "inner").groupBy("version", "item").agg(F.count_distinct("h").alias("n_found"))
+    held = held.join(copy_need, F.col("item").eqNullSafe(F.col("t_item"))).where("n_found >= need").select("version", "item", "n_windows", "n_found", F.lit("exact").alias("kind"))
+
     # Alignments and slots of the texts that are left.
     places = [again.select("version", F.posexplode(c).alias("place", "h")) for c in kinds(F.col("toks"))]
     places = reduce(DataFrame.union, places).join(grid, "h")
@@ -148,6 +183,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     good = best.join(slots, same, "left").where(F.coalesce("most", F.lit(1)) == 1).groupBy("version", "item").agg(F.min(kind).alias("kind"))
     counts = found.select(F.col("version").alias("k_version"), F.col("item").alias("k_item"), "n_windows", "n_found")
     good = good.join(counts, (F.col("version") == F.col("k_version")) & F.col("item").eqNullSafe(F.col("k_item")))
+    good = good.select("version", "item", "n_windows", "n_found", "kind").withColumn("typed", F.lit(True)).union(held.withColumn("typed", F.lit(False)))
+    # Where both ways find a pair, the slots tell its kind.
+    good = good.groupBy("version", "item").agg(F.max(F.struct("typed", "n_windows", "n_found", "kind")).alias("g")).select("version", "item", "g.n_windows", "g.n_found", "g.kind")
     out = good.join(likely, "version").groupBy("id", "item").agg(F.max("n_windows").alias("n_windows"), F.max("n_found").alias("n_found"), F.min("kind").alias("kind"))
     return out.withColumnsRenamed({"id": key, "item": item})
 

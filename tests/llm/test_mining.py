@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from mendtrace.llm import collocations, perplexity, resample
+from mendtrace.llm import collocations, decontaminate, perplexity, resample
 
 DOCS = "doc_id long, text string, lang string, f long, phrase string, n long, w string"
 
@@ -179,3 +179,27 @@ def test_perplexity_rules_against_brute_force(spark, monkeypatch):
         assert 108 not in kept and set(range(45)) <= kept
     assert perplexity.rules(frame(spark, rows).limit(0)).count() == 0
     assert {(x["doc_id"], x["kept"]) for x in perplexity.rules(frame(spark, [(None, None, None), (1, "", "en")])).collect()} == {(None, False), (1, False)}
+
+
+def leaks(spark, items, texts):
+    got = decontaminate.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    return {(r["doc_id"], r["item_id"], r["kind"]) for r in got.collect()}
+
+
+def test_copies_behind_any_lead_in(spark):
+    items = ["What is the capital of Peru", "What is the capital city of northern Peru", "Compute 12 + 45 + 67", "Tom buys 3 pens. Each pen costs 2 dollars. Sara buys 4 pads. Each pad costs 5 dollars. Who pays more?", "Paris and Rome", "Name Anna Smith 1 2 3 4 5 6 7 8"]
+    leads = ["he asked us ", "He asked Peter ", "the, ", "x. ", "said: ", "line\n", "été ", "12 ", "John and Mary Ann ", "(", "THE END OF IT "]
+    texts = [lead + item + tail for item in items for lead in leads for tail in (" and so on", ", Bob.", " Bob said no")] + items
+    want = {(i, i // (3 * len(leads)), "exact") for i in range(len(texts) - len(items)) if i // (3 * len(leads)) != 4}
+    want |= {(len(texts) - len(items) + i, i, "exact") for i in range(len(items))}
+    got = leaks(spark, items, texts)
+    assert {x[:2] for x in got} >= {x[:2] for x in want}
+    assert not {x for x in got if x[1] == 4 and x[0] < len(texts) - len(items)}  # three words are looked for as whole texts only
+
+
+def test_copies_with_other_names(spark):
+    word = "{0} buys {2} pens. Each pen costs {3} dollars. {1} buys {4} pads. Each pad costs {5} dollars. Who pays more?"
+    run = "{0} ran {1} miles along the old river road before the heavy rain began to fall in the evening"
+    items = [word.format("Tom", "Sara", 3, 2, 4, 5), run.format("James", 5)]
+    texts = [word.format("Jim", "Ann", 7, 9, 8, 6), word.format("Jim", "Ann", 3, 2, 4, 5), "he said " + word.format("Jim", "Ann Lee", 7, 9, 8, 6), run.format("Peter", 5), run.format("James", 5), run.format("James", 6), word.format("Jim", "Jim", 7, 9, 8, 6), "Nobody buys pens here. The pads are free, and rain fell."]
+    assert leaks(spark, items, texts) == {(0, 0, "reparameterised"), (1, 0, "reparameterised"), (2, 0, "reparameterised"), (3, 1, "reparameterised"), (4, 1, "exact"), (5, 1, "reparameterised")}
