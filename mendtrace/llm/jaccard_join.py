@@ -175,6 +175,10 @@ def stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
 SHORT = ~0xFFFF
 #: Signatures that a scanning step holds before it sends them.
 FLUSH = 300_000
+#: Bytes of text whose signatures make one part; they are about three times as many bytes, joined in one task.
+PART_BYTES = 4 << 20
+#: Bytes of a part's signatures that are sorted at once; a larger part is sorted in slices of its signatures.
+SORTED = 16 << 20
 #: Rows of a bucket in one packed value.
 PACKED = 20_000
 
@@ -256,10 +260,17 @@ def _meet(parts: int):
         part, kind = None, pa.int64()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                _, _, *met = stars(*unpack(b"".join(held)))
-                held.clear()
+            slices = -(-sum(map(len, held)) // SORTED)
+            for k in range(slices):
+                mine = []
+                for raw in held:
+                    sig, low = unpack(raw)
+                    # Within a part, signatures differ in what is left of them beyond the part's number.
+                    some = (sig.view(np.uint64) >> np.uint64(16)) // np.uint64(parts) % np.uint64(slices) == k if slices > 1 else slice(None)
+                    mine.append((sig[some], low[some]))
+                _, _, *met = stars(*(np.concatenate(x) for x in zip(*mine, strict=True)))
                 yield from _bucket_rows(kind, parts, *met)
+            held.clear()
 
         for b in batches:
             kind = b.schema.field(2).type
@@ -367,7 +378,7 @@ def _across(percent: int):
     return f
 
 
-def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, part_bytes: int = PART_BYTES) -> DataFrame:
     """Classes of texts linked, directly or through others, by a Jaccard similarity of percent / 100 or more.
 
     Words are runs of bytes without ASCII white space, A-Z lower-cased; a set holds the distinct shingles of `words` words.
@@ -377,13 +388,13 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     Sets that share a signature are one bucket. Each step of a scan, then each part of the signatures, compares a bucket's
     sets with its least one only, which settles hot groups in as many comparisons as there are sets. Buckets whose sets
     are not all linked by then are compared in pairs of blocks, each set outside the largest class with all others, over many
-    tasks; a task returns a spanning forest. Buckets that hang together are compared as one group if that sends fewer rows,
+    tasks; a task returns a spanning forest. Without documents there are no rows; a very long text is cut into shingles alone. Buckets that hang together are compared as one group if that sends fewer rows,
     else one by one, so chance agreements don't add up. Equal sets collapse before anything is compared.
     """
     src = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     # One shuffle of signatures, packed: each step of a scan sends one entry per signature at most, so no signature is hot.
-    spark = docs.sparkSession
-    parts = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Parts follow the data, so a task's memory does not grow with it, whatever the number of shuffle partitions.
+    parts = max(32, -(-src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // part_bytes))
     shipped = f"kind string, p int, id {src.schema['id'].dataType.simpleString()}, n long, a long, entries binary"
     met = src.mapInArrow(_scan(words, percent, parts), shipped).repartition("p").sortWithinPartitions("p").mapInArrow(_meet(parts), shipped)
     met = C.stage_table(met.drop("p"), "sets")
@@ -401,7 +412,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         return texts.mapInArrow(_sets(words), "node long, grams binary")
 
     # Each set with its buckets' least sets; a hub of many is compared in several tasks.
-    hubs = edges.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    hubs = C.stage_table(edges.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "hubs")
     salt = F.when(F.col("n").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("u"), F.ceil(F.col("n") / BLOCK)))
     placed = C.join_small(edges, hubs, ["v"], "left").select(F.col("v").alias("hub"), salt.alias("salt"), F.col("u").alias("short"), F.lit(False).alias("is_hub"))
     placed = placed.union(placed.select("hub", "salt").distinct().select("hub", "salt", F.col("hub").alias("short"), F.lit(True).alias("is_hub")))
@@ -413,9 +424,11 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     # Buckets of three or more sets that are not all linked: sets outside the largest class against all.
     known = C.stage_table(wanted.join(label, "node", "left").select("short", "node", "id", F.coalesce("label", "node").alias("label")), "labels")
-    lab = known.select("short", "label").distinct()
+    lab = C.stage_table(known.select("short", "label").distinct(), "short-labels")
     apart = C.join_small(C.join_small(edges, lab.toDF("u", "lu"), ["u"], "inner"), lab.toDF("v", "lv"), ["v"], "inner").where("lu <> lv").select("u", "v", F.lit(1).alias("apart")).distinct()
+    apart = C.stage_table(apart, "apart")
     sigs = C.join_small(buckets, apart, ["u", "v"], "left").groupBy("sig").agg(F.count("*").alias("n"), F.max("apart").alias("apart")).where("n > 1 and apart = 1").select("sig")
+    sigs = C.stage_table(sigs, "open-signatures")
     mine = C.stage_table(C.join_small(buckets, sigs, ["sig"], "left_semi"), "open")
     known = C.join_small(known, C.components(mine.select("u", "v"), "u", "v").toDF("short", "cluster"), ["short"], "inner")
     mine = mine.select("sig", F.explode(F.array("u", "v")).alias("short")).distinct()

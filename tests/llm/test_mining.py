@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from mendtrace.llm import collocations, decontaminate, perplexity, resample
+from mendtrace.llm import collocations, decontaminate, jaccard_join, perplexity, resample
 
 DOCS = "doc_id long, text string, lang string, f long, phrase string, n long, w string"
 
@@ -203,3 +203,16 @@ def test_copies_with_other_names(spark):
     items = [word.format("Tom", "Sara", 3, 2, 4, 5), run.format("James", 5)]
     texts = [word.format("Jim", "Ann", 7, 9, 8, 6), word.format("Jim", "Ann", 3, 2, 4, 5), "he said " + word.format("Jim", "Ann Lee", 7, 9, 8, 6), run.format("Peter", 5), run.format("James", 5), run.format("James", 6), word.format("Jim", "Jim", 7, 9, 8, 6), "Nobody buys pens here. The pads are free, and rain fell."]
     assert leaks(spark, items, texts) == {(0, 0, "reparameterised"), (1, 0, "reparameterised"), (2, 0, "reparameterised"), (3, 1, "reparameterised"), (4, 1, "exact"), (5, 1, "reparameterised")}
+
+
+def test_jaccard_join_with_few_and_many_parts(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(300)]
+    base = [" ".join(r.choice(words, 80)) for _ in range(30)]
+    rows = [(i, base[i % 30] + f" {'x' if i % 2 else 'y'} z" * (i % 3), "en") for i in range(200)] + [(None, None, "en"), (201, base[0] * 40, "en")]
+    key = lambda x: tuple((v is None, v) for v in x)
+    every = []
+    for part_bytes, at_once in ((1 << 30, 16 << 20), (60, 16 << 20), (1 << 30, 5000)):
+        monkeypatch.setattr(jaccard_join, "SORTED", at_once)
+        every.append(sorted(map(tuple, jaccard_join.jaccard_classes(frame(spark, rows), part_bytes=part_bytes).collect()), key=key))
+    assert every[0] == every[1] == every[2] and len({x[2] for x in every[0]}) < 60
