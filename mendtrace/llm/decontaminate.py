@@ -156,6 +156,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     held = held.join(copy_need, F.col("item").eqNullSafe(F.col("t_item"))).where("n_found >= need").select("version", "item", "n_windows", "n_found", F.lit("exact").alias("kind"))
 
     # Alignments and slots of the texts that are left.
+    again = C.stage_table(C.join_small(again.drop("plain"), found.select("version").distinct(), ["version"], "left_semi"), "near")
     places = [again.select("version", F.posexplode(c).alias("place", "h")) for c in kinds(F.col("toks"))]
     places = reduce(DataFrame.union, places).join(grid, "h")
     shifts = places.groupBy("version", "item", (F.col("place") - F.col("at")).alias("shift")).agg(F.count("*").alias("held"))
