@@ -104,10 +104,10 @@ class GaussianHMM:
         return df.withColumn(out, F.element_at(F.array(*(F.lit(n) for n in self.names)), F.col("_c") + 1)).drop("_z", "_c")
 
 
-def decode_series(df: DataFrame, z: str, mean: np.ndarray, var: np.ndarray, change: np.ndarray, start: np.ndarray, out: str, key: Sequence[str], idx: str) -> DataFrame:
+def decode_series(df: DataFrame, z: str, mean: np.ndarray, var: np.ndarray, change: np.ndarray, start: np.ndarray, out: str, key: Sequence[str], idx: str, slice_rows: int | None = None) -> DataFrame:
     """Add `out`: the component of each row on the best path through its whole series."""
     first = F.row_number().over(ordered(key, idx)) == 1
-    return decode_runs(df, z, first, F.lit(True), change, start, out, key, idx, lambda x: emission_matrix(x, mean, var))
+    return decode_runs(df, z, first, F.lit(True), change, start, out, key, idx, lambda x: emission_matrix(x, mean, var), slice_rows)
 
 
 def overlap_counts(df: DataFrame, component: str = "component", state: str = "true_regime") -> DataFrame:

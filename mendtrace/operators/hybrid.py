@@ -144,14 +144,14 @@ def fit(df: DataFrame, c_value: float = 1.0, key: Sequence[str] = KEY, idx: str
     return HybridModel(mean, scale, model.coefficientMatrix.toArray(), model.interceptVector.toArray(), change, np.array([s[a] for a in FINITE_STATES]), c_value)
 
 
-def predict(df: DataFrame, fs: Column, transition_log: np.ndarray, start_log: np.ndarray, strength: float = 1.0, emissions: str = "emissions", out: str = "label", key: Sequence[str] = KEY, idx: str = IDX, seconds: float = SHORT_GAP_SECONDS) -> DataFrame:
+def predict(df: DataFrame, fs: Column, transition_log: np.ndarray, start_log: np.ndarray, strength: float = 1.0, emissions: str = "emissions", out: str = "label", key: Sequence[str] = KEY, idx: str = IDX, seconds: float = SHORT_GAP_SECONDS, slice_rows: int | None = None) -> DataFrame:
     """Add the expanded state's number: missing rows by their run's length, finite rows by the largest emission (strength
     <= 0) or by Viterbi over each finite block with matrices times `strength`. `emissions` may come from any model."""
     lost = F.when(F.col("r_t") <= gap_limit(fs, seconds), 2).otherwise(3)
     if strength <= 0:
         df = df.withColumn("_p", argmax_first(F.col(emissions)))
     else:
-        df = decode_blocks(df, emissions, strength * np.asarray(transition_log), strength * np.asarray(start_log), "_p", key, idx).drop("block")
+        df = decode_blocks(df, emissions, strength * np.asarray(transition_log), strength * np.asarray(start_log), "_p", key, idx, slice_rows).drop("block")
     state = F.element_at(F.array(*(F.lit(s) for s in FINITE_STATES)), F.col("_p") + 1)
     return df.withColumn(out, F.when(F.col("m_t") == 1, lost).otherwise(state)).drop("_p")
 

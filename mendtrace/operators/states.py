@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.core import EXPANDED, IDX, KEY, SHORT_GAP_SECONDS, STATES, argmax_first, gap_limit, ordered, whole
+from .slices import decode_slices
 
 STAY, SWITCH = 1.25, -0.75
 
@@ -105,13 +106,16 @@ def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def decode_runs(df: DataFrame, scores: str, begins: Column, inside: Column, change: np.ndarray, start: np.ndarray | float, out: str, key: Sequence[str] = KEY, idx: str = IDX, to_scores: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def decode_runs(df: DataFrame, scores: str, begins: Column, inside: Column, change: np.ndarray, start: np.ndarray | float, out: str, key: Sequence[str] = KEY, idx: str = IDX, to_scores: Callable[[np.ndarray], np.ndarray] | None = None, slice_rows: int | None = None) -> DataFrame:
     """Add `out`: the place of each row's state on the Viterbi path of its run; NULL on rows outside runs.
 
     `scores` is an array column (to_scores maps its rows to scores if they are no scores themselves). A run begins where
     `begins` holds and goes on over rows `inside`; both are window expressions over the series. Rows stream through in the
-    order of their series, other columns untouched; a task holds one batch and one run.
+    order of their series, other columns untouched; a task holds one batch and one run. With `slice_rows`, runs are decoded in
+    slices of so many rows, over many tasks (see slices.decode_slices()).
     """
+    if slice_rows:
+        return decode_slices(df, scores, begins, inside, change, start, out, slice_rows, key, idx, to_scores)
     df = df.withColumns({"_begin": begins, "_in": inside})
     schema = T.StructType([*(f for f in df.schema.fields if f.name not in ("_begin", "_in")), T.StructField(out, T.IntegerType())])
 
@@ -133,20 +137,20 @@ def decode_runs(df: DataFrame, scores: str, begins: Column, inside: Column, chan
     return df.sortWithinPartitions(*key, idx).mapInArrow(run, schema)
 
 
-def decode_blocks(df: DataFrame, scores: str, change: np.ndarray, start: np.ndarray | float, out: str, key: Sequence[str] = KEY, idx: str = IDX) -> DataFrame:
+def decode_blocks(df: DataFrame, scores: str, change: np.ndarray, start: np.ndarray | float, out: str, key: Sequence[str] = KEY, idx: str = IDX, slice_rows: int | None = None) -> DataFrame:
     """Add `block` and `out`: the place of each finite row's state on its block's Viterbi path; NULL on missing rows."""
     before = F.coalesce(F.lag("m_t").over(ordered(key, idx)), F.lit(1))
     here = F.col("m_t") == 0
-    return decode_runs(finite_blocks(df, key, idx), scores, here & (before == 1), here, change, start, out, key, idx)
+    return decode_runs(finite_blocks(df, key, idx), scores, here & (before == 1), here, change, start, out, key, idx, slice_rows=slice_rows)
 
 
-def viterbi_d(df: DataFrame, key: Sequence[str] = KEY, idx: str = IDX, out: str = "state") -> DataFrame:
+def viterbi_d(df: DataFrame, key: Sequence[str] = KEY, idx: str = IDX, out: str = "state", slice_rows: int | None = None) -> DataFrame:
     """Viterbi decoding of the potentials, +1.25 for staying and -0.75 for changing. No path crosses the line between
     missing and finite rows (the potentials outweigh any change), so missing rows follow the gap rule, blocks decode alone."""
     change = np.full((3, 3), SWITCH) + np.eye(3) * (STAY - SWITCH)
     names = F.array(F.lit("Stable"), F.lit("Movement"), F.lit("Unstable"))
     df = df.withColumn("_s", F.array("s_Stable", "s_Movement", "s_Unstable"))
-    df = decode_blocks(df, "_s", change, 0.0, "_p", key, idx)
+    df = decode_blocks(df, "_s", change, 0.0, "_p", key, idx, slice_rows)
     lost = F.when(F.col("r_t") <= F.col("limit"), "LossShort").otherwise("LossLong")
     return df.withColumn(out, F.when(F.col("m_t") == 1, lost).otherwise(F.element_at(names, F.col("_p") + 1))).drop("_s", "_p", "block")
 

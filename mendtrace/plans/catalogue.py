@@ -163,11 +163,12 @@ _change = [[1.25 if i == j else -0.75 for j in range(3)] for i in range(3)]
 VIQ = f"{POQ},\n{Q.viterbi('po', ['s1', 's2', 's5'], _change, [0.0] * 3, 'vi')}"
 _vit = "SELECT pw.series, pw.sample_idx, CASE WHEN m_t = 1 THEN state ELSE ['Stable', 'Movement', 'Unstable'][p + 1] END AS state FROM pw LEFT JOIN vi USING (series, sample_idx)"
 add("viterbi_d", _row + "state:s", lambda s, d: ST.viterbi_d(scored(s, d)), VIQ, _vit)
+SLICE = 16
+add("viterbi_d_slices", _row + "state:s", lambda s, d: ST.viterbi_d(scored(s, d), slice_rows=SLICE), VIQ, _vit)
 add("viterbi_fold", _row + "state:s", lambda s, d: ST.viterbi_fold(scored(s, d)), VIQ, _vit)
 add("predict_regimes", _row + "state:s", lambda s, d: ST.predict_regimes(with_rate(diagnosed(s, d)), F.col("hz"), Q.GAP_SECONDS), VIQ, _vit)
 add("finite_blocks", "series:l blocks:l n:l", lambda s, d: ST.finite_blocks(diagnosed(s, d)).groupBy("series").agg(F.count_distinct("block").alias("blocks"), F.count("block").alias("n")), VIQ, "SELECT series, count(DISTINCT block) AS blocks, count(*) AS n FROM vib GROUP BY series")
 add("oracle_path", _row + "state:s", lambda s, d: ST.oracle_path(cases(s, d)), COQ, "SELECT *, true_regime AS state FROM co")
-add("public_states", "label:l name:s public:s", lambda s, d: s.range(6).select(F.col("id").alias("label"), ST.expanded_name(F.col("id").cast("int")).alias("name")).withColumn("public", ST.public_state(F.col("name"))), None, "SELECT i AS label, n AS name, CASE WHEN n LIKE 'Unstable%' THEN 'Unstable' ELSE n END AS public FROM (SELECT unnest(range(6)) AS i, unnest(['Stable', 'Movement', 'LossShort', 'LossLong', 'UnstableImpulse', 'UnstableBurst']) AS n) AS z")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -354,8 +355,8 @@ def stubbed(spark: SparkSession, d: str) -> DataFrame:
     return with_rate(diagnosed(spark, d)).withColumn("emissions", F.when(F.col("sample_idx") % 2 == 0, logs(_even)).otherwise(logs(_odd)))
 
 
-def hybrid_stub(spark: SparkSession, d: str, strength: float) -> DataFrame:
-    df = HY.predict(stubbed(spark, d), F.col("hz"), _T, np.full(4, np.log(0.25)), strength, seconds=Q.GAP_SECONDS)
+def hybrid_stub(spark: SparkSession, d: str, strength: float, slice_rows: int | None = None) -> DataFrame:
+    df = HY.predict(stubbed(spark, d), F.col("hz"), _T, np.full(4, np.log(0.25)), strength, seconds=Q.GAP_SECONDS, slice_rows=slice_rows)
     return df.withColumn("state", HY.state_name())
 
 
@@ -365,6 +366,9 @@ _expand = "['Stable', 'Movement', 'UnstableImpulse', 'UnstableBurst']"
 _lost = "WHEN m_t = 1 AND r_t <= lim THEN 'LossShort' WHEN m_t = 1 THEN 'LossLong'"
 add("hybrid_p_stub", _row + "state:s", lambda s, d: hybrid_stub(s, d, 0.0), POQ, f"SELECT series, sample_idx, CASE {_lost} WHEN sample_idx % 2 = 0 THEN 'Stable' ELSE 'Movement' END AS state FROM th")
 add("hybrid_h_stub", _row + "state:s", lambda s, d: hybrid_stub(s, d, 0.5), HSQ, f"SELECT em.series, em.sample_idx, CASE {_lost} ELSE {_expand}[p + 1] END AS state FROM em LEFT JOIN hv USING (series, sample_idx)")
+_hstates = f"SELECT em.series, em.sample_idx, CASE {_lost} ELSE {_expand}[p + 1] END AS state FROM em LEFT JOIN hv USING (series, sample_idx)"
+add("hybrid_h_slices", _row + "state:s", lambda s, d: hybrid_stub(s, d, 0.5, SLICE), HSQ, _hstates)
+add("public_states", _row + "state:s public:s", lambda s, d: hybrid_stub(s, d, 0.5).withColumn("public", ST.public_state(F.col("state"))), HSQ, f"SELECT *, CASE WHEN state LIKE 'Unstable%' THEN 'Unstable' ELSE state END AS public FROM ({_hstates}) AS z")
 add("prediction_disagreement", "series:l state_disagreement_fraction:d", lambda s, d: ST.viterbi_d(stated(s, d), out="h").groupBy("series").agg(F.avg((F.col("state") != F.col("h")).cast("double")).alias("state_disagreement_fraction")), VIQ, f"SELECT pw.series, avg(CASE WHEN pw.state <> h.state THEN 1.0 ELSE 0.0 END) AS state_disagreement_fraction FROM pw JOIN ({_vit}) AS h USING (series, sample_idx) GROUP BY pw.series")
 
 _fixed = HY.HybridModel(*(np.array(v, float) for v in ([i / 10 for i in range(13)], [1 + i / 20 for i in range(13)], [[((13 * k + i) % 7 - 3) / 10 for i in range(13)] for k in range(4)], [k / 10 for k in range(4)])), _T, np.full(4, np.log(0.25)), 1.0)
@@ -465,6 +469,7 @@ def em_round(spark: SparkSession, d: str) -> DataFrame:
 
 add("gaussian_em_round", "component:l log_likelihood:d3 occupancy:d4 start:d5 stay:d5 mean_c:d5 var_c:d5", em_round, EMR, _round)
 add("gaussian_decode", _row + "component:l", lambda s, d: GE.decode_series(GE.scaled(diagnosed(s, d), [0.0] * 6, [1.0] * 6), "z", np.array(_gm), np.array(_gv), np.array(_gc), np.array(_gs), "component", ("series",), "sample_idx"), f"{GMQ},\n{Q.viterbi('ge', [f'e{k}' for k in _k], _gc, _gs, 'gd')}", "SELECT series, sample_idx, p AS component FROM gd")
+add("gaussian_decode_slices", _row + "component:l", lambda s, d: GE.decode_series(GE.scaled(diagnosed(s, d), [0.0] * 6, [1.0] * 6), "z", np.array(_gm), np.array(_gv), np.array(_gc), np.array(_gs), "component", ("series",), "sample_idx", SLICE), f"{GMQ},\n{Q.viterbi('ge', [f'e{k}' for k in _k], _gc, _gs, 'gd')}", "SELECT series, sample_idx, p AS component FROM gd")
 add("component_overlap", "component:l state:s n:l", lambda s, d: GE.overlap_counts(stated(s, d).withColumn("component", F.col("sample_idx") % 5), state="state"), POQ, "SELECT sample_idx % 5 AS component, state, count(*) AS n FROM pw GROUP BY ALL")
 
 
