@@ -10,9 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.core import IDX, KEY, STATES, ordered, whole
+from ..sources.staging import staged, with_small
 from .quantiles import exact_quantiles
+from .slices import scan
 from .states import decode_runs, whole_runs
 
 INPUTS = ("m_t", "r_t", "c_t", "alpha_t", "u_t", "p_t")
@@ -141,8 +144,13 @@ def em_round(rows: DataFrame, start: np.ndarray, change: np.ndarray, mean: np.nd
             flat = np.concatenate([[total], g[at].sum(0), pairs.ravel(), g.sum(0), (g.T @ z).ravel(), (g.T @ z**2).ravel()])
             yield pa.record_batch({"s": [flat]})
 
+    return new_model(rows.select("z", "_begin", "_in").mapInArrow(gather, "s array<double>"), n_in)
+
+
+def new_model(sums: DataFrame, n_in: int) -> DataFrame:
+    """A row for each component from sums (log likelihood, first rows' occupancy, pairs, occupancy, it times z and z squared)."""
     first, pairs, held, ones, squares = np.cumsum([1, K, K * K, K, K * n_in]).tolist()
-    sums = rows.select("z", "_begin", "_in").mapInArrow(gather, "s array<double>").agg(F.array(*(F.sum(F.col("s")[i]) for i in range(squares + K * n_in))).alias("s"))
+    sums = sums.agg(F.array(*(F.sum(F.col("s")[i]) for i in range(squares + K * n_in))).alias("s"))
     k, v, tiny = F.col("component"), F.col("s"), F.lit(1e-12)
     part = lambda begin, n: F.slice(v, k * n + begin + 1, F.lit(n))
     add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
@@ -160,6 +168,94 @@ def em_round(rows: DataFrame, start: np.ndarray, change: np.ndarray, mean: np.nd
     )
 
 
+def dealt_slices(df: DataFrame, z: str, slice_rows: int, key: Sequence[str] = KEY, idx: str = IDX) -> DataFrame:
+    """(key, _slice, _first, z): the rows z of series of two rows or more in slices of `slice_rows` numbers of idx, staged."""
+    cut = df.select(*key, idx, F.col(z).alias("z"), F.floor(F.col(idx) / slice_rows).alias("_slice"))
+    packed = cut.groupBy(*key, "_slice").agg(F.array_sort(F.collect_list(F.struct(idx, "z"))).alias("_rows"))
+    packed = staged(packed.select(*key, "_slice", F.transform("_rows", lambda r: r["z"]).alias("z")), "slices")
+    whole = packed.groupBy(*key).agg(F.sum(F.size("z")).alias("_n"), F.min("_slice").alias("_from"))
+    return staged(with_small(packed, whole, list(key)).where("_n > 1").select(*key, "_slice", (F.col("_slice") == F.col("_from")).alias("_first"), "z"), "slices")
+
+
+def steps_of(begins: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """For i = 1, 2, ...: rows i of all pieces that have one."""
+    order = np.argsort(-sizes, kind="stable")
+    by_size, by_begin = sizes[order], begins[order]
+    return [by_begin[: int(np.searchsorted(-by_size, -i, "left"))] + i for i in range(1, int(by_size[0]) if len(by_size) else 0)]
+
+
+def em_round_slices(packed: DataFrame, start: np.ndarray, change: np.ndarray, mean: np.ndarray, var: np.ndarray, key: Sequence[str] = KEY) -> DataFrame:
+    """em_round() for series of any length, from dealt_slices(): a task holds slices, never a series.
+
+    Each slice is a matrix of log sums over all its paths from each state before it to each at its end. One row for each
+    slice is scanned in the order of a series for what enters it, and against it for what follows; then each slice sums its
+    statistics, the pair at its beginning with the row before included.
+    """
+    start, change, mean, var = (np.asarray(x, np.float64) for x in (start, change, mean, var))
+    n_in, by = mean.shape[1], [*key, "_slice"]
+
+    def opened(b: pa.RecordBatch) -> tuple:
+        z = b["z"].flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, n_in)
+        cut = b["z"].offsets.to_numpy().astype(np.int64) - b["z"].offsets[0].as_py()
+        return z, cut[:-1], np.diff(cut), emission_matrix(z, mean, var), b["_first"].to_numpy(zero_copy_only=False)
+
+    def onward(e: np.ndarray, begins: np.ndarray, steps: list[np.ndarray], heads: np.ndarray) -> np.ndarray:
+        a = np.full_like(e, -np.inf)
+        a[begins] = heads + e[begins]
+        for rows in steps:
+            a[rows] = e[rows] + log_sum(a[rows - 1][:, :, None] + change, 1)
+        return a
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, begins, sizes, e, first = opened(b)
+            steps, ends = steps_of(begins, sizes), begins + sizes - 1
+            of = np.stack([onward(e, begins, steps, np.where(first[:, None], start, change[i]))[ends] for i in range(K)], 1)
+            yield pa.record_batch({c: b[c] for c in by} | {"first": b["_first"], "m": pa.array(list(of.reshape(-1, K * K)), pa.list_(pa.float64()))})
+
+    def entering(rows: Iterator[dict]) -> Iterator[dict]:
+        v = np.zeros(K)
+        for r in rows:
+            m = np.array(r["m"]).reshape(K, K)
+            yield {c: r[c] for c in by} | {"enter": v.tolist()}  # of no use to a series' first slice
+            v = m[0] if r["first"] else log_sum(v[:, None] + m, 0)
+
+    def following(rows: Iterator[dict]) -> Iterator[dict]:
+        v = np.zeros(K)
+        for r in rows:  # from the last slice to the first
+            yield {c: r[c] for c in by} | {"leave": v.tolist()}
+            v = np.zeros(K) if r["first"] else log_sum(np.array(r["m"]).reshape(K, K) + v, 1)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            z, begins, sizes, e, first = opened(b)
+            enter, leave = (b[c].flatten().to_numpy(zero_copy_only=False).reshape(-1, K) for c in ("enter", "leave"))
+            steps, ends = steps_of(begins, sizes), begins + sizes - 1
+            a = onward(e, begins, steps, np.where(first[:, None], start, log_sum(enter[:, :, None] + change, 1)))
+            back = np.zeros_like(e)
+            back[ends] = leave
+            for rows in reversed(steps):
+                back[rows - 1] = log_sum(change + (e[rows] + back[rows])[:, None, :], 2)
+            total = log_sum(a[ends] + leave, 1)
+            g = np.exp(a + back - np.repeat(total, sizes)[:, None])
+            # The row before each row: in the slice, or, at its beginning, in the slice before.
+            before, of_row = np.empty_like(a), np.repeat(total, sizes)
+            before[1:], before[begins] = a[:-1], enter
+            there = np.ones(len(z), bool)
+            there[begins[first]] = False
+            later, pairs = np.flatnonzero(there), np.zeros((K, K))
+            for k in range(0, len(later), PAIR_ROWS):
+                at = later[k : k + PAIR_ROWS]
+                pairs += np.exp(before[at][:, :, None] + change + (e[at] + back[at] - of_row[at, None])[:, None, :]).sum(0)
+            flat = np.concatenate([[total[first].sum()], g[begins[first]].sum(0), pairs.ravel(), g.sum(0), (g.T @ z).ravel(), (g.T @ z**2).ravel()])
+            yield pa.record_batch({"s": [flat]})
+
+    names = T.StructType([packed.schema[c] for c in by]).fields
+    made = staged(packed.mapInArrow(matrices, T.StructType([*names, *T.StructType.fromDDL("first boolean, m array<double>").fields])), "matrices")
+    both = with_small(scan(made, entering, "enter array<double>", key), scan(made, following, "leave array<double>", key, forth=False), by)
+    return new_model(with_small(packed, both, by).mapInArrow(gather, "s array<double>"), n_in)
+
+
 def fit(df: DataFrame, rounds: int = 20, seed: int = 42, key: Sequence[str] = KEY, idx: str = IDX, inits: int = 30, tol: float = 1e-3, state: str = "true_regime") -> GaussianHMM:
     """Fit on diagnosed, labelled series. Only sums of statistics (of fixed size) come to the driver in each round; series
     of one row take no part. The start is the best of `inits` k-means runs."""

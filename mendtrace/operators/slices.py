@@ -88,6 +88,24 @@ def pieces(col: pa.ListArray, scores: str, to_scores: Callable[[np.ndarray], np.
     return Pieces(s, there, begins, sizes, of, (head & ~first)[opens], tail[ends], np.diff(cut))
 
 
+def scan(src: DataFrame, f: Callable[[Iterator[dict]], Iterator[dict]], schema: str, key: Sequence[str], forth: bool = True) -> DataFrame:
+    """(key, _slice, schema): f over the rows of src, one small row for each slice, in the order of each series or against it."""
+    whole = T.StructType([*(src.schema[c] for c in (*key, "_slice")), *T.StructType.fromDDL(schema).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for r in f(r for b in batches for r in b.to_pylist()):
+            out.append(r)
+            if len(out) == 10_000:
+                yield pa.RecordBatch.from_pylist(out, to_arrow_schema(whole))
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, to_arrow_schema(whole))
+
+    order = F.col("_slice").asc() if forth else F.col("_slice").desc()
+    return src.repartition(*key).sortWithinPartitions(*key, order).mapInArrow(run, whole)
+
+
 def decode_slices(df: DataFrame, scores: str, begins: Column, inside: Column, change: np.ndarray, start: np.ndarray | float, out: str, slice_rows: int, key: Sequence[str] = KEY, idx: str = IDX, to_scores: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """As states.decode_runs(), with runs of any length: series are cut into slices of `slice_rows` numbers of `idx`.
 
@@ -167,23 +185,6 @@ def decode_slices(df: DataFrame, scores: str, begins: Column, inside: Column, ch
             after = r
             yield {c: r[c] for c in by} | {"end": end}
 
-    def scanned(src: DataFrame, f: Callable[[Iterator[dict]], Iterator[dict]], schema: str, forth: bool) -> DataFrame:
-        """f over the slices of each series in order; there is one small row for each slice."""
-        whole = T.StructType([*names.fields, *T.StructType.fromDDL(schema).fields])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = []
-            for r in f(r for b in batches for r in b.to_pylist()):
-                out.append(r)
-                if len(out) == 10_000:
-                    yield pa.RecordBatch.from_pylist(out, to_arrow_schema(whole))
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_pylist(out, to_arrow_schema(whole))
-
-        order = F.col("_slice").asc() if forth else F.col("_slice").desc()
-        return src.repartition(*key).sortWithinPartitions(*key, order).mapInArrow(run, whole)
-
     def paths(b: pa.RecordBatch, p: Pieces) -> dict:
         back, best = forward(p.scores, p.begins, p.sizes, change, start, p.follows, entered(b)[p.slice_])
         end = np.where(p.last, b["end"].to_numpy(zero_copy_only=False)[p.slice_], best.argmax(1)).astype(np.int64)
@@ -191,10 +192,10 @@ def decode_slices(df: DataFrame, scores: str, begins: Column, inside: Column, ch
         path[p.there] = trace(back, p.begins, p.sizes, end)[0]
         return {"_rows": b["_rows"], "_path": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(p.rows)), pa.int32()), pa.array(path, mask=~p.there))}
 
-    enter = scanned(mapped(few, matrices, "through array<double>, leaves array<double>"), entering, "enter array<double>", True)
+    enter = scan(mapped(few, matrices, "through array<double>, leaves array<double>"), entering, "enter array<double>", key)
     enter = staged(enter, "entering")
     found = staged(mapped(with_small(few, enter, by), pointers, "follows boolean, whole boolean, before array<int>, last int"), "pointers")
-    both = with_small(enter, scanned(found, leaving, "end int", False), by)
+    both = with_small(enter, scan(found, leaving, "end int", key, forth=False), by)
     whole = with_small(packed, both, by)
     kind = packed.schema["_rows"].dataType
     done = whole.mapInArrow(_each(by, paths, scores, to_scores), T.StructType([*names.fields, T.StructField("_rows", kind), T.StructField("_path", T.ArrayType(T.IntegerType()))]))

@@ -163,7 +163,7 @@ _change = [[1.25 if i == j else -0.75 for j in range(3)] for i in range(3)]
 VIQ = f"{POQ},\n{Q.viterbi('po', ['s1', 's2', 's5'], _change, [0.0] * 3, 'vi')}"
 _vit = "SELECT pw.series, pw.sample_idx, CASE WHEN m_t = 1 THEN state ELSE ['Stable', 'Movement', 'Unstable'][p + 1] END AS state FROM pw LEFT JOIN vi USING (series, sample_idx)"
 add("viterbi_d", _row + "state:s", lambda s, d: ST.viterbi_d(scored(s, d)), VIQ, _vit)
-SLICE = 16
+SLICE = 16  # few rows, so that these short series have several slices
 add("viterbi_d_slices", _row + "state:s", lambda s, d: ST.viterbi_d(scored(s, d), slice_rows=SLICE), VIQ, _vit)
 add("viterbi_fold", _row + "state:s", lambda s, d: ST.viterbi_fold(scored(s, d)), VIQ, _vit)
 add("predict_regimes", _row + "state:s", lambda s, d: ST.predict_regimes(with_rate(diagnosed(s, d)), F.col("hz"), Q.GAP_SECONDS), VIQ, _vit)
@@ -461,13 +461,14 @@ gg AS (SELECT f.pos, total, z2, {five('g', lambda k: f'exp(a{k} + b{k} - total)'
 _round = " UNION ALL ".join(f"SELECT {k} AS component, sum(CASE WHEN pos = 1 THEN total END) AS log_likelihood, sum(g{k}) AS occupancy, ln(sum(CASE WHEN pos = 1 THEN g{k} END) / count(CASE WHEN pos = 1 THEN 1 END)) AS start, ln(sum(x{k}) / sum(y{k})) AS stay, sum(g{k} * z2) / sum(g{k}) AS mean_c, sum(g{k} * z2 * z2) / sum(g{k}) - (sum(g{k} * z2) / sum(g{k})) ** 2 AS var_c FROM gg" for k in _k)
 
 
-def em_round(spark: SparkSession, d: str) -> DataFrame:
-    rows = GE.dealt(GE.scaled(diagnosed(spark, d), [0.0] * 6, [1.0] * 6), "z").where("_many")
-    got = GE.em_round(rows, _gs, _gc, _gm, _gv)
+def em_round(spark: SparkSession, d: str, slice_rows: int | None = None) -> DataFrame:
+    df = GE.scaled(diagnosed(spark, d), [0.0] * 6, [1.0] * 6)
+    got = GE.em_round_slices(GE.dealt_slices(df, "z", slice_rows), _gs, _gc, _gm, _gv) if slice_rows else GE.em_round(GE.dealt(df, "z").where("_many"), _gs, _gc, _gm, _gv)
     return got.withColumns({"stay": F.get("change", F.col("component")), "mean_c": F.col("mean")[2], "var_c": F.col("var")[2]})
 
 
 add("gaussian_em_round", "component:l log_likelihood:d3 occupancy:d4 start:d5 stay:d5 mean_c:d5 var_c:d5", em_round, EMR, _round)
+add("gaussian_em_round_slices", "component:l log_likelihood:d3 occupancy:d4 start:d5 stay:d5 mean_c:d5 var_c:d5", lambda s, d: em_round(s, d, SLICE), EMR, _round)
 add("gaussian_decode", _row + "component:l", lambda s, d: GE.decode_series(GE.scaled(diagnosed(s, d), [0.0] * 6, [1.0] * 6), "z", np.array(_gm), np.array(_gv), np.array(_gc), np.array(_gs), "component", ("series",), "sample_idx"), f"{GMQ},\n{Q.viterbi('ge', [f'e{k}' for k in _k], _gc, _gs, 'gd')}", "SELECT series, sample_idx, p AS component FROM gd")
 add("gaussian_decode_slices", _row + "component:l", lambda s, d: GE.decode_series(GE.scaled(diagnosed(s, d), [0.0] * 6, [1.0] * 6), "z", np.array(_gm), np.array(_gv), np.array(_gc), np.array(_gs), "component", ("series",), "sample_idx", SLICE), f"{GMQ},\n{Q.viterbi('ge', [f'e{k}' for k in _k], _gc, _gs, 'gd')}", "SELECT series, sample_idx, p AS component FROM gd")
 add("component_overlap", "component:l state:s n:l", lambda s, d: GE.overlap_counts(stated(s, d).withColumn("component", F.col("sample_idx") % 5), state="state"), POQ, "SELECT sample_idx % 5 AS component, state, count(*) AS n FROM pw GROUP BY ALL")

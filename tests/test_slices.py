@@ -50,3 +50,20 @@ def test_a_long_block_spans_many_tasks(spark):
     want = states.decode_runs(df, "s", begin, F.lit(True), change, 0.0, "p").select("sample_idx", "p")
     got = states.decode_runs(df, "s", begin, F.lit(True), change, 0.0, "p", slice_rows=2000).select("sample_idx", F.col("p").alias("q"))
     assert got.join(want, "sample_idx").where("p = q").count() == n
+
+
+@pytest.mark.parametrize("slice_rows", [1, 7, 1000])
+def test_em_round_in_slices(spark, slice_rows):
+    from mendtrace.operators import generative as ge
+
+    r = np.random.default_rng(4)
+    sizes = {0: 300, 1: 1, 2: 2, None: 41, 5: 120}
+    rows = [(s, i, [float(x) for x in r.normal(size=6)]) for s, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "series long, sample_idx long, v array<double>").repartition(4)
+    k = ge.K
+    start, change = np.log(r.dirichlet(np.ones(k))), np.log(r.dirichlet(np.ones(k), k))
+    mean, var = r.normal(size=(k, 6)), r.uniform(0.5, 2, (k, 6))
+    want = sorted(ge.em_round(ge.dealt(df, "v").where("_many"), start, change, mean, var).collect(), key=lambda x: x["component"])
+    got = sorted(ge.em_round_slices(ge.dealt_slices(df, "v", slice_rows), start, change, mean, var).collect(), key=lambda x: x["component"])
+    for a, b in zip(got, want, strict=True):
+        assert all(np.allclose(a[c], b[c], atol=1e-9) for c in want[0].asDict())
