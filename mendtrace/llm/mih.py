@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil, comb, log2
 
 import numpy as np
@@ -171,17 +172,24 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id"
     substrings and bits a number of rows asks for: where the radius spans so many bits that buckets save nothing, as for
     uniform vectors, there is one table and every query visits every bucket. The radius is the one within which REACHED of the sampled queries' true neighbours lie; for
     queries with fewer than k rows within it (or than all others, if those are fewer than k), it is doubled until none is short.
-    Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, and rows
-    with a null key take none either; repeated rows are candidates of their own; other columns are ignored.
+    Vectors that are null, zero, or hold null or non-finite components take no part, and rows with a null key take none
+    either. Vectors of different lengths have no inner product: each length is searched on its own. Repeated rows are
+    candidates of their own; other columns are ignored; without vectors or queries there are no rows.
     """
     v = F.col("v")
     src = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     src = src.where(F.col("id").isNotNull() & v.isNotNull()).where(F.coalesce(sound, F.lit(False)))
-    size = src.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if size is None:
+    sizes = src.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()  # a row for each length
+    parts = [_search(src.where(F.size("v") == r["d"]), r["n"], every, k) for r in sizes]
+    if not parts:
         return src.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double").withColumnRenamed("id", key)
-    src = C.stage_table(src.where(F.size("v") == size["d"]).withColumn("deal", F.xxhash64("id", "v")), "vectors")
+    return reduce(DataFrame.union, parts).withColumnRenamed("id", key)
+
+
+def _search(src: DataFrame, n: int, every: int, k: int) -> DataFrame:
+    """search() over n sound rows (id, v) of one length."""
+    src = C.stage_table(src.withColumn("deal", F.xxhash64("id", "v")), "vectors")
     queries = src.where(F.col("id") % every == 0).groupBy("id").agg(F.min_by("v", "deal").alias("v"), F.min("deal").alias("deal"), F.count("*").alias("own"))
     mean, projection = fit_rotation(matrix(src.orderBy("deal", "id").limit(FIT_ROWS).toPandas()["v"]))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -211,7 +219,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id"
 
     def look(queries: DataFrame, radius: int) -> DataFrame:
         """(query_id, id, score, rank): the k best rows within the radius of each query, staged."""
-        tables = Tables.of(bits, size["n"], radius)
+        tables = Tables.of(bits, n, radius)
 
         def deal(masks: list[np.ndarray]):
             """Each row once for every substring and mask, under the numbers of its buckets."""
@@ -251,9 +259,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id"
         n_asked = C.stage_table(right.groupBy("j", "bucket").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("asks")), "asks")
         split = C.stage_table(n_rows.join(n_asked, ["j", "bucket"]), "splits")
         own = lambda n: F.pmod("deal", F.col(n))
-        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        left = C.join_small(left, split, ["j", "bucket"], "inner").select("id", "v", "j", "bucket", own("blocks").alias("block"), every("asks").alias("ask"))
-        right = C.join_small(right, split, ["j", "bucket"], "inner").select("id", "v", "j", "bucket", own("asks").alias("ask"), every("blocks").alias("block"))
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = C.join_small(left, split, ["j", "bucket"], "inner").select("id", "v", "j", "bucket", own("blocks").alias("block"), each("asks").alias("ask"))
+        right = C.join_small(right, split, ["j", "bucket"], "inner").select("id", "v", "j", "bucket", own("asks").alias("ask"), each("blocks").alias("block"))
         at = ("j", "bucket", "block", "ask")
         found = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(pair, "query_id long, id long, score double")
         return C.stage_table(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "found")
@@ -262,14 +270,14 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id"
     found = look(queries, radius)
     while radius < bits:
         held = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("held"))
-        few = queries.join(held, "id", "left").where(F.coalesce("held", F.lit(0)) < F.least(F.lit(k), F.lit(size["n"]) - F.col("own")))
+        few = queries.join(held, "id", "left").where(F.coalesce("held", F.lit(0)) < F.least(F.lit(k), F.lit(n) - F.col("own")))
         few = C.stage_table(few.select(*queries.columns), "few")
         if not few.limit(1).count():
             break
         radius = min(max(1, 2 * radius), bits)
         kept = found.join(few.select(F.col("id").alias("query_id")), "query_id", "left_anti")
         found = C.stage_table(kept.select(*found.columns).union(look(few, radius).select(*found.columns)), "found")
-    return found.select("query_id", "rank", F.col("id").alias(key), "score")
+    return found.select("query_id", "rank", "id", "score")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

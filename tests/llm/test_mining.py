@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from mendtrace.llm import collocations, decontaminate, jaccard_join, perplexity, resample
+from mendtrace.llm import collocations, decontaminate, jaccard_join, mih, perplexity, resample
 
 DOCS = "doc_id long, text string, lang string, f long, phrase string, n long, w string"
 
@@ -216,3 +216,15 @@ def test_jaccard_join_with_few_and_many_parts(spark, monkeypatch):
         monkeypatch.setattr(jaccard_join, "SORTED", at_once)
         every.append(sorted(map(tuple, jaccard_join.jaccard_classes(frame(spark, rows), part_bytes=part_bytes).collect()), key=key))
     assert every[0] == every[1] == every[2] and len({x[2] for x in every[0]}) < 60
+
+
+def test_vectors_of_several_lengths(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in r.normal(size=8 if i % 3 else 5)]) for i in range(120)] + [(200, [1.0]), (220, None), (240, [0.0, 0.0]), (260, [1.0, float("nan")])]
+    got = collections.defaultdict(dict)
+    for x in mih.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=200).collect():
+        got[x["query_id"]][x["vec_id"]] = x["score"]
+    v = {i: x for i, x in rows if i < 120}
+    want = {q: {i: float(np.dot(v[q], x)) for i, x in v.items() if i != q and len(x) == len(v[q])} for q in v if q % 20 == 0}
+    assert {q: set(x) for q, x in got.items()} == {q: set(x) for q, x in want.items()}
+    assert all(abs(got[q][i] - s) < 1e-9 for q in want for i, s in want[q].items())
