@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import draw
 from .metrics import METRICS
+from .quantiles import exact_quantiles
 
 #: Of these less is better.
 LOWER_IS_BETTER = ("mae", "rmse", "long_hallucination")
@@ -59,14 +61,23 @@ def f1_summary(f1: DataFrame, by: Sequence[str] = ("method", "regime")) -> DataF
     return f1.groupBy(*by).agg(F.avg("f1").alias("mean_f1"), F.stddev_samp("f1").alias("std_f1"), F.count("f1").alias("n"), F.sum("support").alias("support"))
 
 
+def with_median(stats: DataFrame, rows: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
+    """stats (a row for each group) with the exact median of the rows' values; no group is held in one buffer."""
+    m = exact_quantiles(rows, [value], (0.5,), by).select(*(F.col(c).alias(f"_{c}") for c in by), F.col("quantiles")[0].alias(out))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by), F.lit(True))
+    return stats.join(m, same, "left").drop(*(f"_{c}" for c in by))
+
+
 def timing_summary(t: DataFrame, by: Sequence[str] = ("dataset", "duration_setting_s", "method"), ms: str = "milliseconds") -> DataFrame:
-    return t.groupBy(*by).agg(F.count(ms).alias("n"), F.median(ms).alias("median_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"))
+    stats = t.groupBy(*by).agg(F.count(ms).alias("n"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"))
+    return with_median(stats, t, by, ms, "median_ms").select(*by, "n", "median_ms", "min_ms", "max_ms")
 
 
 def paired_difference(t: DataFrame, a: str, b: str, pair: Sequence[str], by: Sequence[str], ms: str = "milliseconds") -> DataFrame:
     """Median over pairs of b - a; only complete pairs count."""
     both = t.groupBy(*by, *(c for c in pair if c not in by)).agg(F.max(F.when(F.col("method") == a, F.col(ms))).alias("_a"), F.max(F.when(F.col("method") == b, F.col(ms))).alias("_b"))
-    return both.where("_a is not null and _b is not null").groupBy(*by).agg(F.median(F.col("_b") - F.col("_a")).alias("median_difference"), F.count("*").alias("pairs"))
+    both = both.where("_a is not null and _b is not null").withColumn("_d", F.col("_b") - F.col("_a"))
+    return with_median(both.groupBy(*by).agg(F.count("*").alias("pairs")), both, by, "_d", "median_difference").select(*by, "median_difference", "pairs")
 
 
 def weight_ranks(scores: DataFrame, by: Sequence[str] = ("evaluation",)) -> DataFrame:

@@ -256,12 +256,79 @@ def em_round_slices(packed: DataFrame, start: np.ndarray, change: np.ndarray, me
     return new_model(with_small(packed, both, by).mapInArrow(gather, "s array<double>"), n_in)
 
 
-def fit(df: DataFrame, rounds: int = 20, seed: int = 42, key: Sequence[str] = KEY, idx: str = IDX, inits: int = 30, tol: float = 1e-3, state: str = "true_regime") -> GaussianHMM:
-    """Fit on diagnosed, labelled series. Only sums of statistics (of fixed size) come to the driver in each round; series
-    of one row take no part. The start is the best of `inits` k-means runs."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def squared_distances(z: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Of each row to each centre of each start."""
+    flat = centers.reshape(-1, centers.shape[-1])
+    d = (z * z).sum(1)[:, None] - 2 * z @ flat.T + (flat * flat).sum(1)
+    return np.maximum(d, 0).reshape(len(z), *centers.shape[:2])
+
+
+#: Rows whose distances to all centres of all starts are held at once.
+NEAR_ROWS = 8_192
+
 
+def assigned(data: DataFrame, centers: np.ndarray) -> dict[int, np.ndarray]:
+    """One pass for all starts: for each the sums (cost; rows, sum and sum of squares of each centre's rows), added over tasks.
+    centers is starts x centres x inputs."""
+    starts, k, d = centers.shape
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((starts, 1 + k * (1 + 2 * d)))
+        for b in batches:
+            z = b["z"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, d)
+            for x in (z[i : i + NEAR_ROWS] for i in range(0, len(z), NEAR_ROWS)):
+                far = squared_distances(x, centers)
+                at = far.argmin(2)
+                total[:, 0] += np.take_along_axis(far, at[:, :, None], 2)[:, :, 0].sum(0)
+                for s in range(starts):
+                    mine = np.eye(k)[at[:, s]]
+                    total[s, 1:] += np.concatenate([mine.sum(0), (mine.T @ x).ravel(), (mine.T @ x**2).ravel()])
+        yield pa.record_batch({"start": np.arange(starts), "sums": pa.array(list(total), pa.list_(pa.float64()))})
+
+    width = 1 + k * (1 + 2 * d)
+    got = data.select("z").mapInArrow(sums, "start long, sums array<double>").groupBy("start").agg(F.array(*(F.sum(F.col("sums")[i]) for i in range(width))).alias("sums"))
+    return {r["start"]: np.array(r["sums"]) for r in got.collect()}
+
+
+def kmeans(data: DataFrame, starts: int, seed: int, rounds: int = 20, tol: float = 1e-4, drawn: int = 2_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centres, rows, variances) of the cheapest of `starts` runs of k-means on the column z, all moved in the same passes.
+
+    A run's first centres are drawn far apart (each with the odds of its squared distance to those before) from a sample of
+    at most `drawn` rows, those with the least hash; only this sample and sums of fixed size come to the driver. Runs that
+    no longer move are dropped from the passes; a centre without rows stays where it is.
+    """
+    sample = np.array([r["z"] for r in data.select("z", F.xxhash64("z", F.lit(seed)).alias("h")).orderBy("h", "z").limit(drawn).collect()], np.float64)
+    d = sample.shape[1]
+    centers = np.zeros((starts, K, d))
+    for s in range(starts):
+        r = np.random.default_rng(seed + s)
+        centers[s, 0] = sample[r.integers(len(sample))]
+        for k in range(1, K):
+            near = squared_distances(sample, centers[None, s, :k])[:, 0].min(1)
+            centers[s, k] = sample[r.choice(len(sample), p=near / near.sum())] if near.sum() > 0 else centers[s, 0]
+    moving = np.arange(starts)
+    for _ in range(rounds):
+        got = assigned(data, centers[moving])
+        far = []
+        for i, s in enumerate(moving):
+            n, ones = got[i][1 : 1 + K], got[i][1 + K : 1 + K + K * d].reshape(K, d)
+            new = np.where(n[:, None] > 0, ones / np.maximum(n, 1)[:, None], centers[s])
+            far.append(((new - centers[s]) ** 2).sum(1).max())
+            centers[s] = new
+        moving = moving[np.array(far) > tol * tol]
+        if not len(moving):
+            break
+    last = assigned(data, centers)
+    best = min(range(starts), key=lambda s: last[s][0])
+    n, ones, squares = last[best][1 : 1 + K], *(last[best][1 + K + i * K * d :][: K * d].reshape(K, d) for i in (0, 1))
+    mean = ones / np.maximum(n, 1)[:, None]
+    return centers[best], n, np.maximum(squares / np.maximum(n, 1)[:, None] - mean**2, 0)
+
+
+def fit(df: DataFrame, rounds: int = 20, seed: int = 42, key: Sequence[str] = KEY, idx: str = IDX, inits: int = 30, tol: float = 1e-3, state: str = "true_regime", slice_rows: int | None = None) -> GaussianHMM:
+    """Fit on diagnosed, labelled series. Only sums of statistics (of fixed size) come to the driver in each round; series
+    of one row take no part. The start is the best of `inits` k-means runs, made in the same passes. With `slice_rows`, rounds
+    and decoding go by slices of so many rows, so that a series may be of any length."""
     scale_rows = sorted(robust_scale(df).collect(), key=lambda r: r["place"])
     center, scale = np.array([r["center"] or 0.0 for r in scale_rows]), np.array([r["scale"] for r in scale_rows])
     data = dealt(scaled(df, center, scale), "z", (state,), key, idx).cache()
@@ -269,27 +336,21 @@ def fit(df: DataFrame, rounds: int = 20, seed: int = 42, key: Sequence[str] = KE
     try:
         if rows.isEmpty():
             raise ValueError("no series of two rows or more")
-        vectors = data.select("z", array_to_vector("z").alias("v"))
-        models = [KMeans(featuresCol="v", predictionCol="component", k=K, seed=seed + i).fit(vectors) for i in range(inits)]
-        km = min(models, key=lambda m: m.summary.trainingCost)
-        near = km.transform(vectors)
-        stats = {r["component"]: r for r in near.groupBy("component").agg(F.count("*").alias("n"), *(F.var_pop(F.col("z")[i]).alias(f"v{i}") for i in range(len(INPUTS)))).collect()}
-        overall = data.agg(*(F.var_pop(F.col("z")[i]).alias(f"v{i}") for i in range(len(INPUTS)))).first()
-        mean = np.zeros((K, len(INPUTS)))
-        for k, c in enumerate(km.clusterCenters()):
-            mean[k] = c
-        spread = lambda r: np.array([r[f"v{i}"] or 0.0 for i in range(len(INPUTS))])
-        var = np.array([spread(stats[k]) + 1e-3 if k in stats and stats[k]["n"] > 2 else spread(overall) + 1e-3 for k in range(K)])
+        mean, held, spread = kmeans(data, inits, seed)
+        overall = data.agg(*(F.coalesce(F.var_pop(F.col("z")[i]), F.lit(0.0)).alias(f"v{i}") for i in range(len(INPUTS)))).first()
+        var = np.where(held[:, None] > 2, spread, np.array(list(overall))) + 1e-3
+        sliced = dealt_slices(data.where("_many").select(*key, idx, "z"), "z", slice_rows, key, idx) if slice_rows else None
         start, change = np.log(np.full(K, 1 / K)), np.log(np.full((K, K), 0.08 / (K - 1)) + np.eye(K) * (0.92 - 0.08 / (K - 1)))
         history: list[float] = []
         for _ in range(rounds):
-            got = sorted(em_round(rows, start, change, mean, var).collect(), key=lambda r: r["component"])
+            now = em_round_slices(sliced, start, change, mean, var, key) if slice_rows else em_round(rows, start, change, mean, var)
+            got = sorted(now.collect(), key=lambda r: r["component"])
             history.append(got[0]["log_likelihood"])
             start, change, mean, var = (np.array([r[c] for r in got]) for c in ("start", "change", "mean", "var"))
             if len(history) > 1 and abs(history[-1] - history[-2]) < tol:
                 break
         model = GaussianHMM(center, scale, start, change, mean, var, [str(k) for k in range(K)], history)
-        named = decode_series(data.drop("_begin", "_many", "_in"), "z", mean, var, change, start, "component", key, idx).withColumnRenamed(state, "true_regime")
+        named = decode_series(data.drop("_begin", "_many", "_in"), "z", mean, var, change, start, "component", key, idx, slice_rows).withColumnRenamed(state, "true_regime")
         model.names = align({(r["component"], r["true_regime"]): r["n"] for r in overlap_counts(named).collect()})
         return model
     finally:

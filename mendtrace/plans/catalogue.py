@@ -548,7 +548,14 @@ def shifted(spark: SparkSession, d: str) -> DataFrame:
 add("hybrid_fit_predict", "true_regime:s state:s n:l", hybrid_fit_predict)
 add("gaussian_hmm_fit_predict", "true_regime:s state:s n:l", gaussian_fit_predict)
 add("shifted_generator", _row + "x:d4 y:d4 true_regime:s unstable_subtype:s", shifted, f"{LI},\n{Q.shifted()}", "FROM sh")
-add("synthetic_traces", "dataset:s participant_id:s time_s:d x:d y:d", lambda s, d: IO.synthetic_traces(s)[0])
+def supplier_traces(spark: SparkSession, d: str) -> DataFrame:
+    """A made-up trace for each supplier: the odd ones at 250 samples a second, the even ones at 60."""
+    odd = F.col("s_suppkey") % 2 == 1
+    people = table(spark, d, "supplier").select(F.when(odd, "ETDD70").otherwise("Autism").alias("dataset"), F.col("s_suppkey").cast("string").alias("participant_id"), F.col("s_suppkey").cast("long").alias("number"), F.when(odd, 250.0).otherwise(60.0).alias("hz"))
+    return IO.traces(people)
+
+
+add("synthetic_traces", "dataset:s participant_id:s sample_idx:l time_s:d x:d y:d", supplier_traces, Q.TRACES, "SELECT * FROM tr")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

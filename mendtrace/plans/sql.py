@@ -145,6 +145,19 @@ def metrics(src: str, width: float, height: float, out: str) -> str:
   CASE WHEN mp < 0 THEN 0.0 WHEN mp > 1 THEN 1.0 ELSE mp END AS movement_preservation FROM {out}4)"""
 
 
+_u = lambda idx, s: draw_sql("number", idx, "20260728", s)
+_step = lambda s: f"sum({normal_sql('number', 'sample_idx', '20260728', s)} * 0.06::DOUBLE) OVER (PARTITION BY number, spell ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_w = "(PARTITION BY number ORDER BY spell)"
+#: Expressions that end in tr: a made-up trace for each supplier.
+TRACES = f"""pe AS (SELECT CASE WHEN s_suppkey % 2 = 1 THEN 'ETDD70' ELSE 'Autism' END AS dataset, CAST(s_suppkey AS VARCHAR) AS participant_id, CAST(s_suppkey AS BIGINT) AS number, CASE WHEN s_suppkey % 2 = 1 THEN 250.0 ELSE 60.0 END::DOUBLE AS hz FROM supplier),
+p1 AS (SELECT *, unnest(range(0, 22)) AS spell FROM pe),
+p2 AS (SELECT *, greatest(4, CAST(floor((0.4::DOUBLE + 0.5::DOUBLE * {_u('spell', 101)}) * hz) AS BIGINT)) AS stay, greatest(3, CAST(floor(0.04::DOUBLE * hz) AS BIGINT)) AS go, 200 + 1000 * {_u('spell', 103)} AS x_to, 150 + 700 * {_u('spell', 107)} AS y_to FROM p1),
+p3 AS (SELECT *, coalesce(sum(stay + go) OVER (PARTITION BY number ORDER BY spell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead, coalesce(lag(x_to) OVER {_w}, 600) AS x_at, coalesce(lag(y_to) OVER {_w}, 400) AS y_at FROM p2),
+p4 AS (SELECT *, unnest(range(0, stay + go)) AS j FROM p3),
+p5 AS (SELECT *, ahead + j AS sample_idx FROM p4 WHERE ahead + j < round_even(8.05::DOUBLE * hz, 0)),
+tr AS (SELECT dataset, participant_id, sample_idx, sample_idx / hz AS time_s, {', '.join(f'CASE WHEN j < stay THEN {a}_at + {_step(s)} ELSE {a}_at + (j - stay + 1)::DOUBLE / (go + 1) * ({a}_to - {a}_at) END AS {a}' for a, s in (('x', 109), ('y', 113)))} FROM p5)"""
+
+
 PARTS = ("1 - long_hallucination", "short_recovery", "movement_preservation", "stable_preservation", "unstable_repair_score")
 AVAILABLE = "(" + " + ".join(f"coalesce({p}, 0)" for p in PARTS) + ") / nullif(" + " + ".join(f"CASE WHEN ({p}) IS NULL THEN 0 ELSE 1 END" for p in PARTS) + ", 0)"
 STRICT = "(" + " + ".join(f"({p})" for p in PARTS) + ") / 5"

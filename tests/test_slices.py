@@ -67,3 +67,30 @@ def test_em_round_in_slices(spark, slice_rows):
     got = sorted(ge.em_round_slices(ge.dealt_slices(df, "v", slice_rows), start, change, mean, var).collect(), key=lambda x: x["component"])
     for a, b in zip(got, want, strict=True):
         assert all(np.allclose(a[c], b[c], atol=1e-9) for c in want[0].asDict())
+
+
+def test_kmeans_of_all_starts_at_once(spark):
+    """The cheapest of all starts, as plain Lloyd rounds from the same centres give it."""
+    from mendtrace.operators import generative as ge
+
+    r = np.random.default_rng(6)
+    places = r.normal(scale=6, size=(ge.K, 6))
+    z = np.concatenate([places[i] + r.normal(size=(60, 6)) for i in range(ge.K)])
+    df = spark.createDataFrame([([float(v) for v in x],) for x in z], "z array<double>").repartition(4).cache()
+    centers, n, var = ge.kmeans(df, 12, 3)
+    far = lambda c: ((z[:, None] - c) ** 2).sum(2)
+    at = far(centers).argmin(1)
+    assert np.array_equal(np.bincount(at, minlength=ge.K), n) and sorted(n) == [60] * ge.K
+    assert all(np.allclose(z[at == k].mean(0), centers[k], atol=1e-6) and np.allclose(z[at == k].var(0), var[k], atol=1e-6) for k in range(ge.K))
+    costs = [ge.assigned(df, c[None])[0][0] for c in (centers, centers + 0.5)]
+    assert np.isclose(costs[0], far(centers).min(1).sum()) and costs[0] < costs[1]
+
+
+def test_model_fitted_in_slices(spark):
+    from mendtrace.operators import generative as ge
+
+    r = np.random.default_rng(1)
+    rows = [(s, i, 0, 0, float(abs(r.normal(i // 40 % 3 * 4, 1))), float(abs(r.normal())), float(abs(r.normal())), 0, "Stable") for s in range(3) for i in range(200)]
+    df = spark.createDataFrame(rows, "series long, sample_idx long, m_t int, r_t int, c_t double, alpha_t double, u_t double, p_t int, true_regime string").cache()
+    a, b = ge.fit(df, rounds=3, inits=4), ge.fit(df, rounds=3, inits=4, slice_rows=33)
+    assert np.allclose(a.log_likelihood, b.log_likelihood) and np.allclose(a.mean, b.mean, atol=1e-6) and a.names == b.names
