@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import draw
+from ..sources.staging import staged
 from .metrics import METRICS
 from .quantiles import exact_quantiles
 
@@ -57,6 +58,38 @@ def dataset_and_macro(participants: DataFrame) -> tuple[DataFrame, DataFrame]:
     return by_dataset, means(by_dataset, ("method",), columns)
 
 
+# The groupings of one pass: their columns besides the method.
+GROUPINGS = {"pooled": (), "by_corruption": ("corruption",), "by_severity": ("severity",), "by_dataset": ("dataset",), "by_participant": ("dataset", "participant_id"), "by_dataset_corruption": ("dataset", "corruption")}
+SIDES = ("dataset", "participant_id", "corruption", "severity")
+
+
+def all_groupings(sequences: DataFrame) -> DataFrame:
+    """(grouping, SIDES, method, METRICS, Q_local, Q_sequences): the means of all GROUPINGS from one pass over the sequences,
+    then `dataset_agg`, means over participants, and `macro`, their means over datasets, from these rows.
+
+    Columns that a grouping does not have are NULL, told apart from NULL values by the grouping's name. Q_local is the score
+    of the means (for the last two the mean of scores), Q_sequences the mean of the sequences' scores. No sequences: no rows.
+    """
+    cols = [F.col(c) for c in (*SIDES, "method")]
+    sets = [[*(F.col(c) for c in by), F.col("method")] for by in GROUPINGS.values()]
+    gone = [F.grouping(c).cast("int") for c in SIDES]
+    name = F.lit(None).cast("string")
+    for n, by in GROUPINGS.items():
+        here = reduce(lambda a, b: a & b, (g == int(c not in by) for g, c in zip(gone, SIDES, strict=True)))
+        name = F.when(here, n).otherwise(name)
+    scored = score_available(sequences, "Q_sequences")
+    first = scored.groupingSets(sets, *cols).agg(name.alias("grouping"), *(F.avg(c).alias(c) for c in (*METRICS, "Q_sequences")))
+    first = staged(score_available(first), "groupings")
+    names = ("grouping", *SIDES, "method", *METRICS, "Q_local", "Q_sequences")
+
+    def over(df: DataFrame, n: str, by: Sequence[str]) -> DataFrame:
+        absent = {c: F.lit(None).cast("string") for c in SIDES if c not in by}
+        return means(df, (*by, "method"), (*METRICS, "Q_local", "Q_sequences")).withColumns({"grouping": F.lit(n), **absent}).select(*names)
+
+    by_dataset = over(first.where("grouping = 'by_participant'"), "dataset_agg", ("dataset",))
+    return first.select(*names).union(by_dataset).union(over(by_dataset, "macro", ()))
+
+
 def f1_summary(f1: DataFrame, by: Sequence[str] = ("method", "regime")) -> DataFrame:
     return f1.groupBy(*by).agg(F.avg("f1").alias("mean_f1"), F.stddev_samp("f1").alias("std_f1"), F.count("f1").alias("n"), F.sum("support").alias("support"))
 

@@ -217,6 +217,15 @@ add("dataset_macro", f"method:s {_m} Q_local:d", lambda s, d: A.dataset_and_macr
 for _name, _by in {"pooled": ("method",), "by_corruption": ("corruption", "method"), "by_severity": ("severity", "method"), "by_dataset": ("dataset", "method"), "by_participant": ("dataset", "participant_id", "method")}.items():
     add(_name, " ".join(f"{b}:s" for b in _by) + f" {_m}", lambda s, d, by=_by: A.means(measured(s, d), by), MEQ, f"SELECT {', '.join(_by)}, {_means} FROM me GROUP BY ALL")
 add("corruption_scores", "dataset:s corruption:s method:s Q_local:d", lambda s, d: A.means(A.score_available(measured(s, d)), ("dataset", "corruption", "method"), ("Q_local",)), MEQ, f"SELECT dataset, corruption, method, avg(Q_local) AS Q_local FROM (SELECT *, {Q.AVAILABLE} AS Q_local FROM me) AS z GROUP BY ALL")
+_sides = ", ".join(A.SIDES)
+_sets = ", ".join("(" + ", ".join((*by, "method")) + ")" for by in A.GROUPINGS.values())
+_which = "CASE " + " ".join("WHEN " + " AND ".join(f"grouping({c}) = {int(c not in by)}" for c in A.SIDES) + f" THEN '{n}'" for n, by in A.GROUPINGS.items()) + " END"
+GRQ = f"""{MEQ},
+g1 AS (SELECT {_which} AS grouping_name, {_sides}, method, {_means}, avg(Q_sequences) AS Q_sequences FROM (SELECT *, {Q.AVAILABLE} AS Q_sequences FROM me) AS z GROUP BY GROUPING SETS ({_sets})),
+g2 AS (SELECT *, {Q.AVAILABLE} AS Q_local FROM g1),
+g3 AS (SELECT dataset, method, {_meansq}, avg(Q_sequences) AS Q_sequences FROM g2 WHERE grouping_name = 'by_participant' GROUP BY dataset, method)"""
+_mcols = ", ".join((*ME.METRICS, "Q_local", "Q_sequences"))
+add("all_groupings", f"grouping:s dataset:s participant_id:s corruption:s severity:s method:s {_m} Q_local:d Q_sequences:d", lambda s, d: A.all_groupings(measured(s, d)), GRQ, f"SELECT grouping_name AS grouping, {_sides}, method, {_mcols} FROM g2 UNION ALL SELECT 'dataset_agg', dataset, NULL, NULL, NULL, method, {_mcols} FROM g3 UNION ALL SELECT 'macro', NULL, NULL, NULL, NULL, method, {_meansq}, avg(Q_sequences) FROM g3 GROUP BY method")
 _weights = ", ".join(f"('{n}', " + ", ".join(f"{x!r}::DOUBLE" for x in ws) + ")" for n, ws in A.WEIGHTINGS.items())
 WRQ = f"{DSQ},\nma AS (SELECT 'primary' AS evaluation, method, {_meansq} FROM ds GROUP BY method),\nws AS (SELECT evaluation, method, weighting, (1 - long_hallucination + short_recovery) / 2 * a + movement_preservation * b + stable_preservation * c + unstable_repair_score * e AS score FROM ma, (VALUES {_weights}) AS w(weighting, a, b, c, e))"
 add("weight_ranks", "evaluation:s weighting:s method:s score:d rank:l", lambda s, d: A.weight_ranks(A.dataset_and_macro(participants(s, d))[1].withColumn("evaluation", F.lit("primary"))), WRQ, "SELECT *, rank() OVER (PARTITION BY evaluation, weighting ORDER BY score DESC) AS rank FROM ws")
