@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import EXPANDED, FINITE_STATES, IDX, KEY, SHORT_GAP_SECONDS, argmax_first, gap_limit, ordered, whole
+from .longseries import RANGE_ROWS, average_ranks, own_rows, with_halo
 from .states import decode_blocks, expanded_label, finite_blocks
 
 FEATURES = ("log_c", "log_a", "log_u", "rank_c", "rank_a", "rank_u", "short_a", "short_u", "long_a", "long_u", "over_a", "over_u", "p")
@@ -32,8 +33,9 @@ def centred(agg: Callable[[Column], Column], value: str, size: str, sizes: Seque
     return out
 
 
-def features(df: DataFrame, fs: str = "hz", key: Sequence[str] = KEY, idx: str = IDX, sizes: tuple[Sequence[int], Sequence[int]] | None = None) -> DataFrame:
-    """Add FEATURES. Frames need literal bounds, so the few distinct sizes are collected unless they are given."""
+def features(df: DataFrame, fs: str = "hz", key: Sequence[str] = KEY, idx: str = IDX, sizes: tuple[Sequence[int], Sequence[int]] | None = None, slice_rows: int | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Add FEATURES. Frames need literal bounds, so the few distinct sizes are collected unless they are given. With
+    `slice_rows` in slices of so many rows: ranks by ranges of values, frames over slices with their neighbours' rows."""
     absent = sorted({"c_t", "alpha_t", "u_t", "p_t"} - set(df.columns))
     if absent:
         raise ValueError(f"missing diagnostic columns: {absent}")
@@ -43,11 +45,16 @@ def features(df: DataFrame, fs: str = "hz", key: Sequence[str] = KEY, idx: str =
         sizes = sorted(got["s"]), sorted(got["l"])
     names = {"c": "c_t", "a": "alpha_t", "u": "u_t"}
     df = df.withColumns({f"log_{k}": F.when(F.col(c).isNull(), 0.0).otherwise(F.log1p(F.greatest(F.col(c), F.lit(0.0)))) for k, c in names.items()})
-    df = df.withColumns({f"rank_{k}": average_rank(c, key) for k, c in names.items()})
+    if slice_rows:
+        df = average_ranks(df, {c: f"rank_{k}" for k, c in names.items()}, key, idx, range_rows)
+        df, key = with_halo(df, max(max(s, default=0) for s in sizes), slice_rows, idx), (*key, "_slice")
+    else:
+        df = df.withColumns({f"rank_{k}": average_rank(c, key) for k, c in names.items()})
     df = df.withColumns({f"short_{k}": centred(F.avg, f"rank_{k}", "_ws", sizes[0], key, idx) for k in "au"})
     df = df.withColumns({f"long_{k}": centred(F.max, f"rank_{k}", "_wl", sizes[1], key, idx) for k in "au"})
     df = df.withColumns({**{f"over_{k}": F.col(f"rank_{k}") - F.col(f"short_{k}") for k in "au"}, "p": F.col("p_t").cast("double")})
-    return df.drop("_ws", "_wl")
+    df = df.drop("_ws", "_wl")
+    return own_rows(df) if slice_rows else df
 
 
 def labels(df: DataFrame) -> DataFrame:

@@ -3,36 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .longseries import RANGE_ROWS, running_totals, with_sized
+
 #: A sketch of this accuracy brackets each rank; the bracket reaches four times its error to both sides.
 ACCURACY = 10_000
 
 
-def exact_quantiles(df: DataFrame, values: Sequence[str], qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def exact_quantiles(df: DataFrame, values: Sequence[str], qs: Sequence[float], by: Sequence[str] = (), rows: int = RANGE_ROWS) -> DataFrame:
     """(by, name, quantiles): for each of `values` its exact, linearly interpolated quantiles qs over values that are not
     NULL. A group without any has no row.
 
     A sketch of fixed size brackets each rank. Values below the bracket are counted; only those inside it, less than a
-    thousandth of the rows, are counted by value and put in order. A rank outside its bracket is an error, never a guess.
+    thousandth of the rows, are counted by value and put in order, by ranges of about `rows` values. A rank outside its
+    bracket is an error, never a guess.
     """
     group = [*by, "name"]
     long = df.select(*by, *(F.col(v).cast("double").alias(v) for v in values)).unpivot(list(by), list(values), "name", "v").where("v is not null")
     reach = 4.0 / ACCURACY
     ends = [e for q in qs for e in (max(q - reach, 0.0), min(q + reach, 1.0))]
     sketch = long.groupBy(*group).agg(F.percentile_approx("v", F.array(*map(F.lit, ends)), F.lit(ACCURACY)).alias("_ends"), F.count("*").alias("_n"))
-    right = sketch.withColumnsRenamed({c: f"_{c}" for c in group})
-    right = right if by else F.broadcast(right)  # without groups it has one row for each column
-    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group))
-    near = long.join(right, same)
+    near = with_sized(long, sketch, group, "_n", ["v"])
     # For each rank: one row for each value inside the bracket, one for all below and one for all above it.
     side = lambda k: F.when(F.col("v") < F.col("_ends")[2 * k], -1).when(F.col("v") > F.col("_ends")[2 * k + 1], 1).otherwise(0)
     placed = near.select(*group, "_n", "v", F.posexplode(F.array(*(side(k) for k in range(len(qs))))).alias("k", "_side"))
     counts = placed.groupBy(*group, "_n", "k", "_side", F.when(F.col("_side") == 0, F.col("v")).alias("_v")).agg(F.count("*").alias("_c"), F.min("v").alias("_least"), F.max("v").alias("_most"))
-    counts = counts.withColumn("_to", F.sum("_c").over(Window.partitionBy(*group, "k").orderBy("_side", "_v")))
+    counts = running_totals(counts, [*group, "k"], ["_side", "_v"], "_c", rows).withColumn("_to", F.col("_before") + F.col("_c"))
     counts = counts.withColumn("_rank", (F.col("_n") - 1) * F.element_at(F.array(*(F.lit(float(q)) for q in qs)), F.col("k") + 1))
 
     def at(rank: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.core import EXPANDED, IDX, KEY, SHORT_GAP_SECONDS, STATES, argmax_first, gap_limit, ordered, whole
+from .longseries import RANGE_ROWS, with_sized
+from .quantiles import exact_quantiles
 from .slices import decode_slices
 
 STAY, SWITCH = 1.25, -0.75
@@ -21,17 +23,35 @@ def quantile_or_inf(value: str, q: float, key: Sequence[str] = KEY) -> Column:
     return F.coalesce(F.percentile(F.when(F.col("m_t") == 0, F.col(value)), F.lit(q)).over(whole(key)), F.lit(float("inf")))
 
 
-def thresholds(df: DataFrame, key: Sequence[str] = KEY, velocity: float = 0.90, jitter: float = 0.995, acceleration: float = 0.995) -> DataFrame:
+def thresholds(df: DataFrame, key: Sequence[str] = KEY, velocity: float = 0.90, jitter: float = 0.995, acceleration: float = 0.995, range_rows: int | None = None) -> DataFrame:
+    """Add v_thr, j_thr and a_thr. With `range_rows` by exact quantiles over ranges of so many values, no series held in one buffer."""
+    if range_rows:
+        told = {"v_thr": ("c_t", velocity), "j_thr": ("u_t", jitter), "a_thr": ("alpha_t", acceleration)}
+        return with_quantiles(df, told, F.col("m_t") == 0, key, range_rows).withColumns({o: F.coalesce(o, F.lit(float("inf"))) for o in told})
     return df.withColumns({"v_thr": quantile_or_inf("c_t", velocity, key), "j_thr": quantile_or_inf("u_t", jitter, key), "a_thr": quantile_or_inf("alpha_t", acceleration, key)})
 
 
+def with_quantiles(df: DataFrame, told: dict[str, tuple[str, float]], where: Column, key: Sequence[str] = KEY, rows: int = RANGE_ROWS) -> DataFrame:
+    """Add for each (output: (column, q)) the series' exact quantile over rows `where`; NULL where it has no value."""
+    seen = df.where(where)
+    qs = sorted({q for _, q in told.values()})
+    got = exact_quantiles(seen, sorted({c for c, _ in told.values()}), qs, key, rows)
+    wide = got.groupBy(*key).agg(*(F.max(F.when(F.col("name") == c, F.col("quantiles")[qs.index(q)])).alias(o) for o, (c, q) in told.items()))
+    counts = df.groupBy(*[F.col(c).alias(f"_k_{c}") for c in key]).agg(F.count("*").alias("_size"))
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    groups = wide.join(counts, same).drop(*(f"_k_{c}" for c in key))
+    return with_sized(df, groups, key, "_size", [*key, *(c for c, _ in told.values())]).drop("_size")
+
+
 def is_unstable() -> Column:
     return (F.col("p_t") == 1) | F.coalesce(F.col("u_t") >= F.col("j_thr"), F.lit(False)) | F.coalesce(F.col("alpha_t") >= F.col("a_thr"), F.lit(False))
 
 
-def potentials(df: DataFrame, fs: Column, seconds: float = SHORT_GAP_SECONDS, key: Sequence[str] = KEY) -> DataFrame:
+def potentials(df: DataFrame, fs: Column, seconds: float = SHORT_GAP_SECONDS, key: Sequence[str] = KEY, range_rows: int | None = None) -> DataFrame:
     """Add one column s_<state> for each of STATES."""
-    df = thresholds(df, key).withColumn("limit", gap_limit(fs, seconds)).withColumn("unstable", is_unstable())
+    df = thresholds(df, key, range_rows=range_rows).withColumn("limit", gap_limit(fs, seconds)).withColumn("unstable", is_unstable())
     gone, short = F.col("m_t") == 1, F.col("r_t") <= F.col("limit")
 
     def at(on_short: float, on_long: float, else_: Column) -> Column:

@@ -18,6 +18,7 @@ from ..operators import corrupt as CO
 from ..operators import diagnostics as DG
 from ..operators import generative as GE
 from ..operators import hybrid as HY
+from ..operators import longseries as L
 from ..operators import metrics as ME
 from ..operators import repair as R
 from ..operators import states as ST
@@ -183,10 +184,35 @@ _sql["state_summary"] = sql_text("state:s n:l mean_shift:d n_x:l", RPQ, "SELECT
 
 # Repair and cleaners
 _xy = _row + "x:d y:d"
+
+
+RANGE = 4096  # few rows likewise
+
+
+# The same over series cut into slices: frames with halos, runs and neighbours carried over slices, ranks by ranges of values
+def diagnosed_split(spark: SparkSession, d: str) -> DataFrame:
+    return DG.diagnose(events(spark, d), Q.WIDTH, Q.HEIGHT, slice_rows=SLICE)
+
+
+def stated_split(spark: SparkSession, d: str) -> DataFrame:
+    df = L.own_rows(L.with_halo(diagnosed_split(spark, d), 1, SLICE).withColumn("_dt", F.col("time_s") - F.lag("time_s").over(ordered(("series", "_slice")))))
+    df = ST.with_quantiles(df, {"_mid": ("_dt", 0.5)}, F.col("_dt") > 0, ("series",), RANGE).withColumn("hz", 1 / F.col("_mid"))
+    return ST.pointwise(ST.potentials(df.drop("_dt", "_mid"), F.col("hz"), Q.GAP_SECONDS, range_rows=RANGE))
+
+
+def numbered_split(spark: SparkSession, d: str) -> DataFrame:
+    return L.number_rows(lines(spark, d).drop("sample_idx"), ("time_s", "x"), rows=RANGE)
+
+
+add("number_rows_split", _row + "time_s:d", numbered_split, LI, "SELECT series, row_number() OVER (PARTITION BY series ORDER BY time_s) - 1 AS sample_idx, time_s FROM li")
+add("diagnose_split", _row + "m_t:l r_t:l p_t:l c_t:d9 alpha_t:d9 u_t:d", diagnosed_split, DGQ, "FROM dg")
+add("pointwise_split", _row + "state:s", stated_split, POQ, "FROM pw")
+add("repair_split", _xy, lambda s, d: R.repair(stated_split(s, d), slice_rows=SLICE), RPQ, "SELECT series, sample_idx, xr AS x, yr AS y FROM rr")
 add("repair_policy", _xy, lambda s, d: R.repair(stated(s, d)), RPQ, "SELECT series, sample_idx, xr AS x, yr AS y FROM rr")
 add("repair_stable_smoothing", _xy, lambda s, d: R.repair(stated(s, d), stable_smoothing=True), RPQ, "SELECT series, sample_idx, " + ", ".join(f"CASE WHEN state = 'Stable' THEN avg({v}) OVER (PARTITION BY series ORDER BY sample_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) ELSE {v}r END AS {v}" for v in "xy") + " FROM rr")
 add("oracle_policy", _xy, lambda s, d: outputs(s, d).where("method = 'oracle_policy'"), OUQ, "FROM ou WHERE method = 'oracle_policy'")
 IPQ = f"{EV},\n{Q.interpolate('ev', 'ip')}"
+add("interpolate_split", _xy, lambda s, d: R.global_interpolate(events(s, d), slice_rows=SLICE), IPQ, "SELECT series, sample_idx, xi AS x, yi AS y FROM ip")
 add("interpolate_both", _xy, lambda s, d: R.global_interpolate(events(s, d)), IPQ, "SELECT series, sample_idx, xi AS x, yi AS y FROM ip")
 _clean = R.cleaners(Q.WIDTH, Q.HEIGHT, max_gap=2)
 _near7 = "(PARTITION BY series ORDER BY sample_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
@@ -325,6 +351,7 @@ _specs = lambda s, d: W.case_specs(units(s, d).select("dataset", F.col("particip
 add("case_specs", "dataset:s case_segment:s seed:l severity:s corruption:s", _specs, UNQ, f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY ('0x' || substr(md5('0|' || case_segment || '|' || seed || '|' || severity || '|' || corruption), 1, 15))::BIGINT, case_segment, seed, severity, corruption) AS r FROM (SELECT dataset, participant_id AS case_segment, seed, severity, corruption FROM un, (SELECT unnest([0, 1, 2]) AS seed) AS a, (SELECT unnest(['low', 'medium', 'high']) AS severity) AS b, (SELECT unnest({list(W.CORRUPTIONS)!r}) AS corruption) AS c) AS z) AS y WHERE r <= 40")
 
 # Corruptions
+add("movement_label_split", _row + "true_regime:s", lambda s, d: CO.mark_movement(lines(s, d), slice_rows=SLICE, range_rows=RANGE), COQ, "SELECT series, sample_idx, reg0 AS true_regime FROM co2")
 add("movement_label", _row + "true_regime:s", lambda s, d: CO.mark_movement(lines(s, d)), COQ, "SELECT series, sample_idx, reg0 AS true_regime FROM co2")
 _co = _row + "x:d4 y:d4 true_regime:s unstable_subtype:s"
 for _name, _k in {"corrupt_short_gap": "short_gap", "corrupt_long_gap": "long_gap", "corrupt_jitter_portable": "jitter", "corrupt_spike_portable": "spike", "corrupt_mixed": "mixed"}.items():
@@ -343,6 +370,7 @@ FTQ = f"""{DGQ},
 f0 AS (SELECT *, {', '.join(f'coalesce(ln(1 + greatest({c}, 0)), 0) AS log_{k}, {_rank(c)} AS rank_{k}' for k, c in (('c', 'c_t'), ('a', 'alpha_t'), ('u', 'u_t')))} FROM dg),
 f1 AS (SELECT *, {', '.join(f"{_frame('avg', f'rank_{k}', 4, 5)} AS short_{k}, {_frame('max', f'rank_{k}', 12, 15)} AS long_{k}" for k in 'au')}, p_t AS p FROM f0),
 ft AS (SELECT *, rank_a - short_a AS over_a, rank_u - short_u AS over_u FROM f1)"""
+add("features13_split", _row + " ".join(f"{f}:d" for f in HY.FEATURES), lambda s, d: HY.features(diagnosed_split(s, d).withColumn("hz", F.when(F.col("series") % 2 == 0, 80.0).otherwise(100.0)), sizes=((4, 5), (12, 15)), slice_rows=SLICE, range_rows=RANGE), FTQ, "FROM ft")
 add("percent_rank_avg", _row + "rank_c:d rank_a:d rank_u:d", featured, FTQ, "FROM ft")
 add("features13", _row + " ".join(f"{f}:d" for f in HY.FEATURES), featured, FTQ, "FROM ft")
 _label = "CASE WHEN true_regime = 'Movement' THEN 1 WHEN true_regime = 'LossShort' THEN 2 WHEN true_regime = 'LossLong' THEN 3 WHEN true_regime = 'Unstable' AND unstable_subtype = 'impulse' THEN 4 WHEN true_regime = 'Unstable' THEN 5 ELSE 0 END AS label"
