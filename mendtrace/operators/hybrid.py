@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import EXPANDED, FINITE_STATES, IDX, KEY, SHORT_GAP_SECONDS, argmax_first, gap_limit, ordered, whole
+from ..sources.staging import staged
 from .longseries import RANGE_ROWS, average_ranks, own_rows, with_halo
 from .states import decode_blocks, expanded_label, finite_blocks
 
@@ -181,3 +182,56 @@ def tune(train: DataFrame, evaluate: Callable[[HybridModel, float], tuple[float,
         trials.append(("strength", s, q, mae))
     chosen = min((t for t in trials if t[0] == "strength"), key=lambda t: (-t[2], t[3]))[1]
     return models[best], chosen, trials
+
+
+def predict_grid(df: DataFrame, fs: Column, models: dict[float, HybridModel], strengths: Sequence[float], key: Sequence[str] = KEY, idx: str = IDX, seconds: float = SHORT_GAP_SECONDS) -> DataFrame:
+    """df's rows once for each trial (c, strength; numbered `trial`), with `label` as predict() gives it for that model and
+    strength. All trials come from one scan and one stream of blocks: emissions of all models are columns of one pass, and
+    each block is decoded with its trial's matrices."""
+    for k, m in enumerate(models.values()):
+        df = m.emissions(df, f"_e{k}")
+    grid = [(k, c, s) for k, c in enumerate(models) for s in strengths]
+    each = [F.struct(F.lit(float(c)).alias("c"), F.lit(float(s)).alias("strength"), F.lit(n).alias("trial"), F.col(f"_e{k}").alias("emissions")) for n, (k, c, s) in enumerate(grid)]
+    df = df.withColumn("_t", F.explode(F.array(*each))).select(*(c for c in df.columns if not c.startswith("_e")), "_t.*")
+    used = list(models.values())
+    change = np.stack([s * np.asarray(used[k].transition_log) for k, _, s in grid])
+    start = np.stack([s * np.asarray(used[k].start_log) for k, _, s in grid])
+    df = decode_blocks(df, "emissions", change, start, "_p", (*key, "trial"), idx, which="trial").drop("block")
+    place = F.when(F.col("m_t") == 0, F.when(F.col("strength") <= 0, argmax_first(F.col("emissions"))).otherwise(F.col("_p")))
+    lost = F.when(F.col("r_t") <= gap_limit(fs, seconds), 2).otherwise(3)
+    state = F.element_at(F.array(*(F.lit(s) for s in FINITE_STATES)), place + 1)
+    return df.withColumn("label", F.when(F.col("m_t") == 1, lost).otherwise(state)).drop("_p", "emissions")
+
+
+def tuning_table(cases: DataFrame, fs: Column, models: dict[float, HybridModel], strengths: Sequence[float], width: float, height: float, key: Sequence[str] = KEY, idx: str = IDX) -> DataFrame:
+    """(c, strength, Q_local, mae, rmse, chosen) for each trial: development cases (prepared, with FEATURES, dataset and
+    participant_id) repaired by each trial's states and scored as mean over datasets of participants' means.
+
+    C is chosen at strength 0 (always tried) by the largest Q_local, then the least mae, then the least C; the strength in the
+    same way among that C's trials. Scores alike to nine digits (mae: six) tie. No cases: no rows."""
+    from .aggregate import dataset_and_macro, participant_means
+    from .metrics import evaluate
+    from .repair import repair
+
+    grid = predict_grid(cases, fs, models, sorted({0.0, *map(float, strengths)}), key, idx)
+    trial = (*key, "trial")
+    done = repair(grid.withColumn("state", state_name()), "state", trial, idx)
+    of = ("dataset", "participant_id", "c", "strength")
+    cols = [c for c in of if c not in key]
+    scores = evaluate(done.withColumn("_of", F.struct(*cols)), width, height, (*trial, "_of")).select("*", "_of.*").withColumn("method", F.struct("c", "strength"))
+    table = dataset_and_macro(participant_means(scores))[1].select("method.*", "Q_local", "mae", "rmse")
+    table = staged(table, "trials")
+    better = [F.round("Q_local", 9).desc_nulls_last(), F.round("mae", 6).asc_nulls_last()]
+    best = table.where("strength = 0").orderBy(*better, "c").limit(1).select(F.col("c").alias("_c"))
+    pick = table.join(F.broadcast(best), F.col("c") == F.col("_c")).orderBy(*better, "strength").limit(1).select(F.col("_c"), F.col("strength").alias("_s"))
+    return table.join(F.broadcast(pick), (F.col("c") == F.col("_c")) & (F.col("strength") == F.col("_s")), "left").withColumn("chosen", F.col("_c").isNotNull()).drop("_c", "_s")
+
+
+def tune_at_once(train: DataFrame, cases: DataFrame, fs: Column, width: float, height: float, c_grid: Sequence[float] = (0.1, 1, 10), strengths: Sequence[float] = (0, 0.1, 0.25, 0.5, 0.75, 1), key: Sequence[str] = KEY, idx: str = IDX, **how) -> tuple[HybridModel, float, DataFrame]:
+    """(model, strength, tuning_table()): the models of all C are fitted, then all trials are scored in one job."""
+    models = {float(c): fit(train, c, key=key, idx=idx, **how) for c in c_grid}
+    table = tuning_table(cases, fs, models, strengths, width, height, key, idx)
+    best = table.where("chosen").first()
+    if best is None:
+        raise ValueError("there are no development cases")
+    return models[best["c"]], best["strength"], table

@@ -84,16 +84,20 @@ def finite_blocks(df: DataFrame, key: Sequence[str] = KEY, idx: str = IDX) -> Da
 
 
 def viterbi_paths(scores: np.ndarray, begins: np.ndarray, sizes: np.ndarray, change: np.ndarray, start: np.ndarray | float = 0.0) -> np.ndarray:
-    """The best path of each block of scores (rows x states), all blocks in step; ties go to the first state."""
+    """The best path of each block of scores (rows x states), all blocks in step; ties go to the first state. `change` and
+    `start` serve all blocks, or there is one of each for every block."""
     order = np.argsort(-sizes, kind="stable")
     begins, sizes = begins[order], sizes[order]
+    each = np.ndim(change) == 3
+    if each:
+        change, start = change[order], start[order]
     back, path = np.zeros(scores.shape, np.int8), np.zeros(len(scores), np.int64)
     best = scores[begins] + start
     longest = int(sizes[0]) if len(sizes) else 0
     for i in range(1, longest):
         m = int(np.searchsorted(-sizes, -i, "left"))  # blocks with more than i rows
         rows = begins[:m] + i
-        through = best[:m, :, None] + change
+        through = best[:m, :, None] + (change[:m] if each else change)
         back[rows] = from_ = through.argmax(1)
         best[:m] = scores[rows] + np.take_along_axis(through, from_[:, None, :], 1)[:, 0]
     at = best.argmax(1)
@@ -126,14 +130,17 @@ def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def decode_runs(df: DataFrame, scores: str, begins: Column, inside: Column, change: np.ndarray, start: np.ndarray | float, out: str, key: Sequence[str] = KEY, idx: str = IDX, to_scores: Callable[[np.ndarray], np.ndarray] | None = None, slice_rows: int | None = None) -> DataFrame:
+def decode_runs(df: DataFrame, scores: str, begins: Column, inside: Column, change: np.ndarray, start: np.ndarray | float, out: str, key: Sequence[str] = KEY, idx: str = IDX, to_scores: Callable[[np.ndarray], np.ndarray] | None = None, slice_rows: int | None = None, which: str | None = None) -> DataFrame:
     """Add `out`: the place of each row's state on the Viterbi path of its run; NULL on rows outside runs.
 
     `scores` is an array column (to_scores maps its rows to scores if they are no scores themselves). A run begins where
     `begins` holds and goes on over rows `inside`; both are window expressions over the series. Rows stream through in the
     order of their series, other columns untouched; a task holds one batch and one run. With `slice_rows`, runs are decoded in
-    slices of so many rows, over many tasks (see slices.decode_slices()).
+    slices of so many rows, over many tasks (see slices.decode_slices()). With `which`, a column that is the same on all rows
+    of a series, change and start are stacks and each run takes those of that number; such runs are not sliced.
     """
+    if which and slice_rows:
+        raise ValueError("runs with matrices of their own are not decoded in slices")
     if slice_rows:
         return decode_slices(df, scores, begins, inside, change, start, out, slice_rows, key, idx, to_scores)
     df = df.withColumns({"_begin": begins, "_in": inside})
@@ -147,7 +154,8 @@ def decode_runs(df: DataFrame, scores: str, begins: Column, inside: Column, chan
             flat = t[scores].filter(t["_in"]).combine_chunks().flatten()
             s = flat.to_numpy(zero_copy_only=False).reshape(int(there.sum()), -1)
             at = np.flatnonzero(first[there])
-            path[there] = viterbi_paths(to_scores(s) if to_scores else s, at, np.diff(np.append(at, len(s))), change, start)
+            of = t[which].filter(t["_in"]).to_numpy()[at] if which else slice(None)
+            path[there] = viterbi_paths(to_scores(s) if to_scores else s, at, np.diff(np.append(at, len(s))), change[of], start[of] if which else start)
         yield from t.drop_columns(["_begin", "_in"]).append_column(out, pa.array(path, mask=~there)).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,11 +165,11 @@ def decode_runs(df: DataFrame, scores: str, begins: Column, inside: Column, chan
     return df.sortWithinPartitions(*key, idx).mapInArrow(run, schema)
 
 
-def decode_blocks(df: DataFrame, scores: str, change: np.ndarray, start: np.ndarray | float, out: str, key: Sequence[str] = KEY, idx: str = IDX, slice_rows: int | None = None) -> DataFrame:
+def decode_blocks(df: DataFrame, scores: str, change: np.ndarray, start: np.ndarray | float, out: str, key: Sequence[str] = KEY, idx: str = IDX, slice_rows: int | None = None, which: str | None = None) -> DataFrame:
     """Add `block` and `out`: the place of each finite row's state on its block's Viterbi path; NULL on missing rows."""
     before = F.coalesce(F.lag("m_t").over(ordered(key, idx)), F.lit(1))
     here = F.col("m_t") == 0
-    return decode_runs(finite_blocks(df, key, idx), scores, here & (before == 1), here, change, start, out, key, idx, slice_rows=slice_rows)
+    return decode_runs(finite_blocks(df, key, idx), scores, here & (before == 1), here, change, start, out, key, idx, slice_rows=slice_rows, which=which)
 
 
 def viterbi_d(df: DataFrame, key: Sequence[str] = KEY, idx: str = IDX, out: str = "state", slice_rows: int | None = None) -> DataFrame:

@@ -415,6 +415,59 @@ _soft = ", ".join(f"ln(greatest(exp(l{k} - top) / ({' + '.join(f'exp(l{j} - top)
 add("hybrid_emissions", _row + "e0:d e1:d e2:d e3:d", lambda s, d: _fixed.emissions(featured(s, d)).withColumns({f"e{k}": F.col("emissions")[k] for k in range(4)}), EMQ, f"SELECT series, sample_idx, {_soft} FROM nm")
 
 
+# Tuning of C and strength: fixed models stand for the fitted ones of three C, corrupted supplier series for development cases
+_by_c = {c: HY.HybridModel(_fixed.mean, _fixed.scale, _fixed.coefficients * f, _fixed.intercepts[::-1] * (4 - f), _T, np.full(4, np.log(0.25)), c) for c, f in ((0.1, 0.5), (1.0, 1.0), (10.0, 2.0))}
+STRENGTHS = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
+
+
+def tuning_cases(spark: SparkSession, d: str) -> DataFrame:
+    df = DG.diagnose(cases(spark, d), LW, LH).withColumn("hz", F.lit(250.0))
+    return named(HY.features(df, sizes=((12,), (38,))))
+
+
+def _logits_of(m: HY.HybridModel) -> str:
+    terms = [" + ".join([f"{b!r}::DOUBLE", *(f"({f} - {a!r}::DOUBLE) / {z!r}::DOUBLE * {w!r}::DOUBLE" for f, a, z, w in zip(HY.FEATURES, m.mean.tolist(), m.scale.tolist(), ws, strict=True))]) for ws, b in zip(m.coefficients.tolist(), m.intercepts.tolist(), strict=True)]
+    return ", ".join(f"{t} AS l{k}" for k, t in enumerate(terms))
+
+
+def tuning_sql(models: dict[float, HY.HybridModel], strengths: tuple[float, ...]) -> str:
+    """Expressions that end in tt: (c, strength, Q_local, mae, rmse) of the trials, without the choice."""
+    centred = lambda f, v, n: f"{f}({v}) OVER (PARTITION BY series ORDER BY sample_idx ROWS BETWEEN {n // 2} PRECEDING AND {n - 1 - n // 2} FOLLOWING)"
+    chain = [CDQ, f"t0 AS (SELECT *, {', '.join(f'coalesce(ln(1 + greatest({c}, 0)), 0) AS log_{k}, {_rank(c)} AS rank_{k}' for k, c in (('c', 'c_t'), ('a', 'alpha_t'), ('u', 'u_t')))} FROM cpw)"]
+    chain.append(f"t1 AS (SELECT *, {', '.join(f"{centred('avg', f'rank_{k}', 12)} AS short_{k}, {centred('max', f'rank_{k}', 38)} AS long_{k}" for k in 'au')}, p_t AS p FROM t0)")
+    chain.append("t2 AS (SELECT *, rank_a - short_a AS over_a, rank_u - short_u AS over_u FROM t1)")
+    states = []
+    first = "CASE WHEN e0 >= e1 AND e0 >= e2 AND e0 >= e3 THEN 0 WHEN e1 >= e2 AND e1 >= e3 THEN 1 WHEN e2 >= e3 THEN 2 ELSE 3 END"
+    for k, (c, m) in enumerate(models.items()):
+        chain.append(f"lo{k} AS (SELECT *, greatest(l0, l1, l2, l3) AS top FROM (SELECT series, sample_idx, m_t, r_t, lim, {_logits_of(m)} FROM t2) AS z)")
+        chain.append(f"em{k} AS (SELECT series, sample_idx, m_t, r_t, lim, {_soft} FROM lo{k})")
+        for j, s in enumerate(strengths):
+            at = f"SELECT {c!r}::DOUBLE AS c, {s!r}::DOUBLE AS strength, e.series, e.sample_idx, CASE {_lost} ELSE {_expand}["
+            if s:
+                chain.append(Q.viterbi(f"em{k}", [f"em{k}.e{i}" for i in range(4)], (s * _T).tolist(), [s * float(np.log(0.25))] * 4, f"v{k}{j}"))
+                states.append(f"{at}p + 1] END AS state FROM em{k} AS e LEFT JOIN v{k}{j} USING (series, sample_idx)")
+            else:
+                states.append(f"{at}{first} + 1] END AS state FROM em{k} AS e")
+    mend = ", ".join(f"CASE WHEN state = 'LossShort' THEN {v}i WHEN state = 'LossLong' THEN NULL WHEN state LIKE 'Unstable%' THEN {v}7 ELSE {v} END AS {v}, {v} AS {v}_degraded" for v in "xy")
+    chain += [f"ts AS ({' UNION ALL '.join(states)})", Q.interpolate("cpw", "ti"), f"t7 AS (SELECT * EXCLUDE (state), median(x) OVER {_near7} AS x7, median(y) OVER {_near7} AS y7 FROM ti)"]
+    chain.append(f"tm AS (SELECT t7.series, t7.sample_idx, x_clean, y_clean, true_regime, struct_pack(c := c, s := strength) AS method, {mend} FROM t7 JOIN ts USING (series, sample_idx))")
+    chain += [Q.metrics("tm", LW, LH, "tq"), f"tn AS (SELECT *, {_names} FROM tq)"]
+    chain.append(f"tp AS (SELECT *, {Q.AVAILABLE} AS Q_local FROM (SELECT dataset, participant_id, method, {_means} FROM tn GROUP BY ALL) AS z)")
+    chain.append(f"td AS (SELECT dataset, method, {_meansq} FROM tp GROUP BY ALL)")
+    chain.append(f"tt AS (SELECT method.c AS c, method.s AS strength, Q_local, mae, rmse FROM (SELECT method, {_meansq} FROM td GROUP BY method) AS z)")
+    return ",\n".join(chain)
+
+
+_tcols = "c:d strength:d Q_local:d mae:d rmse:d chosen:b"
+_better = "round(Q_local, 9) DESC NULLS LAST, round(mae, 6) NULLS LAST"
+_tbest = f"SELECT tt.*, (tt.c = b.c AND tt.strength = b.strength) AS chosen FROM tt, (SELECT c, strength FROM tt WHERE c = (SELECT c FROM tt WHERE strength = 0 ORDER BY {_better}, c LIMIT 1) ORDER BY {_better}, strength LIMIT 1) AS b"
+add("tune_observation_model", _tcols, lambda s, d: HY.tuning_table(tuning_cases(s, d), F.lit(250.0), _by_c, (0.0,), LW, LH), tuning_sql(_by_c, (0.0,)), _tbest)
+_one = {1.0: _by_c[1.0]}
+add("tune_transition_strength", _tcols, lambda s, d: HY.tuning_table(tuning_cases(s, d), F.lit(250.0), _one, STRENGTHS, LW, LH), tuning_sql(_one, STRENGTHS), _tbest)
+# All trials at once; the SQL of its 15 decodings is too much for one engine's memory.
+add("tune_c_and_strength", _tcols, lambda s, d: HY.tuning_table(tuning_cases(s, d), F.lit(250.0), _by_c, STRENGTHS, LW, LH))
+
+
 def both_states(spark: SparkSession, d: str) -> DataFrame:
     """Corrupted series with pointwise states and, as h, Viterbi states."""
     return ST.viterbi_d(ST.pointwise(ST.potentials(DG.diagnose(cases(spark, d), LW, LH), F.lit(250.0))), out="h")
