@@ -6,6 +6,7 @@ so both sides give the same names, types and rounding.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -24,6 +25,7 @@ from ..operators import repair as R
 from ..operators import states as ST
 from ..operators import windows as W
 from ..sources import recordings as IO
+from ..sources.staging import shared_dir
 from . import sql as Q
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -579,6 +581,26 @@ _can = "source_file:s participant_id:s segment_id:s time_s:d x:d y:d"
 add("binocular_source", _can, lambda s, d: IO.binocular_micro(raw_micro(s, d)), MIQ, f"SELECT 'u' || user_id || '.csv' AS source_file, 'u' || user_id AS participant_id, event_type || '__st' AS segment_id, (us - first_value(us) OVER (PARTITION BY user_id ORDER BY n)) / 1e6 AS time_s, {_mean2('xl', 'xr')} AS x, {_mean2('k', 'yr')} AS y FROM rw")
 
 
+def raw_files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The recordings of raw_micro() written as a CSV file for each user, in folders by header, and read back. Users whose number
+    ends in 7 have a file whose clock has another name, other users of odd numbers have their columns in another order."""
+    raw = raw_micro(spark, d).withColumns({"user": F.col("source_file"), "subject_id": F.regexp_replace("source_file", r"\.csv$", "")})
+    last = F.regexp_extract("subject_id", r"(\d)$", 1).cast("int")
+    cols = [c for c in raw.columns if c not in ("user", "time", "source_file", "_row")]
+    root = f"{shared_dir(spark)}/raw-{uuid.uuid4().hex}"
+    for name, rows, order in (("broken", last == 7, ["clock", *cols]), ("turned", (last % 2 == 1) & (last != 7), [*cols[::-1], "time"]), ("plain", last % 2 == 0, ["time", *cols])):
+        line = F.concat_ws(",", *(F.coalesce(F.col("time" if c == "clock" else c), F.lit("")) for c in order))
+        file = raw.where(rows).groupBy("user").agg(F.array_sort(F.collect_list(F.struct("_row", line.alias("line")))).alias("all"))
+        text = F.concat_ws("\n", F.lit(",".join(order)), F.transform("all", lambda r: r["line"]))
+        file.select("user", text.alias("value")).write.partitionBy("user").option("compression", "none").text(f"{root}/{name}")
+    return IO.read_recordings(spark, root, "ETDD70", "*.txt")
+
+
+_raw = "participant_id:s segment_id:s time_s:d x:d y:d"
+add("raw_files", _raw, lambda s, d: raw_files(s, d)[0], MIQ, f"SELECT 'u' || user_id AS participant_id, event_type || '__st' AS segment_id, (us - first_value(us) OVER (PARTITION BY user_id ORDER BY n)) / 1e6 AS time_s, {_mean2('xl', 'xr')} AS x, {_mean2('k', 'yr')} AS y FROM rw WHERE user_id % 10 <> 7")
+add("rejected_files", "missing:s files:l", lambda s, d: raw_files(s, d)[1].groupBy(F.array_join("missing", ",").alias("missing")).agg(F.count("*").alias("files")), None, "SELECT 'time' AS missing, count(DISTINCT user_id) AS files FROM events WHERE user_id % 10 = 7 HAVING count(*) > 0")
+
+
 def raw_milli(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     q = F.col("l_quantity").cast("double").cast("string")
