@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -76,6 +77,14 @@ def draw(series: Column, idx: Column, seed: Column | int, stream: int) -> Column
     return (h.cast("double") + 0.5) / PRIME
 
 
+def draw_values(series: np.ndarray, idx: np.ndarray, seed: int, stream: int) -> np.ndarray:
+    """The same draw for arrays of whole numbers, none of them negative."""
+    h = (series.astype(np.int64) % 1000003 * 1103515 + idx.astype(np.int64) * 12345 + seed * 265443 + stream * 97531 + 12345) % PRIME
+    for _ in range(2):
+        h = (h * (h % 65521 + 1) + 48271) % PRIME
+    return (h + 0.5) / PRIME
+
+
 def draw_sql(series: str, idx: str, seed: str, stream: int) -> str:
     """The same draw as SQL text."""
     h = f"((({series}) % 1000003) * 1103515 + ({idx}) * 12345 + CAST(({seed}) AS BIGINT) * 265443 + {stream * 97531} + 12345) % {PRIME}"

@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from ..functions.core import draw
+from ..functions.core import draw, draw_values
 from ..sources.staging import staged
+from .longseries import running_totals
 from .metrics import METRICS
 from .quantiles import exact_quantiles
 
@@ -122,41 +126,85 @@ def weight_ranks(scores: DataFrame, by: Sequence[str] = ("evaluation",)) -> Data
     return rows.withColumn("rank", F.rank().over(Window.partitionBy(*by, "weighting").orderBy(F.desc("score"))).cast("int"))
 
 
-def bootstrap_slots(wide: DataFrame, replicates: int, seed: int, strata: str = "dataset", unit: str = "participant_id") -> DataFrame:
-    """Resamples of the units of each stratum, drawn by integer arithmetic: wide's rows with a replicate number.
+#: Units of a stratum that one task resamples at a time.
+BLOCK_UNITS = 4096
 
-    wide has one row per stratum and unit, so replicates times its rows come out.
-    """
-    w = Window.partitionBy(strata)
-    rows = wide.withColumn("_i", F.row_number().over(w.orderBy(unit)) - 1).withColumn("_n", F.count("*").over(w))
-    slots = rows.select(strata, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    pick = F.floor(draw(F.col("replicate"), F.col("_i"), F.lit(seed), 7) * F.col("_n")).cast("int")
-    slots = slots.select(strata, "replicate", pick.alias("_i"))
-    return slots.join(rows.drop("_n"), [strata, "_i"]).drop("_i")
 
+def resampled_means(values: DataFrame, columns: Sequence[str], replicates: int, seed: int, by: Sequence[str] = (), strata: str = "dataset", unit: str = "participant_id", block: int = BLOCK_UNITS) -> DataFrame:
+    """(by, replicate, columns): means over strata of the means over as many units as a stratum has, drawn with replacement.
+
+    values has rows of (strata, unit, by, columns); a unit drawn n times counts n times with all its rows. Draws are integer
+    arithmetic, so any engine repeats them. Units are numbered in each stratum and cut into blocks. In strata of several blocks
+    each slot first draws a block; tasks only send how many slots of a replicate each block got. A block then draws its slots'
+    units, as a matrix of counts of replicates by units, and multiplies it with the units' values: what is shuffled are the
+    sums of each block and replicate, never a row for each replicate and unit.
 
-def paired_bootstrap(participants: DataFrame, a: str, b: str, replicates: int = 2000, seed: int = 20260728, metrics: Sequence[str] = ("Q_local", "mae", "rmse")) -> DataFrame:
+    NULL and NaN values take no part in means; rows without stratum or unit are left out; no rows give no rows.
+    """
+    values = staged(values.where(F.col(strata).isNotNull() & F.col(unit).isNotNull()).select(strata, unit, *by, *(F.col(c).cast("double").alias(c) for c in columns)), "resampled")
+    units = values.select(strata, unit).distinct().withColumn("_one", F.lit(1))
+    units = staged(running_totals(units, [strata], [unit], "_one").drop("_one"), "units")
+    slots = units.where(F.col("_total") > block).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    first = F.floor(draw(F.col("replicate"), F.col("_before"), F.lit(seed), 8) * F.col("_total"))
+    got = slots.groupBy(strata, F.floor(first / block).alias("_block"), "replicate").agg(F.count("*").alias("_slots"))
+    rows = values.join(units.withColumn("_block", F.floor(F.col("_before") / block)), [strata, unit])
+    sums = [f"_{k}{i}" for k in "sn" for i in range(len(columns))]
+
+    def resample(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame(columns=[strata, *by, "replicate", *sums])
+        start, total = int(rows["_block"].iat[0]) * block, int(rows["_total"].iat[0])
+        size = min(block, total - start)
+        n_slots = np.full(replicates, 0 if total > block else total)
+        n_slots[got["replicate"].to_numpy(int)] = got["_slots"].to_numpy(int)
+        place = rows["_before"].to_numpy(int) - start
+        x = rows[list(columns)].to_numpy(float)
+        there = ~np.isnan(x)
+        both = np.hstack([np.where(there, x, 0.0), there])
+        groups = list(rows.groupby(list(by), dropna=False, sort=False).indices.items()) if by else [((), np.arange(len(rows)))]
+        out, step = [], max(1, (1 << 20) // size)
+        for r in range(0, replicates, step):
+            some = np.arange(r, min(r + step, replicates))
+            of = np.repeat(np.arange(len(some)), n_slots[some])
+            slot = np.arange(len(of)) - np.repeat(np.cumsum(n_slots[some]) - n_slots[some], n_slots[some])
+            pick = np.floor(draw_values(some[of], start + slot, seed, 7) * size).astype(np.int64)
+            drawn = np.bincount(of * size + pick, minlength=len(some) * size).reshape(len(some), size).astype(float)
+            for name, at in groups:
+                part = pd.DataFrame(drawn[:, place[at]] @ both[at], columns=sums)
+                part.insert(0, "replicate", some)
+                for k, c in enumerate(by):
+                    part.insert(k, c, rows[c].iat[at[0]])
+                out.append(part)
+        done = pd.concat(out, ignore_index=True)
+        done.insert(0, strata, rows[strata].iat[0])
+        return done
+
+    kept = [rows.schema[c] for c in (strata, *by)]
+    schema = StructType([*kept, StructField("replicate", IntegerType()), *(StructField(c, DoubleType()) for c in sums)])
+    blocks = rows.groupBy(strata, "_block").cogroup(got.groupBy(strata, "_block")).applyInPandas(resample, schema)
+    total = blocks.groupBy(strata, *by, "replicate").agg(*(F.sum(c).alias(c) for c in sums))
+    means_of = [F.when(F.col(f"_n{i}") > 0, F.col(f"_s{i}") / F.col(f"_n{i}")).alias(c) for i, c in enumerate(columns)]
+    return means(total.select(strata, *by, "replicate", *means_of), (*by, "replicate"), columns)
+
+
+def limits(drawn: DataFrame, metrics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """The middle 95 % of the replicates; a group holds one value for each replicate."""
+    long = drawn.unpivot([*by, "replicate"], list(metrics), "metric", "value")
+    return long.groupBy(*by, "metric").agg(F.percentile("value", F.lit(0.025)).alias("ci_low"), F.percentile("value", F.lit(0.975)).alias("ci_high"))
+
+
+def paired_bootstrap(participants: DataFrame, a: str, b: str, replicates: int = 2000, seed: int = 20260728, metrics: Sequence[str] = ("Q_local", "mae", "rmse"), block: int = BLOCK_UNITS) -> DataFrame:
     """Observed difference a - b (mean over datasets of the mean over participants) and its 95 % interval."""
     key = ("dataset", "participant_id")
     wide = participants.groupBy(*key).agg(*(F.max(F.when(F.col("method") == m, F.col(c))).alias(f"{c}_{s}") for c in metrics for m, s in ((a, "a"), (b, "b"))))
-    wide = wide.select(*key, *((F.col(f"{c}_a") - F.col(f"{c}_b")).alias(c) for c in metrics))
+    wide = staged(wide.select(*key, *((F.col(f"{c}_a") - F.col(f"{c}_b")).alias(c) for c in metrics)), "differences")
+    seen = means(wide, ("dataset",), metrics).agg(*(F.avg(c).alias(c) for c in metrics)).unpivot([], list(metrics), "metric", "difference")
+    found = limits(resampled_means(wide, metrics, replicates, seed, block=block), metrics)
+    return seen.join(found, "metric").withColumn("favorable_direction", F.when(F.col("metric").isin(*LOWER_IS_BETTER), "negative").otherwise("positive"))
 
-    def over_datasets(df: DataFrame, by: Sequence[str]) -> DataFrame:
-        return means(means(df, (*by, "dataset"), metrics), by, metrics) if by else means(df, ("dataset",), metrics).agg(*(F.avg(c).alias(c) for c in metrics))
 
-    long = lambda df, name: df.unpivot([c for c in df.columns if c == "replicate"], list(metrics), "metric", name)
-    seen = long(over_datasets(wide, ()), "difference")
-    drawn = long(over_datasets(bootstrap_slots(wide, replicates, seed), ("replicate",)), "value")
-    limits = drawn.groupBy("metric").agg(F.percentile("value", F.lit(0.025)).alias("ci_low"), F.percentile("value", F.lit(0.975)).alias("ci_high"))
-    return seen.join(limits, "metric").withColumn("favorable_direction", F.when(F.col("metric").isin(*LOWER_IS_BETTER), "negative").otherwise("positive"))
-
-
-def hierarchical_bootstrap(participants: DataFrame, metrics: Sequence[str], replicates: int = 2000, seed: int = 20260728) -> DataFrame:
+def hierarchical_bootstrap(participants: DataFrame, metrics: Sequence[str], replicates: int = 2000, seed: int = 20260728, block: int = BLOCK_UNITS) -> DataFrame:
     """For each method and metric the mean over datasets of participants' means, with a 95 % interval."""
-    key = ("dataset", "participant_id")
-    units = participants.select(*key).distinct()
-    slots = bootstrap_slots(units, replicates, seed).join(participants, list(key))
-    drawn = means(means(slots, ("method", "replicate", "dataset"), metrics), ("method", "replicate"), metrics).unpivot(["method", "replicate"], list(metrics), "metric", "value")
-    seen = means(means(participants, ("method", "dataset"), metrics), ("method",), metrics).unpivot(["method"], list(metrics), "metric", "mean")
-    limits = drawn.groupBy("method", "metric").agg(F.percentile("value", F.lit(0.025)).alias("ci_low"), F.percentile("value", F.lit(0.975)).alias("ci_high"))
-    return seen.join(limits, ["method", "metric"])
+    rows = staged(participants.select("dataset", "participant_id", "method", *metrics), "participants")
+    seen = means(means(rows, ("method", "dataset"), metrics), ("method",), metrics).unpivot(["method"], list(metrics), "metric", "mean")
+    return seen.join(limits(resampled_means(rows, metrics, replicates, seed, ("method",), block=block), metrics, ("method",)), ["method", "metric"])

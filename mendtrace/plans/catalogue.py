@@ -263,7 +263,9 @@ add("unpivot_metrics", "method:s metric:s value:d", lambda s, d: A.means(measure
 # Bootstrap with portable draws
 REPS = 2000
 _bs = f"""un AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY participant_id) - 1 AS i, count(*) OVER (PARTITION BY dataset) AS n FROM (SELECT DISTINCT dataset, participant_id FROM pa) AS z),
-sl AS (SELECT dataset, replicate, floor({draw_sql('replicate', 'i', '20260728', 7)} * n) AS pick FROM un, (SELECT unnest(range({REPS})) AS replicate) AS r),
+s0 AS (SELECT dataset, replicate, i, n, CASE WHEN n > {A.BLOCK_UNITS} THEN CAST(floor({draw_sql('replicate', 'i', '20260728', 8)} * n) AS BIGINT) // {A.BLOCK_UNITS} * {A.BLOCK_UNITS} ELSE 0 END AS start FROM un, (SELECT unnest(range({REPS})) AS replicate) AS r),
+s1 AS (SELECT dataset, replicate, n, start, start + row_number() OVER (PARTITION BY dataset, replicate, start ORDER BY i) - 1 AS slot FROM s0),
+sl AS (SELECT dataset, replicate, start + floor({draw_sql('replicate', 'slot', '20260728', 7)} * least({A.BLOCK_UNITS}, n - start)) AS pick FROM s1),
 sa AS (SELECT sl.dataset, sl.replicate, un.participant_id FROM sl JOIN un ON un.dataset = sl.dataset AND un.i = sl.pick)"""
 _all = ("Q_local", "long_safety", *ME.METRICS)
 _safe = lambda df: df.withColumn("long_safety", 1 - F.col("long_hallucination"))
