@@ -36,7 +36,8 @@ def build_tree(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     Places are sums over range partitions, so that a tree that holds most of the input spans many tasks; they come from
     digests and lengths alone, and texts meet their places once, at the end. Turns are ordered
     by turn, role, text; null texts and roles are empty; rows with a null conversation form one; repeated rows are turns of
-    their own; other columns are ignored.
+    their own; other columns are ignored. No turns give no rows in any of the three. A very long turn is one row of nodes,
+    whole; a very long conversation is many rows.
     """
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     convs = turns.select(F.col(conv).alias("conv"), one.alias("t")).groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("ts"))

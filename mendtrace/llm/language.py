@@ -95,7 +95,8 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     among rows with a language whose crc32(key) modulo `folds` is not 0; no language is left out, and each has landmarks.
     Training rows come to the driver as bits of n-grams, one kilobyte each. Only the text enters a prediction.
     A null text or one without a letter is `und` with score 0; without any training row every text is. Null keys are
-    predicted and not learnt from; repeated rows stay; other columns are ignored. Texts are not shuffled.
+    predicted and not learnt from; repeated rows stay; other columns are ignored; no rows give none. All n-grams of very
+    long texts count. Texts are not shuffled.
     """
     held = F.coalesce(F.crc32(F.col(key).cast("string")) % folds == 0, F.lit(False))
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held)

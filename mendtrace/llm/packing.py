@@ -152,7 +152,7 @@ def best_fit_pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: st
 
     Only longer texts are cut, at multiples of the capacity. Returns (key, piece, start, length, ids_crc32, sequence_id,
     offset). Null and empty texts are the end id alone; null keys and repeated rows are packed like others; other columns
-    are ignored. The pieces' lengths are staged, then dealt evenly over groups of about GROUP pieces, each packed in one
+    are ignored; no rows give none. A very long text becomes as many pieces as it needs. The pieces' lengths are staged, then dealt evenly over groups of about GROUP pieces, each packed in one
     task; a group leaves one sequence unfilled at most, one in many thousands.
     """
     kind = docs.schema[key].dataType.simpleString()

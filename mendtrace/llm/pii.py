@@ -115,7 +115,8 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """Spans of emails, IP addresses, cards and phones, of URLs that hold a login, and of accounts behind a cue.
 
     Returns (key, a count n_<kind> for each of KINDS, base_sha256 over the first four kinds, spans), one row per input
-    row: null texts count as empty, null keys and repeated rows stay, other columns are ignored. No shuffle.
+    row: null texts count as empty, null keys and repeated rows stay, other columns are ignored, no rows give none. Very long texts are
+    searched whole. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -158,7 +158,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     The model learns from at most `fit_rows` labelled rows (a documented bound; those with the least hash of their key)
     whose crc32(key) modulo `folds` is not 0. Only the text enters a score. Null and empty texts have features of 0; a
     missing or one-valued label gives every row the base rate; several labels of a key count as their larger one; null
-    keys are scored, not held out; repeated rows stay; other columns are ignored. Texts are read once and not shuffled.
+    keys are scored, not held out; repeated rows stay; other columns are ignored; no rows give none. Very long texts are
+    measured whole. Texts are read once and not shuffled.
     """
     kind = docs.schema[key].dataType.simpleString()
 

@@ -226,7 +226,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     Returns (key, n_bytes, n_removed, n_spans, kept_sha256) and, if asked for, spans: the removed runs as start:end in
     bytes, joined by commas. Strings never cross texts and are judged on the input;
     overlapping occurrences count. Null texts are empty; null keys stay; repeated rows repeat each other and so lose all
-    that is long enough; other columns are ignored. Hot buckets: counts are pre-aggregated, equal contexts are refined
+    that is long enough; other columns are ignored; no rows give none. Very long texts are judged whole. Hot buckets: counts are pre-aggregated, equal contexts are refined
     once, and no step lists pairs.
     """
     name = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).withColumn("version", F.xxhash64("text", "id")).withColumn("more", F.hash("id", "text"))

@@ -47,7 +47,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", reach
     pairs are made and a text costs as much as it has matches.
 
     Returns (key, n_assign, n_access, n_hex, base_sha256, spans). Null texts count as empty; null keys and repeated rows
-    stay; other columns are ignored. Only places of matches are shuffled, never texts.
+    stay; other columns are ignored; no rows give none. Very long texts are searched whole. Only places of matches are shuffled, never texts.
     """
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = F.concat(*(_matches(F.col("text"), k, p, n, g) for k, (_, p, n, g) in enumerate(BASE + WEAK)))
