@@ -16,6 +16,8 @@ from . import common as C
 LONGEST = 4
 #: Bytes of text in a shard; a longer single text is a shard of its own.
 SHARD_BYTES = 2 << 20
+#: Phrases that are spelt out at once: a place for each of their bytes is held in 64 bits meanwhile.
+SPELT = 1 << 15
 #: Bits of the filter that tells which shorter phrases are frequent: it is broadcast, so its size is bounded; when it
 #: fills up, more phrases are counted in vain and the result is the same.
 FILTER_BITS = (12, 26)
@@ -120,11 +122,12 @@ def shard_counts(langs: pa.Array, raw: np.ndarray, off: np.ndarray, least: int,
         return
     size = e - s
     doc = np.searchsorted(off, s, "right") - 1
-    stops = np.cumsum(stop)
+    stops = np.cumsum(stop, dtype=np.int32)
     near = np.zeros(w, bool)  # the next word is in the same piece
     near[:-1] = (doc[1:] == doc[:-1]) & (stops[e[:-1] - 1] == stops[s[1:] - 1])
     # Words behind one another, a blank after each, so that a phrase is one stretch of buf.
     only = low[~gap]
+    del stops, stop, gap, begin, end, low
     buf = np.full(len(only) + w, 32, np.uint8)
     buf[np.arange(len(only)) + np.repeat(np.arange(w), size)] = only
     at = np.cumsum(size + 1) - size - 1
@@ -156,6 +159,7 @@ def shard_counts(langs: pa.Array, raw: np.ndarray, off: np.ndarray, least: int,
         through = np.zeros(w, bool)
         through[: max(0, w - k)] = near[k - 1 : w - 1]
         left += (left == k) & through
+    del sums
     rank = two
     if most > 2:
         rank = dense(two, ahead(two, 2, left > 2))
@@ -170,9 +174,10 @@ def shard_counts(langs: pa.Array, raw: np.ndarray, off: np.ndarray, least: int,
     for n in range(least, most + 1):
         long = np.flatnonzero(left[suffixes] >= n)
         starts = np.flatnonzero(lcp[long] < n)  # each begins an interval whose suffixes share n words
-        if len(starts):
-            p = suffixes[long[starts]]
-            yield pa.record_batch({"lang": lang.dictionary.take(pa.array(of[p])).cast(pa.string()), "phrase": gather(buf, at[p], at[p + n - 1] + size[p + n - 1]), "n": np.diff(np.append(starts, len(long)))})
+        times = np.diff(np.append(starts, len(long)))
+        for x in range(0, len(starts), SPELT):
+            p = suffixes[long[starts[x : x + SPELT]]]
+            yield pa.record_batch({"lang": lang.dictionary.take(pa.array(of[p])).cast(pa.string()), "phrase": gather(buf, at[p], at[p + n - 1] + size[p + n - 1]), "n": times[x : x + SPELT]})
     if least == 1:
         total = np.bincount(of, minlength=len(lang.dictionary))
         yield pa.record_batch({"lang": lang.dictionary.cast(pa.string()), "phrase": pa.array([""] * len(total)), "n": total})
