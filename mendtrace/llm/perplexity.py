@@ -23,8 +23,10 @@ LETTERS = 62
 MODEL_ROWS = 4_000_000
 #: Parts of a natural log in which logs are added over shuffled rows, so that their order makes no difference.
 UNIT = 1 << 30
-#: Bytes of text that one step counts or scores; a longer single text is a step of its own.
-STEP_BYTES = 2 << 20
+#: Bytes of text whose distinct words one step counts or scores; a longer single text is a step of its own.
+STEP_BYTES = 4 << 20
+#: Bytes of a step that are looked at together, so that what is computed for each byte or place stays in a core's cache.
+PIECE_BYTES = 1 << 18
 #: A band reaches from the median WIDTH times as far as the quartile on either side, and SHORT / sqrt(letters) further, as
 #: short texts scatter more.
 WIDTH, SHORT = 3.0, 2.0
@@ -32,7 +34,6 @@ WIDTH, SHORT = 3.0, 2.0
 PARTS = 10_000
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-HASH = C.Rolling(53)
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
@@ -42,27 +43,39 @@ class Words:
     """The words of a few texts: each distinct word of each language once, and where the words stand."""
 
     of: np.ndarray  # for each place its distinct word
-    doc: np.ndarray  # for each place its text
+    doc: np.ndarray  # for each place its text, in order
+    start: np.ndarray  # for each place its first byte
     letters: np.ndarray  # code points of the distinct words, one word behind another
     size: np.ndarray  # letters in each
     lang: np.ndarray  # language of each
     ids: np.ndarray  # for each place a number of the word, whatever the language
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, in order of their first places, and which of them each place has; by hashing, without a sort."""
+    got = pa.array(x).dictionary_encode()
+    return got.dictionary.to_numpy(), got.indices.to_numpy().astype(np.int64)
+
+
 def words_of(lang: np.ndarray, raw: np.ndarray, off: np.ndarray) -> Words:
-    s, e = C.word_bounds(raw, off)
-    doc = np.searchsorted(off, s, "right") - 1
-    ends = np.zeros(len(s) + 1, np.int64)
-    np.cumsum(e - s, out=ends[1:])
-    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(ends), pa.py_buffer(raw[~C.SPACE[raw]])]).dictionary_encode()
-    ids = found.indices.to_numpy().astype(np.int64)
-    key, of = np.unique(lang[doc] * max(1, len(found.dictionary)) + ids, return_inverse=True)
-    mine = found.dictionary.take(pa.array(key % max(1, len(found.dictionary))))
-    data, begins = C.utf8(mine)
+    found, docs, starts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x, y in C.chunks(off, PIECE_BYTES):
+        part, begins = raw[off[x] : off[y]], off[x : y + 1] - off[x]
+        s, e = C.word_bounds(part, begins)
+        ends = np.zeros(len(s) + 1, np.int64)
+        np.cumsum(e - s, out=ends[1:])
+        found.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(ends), pa.py_buffer(part[~C.SPACE[part]])]))
+        docs.append(np.repeat(np.arange(x, y), np.diff(np.searchsorted(s, begins))))
+        starts.append(s + off[x])
+    told = pa.chunked_array(found, pa.large_binary()).dictionary_encode()
+    told = told.combine_chunks() if len(told) else pa.array([], pa.large_binary()).dictionary_encode()
+    doc, ids, many = np.concatenate(docs), told.indices.to_numpy().astype(np.int64), max(1, len(told.dictionary))
+    key, of = distinct(lang[doc] * many + ids)
+    data, begins = C.utf8(told.dictionary.take(pa.array(key % many)))
     letters = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     heads = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
-    return Words(of, doc, letters, np.diff(heads[begins]), key // max(1, len(found.dictionary)), ids)
+    return Words(of, doc, np.concatenate(starts), letters, np.diff(heads[begins]), key // many, ids)
 
 
 def codes(w: Words, alphabets: list[np.ndarray] | None) -> tuple[np.ndarray, ...]:
@@ -78,9 +91,9 @@ def codes(w: Words, alphabets: list[np.ndarray] | None) -> tuple[np.ndarray, ...
     line[begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(w.size) - w.size, w.size)] = symbol
     told = np.repeat(np.arange(len(w.size)), w.size + 1)
     at = begin[told] + np.arange(len(told)) - np.repeat(np.cumsum(w.size + 1) - w.size - 1, w.size + 1)
-    pairs, of_pair = np.unique((line[:-1] << BITS) | line[1:], return_inverse=True)
+    pairs, of_pair = distinct((line[:-1] << BITS) | line[1:])
     lang, n = w.lang[told], len(pairs)
-    key, back = np.unique((lang * n + of_pair[at - 3]) * n + of_pair[at - 1], return_inverse=True)
+    key, back = distinct((lang * n + of_pair[at - 3]) * n + of_pair[at - 1])
     return key // (n * n), pairs[key // n % n], pairs[key % n], back, told
 
 
@@ -218,50 +231,70 @@ def read_model(rows: DataFrame) -> tuple[Model, int]:
     return Model(names, pairs, keys[order], values[order]), often
 
 
-def text_rules(w: Words, raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-    """The counts of each text."""
+def repeated_lines(raw: np.ndarray, off: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """How many lines with a word each text has that equal an earlier one; words are the places where words begin."""
     n = len(off) - 1
-    doc = np.repeat(np.arange(n), np.diff(off))
-    sums = HASH.sums(raw)
-    # Lines: each begins with a text or behind a line feed; those with a word are compared by hashes.
+    # Each line begins with a text or behind a line feed.
     feed = np.flatnonzero(raw == 10)
     starts = np.unique(np.concatenate([off[:-1][np.diff(off) > 0], feed[feed + 1 < len(raw)] + 1]))
     ends = np.append(starts[1:], len(raw))
     ends = ends - (raw[ends - 1] == 10) if len(starts) else ends[:0]
-    dark = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum(~C.SPACE[raw], out=dark[1:])
-    full = dark[ends] > dark[starts]
-    line = np.stack([doc[starts[full]].astype(np.uint64), HASH.of(sums, starts[full], ends[full])]) if len(starts) else np.zeros((2, 0), np.uint64)
-    line_doc = line[0].astype(np.int64)
-    first = np.unique(C.mix(line[1] + line[0] * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
-    dup = np.bincount(line_doc, minlength=n) - np.bincount(line_doc[first], minlength=n)
-    # Windows of five words within a text.
-    m = len(w.ids)
-    again = np.zeros(m, np.int64)
-    if m >= 5:
-        h, ids = C.mix(w.doc.astype(np.uint64) + np.uint64(7)), C.mix(w.ids.astype(np.uint64) + np.uint64(1))
-        win = h[: m - 4].copy()
-        for k in range(5):
-            win = C.mix(win + ids[k : m - 4 + k] * np.uint64(2 * k + 1))
-        inside = w.doc[: m - 4] == w.doc[4:]
-        _, back, count = np.unique(win[inside], return_inverse=True, return_counts=True)
-        at = np.flatnonzero(inside)[count[back] > 1]
-        edge = np.zeros(m + 1, np.int64)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + 5, -1)
-        again = (np.cumsum(edge[:-1]) > 0).astype(np.int64)
-    chars = np.bincount(doc, ((raw & 0xC0) != 0x80) & ~C.SPACE[raw], n)
+    doc = np.searchsorted(off, starts, "right") - 1
+    full = np.searchsorted(words, ends) > np.searchsorted(words, starts)
+    want = np.flatnonzero(full & (np.bincount(doc[full], minlength=n) > 1)[doc])
+    if not len(want):
+        return np.zeros(n, np.int64)
+    # Every other string is a line; between them stand line feeds and nothing.
+    cut = np.append(np.stack([starts, ends], axis=1).ravel(), len(raw))
+    lines = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(raw))])
+    ids = lines.take(pa.array(2 * want)).dictionary_encode().indices.to_numpy().astype(np.int64)
+    doc = doc[want]
+    return np.bincount(doc, minlength=n) - np.bincount(distinct(doc * len(want) + ids)[0] // len(want), minlength=n)
+
+
+def in_repeats(doc: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each word stands in a window of five words that its text repeats; windows are compared by 64-bit sums."""
+    m = len(ids)
+    if m < 5:
+        return np.zeros(m, bool)
+    win = C.mix(doc[: m - 4] + 7)
+    each = C.mix(ids + 1)
+    for k in range(5):
+        win += each[k : m - 4 + k] * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64)
+    inside = np.flatnonzero(doc[: m - 4] == doc[4:])
+    _, of = distinct(win[inside])
+    at = inside[(np.bincount(of) > 1)[of]]
+    edge = np.zeros(m + 1, np.int64)
+    edge[at] += 1
+    edge[at + 5] -= 1
+    return np.cumsum(edge[:-1]) > 0
+
+
+def text_rules(w: Words, raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
+    """The counts of each text."""
+    n = len(off) - 1
+    symbols, lines, again = ([np.zeros(0, np.int64)] for _ in range(3))
+    for x, y in C.chunks(off, PIECE_BYTES):
+        part, begins = raw[off[x] : off[y]], off[x : y + 1] - off[x]
+        i, j = np.searchsorted(w.start, [off[x], off[y]])
+        symbols.append(np.diff(np.searchsorted(np.flatnonzero(SYMBOL[part]), begins)))
+        lines.append(repeated_lines(part, begins, w.start[i:j] - off[x]))
+        again.append(np.bincount(w.doc[i:j] - x, in_repeats(w.doc[i:j], w.ids[i:j]), y - x).astype(np.int64))
     return {
         "n_words": np.bincount(w.doc, minlength=n),
-        "word_chars": chars.astype(np.int64),
-        "n_symbols": np.bincount(doc, SYMBOL[raw], n).astype(np.int64),
-        "n_dup_lines": dup,
-        "n_repeat_words": np.bincount(w.doc, again, n).astype(np.int64),
+        "word_chars": np.bincount(w.doc, w.size[w.of], n).astype(np.int64),
+        "n_symbols": np.concatenate(symbols),
+        "n_dup_lines": np.concatenate(lines),
+        "n_repeat_words": np.concatenate(again),
     }
 
 
 def tails(w: Words, missed: np.ndarray, back: np.ndarray, told: np.ndarray, hi: np.ndarray, lo: np.ndarray, n: int) -> pa.Array:
     """For each of n texts the missed n-grams and how often they come in it."""
+    names = ["hi", "lo", "times"]
+    if not missed.any():
+        none = pa.array([], pa.int64())
+        return pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.StructArray.from_arrays([none] * 3, names))
     bad = missed[back]
     grams, each = back[bad], np.bincount(told[bad], minlength=len(w.size))
     key, times = np.unique(w.doc * len(w.size) + w.of, return_counts=True)
@@ -272,7 +305,7 @@ def tails(w: Words, missed: np.ndarray, back: np.ndarray, told: np.ndarray, hi:
     times = np.bincount(of, np.repeat(times, size), len(key)).astype(np.int64)
     doc, gram = key // max(1, len(hi)), key % max(1, len(hi))
     ends = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(hi[gram]), pa.array(lo[gram]), pa.array(times)], ["hi", "lo", "times"]))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(hi[gram]), pa.array(lo[gram]), pa.array(times)], names))
 
 
 def scored(rows: DataFrame, model: Model, letters: dict[str, np.ndarray] | None) -> DataFrame:
