@@ -3,8 +3,10 @@
 Suffixes are sampled where content says so: in every window of LENGTH bytes the leftmost q-gram with the least hash is an
 anchor, so equal windows have their anchor at the same offset. The hash of the q-gram is the anchor's first bucket. Buckets
 are refined on what stands at later and earlier offsets: first on the whole context in which an anchor may serve, then,
-for contexts that stand alone, on ranges of offsets, and at last on single offsets; each step reads the bucket of the step
-before it and leaves out what that step has decided.
+for contexts that stand alone, on ranges of offsets, and at last on single offsets; each step reads the bucket before it and leaves out what that step has decided.
+
+Passages of words that texts share, which can be shorter than LENGTH bytes, are only told of: anchors on the line of words
+give the buckets, equal contexts settle most texts, and windows are compared for what these leave open.
 """
 
 from __future__ import annotations
@@ -18,16 +20,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .collocations import Filter
 
 #: Offsets that one refining range holds.
 RANGE = 16
+#: Words of a passage that the query tells of: over 50.
+PASSAGE = 51
 #: Window starts that one sliding minimum handles.
 SEGMENT = 1 << 22
-GRAM, WHOLE = C.Rolling(31), C.Rolling(37)
+#: Bytes of text that one step scans; a longer single text is a step of its own.
+STEP_BYTES = 1 << 18
+GRAM, WHOLE, NAMES = C.Rolling(31), C.Rolling(37), C.Rolling(41)
+#: Words of an anchor, bytes of text whose words one step takes, and the most bits (as a power of 2) that name open buckets.
+WORD_GRAM, WORD_BYTES, FILTER_BITS = 8, 1 << 18, 26
 
 
 def anchors(raw: np.ndarray, off: np.ndarray, length: int, q: int) -> tuple[np.ndarray, ...]:
-    """(anchor, first and last window start that it serves, hash of its q-gram, hash of its context), over all texts."""
+    """(anchor, first and last window start that it serves, hash of its q-gram, hash of its context), over all texts; raw are
+    bytes, or 64-bit names of words."""
     w = length - q + 1
     n = len(raw) - length + 1
     if n <= 0:
@@ -70,7 +80,7 @@ def _scan(length: int, q: int):
     def f(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, begins = C.utf8(b.column(2))
         version, more = b.column(0), b.column(1)
-        for i, j in C.chunks(begins):
+        for i, j in C.chunks(begins, STEP_BYTES):
             off = begins[i : j + 1] - begins[i]
             a, lo, hi, qh, ctx = anchors(data[begins[i] : begins[j]], off, length, q)
             doc = np.searchsorted(off, lo, "right") - 1
@@ -173,7 +183,7 @@ def _cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         runs.append(len(merged))
         kept.append(digest.hexdigest())
         said.append(",".join(f"{x}:{y}" for x, y in merged))
-    yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (n_bytes, removed, runs)), pa.array(kept, pa.string()), pa.array(said, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+    yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (n_bytes, removed, runs)), pa.array(kept, pa.string()), pa.array(said, pa.string()), b.column(3)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "version"])
 
 
 def repeat_spans(src: DataFrame, length: int = 400, q: int = 144) -> DataFrame:
@@ -220,11 +230,81 @@ def repeat_spans(src: DataFrame, length: int = 400, q: int = 144) -> DataFrame:
     return plain.union(refined).groupBy("version", "more").agg(F.collect_set(span(F.col("f"), F.col("t"))).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, with_spans: bool = False) -> DataFrame:
+def _words(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A few texts at a time, from column 1: the first of them, their words' names, and how many words precede each text."""
+    data, begins = C.utf8(b.column(1))
+    for i, j in C.chunks(begins, WORD_BYTES):
+        raw, off = data[begins[i] : begins[j]], begins[i : j + 1] - begins[i]
+        s, e = C.word_bounds(raw, off)
+        ends = np.zeros(len(s) + 1, np.int64)
+        np.cumsum(e - s, out=ends[1:])
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(ends), pa.py_buffer(raw[~C.SPACE[raw]])]).dictionary_encode()
+        each, at = C.utf8(found.dictionary)
+        yield i, NAMES.of(NAMES.sums(each), at[:-1], at[1:])[found.indices.to_numpy()], np.searchsorted(s, off)
+
+
+def _word_anchors(words: int):
+    def f(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i, line, off in _words(b):
+            _, lo, _, qh, ctx = anchors(line, off, words, WORD_GRAM)
+            doc = np.searchsorted(off, lo, "right") - 1
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc + i)), pa.array(lo == off[doc]), pa.array(qh.view(np.int64)), pa.array(ctx.view(np.int64))], ["version", "head", "qh", "ctx"])
+
+    return C.per_batch(f)
+
+
+def _word_windows(words: int, held):
+    def f(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        known = held.value
+        for i, line, off in _words(b):
+            _, lo, hi, qh, _ = anchors(line, off, words, WORD_GRAM)
+            want = known.has(qh)
+            lo, n = lo[want], (hi - lo + 1)[want]
+            start = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+            key = WHOLE.of(WHOLE.sums(line), start, start + words)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.searchsorted(off, start, "right") - 1 + i)), pa.array(key.view(np.int64))], ["version", "key"])
+
+    return C.per_batch(f)
+
+
+def _filter(rows: DataFrame) -> Filter:
+    """A filter of bounded size for the staged hashes qh; where it is full, more passes and is compared in vain."""
+    bits = min(FILTER_BITS, max(10, (16 * rows.count()).bit_length()))
+    probe = F.explode(F.array(*(F.shiftrightunsigned("qh", k).bitwiseAND(F.lit((1 << bits) - 1)) for k in (0, 19, 38)))).alias("p")
+    got = rows.select(probe).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return Filter(words, bits)
+
+
+def passage_sharers(src: DataFrame, words: int) -> DataFrame:
+    """(version) of the texts with a run of `words` words that stands in another text too; src has version and text.
+
+    Words are runs without ASCII white space and are compared as they are, by 64-bit hashes. Rows of one name are the same
+    text in several rows and so share all of it.
+    """
+    seen = C.stage_table(src.select("version", "text").mapInArrow(_word_anchors(words), "version long, head boolean, qh long, ctx long"), "word-anchors")
+    ends = [F.min("version").alias("v0"), F.max("version").alias("v1")]
+    ctxs = C.stage_table(seen.groupBy("qh", "ctx").agg(*ends), "word-contexts")
+    same = C.stage_table(ctxs.where("v0 < v1").select("qh", "ctx"), "same-contexts")
+    twins = seen.where("head").groupBy("version").agg(F.count("*").alias("n")).where("n > 1").select("version")
+    first = C.stage_table(C.join_small(seen, same, ["qh", "ctx"], "left_semi").select("version").union(twins).distinct(), "sharers")
+    # Texts without an equal context: their buckets that another text is in, with all texts' windows there.
+    met = C.stage_table(ctxs.groupBy("qh").agg(F.min("v0").alias("v0"), F.max("v1").alias("v1")).where("v0 < v1").select("qh"), "met-buckets")
+    left = C.join_small(ctxs.where("v0 = v1").select("qh", F.col("v0").alias("version")), met, ["qh"], "left_semi")
+    left = C.stage_table(C.join_small(left, first, ["version"], "left_anti").select("qh").distinct(), "open-buckets")
+    held = src.sparkSession.sparkContext.broadcast(_filter(left))
+    windows = C.stage_table(src.select("version", "text").mapInArrow(_word_windows(words, held), "version long, key long"), "word-windows")
+    both = C.stage_table(windows.groupBy("key").agg(*ends).where("v0 < v1").select("key"), "shared-windows")
+    return C.stage_table(C.join_small(windows, both, ["key"], "left_semi").select("version").union(first).distinct(), "all-sharers")
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, with_spans: bool = False, passage: int | None = None) -> DataFrame:
     """Remove every byte covered by a string of `length` bytes that starts anywhere else too; one row per input row.
 
     Returns (key, n_bytes, n_removed, n_spans, kept_sha256) and, if asked for, spans: the removed runs as start:end in
-    bytes, joined by commas. Strings never cross texts and are judged on the input;
+    bytes, joined by commas, and with passage the column shares_passage: 1 if a run of so many words of the text stands in
+    another row's text too, else 0; nothing is removed for it. Strings never cross texts and are judged on the input;
     overlapping occurrences count. Null texts are empty; null keys stay; repeated rows repeat each other and so lose all
     that is long enough; other columns are ignored; no rows give none. Very long texts are judged whole. Hot buckets: counts are pre-aggregated, equal contexts are refined
     once, and no step lists pairs.
@@ -232,10 +312,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     name = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).withColumn("version", F.xxhash64("text", "id")).withColumn("more", F.hash("id", "text"))
     spans = repeat_spans(name, length, q=max(1, length * 36 // 100))
     kind = docs.schema[key].dataType.simpleString()
-    out = name.join(spans.hint("shuffle_hash"), ["version", "more"], "left").select("id", "text", "spans")
-    out = out.mapInArrow(C.per_batch(_cut), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string").withColumnRenamed("id", key)
-    return out if with_spans else out.drop("spans")
+    out = name.join(spans.hint("shuffle_hash"), ["version", "more"], "left").select("id", "text", "spans", "version")
+    out = out.mapInArrow(C.per_batch(_cut), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string, version long").withColumnRenamed("id", key)
+    if passage is not None:
+        out = C.join_small(out, passage_sharers(name, passage).withColumn("told", F.lit(1)), ["version"], "left").withColumn("shares_passage", F.coalesce("told", F.lit(0))).drop("told")
+    return out.drop("version") if with_spans else out.drop("version", "spans")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_spans=True)
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_spans=True, passage=PASSAGE)
