@@ -9,7 +9,7 @@ between bands k and k + 1, so every set takes part in two schemes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import exp, floor, sqrt
 
 import numpy as np
@@ -214,8 +214,13 @@ def _bucket_rows(id_type: pa.DataType, parts: int, *cols: np.ndarray) -> Iterato
         yield _rows(id_type, "b", [int(cols[0][i] >> 16) % parts], entries=[some.tobytes()])
 
 
-def _scan(words: int, percent: int, parts: int):
-    """Documents (kind d), nodes that meet within a step (kind b), and the step's signatures, packed by part (kind s)."""
+def part_of(sig: np.ndarray, parts: int) -> np.ndarray:
+    return (sig.view(np.uint64) >> np.uint64(16)) % np.uint64(parts)
+
+
+def _scan(words: int, percent: int, parts: int, turn: int = 0, turns: int = 1):
+    """Documents (kind d), nodes that meet within a step (kind b), and the step's signatures, packed by part (kind s). Of
+    several turns each sends the signatures of its share of the parts, and the first one the documents."""
 
     def f(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, begins = C.utf8(b.column(1))
@@ -224,14 +229,15 @@ def _scan(words: int, percent: int, parts: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             size = len(n)
-            yield _rows(kind, "d", (done + np.arange(size)) % parts, b.column(0).slice(done, size), n, node)
+            if not turn:
+                yield _rows(kind, "d", (done + np.arange(size)) % parts, b.column(0).slice(done, size), n, node)
             which = np.repeat(np.arange(size), [len(x) for x in sigs])
             if not len(which):
                 return
             short = np.array([x or 0 for x in node], np.int64) & SHORT
             sig, low, *met = stars(np.concatenate(sigs) & SHORT, short[which])
             yield from _bucket_rows(kind, parts, *met)
-            p = (sig.view(np.uint64) >> np.uint64(16)).astype(np.uint64) % np.uint64(parts)
+            p = part_of(sig, parts)
             order = np.argsort(p, kind="stable")
             p, both = p[order].astype(np.int32), pack(sig[order], low[order])
             cut = np.append(np.flatnonzero(np.diff(p, prepend=-1)), len(p))
@@ -240,7 +246,8 @@ def _scan(words: int, percent: int, parts: int):
         for h in shingle_sets(data, begins, words):
             n.append(len(h))
             node.append(node_of(h) if len(h) else None)
-            sigs.append(signatures(h, percent) if len(h) and node[-1] not in own else np.zeros(0, np.int64))
+            mine = signatures(h, percent) if len(h) and node[-1] not in own else np.zeros(0, np.int64)
+            sigs.append(mine[part_of(mine, parts) % np.uint64(turns) == turn] if turns > 1 else mine)
             own.add(node[-1])
             held += len(sigs[-1])
             if held >= FLUSH:
@@ -378,7 +385,7 @@ def _across(percent: int):
     return f
 
 
-def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, part_bytes: int = PART_BYTES) -> DataFrame:
+def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, part_bytes: int = PART_BYTES, turns: int = 1) -> DataFrame:
     """Classes of texts linked, directly or through others, by a Jaccard similarity of percent / 100 or more.
 
     Words are runs of bytes without ASCII white space, A-Z lower-cased; a set holds the distinct shingles of `words` words.
@@ -389,15 +396,20 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     sets with its least one only, which settles hot groups in as many comparisons as there are sets. Buckets whose sets
     are not all linked by then are compared in pairs of blocks, each set outside the largest class with all others, over many
     tasks; a task returns a spanning forest. Without documents there are no rows; a very long text is cut into shingles alone. Buckets that hang together are compared as one group if that sends fewer rows,
-    else one by one, so chance agreements don't add up. Equal sets collapse before anything is compared.
+    else one by one, so chance agreements don't add up. Equal sets collapse before anything is compared. With several `turns`
+    the texts are scanned as often, and each turn shuffles its share of the signatures only; the result is the same.
     """
     src = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     # One shuffle of signatures, packed: each step of a scan sends one entry per signature at most, so no signature is hot.
     # Parts follow the data, so a task's memory does not grow with it, whatever the number of shuffle partitions.
     parts = max(32, -(-src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // part_bytes))
     shipped = f"kind string, p int, id {src.schema['id'].dataType.simpleString()}, n long, a long, entries binary"
-    met = src.mapInArrow(_scan(words, percent, parts), shipped).repartition("p").sortWithinPartitions("p").mapInArrow(_meet(parts), shipped)
-    met = C.stage_table(met.drop("p"), "sets")
+
+    def joined(turn: int) -> DataFrame:
+        sent = src.mapInArrow(_scan(words, percent, parts, turn, turns), shipped)
+        return C.stage_table(sent.repartition("p").sortWithinPartitions("p").mapInArrow(_meet(parts), shipped).drop("p"), "sets")
+
+    met = reduce(DataFrame.union, [joined(k) for k in range(turns)])
     base = met.where("kind = 'd'").select("id", F.col("n").alias("n_shingles"), F.col("a").alias("node"))
     nodes = C.stage_table(base.where("node is not null").groupBy("node").agg(F.min("id").alias("id")), "nodes")
     buckets = met.where("kind = 'b'").select("entries").mapInArrow(C.per_batch(_unpacked), "sig long, u long, v long")
