@@ -56,3 +56,22 @@ def test_scores_of_each_trial(cases, models, rows, monkeypatch):  # noqa: F811
                 for v in metrics.METRICS:
                     a, b = got[w["series"], c, s][v], w[v]
                     assert (a is None) == (b is None) and (a is None or np.isclose(a, b, rtol=1e-9, atol=1e-12)), (w["series"], c, s, v)
+
+
+def test_regression_reaches_the_minimum(spark):
+    """Few passes, each a job of its own; the slope at the end is nil."""
+    r = np.random.default_rng(8)
+    x, k, w = r.normal(size=(600, 3)), r.integers(0, 4, 600), r.uniform(0.2, 3, 600)
+    k[:300] = np.digitize(x[:300, 0], [-0.7, 0.1, 0.8])
+    rows = spark.createDataFrame([([1.0, *a.tolist()], int(b), float(c)) for a, b, c in zip(x, k, w, strict=True)], "z array<double>, k int, w double").repartition(3).cache()
+    for c_value in (0.1, 10.0):
+        got = hybrid.regression(rows, c_value)
+        z = np.column_stack([np.ones(600), x])
+        e = np.exp(z @ got.T)
+        slope = c_value * (w[:, None] * (e / e.sum(1, keepdims=True) - np.eye(4)[k])).T @ z + got * (np.arange(4) > 0)
+        assert np.abs(slope).max() < 1e-7 and abs(got[:, 0].sum()) < 1e-9
+
+
+def test_features_are_computed_once(cases):  # noqa: F811
+    got, want = hybrid.staged_features(cases, ("m_t",)), cases.select("series", "sample_idx", "m_t", *hybrid.FEATURES)
+    assert "Window" not in plan_of(got) and sorted(got.collect()) == sorted(want.collect())
