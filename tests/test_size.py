@@ -75,3 +75,31 @@ def test_regression_reaches_the_minimum(spark):
 def test_features_are_computed_once(cases):  # noqa: F811
     got, want = hybrid.staged_features(cases, ("m_t",)), cases.select("series", "sample_idx", "m_t", *hybrid.FEATURES)
     assert "Window" not in plan_of(got) and sorted(got.collect()) == sorted(want.collect())
+
+
+@pytest.mark.parametrize("nil", [False, True])
+def test_scaled_expectations(nil):
+    """As in log space, on series of several lengths; a model with odds of nil is left to log space."""
+    from mendtrace.operators import generative as ge
+
+    r = np.random.default_rng(2)
+    sizes = np.array([2, 40, 7, 300])
+    begins, z = np.cumsum(sizes) - sizes, r.normal(size=(sizes.sum(), 6)) * 3
+    mean, var, start = r.normal(size=(5, 6)), r.uniform(0.01, 2, (5, 6)), np.log(np.full(5, 0.2))
+    change = np.log(np.full((5, 5), 0.02) + np.eye(5) * 0.9)
+    if nil:
+        change = np.where(np.eye(5) > 0, 0.0, -1e4)
+    e = ge.emission_matrix(z, mean, var)
+    want = ge.log_expectations(e, begins, sizes, start, change)
+    assert (ge.scaled_expectations(e, begins, sizes, start, change) is None) == nil
+    for a, b in zip(ge.expectations(z, begins, sizes, start, change, mean, var), want, strict=True):
+        assert np.allclose(a, b, rtol=1e-9, atol=1e-9)
+
+
+def test_series_go_in_step_together():
+    import pyarrow as pa
+
+    from mendtrace.operators import generative as ge
+
+    tables = [pa.table({"i": list(range(n))}) for n in (4, 3, 9, 1, 1)]
+    assert [t.num_rows for t in ge.gathered(iter(tables), 8)] == [7, 9, 2]
