@@ -103,3 +103,10 @@ def test_series_go_in_step_together():
 
     tables = [pa.table({"i": list(range(n))}) for n in (4, 3, 9, 1, 1)]
     assert [t.num_rows for t in ge.gathered(iter(tables), 8)] == [7, 9, 2]
+
+
+def test_examples_decode_once(spark):
+    from mendtrace.plans import catalogue
+
+    plan = plan_of(catalogue.examples(spark, "/root/testdata/sf0.001"))
+    assert plan.count("MapInArrow") == 1 and plan.count("Scan parquet") == 1
